@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.operators import history, nested, survivorship
+from attestra.operators import drift, history, nested, survivorship
 from attestra.plans.registry import Registry
 from attestra.session import table
 
@@ -170,3 +170,18 @@ def p6_history(spark, folder):
 @RECORDS.add("p6_changes", _OBSERVED + "SELECT paperid, day, lag(n) OVER (PARTITION BY paperid ORDER BY day) AS citationcount_before, n AS citationcount_after FROM b")
 def p6_changes(spark, folder):
     return history.change_log(history.citation_history(table(spark, folder, "papers")), "paperid", ["citationcount"])
+
+
+@RECORDS.add("p4_found")
+def p4_found(spark, folder):
+    return drift.schema_changes(table(spark, folder, "run_files")).select("file_id", "field", "change_kind")
+
+
+@RECORDS.add("p4_changes")
+def p4_changes(spark, folder):
+    return drift.schema_changes(table(spark, folder, "run_files"))
+
+
+@RECORDS.add("p4_runs")
+def p4_runs(spark, folder):
+    return drift.unified_runs(table(spark, folder, "run_files"))
