@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.llm import confusables
+from attestra.llm import confusables, encoding, mixing
 from attestra.plans.registry import Registry
-from attestra.session import table
+from attestra.session import cut_lineage, table
 
 LLM = Registry()
 
@@ -17,3 +17,24 @@ def p5_found(spark, folder):
 @LLM.add("p5_canonical")
 def p5_canonical(spark, folder):
     return confusables.canonical_fields(table(spark, folder, "papers"))
+
+
+@LLM.add("p7_ids")
+def p7_ids(spark, folder):
+    return encoding.encode_documents(table(spark, folder, "documents"))
+
+
+def _sized(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return cut_lineage(encoding.count_tokens(documents))
+
+
+@LLM.add("p8_mix")
+def p8_mix(spark, folder):
+    return mixing.mix(_sized(spark, folder), table(spark, folder, "mix_targets"))
+
+
+@LLM.add("p8_shares")
+def p8_shares(spark, folder):
+    sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mix(sized, targets), sized, targets)
