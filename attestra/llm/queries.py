@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import confusables, encoding, mixing
+from attestra.llm import abuse, confusables, encoding, mixing
 from attestra.plans.registry import Registry
 from attestra.session import cut_lineage, table
 
@@ -38,3 +38,23 @@ def p8_mix(spark, folder):
 def p8_shares(spark, folder):
     sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
+
+
+def _scored(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return abuse.score(documents, abuse.fit(documents, table(spark, folder, "review_labels")))
+
+
+@LLM.add("p9_found")
+def p9_found(spark, folder):
+    return _scored(spark, folder).filter("offensive").select("doc_id")
+
+
+@LLM.add("p9_scores")
+def p9_scores(spark, folder):
+    return _scored(spark, folder)
+
+
+@LLM.add("p9_rates")
+def p9_rates(spark, folder):
+    return abuse.rates(_scored(spark, folder))
