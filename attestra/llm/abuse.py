@@ -37,7 +37,7 @@ _INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _LOOKS = str.maketrans(LOOKALIKES | PLAIN)
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _ENDS = re.compile(r"\n+|(?<=[.!?…;])\s+|(?<=[。！？；])|(?<=[a-z0-9)])\s+(?=\d+\. )")
-_TOKEN = re.compile(r"[぀-ヿ一-鿿]|[^\W\d_぀-ヿ一-鿿]+\d*[^\W_぀-ヿ一-鿿]*(?:['’*@$!.\-][^\W_]+)*|\d+(?:[.,]\d+)*[^\W_]*", re.UNICODE)
+_TOKEN = re.compile("[぀-ヿ一-鿿]|[^\\W\\d_぀-ヿ一-鿿]+\\d*[^\\W_぀-ヿ一-鿿]*(?:['’*@$!.\\-][^\\W_]+)*|\\d+(?:[.,]\\d+)*[^\\W_]*")
 _MARKUP = re.compile(r"\\(?:cite\w*|ref|label|section|subsection|input|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|https?://\S+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _HIDDEN = set(HIDDEN_WORDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import abuse, confusables, encoding, mixing
+from attestra.llm import abuse, confusables, encoding, matching, mixing
 from attestra.plans.registry import Registry
 from attestra.session import cut_lineage, table
 
@@ -58,3 +58,17 @@ def p9_scores(spark, folder):
 @LLM.add("p9_rates")
 def p9_rates(spark, folder):
     return abuse.rates(_scored(spark, folder))
+
+
+def _matches(spark, folder):
+    return matching.matches(table(spark, folder, "bib_records"), table(spark, folder, "papers"))
+
+
+@LLM.add("p1_found")
+def p1_found(spark, folder):
+    return _matches(spark, folder).select("paperid", "bib_id")
+
+
+@LLM.add("p1_matches")
+def p1_matches(spark, folder):
+    return _matches(spark, folder)
