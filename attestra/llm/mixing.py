@@ -15,19 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions.running import running_sum
+
 #: Rows that a range aims to hold.
 RANGE_ROWS = 50_000
 
 
-def _running(rows: DataFrame, keys: list[str], part: str, order: list[str], value: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` up to and with each row, within ``keys``, in order of ``part`` then ``order``."""
-    sums = rows.groupBy(*keys, part).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_inside", F.sum(value).over(inside)).join(offsets, [*keys, part]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_inside", "_before")
-
-
 def plan(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
     """One row per target source: share, tokens there are and may be used, and the total budget.
 
@@ -66,13 +59,13 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     copies = copies.select("*", drawn)
     ranges = F.ceil(F.col("documents") / range_rows)
     part = (F.col("copy") * ranges + F.floor(F.col("draw") * ranges / (1 << 40))).cast("bigint")
-    queued = _running(copies.withColumn("_part", part), ["source"], "_part", ["copy", "draw", "doc_id", "tokens"], "tokens", "_source_tokens")
+    queued = running_sum(copies.withColumn("_part", part), ["source"], "_part", ["copy", "draw", "doc_id", "tokens"], "tokens", "_source_tokens")
     finished = queued.withColumn("finish", F.col("_source_tokens") / F.col("share")).filter(F.col("finish") - F.col("tokens") / F.col("share") <= F.col("budget"))
     # Equal stretches of virtual time hold about equally many tokens.
     total = F.broadcast(plans.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("documents") * F.col("max_repeats")) / range_rows)).alias("_bins"), F.max("budget").alias("_budget")))
     binned = finished.crossJoin(total).withColumn("_bin", F.floor(F.col("finish") / (F.col("_budget") + 1) * F.col("_bins")).cast("bigint"))
     order = ["finish", "source", "copy", "draw", "doc_id"]
-    ordered = _running(binned.withColumn("_all", F.lit(0)), ["_all"], "_bin", order, "tokens", "mixed_tokens")
+    ordered = running_sum(binned.withColumn("_all", F.lit(0)), ["_all"], "_bin", order, "tokens", "mixed_tokens")
     return ordered.filter(F.col("mixed_tokens") <= F.col("budget")).select("doc_id", "source", "copy", "tokens", "finish", "mixed_tokens")
 
 
