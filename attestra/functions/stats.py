@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -57,22 +58,34 @@ def _over(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(v is None or v != v for v in row) else fn(*row) for row in zip(*columns)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _over(lambda x, n: 2 * t_upper(abs(x), n), t, df)
 
 
-@F.pandas_udf("double")
-def t_above(t: pd.Series, df: pd.Series) -> pd.Series:
+def _above(t: pd.Series, df: pd.Series) -> pd.Series:
     return _over(t_upper, t, df)
 
 
-@F.pandas_udf("double")
-def t_critical(share: pd.Series, df: pd.Series) -> pd.Series:
+def _critical(share: pd.Series, df: pd.Series) -> pd.Series:
     known: dict = {}
     return _over(lambda p, n: known.setdefault((p, n), t_quantile(p, n)) if (p, n) not in known else known[p, n], share, df)
 
 
+def t_two_sided(t: Column | str, df: Column | str) -> Column:
+    """Two-sided p of Student's t."""
+    return F.pandas_udf(_two_sided, "double")(t, df)
+
+
+def t_above(t: Column | str, df: Column | str) -> Column:
+    """P(T > t) of Student's t."""
+    return F.pandas_udf(_above, "double")(t, df)
+
+
+def t_critical(share: Column | str, df: Column | str) -> Column:
+    """The t below which the share lies."""
+    return F.pandas_udf(_critical, "double")(share, df)
+
+
 def signed_rank_exact(ranks: list[float], signs: list[int]) -> float:
     """Two-sided exact p of the signed-rank statistic over all signs of the given ranks, ties included.
 
@@ -90,17 +103,27 @@ def signed_rank_exact(ranks: list[float], signs: list[int]) -> float:
     return min(1.0, 2 * min(ways[: plus + 1].sum(), ways[plus:].sum()))
 
 
-@F.pandas_udf("double")
-def signed_rank_p(ranks: pd.Series, signs: pd.Series) -> pd.Series:
+def _signed_rank(ranks: pd.Series, signs: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else signed_rank_exact(list(r), list(s)) for r, s in zip(ranks, signs)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
+def signed_rank_p(ranks: Column | str, signs: Column | str) -> Column:
+    """Exact two-sided p of arrays of midranks and signs; null for null arrays."""
+    return F.pandas_udf(_signed_rank, "double")(ranks, signs)
+
+
+def _normal(z: pd.Series) -> pd.Series:
     return _over(lambda x: math.erfc(abs(x) / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
-def half_even(value: pd.Series, digits: pd.Series) -> pd.Series:
+def normal_two_sided(z: Column | str) -> Column:
+    return F.pandas_udf(_normal, "double")(z)
+
+
+def half_even(value: Column | str, digits: Column | str) -> Column:
     """Rounding of the exact binary value, half to even, as general-purpose languages round."""
+    return F.pandas_udf(_half_even, "double")(value, digits)
+
+
+def _half_even(value: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v else round(float(v), int(d)) for v, d in zip(value, digits)], dtype="float64")

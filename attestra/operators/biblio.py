@@ -15,9 +15,12 @@ ORDER = ("RETRACTED", "NOT-FOUND", "MISMATCH", "UNVERIFIABLE", "NON-PAPER-OK", "
 PAIRED, NO_ABSTRACT, NOT_IN_STORE, NO_ENTRY = "PAIRED", "NO-ABSTRACT", "NOT-IN-STORE", "NO-BIB-ENTRY"
 
 
-@F.pandas_udf("double")
-def title_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+def title_likeness(a: Column | str, b: Column | str) -> Column:
     """Ratio of matching blocks of two already normalised titles, in this order of arguments."""
+    return F.pandas_udf(_likeness, "double")(a, b)
+
+
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
@@ -46,29 +49,30 @@ def venue_is_publisher(venue: Column) -> Column:
     return F.lower(F.trim(venue)).isin("elsevier", "springer", "wiley", "ieee", "acm", "mdpi", "crc press", "sage", "taylor & francis", "springer nature")
 
 
-def candidates_by_length(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs of titles ``lt, rt`` whose lengths and shared words allow a likeness of ``least`` or more.
+def found_titles(left: DataFrame, right: DataFrame, words: int = 4, most: int = 5) -> DataFrame:
+    """``lt, rt``: for each left title the ``most`` right ones that a search by its rarest words finds.
 
-    The ratio is at most twice the shorter length over both, which bands of length decide without loss. Rows
-    meet by rare shared words: each left title looks up its rarest words, as many as may be wrong plus one.
+    This stands for the search that a remote index answers: a left title looks up its ``words`` rarest words
+    that any right title has, and hits are ranked by the summed rarity of the words they share, then by text.
+    The rarest words have short lists, so frequent ones are read only for titles that have no others.
     """
-    words = lambda d, c: d.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
-    lw, rw = words(left.select("lt").distinct(), "lt"), words(right.select("rt").distinct(), "rt")
+    parted = lambda d, c: d.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
+    lw, rw = parted(left.select("lt").distinct(), "lt"), parted(right.select("rt").distinct(), "rt")
     count = rw.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    place = Window.partitionBy("lt").orderBy("df", "w")
-    n = F.count(F.lit(1)).over(Window.partitionBy("lt"))
-    keyed = lw.join(count, "w").withColumn("_n", n).withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= F.ceil(F.col("_n") * 2 * (1 - least)) + 1)
-    short, long = F.least(F.length("lt"), F.length("rt")), F.greatest(F.length("lt"), F.length("rt"))
-    return keyed.join(rw, "w").filter(2 * short >= least * (short + long)).select("lt", "rt").distinct()
+    rare = Window.partitionBy("lt").orderBy("df", "w")
+    keyed = lw.join(count, "w").withColumn("_p", F.row_number().over(rare)).filter(F.col("_p") <= words)
+    hits = keyed.join(rw, "w").groupBy("lt", "rt").agg(F.sum(1 / F.log(1.0 + F.col("df") + 1)).alias("_s"))
+    place = Window.partitionBy("lt").orderBy(F.col("_s").desc(), "rt")
+    return hits.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= most).select("lt", "rt")
 
 
 def best_title(entries: DataFrame, records: DataFrame, least: float = 0.55) -> DataFrame:
-    """``entry, record, likeness``: the most alike record of each entry; the first record on ties.
+    """``entry, record, likeness``: the most alike found record of each entry; the first record on ties.
 
     ``entries`` has ``entry, lt`` and ``records`` has ``record, ord, rt``, titles normalised.
     """
     known = records.filter("rt <> ''")
-    pairs = candidates_by_length(entries, known, least).withColumn("likeness", title_likeness("lt", "rt")).filter(F.col("likeness") >= least)
+    pairs = found_titles(entries, known).withColumn("likeness", title_likeness("lt", "rt")).filter(F.col("likeness") >= least)
     firsts = known.groupBy("rt").agg(F.min_by("record", "ord").alias("record"), F.min("ord").alias("ord"))
     scored = entries.join(pairs, "lt").join(firsts, "rt")
     best = scored.groupBy("entry").agg(F.max_by(F.struct("record", "likeness"), F.struct("likeness", (-F.col("ord")).alias("o"))).alias("b"))
@@ -117,8 +121,8 @@ def cited_sentences(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """``<key>, pos, sentence, cited``: one row per sentence and cited key, commands shown as ``[CITE]``."""
     body = text.without_comments(text.body(F.col("text"), F.lit(False)))
     lines = documents.select(key, F.posexplode(text.sentences(body)).alias("pos", "raw")).filter(F.col("raw").rlike(CITE))
-    keys = F.explode(F.split(F.concat_ws(",", F.regexp_extract_all("raw", F.lit(CITE), F.lit(1))), ","))
-    out = lines.select(key, "pos", F.regexp_replace("raw", CITE, "[CITE]").alias("sentence"), F.trim(keys).alias("cited"))
+    keys = F.transform(F.split(F.concat_ws(",", F.regexp_extract_all("raw", F.lit(CITE), F.lit(1))), ","), lambda k: F.trim(k))
+    out = lines.select(key, "pos", F.regexp_replace("raw", CITE, "[CITE]").alias("sentence"), F.explode(keys).alias("cited"))
     return out.filter("cited <> ''")
 
 

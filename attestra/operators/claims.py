@@ -96,8 +96,7 @@ def _nearest_in_array(claims: DataFrame, pool: DataFrame, value: str) -> DataFra
     pairs = sorted((r.value, r.src, r.ord) for r in pool.collect())
     shared = claims.sparkSession.sparkContext.broadcast(tuple([p[i] for p in pairs] for i in range(3)))
 
-    @F.pandas_udf("best double, src string")
-    def find(values: pd.Series) -> pd.DataFrame:
+    def search(values: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         known, names, order = np.array(shared.value[0]), shared.value[1], np.array(shared.value[2])
@@ -110,6 +109,7 @@ def _nearest_in_array(claims: DataFrame, pool: DataFrame, value: str) -> DataFra
         pick = np.where((below < above) | (below == above) & (order[low] <= order[at]), low, at)
         return pd.DataFrame({"best": np.where(np.isnan(v), np.nan, known[pick]), "src": [None if x != x else names[i] for x, i in zip(v, pick)]})
 
+    find = F.pandas_udf(search, "best double, src string")
     return claims.withColumn("_n", find(F.col(value))).select(*claims.columns, "_n.best", "_n.src")
 
 

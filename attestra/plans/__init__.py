@@ -2,6 +2,8 @@
 
 
 def all_registries():
+    from attestra.plans.papers import PAPERS
     from attestra.plans.records import RECORDS
+    from attestra.plans.studies import STUDIES
 
-    return [RECORDS]
+    return [RECORDS, STUDIES, PAPERS]
