@@ -140,8 +140,8 @@ def pair_tests(paired: DataFrame, tost_margin: float | None = None, least: int =
     base = pair_effects(paired)
     ranks = signed_ranks(paired).select("study", "a", "b", "w_p")
     enough, df = F.col("n") >= least, (F.col("n") - 1).cast("double")
-    se = F.col("sd") / F.sqrt("n")
-    t = F.when(F.col("sd") > 0, F.col("mean_diff") / se)
+    se = F.when(F.col("sd") > 0, F.col("sd") / F.sqrt("n"))
+    t = F.col("mean_diff") / se
     staged = base.join(ranks, ["study", "a", "b"], "left").withColumns({"_df": F.when(enough, df), "_se": se, "_t": t})
     half = stats.t_critical(F.lit(0.975), F.col("_df")) * F.col("_se")
     out = staged.withColumn("_half", F.when(F.col("sd") == 0, F.lit(0.0)).otherwise(half)).withColumn("_tp", stats.t_two_sided("_t", "_df"))

@@ -13,8 +13,9 @@ LOG = "id bigint, ts string, session string, track string, type string, text str
 
 def result_files(spark: SparkSession, paths: str) -> DataFrame:
     """Result files with ``path`` and ``parse_error``; unreadable ones are rows too. Declared schema, one scan."""
-    raw = spark.read.schema(RUN).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
-    return raw.withColumn("path", F.input_file_name()).withColumn("parse_error", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    parsed = F.from_json("value", RUN, {"mode": "PERMISSIVE"})
+    raw = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), parsed.alias("r"))
+    return raw.select("path", "r.*").withColumn("parse_error", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
 def readable_runs(files: DataFrame) -> DataFrame:
