@@ -136,10 +136,17 @@ def canonical(text: str | None, context: str | None = None, symbols: bool = True
 
     ``context`` is more text of the same field, by which the script of single letters is judged;
     ``symbols`` says that a lone lower-case Greek letter is a symbol. Applying it twice changes
-    nothing more.
+    nothing more: letters that became Latin may decide others, so it goes on until nothing changes.
     """
-    if not text or all(quick_check(c) == YES for c in set(text)):
-        return text
+    while text and any(quick_check(c) != YES for c in set(text)):
+        once = _once(text, context, symbols)
+        if once == text:
+            break
+        text = once
+    return text
+
+
+def _once(text: str, context: str | None, symbols: bool) -> str:
     around = text if context is None else context
     east_asian = any(script(c) == "East Asian" and c not in "ﾞﾟ" for c in set(text))
     out, at, n = [], 0, len(text)
@@ -161,5 +168,5 @@ def canonical(text: str | None, context: str | None = None, symbols: bool = True
     if any(script(c) in ("Greek", "Cyrillic", "Armenian", "Cherokee") for c in set(spliced)):
         has_latin = any(script(c) == "Latin" for c in letters)
         foreign = frozenset(script(c) for c in letters if c not in LOOKALIKES and script(c) in ("Cyrillic", "Armenian", "Cherokee", "Greek") and not (script(c) == "Greek" and symbols))
-        spliced = _WORDS.sub(lambda m: _word(m.group(), foreign, has_latin, symbols), spliced)
+        spliced = ud.normalize("NFC", _WORDS.sub(lambda m: _word(m.group(), foreign, has_latin, symbols), spliced))
     return spliced
