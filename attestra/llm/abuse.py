@@ -32,6 +32,10 @@ SIZE = 1 << BITS
 WINDOW, STEP = 18, 9
 #: Weight of a character group beside a word or word pair, and of a passage rated harmless beside an unrated one.
 GROUP_WEIGHT, RATED_WEIGHT = 0.3, 5
+#: Score from which on a passage of a rated document counts as an example.
+SURE = -0.3
+#: Share of the rated documents that one passage may stand for as an example, two documents at least.
+COPY_SHARE = 0.02
 
 _INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _LOOKS = str.maketrans(LOOKALIKES | PLAIN)
@@ -150,11 +154,11 @@ def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return index, owner, _values(index, owner, len(rows))
 
 
-def train(positive: list[np.ndarray], p_weight: np.ndarray, unlabelled: list[np.ndarray], u_weight: np.ndarray, prior: float, steps: int = 200, rate: float = 0.1, decay: float = 1e-5) -> Model:
+def train(positive: list[np.ndarray], p_weight: np.ndarray, unlabelled: list[np.ndarray], u_weight: np.ndarray, prior: float, steps: int = 200, rate: float = 0.1, decay: float = 3e-5) -> Model:
     """Least non-negative positive-unlabelled risk with the logistic loss, by Adam over all rows.
 
-    risk = prior E_P[l(+)] + max(0, E_U[l(-)] - prior E_P[l(-)]). Where the second part turns negative
-    it is held at 0, so only the first part is followed. Same rows, same model.
+    risk = prior E_P[l(+)] + max(0, E_U[l(-)] - prior E_P[l(-)]). Where the second part, which estimates
+    the risk of harmless text, would turn negative, only the first part is followed. Same rows, same model.
     """
     rows = positive + unlabelled
     index, owner, value = _matrix(rows)
@@ -187,7 +191,7 @@ def _majority(labels: DataFrame) -> DataFrame:
     return votes.filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("rated"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, prior: float = 0.03, rounds: int = 3, max_rated: int = 8000, max_unlabelled: int = 12000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, prior: float = 0.04, rounds: int = 2, max_rated: int = 8000, max_unlabelled: int = 12000) -> Model:
     """A model from the rated documents and unlabelled text.
 
     ``max_rated`` and ``max_unlabelled`` bound the documents that training reads; beyond them those with
@@ -202,7 +206,7 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float = 0.03, rounds: in
     return fit_texts(list(zip(rated["text"], rated["rated"])), list(sample["text"]), prior, rounds)
 
 
-def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float = 0.03, rounds: int = 3) -> Model:
+def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float = 0.04, rounds: int = 2) -> Model:
     """The model of ``fit`` from texts in memory."""
     features, kept = Features(), {}
 
@@ -218,11 +222,13 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
             counts[key] = counts.get(key, 0) + 1
     harmless: dict[str, int] = {}
     cases: list[list[str]] = []
+    calm: list[list[str]] = []
     for text, verdict in rated:
         keys = list(dict.fromkeys(row(words)[0] for words in passages(text)))
         if verdict:
             cases.append(keys)
         else:
+            calm.append(keys)
             for key in keys:
                 harmless[key] = harmless.get(key, 0) + 1
     for key, n in harmless.items():
@@ -239,26 +245,48 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
     n_docs = max(1, len(unlabelled) + len(rated))
     # A passage counts as an example in so far as rated documents have it more often than others.
     lift = {k: (n / max(1, len(cases))) / ((counts.get(k, 0) + 1) / n_docs) / (1 + 4 * harmless.get(k, 0)) for k, n in inside.items()}
-    chosen = {k: min(1.0, 0.2 * lift[k]) * n for k, n in inside.items() if lift[k] > 1}
-    model = None
-    for _ in range(rounds):
+    picked = [{k: min(1.0, 0.2 * lift[k]) for k in keys if lift[k] > 1} for keys in cases]
+
+    def learn(docs: list[int]) -> Model:
         weights = {k: 1.0 for k in given}
-        for k, x in chosen.items():
-            weights[k] = weights.get(k, 0) + x
-        p_keys = list(weights)
-        model = train([kept[k] for k in p_keys], np.array([weights[k] for k in p_keys]), u_rows, u_weight, prior)
-        chosen = {}
-        for keys in cases:
-            if not keys:
-                continue
-            scores = model.scores([kept[k] for k in keys])
-            best = scores.max()
-            for k, x in zip(keys, scores):
-                if x >= best - 0.5 and x > -1.0 and lift[k] > 1:
-                    chosen[k] = chosen.get(k, 0) + 1
+        for i in docs:
+            for k, x in picked[i].items():
+                weights[k] = weights.get(k, 0) + x
+        keys = list(weights)
+        # Copies of one document must not outweigh all others.
+        most = max(2.0, COPY_SHARE * len(docs))
+        return train([kept[k] for k in keys], np.array([min(weights[k], most) for k in keys]), u_rows, u_weight, prior)
+
+    # What one half teaches decides on the other half, so that no passage speaks for itself.
+    halves = [[i for i in range(len(cases)) if i % 2 == h] for h in (0, 1)]
+    for _ in range(rounds):
+        teachers = [learn(halves[1]), learn(halves[0])] if cases else []
+        for h, teacher in enumerate(teachers):
+            for i in halves[h]:
+                scores = dict(zip(cases[i], teacher.scores([kept[k] for k in cases[i]])))
+                best = max(scores.values(), default=0.0)
+                picked[i] = {k: 1.0 for k, x in scores.items() if x > SURE and x >= best - 1.0 and lift[k] > 1}
+    model = learn(list(range(len(cases))))
+    if cases:
+        worst = lambda teacher, keys: max(teacher.scores([kept[k] for k in keys]), default=-9.0)
+        rated_scores = [(1, worst(teachers[h], cases[i])) for h in (0, 1) for i in halves[h]] + [(0, max(worst(t, keys) for t in teachers)) for keys in calm]
+        model.threshold = _threshold(rated_scores)
     return model
 
 
+def _threshold(rated: list[tuple[int, float]], least: int = 300) -> float:
+    """The cut near 0 with the fewest disagreements with the ratings; 0 where fewer than ``least`` are rated.
+
+    Cases are scored by the model of the other half. Each step away from 0 must pay for itself.
+    """
+    if len(rated) < least:
+        return 0.0
+    y, z = np.array([v for v, _ in rated]) == 1, np.array([x for _, x in rated])
+    cuts = np.linspace(-0.5, 0.9, 15)
+    wrong = [((z > c) != y).sum() + 2 * abs(c) for c in cuts]
+    return float(cuts[int(np.argmin(wrong))])
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, source, score, offensive`` of every row; the score of the worst passage.
 
