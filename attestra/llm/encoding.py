@@ -6,7 +6,8 @@ re-encoding until the result is exactly that of the whole text.
 
 Three exchanges: the distinct chunk texts, the join of occurrences to encoded chunks (whose skew
 from a chunk that many documents share AQE splits on the side of the occurrences), and the regrouping
-by document. A single document is the most that a task must hold at once.
+by document. Only the first carries texts; after it a chunk has its ids and the ends of its text that a
+join may need. A single document is the most that a task must hold at once.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ def _chunks(documents: DataFrame, with_text: bool) -> DataFrame:
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, doc, seq, key = [], [], [], []
-            for r, d, text in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            bodies = [t or "" for t in batch.column("text").to_pylist()]
+            for r, d, text, cuts in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), bodies, tokens.cut_many(bodies)):
                 start = 0
-                cuts = tokens.cut_points(text or "")
                 for k, end in enumerate(cuts or [0]):
                     row.append(r)
                     doc.append(d)
@@ -43,9 +44,10 @@ def _chunks(documents: DataFrame, with_text: bool) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, str] = {}
-            for text in batch.column("text").to_pylist():
+            bodies = [t or "" for t in batch.column("text").to_pylist()]
+            for text, cuts in zip(bodies, tokens.cut_many(bodies)):
                 start = 0
-                for end in tokens.cut_points(text or ""):
+                for end in cuts:
                     found.setdefault(tokens.chunk_key(text[start:end]), text[start:end])
                     start = end
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["key", "chunk"])
@@ -56,7 +58,7 @@ def _chunks(documents: DataFrame, with_text: bool) -> DataFrame:
     return numbered.mapInArrow(occurrences, "_row bigint, doc_id bigint, seq int, key binary")
 
 
-_ENCODED = "key binary, chunk string, ids array<int>, head array<int>, head_ids array<int>, safe int, safe_ids int"
+_ENCODED = "key binary, size int, start string, end string, ids array<int>, head array<int>, head_ids array<int>, safe int, safe_ids int"
 
 
 def _encoded(chunk_texts: DataFrame, name: str, folder: str) -> DataFrame:
@@ -66,10 +68,10 @@ def _encoded(chunk_texts: DataFrame, name: str, folder: str) -> DataFrame:
         for batch in batches:
             done = [tokens.encode_chunk(c, tok) for c in batch.column("chunk").to_pylist()]
             columns = [
-                batch.column("key"), batch.column("chunk"), pa.array([c.ids for c in done], ints), pa.array([list(c.head) for c in done], ints),
+                batch.column("key"), pa.array([c.size for c in done], pa.int32()), pa.array([c.start for c in done], pa.string()), pa.array([c.end for c in done], pa.string()), pa.array([c.ids for c in done], ints), pa.array([list(c.head) for c in done], ints),
                 pa.array([list(c.head.values()) for c in done], ints), pa.array([c.safe[0] for c in done], pa.int32()), pa.array([c.safe[1] for c in done], pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "chunk", "ids", "head", "head_ids", "safe", "safe_ids"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "start", "end", "ids", "head", "head_ids", "safe", "safe_ids"])
 
     return chunk_texts.mapInArrow(encode, _ENCODED)
 
@@ -98,8 +100,8 @@ def encode_documents(documents: DataFrame, name: str = "byte_bpe_50k", folder: s
                         docs.append(doc)
                         ids.append(tokens.join_chunks(held, tok))
                     row, doc, held = r, columns["doc_id"][k], []
-                if columns["chunk"][k] is not None:
-                    held.append(tokens.Chunk(columns["chunk"][k], columns["ids"][k], dict(zip(columns["head"][k], columns["head_ids"][k])), (columns["safe"][k], columns["safe_ids"][k])))
+                if columns["size"][k] is not None:
+                    held.append(tokens.Chunk(columns["size"][k], columns["start"][k], columns["end"][k], columns["ids"][k], dict(zip(columns["head"][k], columns["head_ids"][k])), (columns["safe"][k], columns["safe_ids"][k])))
             yield _result(docs, ids)
         if row is not None:
             yield _result([doc], [tokens.join_chunks(held, tok)])
