@@ -79,6 +79,37 @@ def best_title(entries: DataFrame, records: DataFrame, least: float = 0.55) -> D
     return best.select("entry", "b.record", "b.likeness")
 
 
+# Answers that say that a link is there, beside all of 200 to 399.
+ALIVE = (401, 403, 405, 406, 429)
+
+
+def url_alive(status: Column) -> Column:
+    """Does an HTTP status say that the page is there? Null status: no answer, not alive."""
+    return F.coalesce(status.between(200, 399) | status.isin(*ALIVE), F.lit(False))
+
+
+def record_from_primary(payloads: DataFrame) -> DataFrame:
+    """Records from answers of a paper index: ``paperId, title, year, venue, externalIds, publicationTypes``."""
+    ids = F.col("externalIds")
+    return payloads.select(
+        F.lit("primary").alias("src"), F.col("paperId").alias("record"), "title", "year", F.nullif("venue", F.lit("")).alias("venue"), text.norm_doi(F.try_element_at(ids, F.lit("DOI"))).alias("doi"),
+        F.try_element_at(ids, F.lit("ArXiv")).alias("arxiv"), F.coalesce("publicationTypes", F.array().cast("array<string>")).alias("types"),
+    )
+
+
+def record_from_registry(payloads: DataFrame) -> DataFrame:
+    """Records from answers of a DOI registry; the year is that of print, else online, issued, created.
+
+    ``payloads``: ``DOI, title array, container array, type`` and ``print, online, issued, created`` as arrays
+    of date parts.
+    """
+    first = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    return payloads.select(
+        F.lit("registry").alias("src"), F.col("DOI").alias("record"), first("title").alias("title"), F.coalesce(*[first(c) for c in ("print", "online", "issued", "created")]).alias("year"), first("container").alias("venue"),
+        text.norm_doi(F.col("DOI")).alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.array("type").alias("types"),
+    )
+
+
 def audit(entries: DataFrame, records: DataFrame) -> DataFrame:
     """Verdict of each entry against the records, with what differs.
 
@@ -86,15 +117,23 @@ def audit(entries: DataFrame, records: DataFrame) -> DataFrame:
     retracted`` (null: unknown). By DOI first, else by the most alike title. An entry is the same work by
     DOI, or with a likeness of 0.90 and years within 2. Titles below 0.90 differ, below 0.80 they conflict.
     Years 1 or 2 apart are a note, more differ, which conflicts by DOI alone. RETRACTED outranks all.
+
+    ``entries`` may also have ``type``, ``url``, ``url_status``, ``in_journal`` and ``unpublished``: without a DOI a
+    misc, online or electronic entry with a link and no journal is NON-PAPER-OK if the link is alive, else
+    UNVERIFIABLE, and an unpublished work that isn't found is UNVERIFIABLE. ``suggest`` has the DOI of the
+    same work where the entry lacks one.
     """
-    mine = entries.select("entry", "title", F.col("year").cast("string").alias("year"), text.norm_doi(F.col("doi")).alias("d"), text.spaced_title(F.col("title")).alias("lt"))
+    optional = {"type": "string", "url": "string", "url_status": "int", "in_journal": "boolean", "unpublished": "boolean"}
+    entries = entries.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in entries.columns})
+    page = F.col("type").isin("misc", "online", "electronic") & F.col("url").isNotNull() & ~F.coalesce("in_journal", F.lit(False))
+    mine = entries.select(F.coalesce(page, F.lit(False)).alias("_page"), url_alive(F.col("url_status")).alias("_alive"), F.coalesce("unpublished", F.lit(False)).alias("_unpublished"), "entry", "title", F.col("year").cast("string").alias("year"), text.norm_doi(F.col("doi")).alias("d"), text.spaced_title(F.col("title")).alias("lt"))
     theirs = records.select("record", "ord", text.norm_doi(F.col("doi")).alias("d"), text.spaced_title(F.col("title")).alias("rt"), F.col("year").cast("string").alias("r_year"), "retracted")
     by_doi = theirs.filter("d is not null").groupBy("d").agg(F.min_by("record", "ord").alias("doi_record"))
     first = mine.join(by_doi, "d", "left")
     rest = first.filter(F.col("d").isNull() & (F.coalesce("lt", F.lit("")) != ""))
     found = best_title(rest.select("entry", "lt"), theirs).withColumnRenamed("record", "title_record").drop("likeness")
     joined = first.join(found, "entry", "left").withColumn("record", F.coalesce("doi_record", "title_record"))
-    full = joined.join(theirs.select("record", "rt", "r_year", "retracted"), "record", "left").withColumn("likeness", title_likeness("lt", "rt"))
+    full = joined.join(theirs.select("record", "rt", "r_year", "retracted", F.col("d").alias("r_doi")), "record", "left").withColumn("likeness", title_likeness("lt", "rt"))
     gap, by_id = year_gap(F.col("year"), F.col("r_year")), F.col("doi_record").isNotNull()
     same = by_id | ((F.col("likeness") >= 0.90) & F.coalesce(gap <= 2, F.lit(True)))
     title_differs, conflict = F.col("likeness") < 0.90, (F.col("likeness") < 0.80) | (by_id & F.coalesce(gap > 2, F.lit(False)))
@@ -102,10 +141,12 @@ def audit(entries: DataFrame, records: DataFrame) -> DataFrame:
     notes = F.array_compact(F.array(F.when(gap.between(1, 2), F.lit("year off by 1-2")), F.when(F.col("record").isNotNull() & F.col("retracted").isNull(), F.lit("retraction unknown"))))
     staged = full.withColumns({"same_work": F.coalesce(same, F.lit(False)), "diffs": diffs, "notes": notes, "_conflict": F.coalesce(conflict, F.lit(False))})
     verdict = (
-        F.when(F.col("retracted"), "RETRACTED").when(F.col("record").isNull() & (F.coalesce("lt", F.lit("")) == "") & F.col("d").isNull(), "UNVERIFIABLE")
+        F.when(F.col("retracted"), "RETRACTED").when(F.col("d").isNull() & F.col("_page"), F.when(F.col("_alive"), "NON-PAPER-OK").otherwise("UNVERIFIABLE"))
+        .when(F.col("record").isNull() & F.col("d").isNull() & F.col("_unpublished"), "UNVERIFIABLE").when(F.col("record").isNull() & (F.coalesce("lt", F.lit("")) == "") & F.col("d").isNull(), "UNVERIFIABLE")
         .when(F.col("record").isNull(), "NOT-FOUND").when(F.col("_conflict") | (F.size("diffs") > 0), "MISMATCH").otherwise("VERIFIED")
     )
-    return staged.select("entry", "record", verdict.alias("verdict"), F.round("likeness", 6).alias("likeness"), "same_work", "diffs", "notes")
+    suggest = F.array_compact(F.array(F.when(F.col("same_work") & F.col("d").isNull(), F.concat(F.lit("doi = "), "r_doi"))))
+    return staged.select("entry", "record", verdict.alias("verdict"), F.round("likeness", 6).alias("likeness"), "same_work", "diffs", "notes", suggest.alias("suggest"))
 
 
 def verdict_counts(audited: DataFrame) -> DataFrame:

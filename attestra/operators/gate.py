@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +37,21 @@ def verify_freeze(frozen: DataFrame, current: DataFrame) -> DataFrame:
     now = current.select("key", F.col("sha256").alias("_now"), F.lit(True).alias("_there"))
     both = frozen.join(now, "key", "left")
     return both.select("key", F.when(F.col("_there").isNull(), "MISSING").when(F.col("sha256").eqNullSafe(F.col("_now")), "ok").otherwise("CHANGED").alias("state"))
+
+
+def run_steps(spark: SparkSession, checks: dict[str, tuple[Callable[[], DataFrame], bool]]) -> DataFrame:
+    """``name, required, ok, tail, secs`` of in-process checks, each a callable that gives its findings.
+
+    A check is ok if it has no finding; one that raises is not, and ``tail`` says why. The checks run one after
+    the other, as they are few.
+    """
+    rows = []
+    for name, (check, required) in checks.items():
+        began = time.monotonic()
+        try:
+            findings = check().limit(8).collect()
+            ok, tail = not findings, "\n".join(str(r) for r in findings)
+        except Exception as error:  # noqa: BLE001 - a failing check must not stop the gate
+            ok, tail = False, f"{type(error).__name__}: {error}"[:2000]
+        rows.append((name, required, ok, tail, time.monotonic() - began))
+    return spark.createDataFrame(rows, "name string, required boolean, ok boolean, tail string, secs double")

@@ -102,3 +102,20 @@ def array_profile(table: DataFrame, column: str) -> DataFrame:
     flat = table.select(F.size(c).alias("w"), (F.size(c) - F.size(good)).alias("bad"), F.array_min(good).alias("lo"), F.array_max(good).alias("hi"))
     agg = flat.agg(F.count(F.lit(1)).alias("rows"), F.max("w").alias("width"), F.sum("bad").alias("nans"), F.min("lo").cast("double").alias("min"), F.max("hi").cast("double").alias("max"))
     return agg.withColumn("constant", F.col("min") == F.col("max"))
+
+
+def verify(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``file, severity, why`` over profiles of many files, each with a column ``file`` beside those of ``profile`` and ``sha256``.
+
+    A file that is gone FAILs, a new one warns, hard drift FAILs, soft drift warns, and a degenerate column FAILs
+    even in a file with the same content. Files with equal ``sha256`` have no drift.
+    """
+    a, b = old.select("file", F.col("sha256").alias("_a")).distinct(), new.select("file", F.col("sha256").alias("_b")).distinct()
+    files = a.join(b, "file", "full_outer")
+    moved = files.filter("_a is null or _b is null").select("file", F.when(F.col("_b").isNull(), "FAIL").otherwise("warn").alias("severity"), F.when(F.col("_b").isNull(), "missing").otherwise("new file").alias("why"))
+    changed = files.filter("_a <> _b").select("file")
+    both = lambda d: d.join(changed, "file").withColumn("column", F.concat_ws("\u001f", "file", "column"))
+    drifted = drift(both(old), both(new)).select(F.split_part("column", F.lit("\u001f"), F.lit(1)).alias("file"), F.when(F.col("severity") == "hard", "FAIL").otherwise("warn").alias("severity"), F.concat_ws(": ", F.split_part("column", F.lit("\u001f"), F.lit(2)), "change").alias("why"))
+    apart = new.withColumns({"column": F.concat_ws("\u001f", "file", "column"), "col_hash": F.concat_ws("\u001f", "file", "col_hash")})
+    poor = degeneracies(apart).select(F.split_part("column", F.lit("\u001f"), F.lit(1)).alias("file"), F.lit("FAIL").alias("severity"), F.concat_ws(": ", F.split_part("column", F.lit("\u001f"), F.lit(2)), F.regexp_replace("problem", "[^ ]*\u001f", "")).alias("why"))
+    return moved.unionByName(drifted).unionByName(poor)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions import text
+from attestra.functions.running import running_sum
 
 #: Weight of a focus term by the field that has it.
 FIELD_WEIGHTS = {"title": 3, "tldr": 2, "abstract": 1}
@@ -129,6 +130,30 @@ def bibtex(papers: DataFrame) -> DataFrame:
     return papers.select("paperid", F.coalesce(F.col("citationstyles.bibtex"), made).alias("bibtex"))
 
 
+def filter_value(c: Column) -> Column:
+    """Text for a filter of an index: commas and bars as spaces, white space collapsed."""
+    return F.trim(F.regexp_replace(F.translate(c, ",|", "  "), r"\s+", " "))
+
+
+def ranked(papers: DataFrame, rated: DataFrame | None = None) -> DataFrame:
+    """``paperid, tier, rank``: report order by relevance and influence, or influence alone; ties by ``paperid``.
+
+    Ranks go on across tiers. The order is global: rows are range-partitioned by it, and ranks are the counts
+    of the ranges before plus places inside, so that no task holds all papers.
+    """
+    own = papers.select("paperid", influence().alias("_i"))
+    own = own.withColumn("_r", F.lit(0.0)) if rated is None else own.join(rated.select("paperid", F.col("relevance").alias("_r")), "paperid")
+    edges = F.broadcast(own.agg(F.percentile_approx(F.struct("_r", "_i")["_r"], F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("_e")))
+    placed = own.crossJoin(edges).withColumns({"_part": -F.size(F.filter("_e", lambda e: e < F.col("_r"))), "_one": F.lit(1), "_all": F.lit(0)}).drop("_e")
+    counted = running_sum(placed, ["_all"], "_part", [F.col("_r").desc(), F.col("_i").desc(), F.col("paperid")], "_one", "rank")
+    return counted.select("paperid", *([] if rated is None else [tier(F.col("_r")).alias("tier")]), "rank")
+
+
+def seed_paper(papers: DataFrame, wanted: str) -> DataFrame:
+    """The paper with this id or DOI, whatever its case."""
+    return papers.filter((F.col("paperid") == wanted) | (F.lower(F.try_element_at("externalids", F.lit("DOI"))) == wanted.lower()))
+
+
 def intents(contexts: DataFrame) -> DataFrame:
     """``intent, contexts``: how often each intent occurs, ``(untagged)`` for none; ``contexts`` has an array ``intents``."""
     flat = contexts.select(F.explode_outer("intents").alias("i"))

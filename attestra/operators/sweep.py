@@ -90,3 +90,13 @@ def inject(cells: Column, source: Column) -> Column:
     at = F.array_position(tagged, F.lit(True)).cast("int")
     new = F.struct(F.lit("code").alias("cell_type"), F.struct(F.array(F.lit("injected-parameters")).alias("tags")).alias("metadata"), source.alias("source")).cast(CELL)
     return F.when(at > 0, F.concat(F.slice(cells, F.lit(1), at), F.array(new), F.slice(cells, at + 1, F.greatest(F.size(cells) - at, F.lit(0)))))
+
+
+def run_status(polled: Column, dry: Column) -> Column:
+    """Journal status of a run: ``dry_run``, ``complete``, or ``FAILED (<polled status>)``."""
+    return F.when(F.coalesce(dry, F.lit(False)), "dry_run").when(polled == "complete", "complete").otherwise(F.concat(F.lit("FAILED ("), F.coalesce(polled, F.lit("unknown")), F.lit(")")))
+
+
+def append_journal(rows: DataFrame, folder: str) -> None:
+    """Appends rows as lines of a Markdown table, one file each time, so no lock is needed."""
+    journal_line(rows).write.mode("append").text(folder)

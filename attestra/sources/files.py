@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,28 @@ def diff_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, line`` of one diff file."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+
+
+def npy_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, shape, dtype, nans, min, max, constant`` of ``.npy`` files; unreadable ones have nulls."""
+    import io
+
+    import numpy as np
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    a = np.load(io.BytesIO(content), allow_pickle=False)
+                except ValueError:
+                    rows.append((path, None, None, None, None, None, None))
+                    continue
+                numeric = a.size and np.issubdtype(a.dtype, np.number) and not np.issubdtype(a.dtype, np.complexfloating)
+                good = a[~np.isnan(a)] if numeric and np.issubdtype(a.dtype, np.floating) else a
+                low, high = (float(good.min()), float(good.max())) if numeric and good.size else (None, None)
+                rows.append((path, list(a.shape), str(a.dtype), int(a.size - good.size) if numeric else 0, low, high, low is not None and low == high))
+            yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "nans", "min", "max", "constant"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "content").mapInPandas(read, "path string, shape array<bigint>, dtype string, nans bigint, min double, max double, constant boolean")

@@ -205,3 +205,60 @@ def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, []), (5, None)], "vec_id bigint, embedding array<double>")
     asked = rows.filter("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     assert [r.vec_id for r in store.nearest_vectors(rows, asked, 2, block_rows=2).orderBy("place").collect()] == [2, 3]
+
+
+def test_audit_of_pages_and_unpublished_works(spark):
+    entries = spark.createDataFrame(
+        [(1, "A page", None, "misc", "http://a", 200, False, False), (2, "A page", None, "online", "http://a", 404, False, False), (3, "Not out yet", None, "article", None, None, True, True), (4, "Deep nets of old", None, "article", None, None, True, False)],
+        "entry int, title string, doi string, type string, url string, url_status int, in_journal boolean, unpublished boolean",
+    ).withColumns({"year": F.lit(2000), "venue": F.lit("v")})
+    records = spark.createDataFrame([("p", 1, "Deep nets of old", 2000, None, "10.1/a", None)], "record string, ord int, title string, year int, venue string, doi string, retracted boolean")
+    got = {r.entry: r for r in biblio.audit(entries, records).collect()}
+    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["NON-PAPER-OK", "UNVERIFIABLE", "UNVERIFIABLE", "VERIFIED"] and got[4].suggest == ["doi = 10.1/a"] and got[4].notes == ["retraction unknown"]
+    assert [r[0] for r in spark.createDataFrame([(200,), (302,), (403,), (404,), (None,)], "s int").select(biblio.url_alive(F.col("s"))).collect()] == [True, True, True, False, False]
+
+
+def test_records_from_answers(spark):
+    primary = spark.sql("select 'p' paperId, 'T' title, 2001 year, '' venue, map('DOI', '10.1/A') externalIds, cast(null as array<string>) publicationTypes")
+    assert tuple(biblio.record_from_primary(primary).first()) == ("primary", "p", "T", 2001, None, "10.1/a", None, [])
+    registry = spark.sql("select '10.1/B' DOI, array('T') title, array('J') container, 'journal-article' type, cast(null as array<int>) print, array(2003, 1) online, array(2002) issued, array(2001) created")
+    assert biblio.record_from_registry(registry).first().year == 2003
+
+
+def test_verify_many_files(spark):
+    def profiled(name, sha, rows):
+        return profile.profile(rows).withColumns({"file": F.lit(name), "sha256": F.lit(sha)})
+
+    good, poor = spark.createDataFrame([("1", "a"), ("2", "b")], "x string, y string"), spark.createDataFrame([("1", "a"), ("1", "b")], "x string, y string")
+    old = profiled("a", "s1", good).union(profiled("b", "s2", good)).union(profiled("gone", "s", good))
+    new = profiled("a", "s1", good).union(profiled("b", "s3", poor)).union(profiled("new", "s", good))
+    got = {(r.file, r.severity, r.why) for r in profile.verify(old, new).collect()}
+    assert got == {("gone", "FAIL", "missing"), ("new", "warn", "new file"), ("b", "FAIL", "x: collapsed to a constant"), ("b", "warn", "x: content changed"), ("b", "FAIL", "x: CONSTANT")}
+
+
+def test_npy_steps_ranks_reports(spark, tmp_path):
+    import numpy as np
+
+    from attestra import reports
+
+    np.save(tmp_path / "a.npy", np.array([[1.0, np.nan], [2.0, 3.0]]))
+    np.save(tmp_path / "b.npy", np.zeros(3, dtype=int))
+    (tmp_path / "c.npy").write_bytes(b"no array")
+    got = {r.path[-5:]: r for r in files.npy_profile(spark, str(tmp_path)).collect()}
+    assert (got["a.npy"].shape, got["a.npy"].nans, got["a.npy"].max) == ([2, 2], 1, 3.0) and got["b.npy"].constant and got["c.npy"].dtype is None
+    steps = gate.run_steps(spark, {"fine": (lambda: spark.range(0), True), "found": (lambda: spark.range(2), False), "broken": (lambda: spark.sql("select nothing"), True)})
+    assert {(r.name, r.ok) for r in steps.collect()} == {("fine", True), ("found", False), ("broken", False)} and gate.verdict(steps).first().failed == 1
+    papers = spark.createDataFrame([(f"p{i}", i % 7, i % 3) for i in range(200)], "paperid string, citationcount bigint, influentialcitationcount bigint")
+    rated = papers.select("paperid", (F.col("citationcount") / 6).alias("relevance"))
+    ranks = {r.paperid: r.rank for r in store.ranked(papers, rated).collect()}
+    want = sorted(papers.collect(), key=lambda r: (-(r.citationcount / 6), -(3 * r.influentialcitationcount + r.citationcount), r.paperid))
+    assert [ranks[r.paperid] for r in want] == list(range(1, 201)) and store.ranked(papers).count() == 200
+    text_ = reports.table(spark.createDataFrame([("a|b", 1.23456, None, [1, 2])], "x string, y double, z string, w array<int>"))
+    assert "a\\|b" in text_ and "1.235" in text_ and "1, 2" in text_
+    comments = spark.createDataFrame([("r.1", "r", 1, "c", None), ("r.2", "r", 2, "d", "answer")], "id string, reviewer string, ord int, text string, response string")
+    assert "*pending*" in reports.response_letter(comments)
+    status = spark.createDataFrame([("complete", False), ("timeout", False), (None, True)], "s string, d boolean").select(sweep.run_status(F.col("s"), F.col("d")))
+    assert [r[0] for r in status.collect()] == ["complete", "FAILED (timeout)", "dry_run"]
+    row = spark.createDataFrame([("s-run001", "me", "lr=1", "complete", "A", 1.5, "now")], "run_id string, account string, params string, status string, summary string, runtime_s double, timestamp string")
+    sweep.append_journal(row, str(tmp_path / "journal"))
+    assert sweep.parse_journal(spark.read.text(str(tmp_path / "journal"))).first().runtime_s == 1.5
