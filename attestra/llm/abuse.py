@@ -201,8 +201,11 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float = 0.04, rounds: in
     """
     draw = F.xxhash64("doc_id")
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rated = texts.join(_majority(labels), "doc_id").orderBy(draw).limit(max_rated).toPandas()
-    sample = texts.orderBy(draw).limit(max_unlabelled).toPandas()
+    # Numbers alone are ranked; what is sent to the scans of texts has at most as many rows as the bounds say.
+    marked = F.broadcast(_majority(labels).orderBy(draw).limit(max_rated))
+    drawn = F.broadcast(texts.select("doc_id").distinct().orderBy(draw, "doc_id").limit(max_unlabelled))
+    rated = texts.join(marked, "doc_id").toPandas().sort_values(["doc_id", "text"])
+    sample = texts.join(drawn, "doc_id").toPandas().sort_values(["doc_id", "text"])
     return fit_texts(list(zip(rated["text"], rated["rated"])), list(sample["text"]), prior, rounds)
 
 
