@@ -32,6 +32,8 @@ SIZE = 1 << BITS
 WINDOW, STEP = 18, 9
 #: Weight of a character group beside a word or word pair, and of a passage rated harmless beside an unrated one.
 GROUP_WEIGHT, RATED_WEIGHT = 0.3, 5
+#: Least length of a passage's values, so that single words don't weigh as much as sentences.
+FLOOR = 4.0
 #: Score from which on a passage of a rated document counts as an example.
 SURE = -0.3
 #: Share of the rated documents that one passage may stand for as an example, two documents at least.
@@ -41,22 +43,29 @@ _INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _LOOKS = str.maketrans(LOOKALIKES | PLAIN)
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _ENDS = re.compile(r"\n+|(?<=[.!?…;])\s+|(?<=[。！？；])|(?<=[a-z0-9)])\s+(?=\d+\. )")
-_TOKEN = re.compile("[぀-ヿ一-鿿]|[^\\W\\d_぀-ヿ一-鿿]+\\d*[^\\W_぀-ヿ一-鿿]*(?:['’*@$!.\\-][^\\W_]+)*|\\d+(?:[.,]\\d+)*[^\\W_]*")
+_TOKEN = re.compile("[぀-ヿ一-鿿]|[^\\W\\d_぀-ヿ一-鿿]+\\d*[^\\W_぀-ヿ一-鿿]*(?:['’*@$!.\\-]+[^\\W_]+)*|\\d+(?:[.,]\\d+)*[^\\W_]*")
 _MARKUP = re.compile(r"\\(?:cite\w*|ref|label|section|subsection|input|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|https?://\S+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
+_SIGNS, _DRAWN = re.compile(r"[*@$!.\d\-]"), re.compile(r"(.)\1{2,}")
 _HIDDEN = set(HIDDEN_WORDS)
 _BY_LENGTH = {n: [w for w in HIDDEN_WORDS if len(w) == n] for n in range(3, 14)}
 
 
 def _revealed(word: str) -> str:
-    """A word written with stars, signs or digits for letters, if it hides one of the known words."""
-    if word in _HIDDEN or not re.search(r"[*@$!.\d\-]", word):
+    """A word written with stars, signs, digits or drawn-out letters, if it hides one of the known words."""
+    if word in _HIDDEN:
+        return word
+    if _DRAWN.search(word):
+        for kept in (r"\1", r"\1\1"):
+            if (guess := _DRAWN.sub(kept, word)) in _HIDDEN:
+                return guess
+    if not _SIGNS.search(word):
         return word
     for guess in (re.sub(r"[.\-*]", "", word), word.translate(_LEET), re.sub(r"[.\-]", "", word).translate(_LEET)):
         if guess in _HIDDEN:
             return guess
-    if "*" in word or "." in word:
-        shape = re.compile("".join("." if c in "*." else re.escape(c) for c in word.translate(_LEET)) + r"\Z")
+    if any(c in word for c in "*.-"):
+        shape = re.compile("".join("." if c in "*.-" else re.escape(c) for c in word.translate(_LEET)) + r"\Z")
         for hidden in _BY_LENGTH.get(len(word), []):
             if shape.match(hidden):
                 return hidden
@@ -64,7 +73,7 @@ def _revealed(word: str) -> str:
 
 
 def _word(w: str) -> str:
-    if w.isalpha():
+    if w.isalpha() and not _DRAWN.search(w):
         return w
     w = _revealed(w)
     return "0" if any(c.isdigit() for c in w) else w
@@ -129,9 +138,9 @@ class Features:
 
 
 def _values(flat: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """Value of each feature of each row; a row's values have length one, over at least eight words' worth."""
+    """Value of each feature of each row; a row's values have length one, over at least four words' worth."""
     value = np.where(flat < SIZE, 1.0, GROUP_WEIGHT)
-    norm = np.sqrt(np.maximum(np.bincount(owner, weights=value * value, minlength=rows), 8.0))
+    norm = np.sqrt(np.maximum(np.bincount(owner, weights=value * value, minlength=rows), FLOOR))
     return value / norm[owner]
 
 

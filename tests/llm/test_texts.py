@@ -146,7 +146,7 @@ def test_mix_awkward(spark):
 
 def test_hidden_spellings():
     words = lambda t: [w for p in abuse.passages(t) for w in p]
-    assert words("you m*ron") == ["you", "moron"] and words("i d i o t") == ["idiot"] and words("nu​de b@stard") == ["nude", "bastard"] and words("іdiоt") == ["idiot"]
+    assert words("you m*ron") == ["you", "moron"] and words("i d i o t") == ["idiot"] and words("nu​de b@stard b@$tard") == ["nude", "bastard", "bastard"] and words("idiooooot le-ch as$hole") == ["idiot", "leech", "asshole"] and words("іdiоt") == ["idiot"]
     assert abuse.passages(None) == [] and abuse.passages("  \n ") == [] and words("at 12,345.6 pts") == ["at", "0", "pts"]
     assert all(len(p) <= abuse.WINDOW for p in abuse.passages("word " * 5000)) and len(abuse.passages("word " * 5000)) > 400
 
