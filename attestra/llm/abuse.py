@@ -39,11 +39,11 @@ SURE = -0.3
 #: Share of the rated documents that one passage may stand for as an example, two documents at least.
 COPY_SHARE = 0.02
 
-_INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿︀-️]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe00-\ufe0f]")
 _LOOKS = str.maketrans(LOOKALIKES | PLAIN)
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _ENDS = re.compile(r"\n+|(?<=[.!?…;])\s+|(?<=[。！？；])|(?<=[a-z0-9)])\s+(?=\d+\. )")
-_TOKEN = re.compile("[぀-ヿ一-鿿]|[^\\W\\d_぀-ヿ一-鿿]+\\d*[^\\W_぀-ヿ一-鿿]*(?:['’*@$!.\\-]+[^\\W_]+)*|\\d+(?:[.,]\\d+)*[^\\W_]*")
+_TOKEN = re.compile("[\u3040-ヿ一-鿿]|[^\\W\\d_\u3040-ヿ一-鿿]+\\d*[^\\W_\u3040-ヿ一-鿿]*(?:['’*@$!.\\-]+[^\\W_]+)*|\\d+(?:[.,]\\d+)*[^\\W_]*")
 _MARKUP = re.compile(r"\\(?:cite\w*|ref|label|section|subsection|input|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|https?://\S+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _SIGNS, _DRAWN = re.compile(r"[*@$!.\d\-]"), re.compile(r"(.)\1{2,}")

@@ -51,7 +51,7 @@ def quick_check(ch: str) -> str:
     if ch < "\x7f":
         return YES if ch >= " " or ch in "\t\n\r" else NO
     kind = ud.category(ch)
-    if kind in ("Cf", "Cc") or ch == "͏" or 0xFE00 <= ord(ch) <= 0xFE0F or 0x115F <= ord(ch) <= 0x1160 or ch == "ㅤ":
+    if kind in ("Cf", "Cc") or ch == "\u034f" or 0xFE00 <= ord(ch) <= 0xFE0F or 0x115F <= ord(ch) <= 0x1160 or ch == "\u3164":
         return NO
     if ud.combining(ch) or kind in ("Mn", "Mc") or 0x1100 <= ord(ch) <= 0x11FF:
         return MAYBE
@@ -74,10 +74,10 @@ def fold(ch: str) -> str:
 
 def _joins(ch: str, before: str, after: str) -> bool:
     """Does the language of the text ask for this invisible character here?"""
-    if ch in "‌‍":
+    if ch in "\u200c\u200d":
         arabic = script(before) == "Arabic" and (script(after) == "Arabic" or not after)
         indic = before != "" and 0x0900 <= ord(before) <= 0x0DFF
-        emoji = ch == "‍" and before != "" and after != "" and ud.category(before) in ("So", "Sk", "Mn") and ud.category(after) == "So"
+        emoji = ch == "\u200d" and before != "" and after != "" and ud.category(before) in ("So", "Sk", "Mn") and ud.category(after) == "So"
         return arabic or indic or emoji
     if 0xFE00 <= ord(ch) <= 0xFE0F:
         return before != "" and (ud.category(before) == "So" or script(before) == "East Asian")
@@ -87,7 +87,7 @@ def _joins(ch: str, before: str, after: str) -> bool:
 def _space(ch: str, before: str, after: str) -> str:
     if ch in "\xa0 " and (after != "" and after in ":;!?»%" and before.isalnum() or before == "«"):
         return ch
-    if ch == "　" and script(before) == "East Asian" and script(after) == "East Asian":
+    if ch == "\u3000" and script(before) == "East Asian" and script(after) == "East Asian":
         return ch
     return " "
 
@@ -98,7 +98,7 @@ def _segment(segment: str, before: str, after: str, east_asian: bool) -> str:
     for i, ch in enumerate(segment):
         left, right = segment[i - 1] if i else before, segment[i + 1] if i + 1 < len(segment) else after
         kind = ud.category(ch)
-        if kind in ("Cf", "Cc") or ch in "͏ᅟᅠㅤ" or 0xFE00 <= ord(ch) <= 0xFE0F:
+        if kind in ("Cf", "Cc") or ch in "\u034f\u115f\u1160\u3164" or 0xFE00 <= ord(ch) <= 0xFE0F:
             out.append(ch if _joins(ch, left, right) else "")
         elif kind == "Zs":
             out.append(_space(ch, left, right) if ch != " " else ch)
