@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 NO_VALUE = ("none", "null", "nan", "nat", "na", "n/a", "nil", "-", "--", "unset", "unknown", "undefined")
 
 #: Outer white space, with no-break spaces, zero-width space and byte order mark.
-BLANKS = " \t\r\n\x0b\x0c   ﻿​"
+BLANKS = " \t\r\n\x0b\x0c\u00a0\u2007\u202f\ufeff\u200b"
 
 _MONTH = r"(?:(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))[a-z]*\.?)"
 

@@ -24,7 +24,7 @@ def parsed(body: str | None) -> dict | None:
     if body is None:
         return None
     try:
-        value = json.loads(body.lstrip("﻿"), strict=False)
+        value = json.loads(body.lstrip("\ufeff"), strict=False)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
