@@ -287,16 +287,16 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
 
 
 def _threshold(rated: list[tuple[int, float]], least: int = 300) -> float:
-    """The cut near 0 with the fewest disagreements with the ratings; 0 where fewer than ``least`` are rated.
+    """The middle of the cuts near 0 with the fewest disagreements with the ratings, or one more.
 
-    Cases are scored by the model of the other half. Each step away from 0 must pay for itself.
+    0 where fewer than ``least`` are rated. Cases are scored by the model of the other half.
     """
     if len(rated) < least:
         return 0.0
     y, z = np.array([v for v, _ in rated]) == 1, np.array([x for _, x in rated])
-    cuts = np.linspace(-0.5, 0.9, 15)
-    wrong = [((z > c) != y).sum() + 2 * abs(c) for c in cuts]
-    return float(cuts[int(np.argmin(wrong))])
+    cuts = np.linspace(-0.5, 0.9, 57)
+    wrong = np.array([((z > c) != y).sum() for c in cuts])
+    return float(np.median(cuts[wrong <= wrong.min() + 1]))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
