@@ -313,7 +313,16 @@ def log_warnings(spark, folder):
     return log.warnings(_entries(spark, folder))
 
 
-@PAPERS.add("log_digest")
+@PAPERS.add(
+    "log_digest",
+    _LOG
+    + """, tr AS (SELECT DISTINCT track, ['active', 'blocked', 'open', 'done', 'dropped'][(length(track) % 5) + 1] AS status FROM entries),
+la AS (SELECT track, max(id) AS last_id FROM entries GROUP BY 1), nx AS (SELECT track, max(id) AS next_id, arg_max(text, id) AS next_text FROM entries WHERE type = 'next' GROUP BY 1),
+bl AS (SELECT track, arg_max(text, id) AS block_text FROM entries WHERE type = 'blocker' GROUP BY 1)
+SELECT tr.track, status, list_position(['active', 'blocked', 'open', 'done', 'dropped'], status)::INT AS place, CASE WHEN status = 'blocked' THEN block_text END AS blocker,
+  CASE WHEN status NOT IN ('done', 'dropped') THEN next_text END AS next_step, coalesce(status NOT IN ('done', 'dropped') AND last_id > next_id, false) AS stale
+FROM tr JOIN la USING (track) LEFT JOIN nx USING (track) LEFT JOIN bl USING (track)""",
+)
 def log_digest(spark, folder):
     entries = _entries(spark, folder)
     states = F.element_at(F.array(*[F.lit(s) for s in log.STATUS]), (F.pmod(F.length("track"), F.lit(5)) + 1).cast("int"))
@@ -343,6 +352,19 @@ def comment_split(spark, folder):
     return review.split_comments(table(spark, folder, "documents").filter("source = 'review'"))
 
 
+@PAPERS.add(
+    "comment_items",
+    r"""WITH r AS (SELECT doc_id, regexp_replace(text, '(?m)^(\s*(?:\d{1,3}[.)]|[A-Z]\d{1,2}[.:])\s)', chr(1) || '\1', 'g') AS t FROM documents WHERE source = 'review' AND text IS NOT NULL),
+p AS (SELECT doc_id, list_filter(str_split(t, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS ps FROM r)
+SELECT doc_id, count(*) AS items FROM (SELECT doc_id, unnest(ps) AS x FROM p WHERE len(ps) >= 2) WHERE length(trim(x, ' ' || chr(9) || chr(10) || chr(13))) >= 15 GROUP BY 1""",
+)
+def comment_items(spark, folder):
+    """Kept items of each review that has two items or more."""
+    own = table(spark, folder, "documents").filter("source = 'review'")
+    itemised = own.filter(F.size(F.filter(F.split("text", review.ITEM), lambda p: F.trim(p) != "")) >= 2)
+    return review.split_comments(itemised).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
+
+
 def _comments(spark, folder):
     """Reviews as comments, rebuttals of the same notebook as responses."""
     own = table(spark, folder, "documents")

@@ -30,12 +30,15 @@ def build_session(app: str = "attestra", cores: int | str = "*", **conf: str) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder of the cluster and return it without lineage.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in
-    tests, a temporary folder is set. Checkpoint files survive the loss of executors.
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and Spark runs in
+    one process, as in tests, a temporary folder is set; a cluster without the setting is an error.
+    Checkpoint files survive the loss of executors.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="attestra-checkpoint-"))
     return df.checkpoint(eager=True)
 
