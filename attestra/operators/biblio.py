@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text
+from attestra.functions.alike import most_alike
 
 #: Verdicts, worst first.
 ORDER = ("RETRACTED", "NOT-FOUND", "MISMATCH", "UNVERIFIABLE", "NON-PAPER-OK", "VERIFIED")
@@ -66,13 +67,54 @@ def found_titles(left: DataFrame, right: DataFrame, words: int = 4, most: int =
     return hits.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= most).select("lt", "rt")
 
 
-def best_title(entries: DataFrame, records: DataFrame, least: float = 0.55) -> DataFrame:
-    """``entry, record, likeness``: the most alike found record of each entry; the first record on ties.
+#: Lengths of titles that share a block, and titles of a block about; a block is compared in one task.
+LENGTHS, BLOCK = 6, 8000
+# Fixed value: from this length on SequenceMatcher leaves out frequent characters, and equal titles may be unlike.
+LONG = 200
 
-    ``entries`` has ``entry, lt`` and ``records`` has ``record, ord, rt``, titles normalised.
+
+def alike_titles(left: DataFrame, right: DataFrame, least: float, lengths: int = LENGTHS, block: int = BLOCK) -> DataFrame:
+    """``lt, rt, likeness``: the most alike right titles of each left one among all of them, from ``least`` on.
+
+    Equal titles are joined. The others meet in blocks of like length, for a likeness of ``least`` needs lengths
+    within a factor of ``(2 - least) / least``: nothing that reaches it is left out. Both sides are cut into
+    blocks of bounded size. A block gives its best, so the best of all is among the rows, along with lesser ones.
+    """
+    own, other = left.select("lt").filter("lt <> ''").distinct(), right.select("rt").filter("rt <> ''").distinct()
+    short = own.filter(F.length("lt") < LONG)
+    equal = short.join(other, F.col("lt") == F.col("rt"), "left_semi").select("lt", F.col("lt").alias("rt"), F.lit(1.0).alias("likeness"))
+    rest = own.join(equal.select("lt"), "lt", "left_anti")
+    size, span = F.length("lt"), (2 - least) / least
+    # a whole number more on both sides than the bounds, against rounding
+    reach = F.sequence(F.floor((F.floor(size / span) - 1) / lengths), F.floor((F.ceil(size * span) + 1) / lengths))
+    lefts = rest.withColumn("_band", F.explode(reach))
+    rights = other.withColumn("_band", F.floor(F.length("rt") / lengths))
+    parts = lambda d, n: d.groupBy("_band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    cut = F.broadcast(parts(lefts, "_nl").join(parts(rights, "_nr"), "_band"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    piece = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    keys = ["_band", "_i", "_j"]
+    lefts = lefts.join(cut, "_band").select("lt", "_band", piece("lt", "_nl").alias("_i"), each("_nr").alias("_j"))
+    rights = rights.join(cut, "_band").select("rt", "_band", each("_nl").alias("_i"), piece("rt", "_nr").alias("_j"))
+    # so many tasks that AQE doesn't join small partitions: their work is the product of both sides
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    blocks = lefts.repartition(tasks, *keys).groupBy(*keys).cogroup(rights.repartition(tasks, *keys).groupBy(*keys))
+    pairs = blocks.applyInPandas(lambda a, b: most_alike(list(a["lt"]), list(b["rt"]), least), "lt string, rt string, likeness double")
+    return equal.unionByName(pairs)
+
+
+def best_title(entries: DataFrame, records: DataFrame, least: float = 0.55, search: bool = True) -> DataFrame:
+    """``entry, record, likeness``: the most alike record of each entry; the first record on ties.
+
+    ``entries`` has ``entry, lt`` and ``records`` has ``record, ord, rt``, titles normalised. With ``search`` only
+    what ``found_titles`` finds is compared, else all records; then titles must be bare.
     """
     known = records.filter("rt <> ''")
-    pairs = found_titles(entries, known).withColumn("likeness", title_likeness("lt", "rt")).filter(F.col("likeness") >= least)
+    if search:
+        pairs = found_titles(entries, known).withColumn("likeness", title_likeness("lt", "rt")).filter(F.col("likeness") >= least)
+    else:
+        pairs = alike_titles(entries, known, least)
     firsts = known.groupBy("rt").agg(F.min_by("record", "ord").alias("record"), F.min("ord").alias("ord"))
     scored = entries.join(pairs, "lt").join(firsts, "rt")
     best = scored.groupBy("entry").agg(F.max_by(F.struct("record", "likeness"), F.struct("likeness", (-F.col("ord")).alias("o"))).alias("b"))
@@ -179,14 +221,15 @@ def pair_citations(cited: DataFrame, bib: DataFrame, papers: DataFrame, least: f
     """``cited`` with ``status``, ``matched_by``, ``paperid`` and the abstract of the paper.
 
     ``bib``: ``citekey, title, doi`` (the last of a key counts by ``ord``); ``papers``: ``paperid, title, doi,
-    ord, abstract_text, abstract_src`` (the last of a DOI counts, the first of equally alike titles).
+    ord, abstract_text, abstract_src`` (the last of a DOI counts, the first of equally alike titles). Without a DOI
+    that is known, an entry is compared with all papers.
     """
-    entries = bib.groupBy("citekey").agg(F.max_by(F.struct("title", "doi"), "ord").alias("e")).select("citekey", text.bare_title(F.col("e.title")).alias("lt"), text.norm_doi(F.col("e.doi")).alias("d"))
+    entries = bib.groupBy("citekey").agg(F.max_by(F.struct("title", "doi"), "ord").alias("e")).select("citekey", F.trim(text.bare_title(F.col("e.title"))).alias("lt"), text.norm_doi(F.col("e.doi")).alias("d"))
     keyed = papers.withColumn("d", text.norm_doi(F.col("doi")))
     by_doi = keyed.filter("d is not null").groupBy("d").agg(F.max_by("paperid", "ord").alias("doi_paper"))
     first = entries.join(by_doi, "d", "left")
     rest = first.filter("doi_paper is null and coalesce(lt, '') <> ''").select(F.col("citekey").alias("entry"), "lt")
-    alike = best_title(rest, papers.select(F.col("paperid").alias("record"), "ord", text.bare_title(F.col("title")).alias("rt")), least)
+    alike = best_title(rest, papers.select(F.col("paperid").alias("record"), "ord", F.trim(text.bare_title(F.col("title"))).alias("rt")), least, search=False)
     matched = first.join(alike.select(F.col("entry").alias("citekey"), F.col("record").alias("title_paper")), "citekey", "left")
     paper = F.coalesce("doi_paper", "title_paper")
     matched = matched.select("citekey", paper.alias("paperid"), F.when(F.col("doi_paper").isNotNull(), "doi").when(F.col("title_paper").isNotNull(), "title").alias("matched_by"), F.lit(True).alias("_entry"))

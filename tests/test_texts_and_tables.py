@@ -1,6 +1,8 @@
 """Claims, integrity, profiles, bibliography, store, log, reviews, gate, sweeps, sources, streams."""
 
+import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,33 @@ def test_citations(spark):
     assert {(r.cited, r.status, r.matched_by) for r in biblio.pair_citations(cited, bib, papers).collect()} == {("a", "PAIRED", "doi"), ("b", "NO-ABSTRACT", "title"), ("c", "NO-BIB-ENTRY", None)}
 
 
+def test_titles_are_compared_with_all_papers(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeinorst", k=rng.randint(3, 9))) for _ in range(30)]
+    titles = list(dict.fromkeys(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(300))) + ["ab", "x" * 230]
+    bent = lambda t: "".join(rng.choice("aeiou ") if rng.random() < 0.09 else c for c in t).strip() or "a"
+    asked = list(dict.fromkeys([bent(t) for t in titles[:150]] + titles[150:200] + ["ab", "x" * 230, "x" * 229 + "y"]))
+    papers = spark.createDataFrame([(f"p{i}", i, t) for i, t in enumerate(titles + titles[:20])], "record string, ord int, rt string")
+    entries = spark.createDataFrame(list(enumerate(asked)), "entry int, lt string")
+    want = {}
+    for i, lt in enumerate(asked):
+        ratios = [difflib.SequenceMatcher(None, lt, rt).ratio() for rt in titles]
+        if max(ratios) >= 0.85:
+            want[i] = (f"p{ratios.index(max(ratios))}", max(ratios))
+    assert len(want) > 100 and {r.entry: (r.record, r.likeness) for r in biblio.best_title(entries, papers, 0.85, search=False).collect()} == want
+    pieces = biblio.alike_titles(entries, papers, 0.85, lengths=3, block=7).groupBy("lt").agg(F.max("likeness").alias("m"))
+    assert {r.lt: r.m for r in pieces.collect()} == {asked[i]: r for i, (_, r) in want.items()}
+
+
+def test_citation_without_a_shared_word(spark):
+    cited = spark.createDataFrame([("a",)], "cited string")
+    bib = spark.createDataFrame([("a", " Timeseries forcasting baselnes", None, 1)], "citekey string, title string, doi string, ord int")
+    near = [(f"n{i}", f"Timeseries {w}", None, i, "text", "abstract") for i, w in enumerate(("a", "b", "c", "d", "e", "f"))]
+    papers = spark.createDataFrame([*near, ("q", "Time series forecasting baselines", None, 9, "text", "abstract")], "paperid string, title string, doi string, ord int, abstract_text string, abstract_src string")
+    row = biblio.pair_citations(cited, bib, papers).first()
+    assert (row.paperid, row.status, row.matched_by) == ("q", "PAIRED", "title")
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("a", 1, "", None, "search:x"), ("a", 2, "T", 3, "bulk:y"), ("a", 3, "U", 4, "search:x"), (None, 4, "V", 5, "z")], "paperid string, row_id int, title string, year int, source string")
     got = store.merge(rows).collect()
