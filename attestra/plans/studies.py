@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import claims, integrity, profile, study
 from attestra.plans.registry import Registry
-from attestra.session import table
+from attestra.session import cut_lineage, table
 
 STUDIES = Registry()
 
@@ -143,6 +143,7 @@ h AS (SELECT *, min(CASE WHEN round(t_p, 6) <= holm_threshold THEN 1 ELSE 0 END)
 
 
 def _holm(spark, folder):
+    """Holm over the paired t p, which SQL can state; the reference's rule, over the signed ranks, is in ``_corrected``."""
     tested = study.pair_tests(study.pairs_of(_cube(spark, folder))).withColumn("w_p", F.round("t_p", 6))
     return study.holm(tested)
 
@@ -157,6 +158,21 @@ def verdicts(spark, folder):
     return study.verdicts(_holm(spark, folder)).filter("w_p is not null").select("study", "a", "b", "winner", "verdict")
 
 
+def _corrected(spark, folder):
+    pairs = cut_lineage(study.pairs_of(_cube(spark, folder)))  # effects, ranks and their ties all read the pairs
+    return study.holm(study.pair_tests(pairs, tost_margin=0.5))
+
+
+@STUDIES.add("holm_wilcoxon")
+def holm_wilcoxon(spark, folder):
+    return _corrected(spark, folder).filter("w_p is not null").select("study", "a", "b", "w_p", "holm_threshold", "holm_reject")
+
+
+@STUDIES.add("verdicts_wilcoxon")
+def verdicts_wilcoxon(spark, folder):
+    return study.verdicts(_corrected(spark, folder)).select("study", "a", "b", "n", "winner", "w_p", "t_p", "tost_p", "verdict", "note")
+
+
 @STUDIES.add(
     "default_battery",
     _RUNS

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import stats
 from attestra.operators import study
+from attestra.plans.studies import STUDIES
 
 RUNS = "path string, notebook string, span_start string, seed bigint, smoke_test boolean, timestamp_utc string, results map<string,struct<rmse:double,mae:double,mape:double,params:bigint,futility_stop:string>>"
 
@@ -98,6 +99,48 @@ def test_holm(spark):
     assert got["a", "b"] == (pytest.approx(0.05 / 3), True) and got["a", "c"] == (pytest.approx(0.025), False) and got["b", "c"] == (pytest.approx(0.05), False) and got["c", "d"] == (None, None)
 
 
+def test_holm_and_verdicts_judge_the_signed_ranks(spark, tmp_path):
+    rng = random.Random(3)
+    offset = {"A": 0.0, "B": 0.4, "C": 0.05, "D": 3.0}
+    values = {("m", s): {k: 5 + o + rng.gauss(0, 0.1) for k, o in offset.items()} for s in range(8)}
+    values |= {("n", s): {"A": 3 + rng.gauss(0, 0.01), "B": 9 + rng.gauss(0, 0.01)} for s in range(5)}
+    values |= {("o", s): {"A": 3.0 + s, "B": 9.0} for s in range(2)} | {("p", s): {"A": 5 + rng.gauss(0, 3), "B": 5 + rng.gauss(0, 3)} for s in range(6)}
+    spark.createDataFrame([result(s, v, notebook=n, path=f"{n}/{s}") for (n, s), v in values.items()], RUNS).write.parquet(str(tmp_path / "results.parquet"))
+    spark.createDataFrame([(n, None, n) for n in "mnop"], "notebook string, span string, study string").write.parquet(str(tmp_path / "studies.parquet"))
+
+    def signed(d):
+        order = sorted(abs(x) for x in d)
+        ranks = [order.index(abs(x)) + 1 for x in d]
+        plus = sum(r for r, x in zip(ranks, d) if x > 0)
+        sums = [sum(r for r, keep in zip(ranks, p) if keep) for p in itertools.product([0, 1], repeat=len(d))]
+        return min(1.0, 2 * min(sum(x <= plus for x in sums), sum(x >= plus for x in sums)) / len(sums))
+
+    def tost(d):
+        mean = sum(d) / len(d)
+        se = math.sqrt(sum((x - mean) ** 2 for x in d) / (len(d) - 1) / len(d))
+        return max(stats.t_upper((mean + 0.5) / se, len(d) - 1), stats.t_upper((0.5 - mean) / se, len(d) - 1))
+
+    want, thresholds = {}, {}
+    for n in "mnop":
+        rows = [v for (name, _), v in values.items() if name == n]
+        diffs = {(a, b): [v[a] - v[b] for v in rows] for a, b in itertools.combinations(sorted(rows[0]), 2)}
+        p = {k: signed(d) for k, d in diffs.items() if len(d) >= 3}
+        rejecting = True
+        for rank, k in enumerate(sorted(p, key=lambda k: (p[k], k))):
+            thresholds[n, *k] = 0.05 / (len(p) - rank)
+            rejecting = rejecting and p[k] <= thresholds[n, *k]
+            want[n, *k] = "significant" if rejecting else "equivalent" if tost(diffs[k]) <= 0.05 else "inconclusive"
+        want |= {(n, *k): "too few seeds" for k in diffs if k not in p}
+    assert set(want.values()) == {"significant", "equivalent", "inconclusive", "too few seeds"}
+    got = STUDIES.queries["verdicts_wilcoxon"](spark, str(tmp_path)).collect()
+    assert {(r.study, r.a, r.b): r.verdict for r in got} == want
+    row = next(r for r in got if r.study == "n")
+    assert row.w_p == pytest.approx(0.0625) and row.t_p < 1e-6 and row.verdict == "inconclusive"  # the paired t alone would decide
+    held = STUDIES.queries["holm_wilcoxon"](spark, str(tmp_path)).collect()
+    assert {(r.study, r.a, r.b): r.holm_threshold for r in held} == pytest.approx(thresholds)
+    assert {(r.study, r.a, r.b) for r in held if r.holm_reject} == {k for k, v in want.items() if v == "significant"}
+
+
 def test_battery_and_listing(spark):
     rows = [result(s, {"base": 9.0, "A": 1.0, "B": 2.0}) for s in range(3)]
     own = cube(spark, rows)
