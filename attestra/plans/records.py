@@ -139,6 +139,12 @@ def p3_golden(spark, folder):
     return golden.select("file", "span_day", "seed", "smoke_test", "smoke_test_from", "timestamp_utc", "timestamp_utc_from", "results_from")
 
 
+@RECORDS.add("p3_records")
+def p3_records(spark, folder):
+    """The surviving record of each run with all of its fields, which ``p3_golden`` has only in part."""
+    return survivorship.golden_runs(table(spark, folder, "results"))
+
+
 _OBSERVED = r"""
 WITH t AS (SELECT paperid, row_id, citationcount, trim(_fetched) AS f FROM papers WHERE paperid IS NOT NULL AND citationcount >= 0),
 d AS (SELECT paperid, row_id, citationcount, CASE

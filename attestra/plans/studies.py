@@ -209,6 +209,11 @@ def claims_contexts(spark, folder):
     return claims.contexts(claims.scrub(table(spark, folder, "documents"))).select("doc_id", "pos", "tok")
 
 
+@STUDIES.add("claims_in_context")
+def claims_in_context(spark, folder):
+    return claims.contexts(claims.scrub(table(spark, folder, "documents")))
+
+
 @STUDIES.add("truth_pool")
 def truth_pool(spark, folder):
     return claims.pool_from_results(_cube(spark, folder))

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from attestra.functions import schema_trees as trees
 from attestra.functions.forms import instant, notebook_file, written_day
 from attestra.operators import drift, history, nested, survivorship
+from attestra.plans.records import RECORDS
 
 RECORD = "struct<rmse:double,mae:double,mape:double,params:bigint,futility_stop:string,folds:array<struct<fold:int,mape:double,stops:array<struct<epoch:int,reason:string>>>>>"
 RESULTS = f"run_id bigint, path string, notebook string, seed bigint, smoke_test boolean, span_start string, timestamp_utc string, results map<string,{RECORD}>"
@@ -131,6 +133,24 @@ def test_survivors(spark):
     assert golden["b", "2018-01-01"].results_from == 20 and golden["b", "2018-02-01"].results_from == 22
 
 
+def test_whole_records_survive(spark, small):
+    keyed = survivorship.run_keys(spark.read.parquet(f"{small}/results.parquet"))
+    groups = {}
+    for r in keyed.withColumn("us", instant(F.col("timestamp_utc"))).dropna(subset=["file", "span_day", "seed"]).collect():
+        groups.setdefault((r.file, r.span_day, r.seed), []).append(r)
+    said = lambda t: t is not None and t.strip().lower() not in ("", "none", "null", "nan", "n/a")
+    number = lambda r: any(v is not None and v.mape is not None and not math.isnan(v.mape) for v in (r.results or {}).values())
+    usable = {"path": lambda r: said(r.path), "smoke_test": lambda r: r.smoke_test is not None, "span_start": lambda r: said(r.span_start), "timestamp_utc": lambda r: r.us is not None, "results": number}
+    full = {False: 2, None: 1, True: 0}
+    got = {(r.file, r.span_day, r.seed): r for r in RECORDS.queries["p3_records"](spark, small).collect()}
+    assert set(got) == set(groups) and any(len(rows) > 1 for rows in groups.values())
+    for key, rows in groups.items():
+        for name, ok in usable.items():
+            best = max(rows, key=lambda r: (ok(r), number(r), full[r.smoke_test], r.us is not None, r.us or 0, -r.run_id))
+            want = (best[name], best.run_id) if ok(best) else (None, None)
+            assert repr((got[key][name], got[key][f"{name}_from"])) == repr(want)
+
+
 FILES = "file_id bigint, path string, notebook string, written_at timestamp, landed_at timestamp, body string"
 
 

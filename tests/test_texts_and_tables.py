@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import stats, text
 from attestra.operators import biblio, claims, gate, integrity, log, profile, review, store, sweep
+from attestra.plans.studies import STUDIES
 from attestra.sources import bibtex, files
 from attestra.streaming import landing
 
@@ -105,6 +106,19 @@ def test_citations(spark):
     assert {(r.cited, r.status, r.matched_by) for r in biblio.pair_citations(cited, bib, papers).collect()} == {("a", "PAIRED", "doi"), ("b", "NO-ABSTRACT", "title"), ("c", "NO-BIB-ENTRY", None)}
 
 
+def test_claims_are_shown_in_context(spark, small):
+    docs = {r.doc_id: r.clean for r in claims.scrub(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "clean").collect()}
+    rows = STUDIES.queries["claims_in_context"](spark, small).collect()
+    assert len(rows) == STUDIES.queries["claims_extract"](spark, small).count() > 0
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
+        body = docs[r.doc_id]
+        start = body.index(r.tok, at.get(r.doc_id, 0))
+        while " ".join(body[max(0, start - 55) : start + len(r.tok) + 55].split()) != r.ctx:
+            start = body.index(r.tok, start + 1)
+        at[r.doc_id] = start + len(r.tok)
+
+
 def test_titles_are_compared_with_all_papers(spark):
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdeinorst", k=rng.randint(3, 9))) for _ in range(30)]
