@@ -12,7 +12,7 @@ from attestra.llm.unicode_forms import canonical
 
 #: Characters that are stable whatever stands beside them, as a class for Java's expressions:
 #: ASCII, composed Latin letters, common typographic marks, Arabic, kana, Han and Hangul syllables.
-STABLE = r"\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u01c3\u01f4-\u021f\u0226-\u024f\u1ea0-\u1ef9\u2013-\u201d\u2026\u060c\u061b\u061f\u0620-\u063f\u0641-\u064a\u0660-\u0669\u066e-\u06d3\u06f0-\u06fc\u3001-\u301f\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff\uac00-\ud7a3"
+STABLE = r"\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u0131\u0134-\u01c3\u01f4-\u021f\u0226-\u024f\u1ea0-\u1ef9\u2013-\u201d\u2026\u060c\u061b\u061f\u0620-\u063f\u0641-\u064a\u0660-\u0669\u066e\u066f\u0671-\u06d3\u06f0-\u06fc\u3001-\u301f\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff\uac00-\ud7a3"
 
 
 def unstable(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -37,6 +38,14 @@ def test_forms_are_stable(text):
     assert all(quick_check(c) != "yes" for c in text) or len(once) <= 3 * len(text)
 
 
+def test_prefilter_keeps_only_stable_characters(spark):
+    stable = re.compile(f"[{confusables.STABLE}]")
+    assert [hex(i) for i in range(0x10000) if stable.match(chr(i)) and quick_check(chr(i)) != "yes"] == []
+    rows = spark.createDataFrame([("B\u0133drage",), ("\u0132ssel",), ("Bijdrage",)], "t string").withColumn("u", confusables.unstable(F.col("t")))
+    assert [r.u for r in rows.collect()] == [True, True, False]
+    assert canonical("B\u0133drage") == "Bijdrage"
+
+
 PAPERS = "row_id bigint, title string, authors array<struct<name:string>>"
 
 
