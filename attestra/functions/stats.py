@@ -127,3 +127,12 @@ def half_even(value: Column | str, digits: Column | str) -> Column:
 
 def _half_even(value: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v else round(float(v), int(d)) for v, d in zip(value, digits)], dtype="float64")
+
+
+def format_numbers(form: Column | str, value: Column | str) -> Column:
+    """Numbers as texts by forms such as ``.4f``, half to even on the exact binary value; null for null and NaN."""
+    return F.pandas_udf(_formatted, "string")(form, value)
+
+
+def _formatted(form: pd.Series, value: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or v != v else format(float(v), f) for f, v in zip(form, value)], dtype=object)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import stats, text
@@ -29,34 +29,62 @@ def extract(documents: DataFrame, key: str = "doc_id", column: str = "clean") ->
 
 def contexts(documents: DataFrame, key: str = "doc_id", key_type: str = "bigint", column: str = "clean", reach: int = 55) -> DataFrame:
     """``<key>, pos, tok, ctx``: claims with the text around them, white space collapsed."""
-    pattern = regex.compile(text.NUMBER.removeprefix("(?U)"))
+    pattern = regex.compile(text.NUMBER)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, body in zip(batch[key], batch[column]):
                 for i, m in enumerate(pattern.finditer(body or "")):
-                    rows.append((k, i, m.group(), " ".join(body[max(0, m.start() - reach) : m.end() + reach].split())))
+                    rows.append((k, i, m.group(1), " ".join(body[max(0, m.start() - reach) : m.end() + reach].split())))
             yield pd.DataFrame(rows, columns=[key, "pos", "tok", "ctx"])
 
     return documents.select(key, column).mapInPandas(cut, f"{key} {key_type}, pos int, tok string, ctx string")
 
 
-def pool_from_results(cubed: DataFrame) -> DataFrame:
-    """``value, src``: rounded means and deviations of every study, configuration and metric, and parameter counts.
+def pool_from_tables(tables: DataFrame, path: str = "path") -> DataFrame:
+    """``value, src, ord``: every number of table fragments (``path``, ``text``), named after their file.
 
-    Rounding is that of the exact binary value, half to even. Deviations need two values or more.
+    ``ord`` follows the paths and the places inside; ``{,}`` counts as a comma. Null texts have no number.
     """
-    long = cubed.unpivot(["study", "config", "seed"], ["rmse", "mae", "mape"], "metric", "x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    grouped = long.groupBy("study", "config", "metric").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"))
-    label = lambda what: F.concat_ws(" ", "study", "config", "metric", F.lit(what))
-    entries = grouped.select(F.explode(F.array(
-        F.struct(stats.half_even("mean", F.lit(2)).alias("value"), label("mean").alias("src")),
-        F.struct(stats.half_even("mean", F.lit(1)).alias("value"), label("mean").alias("src")),
-        F.struct(stats.half_even(F.when(F.col("n") > 1, F.col("sd")), F.lit(2)).alias("value"), label("sd").alias("src")),
-    )).alias("e")).select("e.*")
-    params = cubed.filter("params is not null").groupBy("study", "config").agg(F.min_by("params", "seed").cast("double").alias("value"))
-    return entries.filter("value is not null").unionByName(params.select("value", F.concat_ws(" ", "study", "config", F.lit("params")).alias("src")))
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    found = tables.select(F.col(path).alias("_path"), name.alias("src"), F.posexplode(text.numbers(F.replace(text.unix_lines(F.col("text")), F.lit("{,}"), F.lit(",")))).alias("_at", "_tok"))
+    return found.select(text.as_number(F.col("_tok")).alias("value"), "src", F.struct(F.lit(0).alias("origin"), F.col("_path").alias("path"), F.col("_at").alias("place"), F.lit(0).alias("at")).alias("ord"))
+
+
+def result_measures(runs: DataFrame) -> DataFrame:
+    """``src, metric, mean, sd, n, first, met`` of every study, configuration and metric of superseded runs."""
+    flat = runs.select("study", "seed", F.coalesce("first_path", F.lit("")).alias("_path"), F.posexplode("results").alias("_place", "config", "_v"))
+    measured = F.array(*[F.struct(F.lit(i).alias("_at"), F.lit(m).alias("metric"), F.col(f"_v.{m}").cast("double").alias("x")) for i, m in enumerate(("mape", "rmse", "mae", "params"))])
+    long = flat.select("study", "seed", "_path", "_place", "config", F.inline(measured)).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    met = F.struct(F.col("_path").alias("path"), (F.col("_place") * 4 + F.col("_at")).alias("place"), "seed")
+    grouped = long.groupBy("study", "config", "metric").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"), F.min_by("x", met).alias("first"), F.min(met).alias("met"))
+    return grouped.select(F.concat_ws(":", "study", "config", "metric").alias("src"), "metric", "mean", "sd", "n", "first", "met")
+
+
+def pool_from_results(runs: DataFrame) -> DataFrame:
+    """``value, src, ord``: rounded means and deviations of every study, configuration and metric, and the first parameter count.
+
+    ``runs`` are superseded runs: ``study, seed, first_path, results`` (``study.supersede(..., seen="first_path")``). A
+    metric counts wherever it is a number, also where another one of the configuration is not. Rounding is that of
+    the exact binary value, half to even. Deviations need two values or more. ``src`` is
+    ``study:configuration:metric``; first is by ``first_path``, then the place of the configuration.
+    """
+    entry = lambda at, value: F.struct(F.lit(at).alias("_at"), value.alias("value"))
+    rounded = F.array(
+        entry(0, stats.half_even("mean", F.lit(2))), entry(1, stats.half_even("mean", F.lit(1))), entry(2, stats.half_even(F.when(F.col("n") > 1, F.col("sd")), F.lit(2))),
+        entry(3, F.when(F.col("metric") == "params", F.col("first"))),
+    )
+    rows = result_measures(runs).select("src", "met", F.inline(rounded)).filter("value is not null")
+    return rows.select("value", "src", F.struct(F.lit(1).alias("origin"), F.col("met.path").alias("path"), F.col("met.place").alias("place"), F.col("_at").alias("at")).alias("ord"))
+
+
+def union_pools(*pools: DataFrame) -> DataFrame:
+    """One pool of several ``value, src, ord`` ones; tables come before results."""
+    whole, *more = pools
+    for pool in more:
+        whole = whole.unionByName(pool)
+    return whole
 
 
 def ordered_pool(pool: DataFrame) -> DataFrame:
@@ -65,16 +93,15 @@ def ordered_pool(pool: DataFrame) -> DataFrame:
     First is by ``ord`` where the pool has it, else by the name of the source.
     """
     known = pool.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    if "ord" not in pool.columns:
-        return known.groupBy("value").agg(F.min("src").alias("src")).withColumn("ord", F.lit(0).cast("bigint"))
-    return known.groupBy("value").agg(F.min_by("src", "ord").alias("src"), F.min("ord").cast("bigint").alias("ord"))
+    order = F.col("ord") if "ord" in pool.columns else F.col("src")
+    return known.groupBy("value").agg(F.min_by("src", F.struct(order, "src")).alias("src"), F.min(order).alias("ord"))
 
 
 def bucket(claim: Column, truth: Column) -> Column:
     """MATCHED, NEAR-MISS or ORPHAN of a claim and its nearest truth; ORPHAN without one."""
     gap = F.abs(claim - truth)
     share = gap / F.greatest(claim, F.lit(1.0))
-    small = F.when(gap <= 0.005 + 1e-12, "MATCHED").when(gap <= 0.10 + 1e-12, "NEAR-MISS")
+    small = F.when(gap <= 0.005, "MATCHED").when(gap <= 0.10, "NEAR-MISS")
     large = F.when((gap < 0.5) | (share < 0.003), "MATCHED").when(share < 0.05, "NEAR-MISS")
     return F.coalesce(F.when(claim < 100, small).otherwise(large), F.lit("ORPHAN"))
 
@@ -82,19 +109,22 @@ def bucket(claim: Column, truth: Column) -> Column:
 def nearest(claims: DataFrame, pool: DataFrame, value: str = "val") -> DataFrame:
     """``claims`` with ``best`` and ``src`` of the nearest pool value; on ties the first entry, then the lower value.
 
+    A claim that is null or NaN, and every claim where the pool is empty, has null in both.
     A pool of up to ``BROADCAST_POOL`` values is a sorted array in every task, searched by halving.
     A larger one is merged with the claims in order of value: ranges of values are sorted on their own
     and the neighbours before and after each range come from the ends of the other ranges.
     """
     own = ordered_pool(pool)
-    if own.limit(BROADCAST_POOL + 1).count() <= BROADCAST_POOL:
-        return _nearest_in_array(claims, own, value)
+    few = own.limit(BROADCAST_POOL + 1).collect()
+    if len(few) <= BROADCAST_POOL:
+        return _nearest_in_array(claims, few, value)
     return _nearest_by_ranges(claims, own, value)
 
 
-def _nearest_in_array(claims: DataFrame, pool: DataFrame, value: str) -> DataFrame:
-    pairs = sorted((r.value, r.src, r.ord) for r in pool.collect())
-    shared = claims.sparkSession.sparkContext.broadcast(tuple([p[i] for p in pairs] for i in range(3)))
+def _nearest_in_array(claims: DataFrame, pool: list[Row], value: str) -> DataFrame:
+    place = {r.value: i for i, r in enumerate(sorted(pool, key=lambda r: (r.ord, r.src)))}
+    by_value = sorted(pool, key=lambda r: r.value)
+    shared = claims.sparkSession.sparkContext.broadcast(([r.value for r in by_value], [r.src for r in by_value], [place[r.value] for r in by_value]))
 
     def search(values: pd.Series) -> pd.DataFrame:
         import numpy as np
@@ -107,17 +137,27 @@ def _nearest_in_array(claims: DataFrame, pool: DataFrame, value: str) -> DataFra
         low = np.maximum(at - 1, 0)
         below, above = np.abs(v - known[low]), np.abs(v - known[at])
         pick = np.where((below < above) | (below == above) & (order[low] <= order[at]), low, at)
-        return pd.DataFrame({"best": np.where(np.isnan(v), np.nan, known[pick]), "src": [None if x != x else names[i] for x, i in zip(v, pick)]})
+        return pd.DataFrame({"best": pd.Series([None if x != x else known[i] for x, i in zip(v, pick)], dtype=object), "src": [None if x != x else names[i] for x, i in zip(v, pick)]})
 
     find = F.pandas_udf(search, "best double, src string")
     return claims.withColumn("_n", find(F.col(value))).select(*claims.columns, "_n.best", "_n.src")
 
 
-def _nearest_by_ranges(claims: DataFrame, pool: DataFrame, value: str, ranges: int = 256) -> DataFrame:
-    edges = pool.agg(F.percentile_approx("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("_edges"))
-    mine = [c for c in claims.columns if c != value]
-    both = claims.select(F.col(value).alias("_v"), F.struct(*claims.columns).alias("_row"), F.lit(None).cast("struct<v:double,s:string,o:bigint>").alias("_t"))
-    both = both.unionByName(pool.select(F.col("value").alias("_v"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.struct(F.col("value").alias("v"), F.col("src").alias("s"), F.col("ord").alias("o")).alias("_t")))
+#: Values that a range aims to hold, and bounds of the number of ranges.
+RANGE_VALUES, RANGES = 50_000, (16, 4096)
+
+
+def _nearest_by_ranges(claims: DataFrame, pool: DataFrame, value: str) -> DataFrame:
+    """Distinct claimed values are merged with the pool; the claims get their neighbour by a join on the value.
+
+    So a value that many claims have is one row of its range, and the skew of the join is left to AQE.
+    """
+    asked = claims.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).distinct()
+    entry = F.struct(F.col("value").cast("double").alias("v"), F.col("src").alias("s"), F.col("ord").alias("o"))
+    known = pool.select(F.col("value").cast("double").alias("_v"), entry.alias("_t"))
+    both = asked.withColumn("_t", F.lit(None).cast(known.schema["_t"].dataType)).unionByName(known)
+    ranges = min(max(-(-both.count() // RANGE_VALUES), RANGES[0]), RANGES[1])
+    edges = both.agg(F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges + 1000)).alias("_edges"))
     placed = both.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
     ends = placed.filter("_t is not null").groupBy("_part").agg(F.min_by("_t", "_v").alias("_first"), F.max_by("_t", "_v").alias("_last"))
     over = Window.partitionBy(F.lit(0)).orderBy("_part")  # one row for each range
@@ -126,12 +166,13 @@ def _nearest_by_ranges(claims: DataFrame, pool: DataFrame, value: str, ranges: i
     ))
     inside = Window.partitionBy("_part").orderBy("_v", F.col("_t").isNull())
     low = F.last("_t", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("_t", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    seen = placed.withColumns({"_low": low, "_high": high}).filter("_row is not null").join(outer, "_part", "left")
+    high = F.first("_t", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_v", F.col("_t").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
+    seen = placed.withColumns({"_low": low, "_high": high}).filter("_t is null").join(outer, "_part", "left")
     below, above = F.coalesce("_low", "_below"), F.coalesce("_high", "_above")
     down, up = F.abs(F.col("_v") - below["v"]), F.abs(F.col("_v") - above["v"])
     near = F.when(above.isNull() | (down < up) | ((down == up) & (below["o"] <= above["o"])), below).otherwise(above)
-    return seen.withColumn("_n", F.coalesce(near, above)).select(*[F.col(f"_row.{c}").alias(c) for c in claims.columns if c in mine or c == value], F.col("_n.v").alias("best"), F.col("_n.s").alias("src"))
+    found = seen.select("_v", F.coalesce(near, above).alias("_n"))
+    return claims.join(found, claims[value].cast("double") == found["_v"], "left").select(*claims.columns, F.col("_n.v").alias("best"), F.col("_n.s").alias("src"))
 
 
 def classify(claims: DataFrame, pool: DataFrame) -> DataFrame:
@@ -148,7 +189,7 @@ def figure_staleness(figures: DataFrame, files: DataFrame, newest: Column) -> Da
 
     ``files`` has ``path`` and ``modified`` of every figure file.
     """
-    base = F.regexp_replace("figure", r"\.[A-Za-z]{2,4}$", "")
+    base = F.regexp_replace("figure", r"(?i)\.(?:pdf|png)$", "")
     pdf = files.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("_pdf"), "modified").filter(F.col("path").endswith(".pdf"))
     tex = files.filter(F.col("path").endswith(".tex")).select(F.regexp_replace("path", r"\.[^.]*$", "").alias("_tex")).distinct()
     seen = figures.select("figure", base.alias("_base")).join(tex, F.col("_base") == F.col("_tex"), "left").join(pdf, F.col("_base") == F.col("_pdf"), "left")

@@ -35,22 +35,23 @@ def with_study(runs: DataFrame, studies: DataFrame | None = None) -> DataFrame:
     return runs.withColumn("_span", F.coalesce("span_start", F.lit(""))).join(named, ["notebook", "_span"]).drop("_span")
 
 
-def supersede(runs: DataFrame, keys: tuple[str, ...] = ("study", "seed"), time: str = "timestamp_utc", first: str = "path") -> DataFrame:
+def _last_first(text: Column) -> Column:
+    """A text that sorts the other way round than ``text``, so that the first of several can be a greatest value."""
+    return F.concat(F.translate(F.hex(F.encode(text, "utf-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+def supersede(runs: DataFrame, keys: tuple[str, ...] = ("study", "seed"), time: str = "timestamp_utc", first: str = "path", seen: str | None = None) -> DataFrame:
     """The newest run of each key: greatest ``time`` as text (null first), on ties the first ``first``.
 
-    Smoke tests are left out before. The newest run replaces the older as a whole. ``max_by`` combines
-    before the shuffle, so many reruns of one key meet as one row per partition.
+    Smoke tests are left out before. The newest run replaces the older as a whole. One aggregation, which
+    combines before the shuffle, so many reruns of one key meet as one row per partition. ``seen`` names a
+    column for the first ``first`` of all runs of the key.
     """
     real = runs.filter(~F.coalesce(F.col("smoke_test"), F.lit(False)))
-    newest = real.withColumn("_time", F.coalesce(time, F.lit("")))
     others = [c for c in runs.columns if c not in keys]
-    # The greatest time first; among those the least path.
-    top = newest.groupBy(*keys).agg(F.max("_time").alias("_time"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"n.{k}").eqNullSafe(F.col(f"t.{k}"))
-    held = newest.alias("n").join(top.alias("t"), same & (F.col("n._time") == F.col("t._time"))).select("n.*")
-    return held.groupBy(*keys).agg(F.min_by(F.struct(*others), F.coalesce(first, F.lit(""))).alias("_r")).select(*keys, "_r.*")
+    rank = F.struct(F.coalesce(time, F.lit("")).alias("time"), _last_first(F.coalesce(first, F.lit(""))).alias("first"))
+    firsts = [F.min(F.coalesce(first, F.lit(""))).alias(seen)] if seen else []
+    return real.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_r"), *firsts).select(*keys, "_r.*", *([seen] if seen else []))
 
 
 def cube(runs: DataFrame) -> DataFrame:
@@ -74,16 +75,17 @@ def config_means(cubed: DataFrame, metric: str = "mape") -> DataFrame:
 def pairs_of(cubed: DataFrame, metric: str = "mape", pairs: DataFrame | None = None) -> DataFrame:
     """``study, a, b, seed, d``: differences a - b of each pair of configurations on the same seed.
 
-    ``pairs`` has ``study, a, b``; without it all pairs with a < b. The null seed matches itself.
+    ``pairs`` has ``study, a, b``; without it all pairs with a < b. The null seed matches itself. Wanted pairs
+    are looked up first, so only their own values meet.
     """
     long = cubed.select("study", "seed", "config", F.col(metric).alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    left, right = long.withColumnsRenamed({"config": "a", "x": "xa"}).alias("l"), long.withColumnsRenamed({"config": "b", "x": "xb"}).alias("r")
-    on = (F.col("l.study") == F.col("r.study")) & F.col("l.seed").eqNullSafe(F.col("r.seed"))
+    left, right = long.withColumnsRenamed({"config": "a", "x": "xa"}), long.withColumnsRenamed({"config": "b", "x": "xb"}).alias("r")
+    same = (F.col("l.study") == F.col("r.study")) & F.col("l.seed").eqNullSafe(F.col("r.seed"))
     if pairs is None:
-        on = on & (F.col("a") < F.col("b"))
-    both = left.join(right, on).select("l.study", "l.seed", "a", "b", "xa", "xb")
-    if pairs is not None:
-        both = both.join(pairs.select("study", "a", "b").distinct(), ["study", "a", "b"])
+        both = left.alias("l").join(right, same & (F.col("a") < F.col("b"))).select("l.study", "l.seed", "a", "b", "xa", "xb")
+    else:
+        wanted = left.join(pairs.select("study", "a", "b").distinct(), ["study", "a"]).alias("l")
+        both = wanted.join(right, same & (F.col("l.b") == F.col("r.b"))).select("l.study", "l.seed", "a", "l.b", "xa", "xb")
     return both.select("study", "a", "b", "seed", "xa", "xb", (F.col("xa") - F.col("xb")).alias("d"))
 
 
@@ -146,9 +148,9 @@ def pair_tests(paired: DataFrame, tost_margin: float | None = None, least: int =
     half = stats.t_critical(F.lit(0.975), F.col("_df")) * F.col("_se")
     out = staged.withColumn("_half", F.when(F.col("sd") == 0, F.lit(0.0)).otherwise(half)).withColumn("_tp", stats.t_two_sided("_t", "_df"))
     columns = {
-        "ci_lo": F.when(enough, F.col("mean_diff") - F.col("_half")), "ci_hi": F.when(enough, F.col("mean_diff") + F.col("_half")), "dz": F.when(enough, F.col("dz")),
+        "median_diff": F.when(enough, F.col("median_diff")), "mean_diff": F.when(enough, F.col("mean_diff")), "ci_lo": F.when(enough, F.col("mean_diff") - F.col("_half")), "ci_hi": F.when(enough, F.col("mean_diff") + F.col("_half")), "dz": F.when(enough, F.col("dz")),
         "w_p": F.when(enough, F.when(F.col("all_zero"), 1.0).otherwise(F.col("w_p"))), "t_p": F.when(enough, F.when(F.col("all_zero"), 1.0).when(F.col("sd") == 0, 0.0).otherwise(F.col("_tp"))),
-        "note": F.when(~enough, F.concat(F.lit("n="), F.col("n"), F.lit(": too few seeds"))).when(F.col("all_zero"), "all differences are zero"),
+        "note": F.when(~enough, F.concat(F.lit("only "), F.col("n"), F.lit(" shared seed(s) -- too few to test"))).when(F.col("all_zero"), "identical on every seed"),
     }
     if tost_margin:
         below = stats.t_above((F.col("mean_diff") + tost_margin) / F.col("_se"), F.col("_df"))
@@ -191,15 +193,15 @@ def default_battery(cubed: DataFrame, baselines: list[str], metric: str = "mape"
 
 def verdicts(tested: DataFrame, alpha: float = 0.05, use_holm: bool = True) -> DataFrame:
     """``winner`` (the one with the lower mean) and ``verdict``: significant, equivalent, inconclusive, not significant, too few."""
-    winner = F.when(F.col("mean_diff") < 0, F.col("a")).otherwise(F.col("b"))
-    significant = F.col("holm_reject") if use_holm else F.col("w_p") < alpha
+    winner = F.when(F.col("mean_diff") < 0, F.col("a")).when(F.col("mean_diff").isNotNull(), F.col("b"))
+    significant = F.col("holm_reject") if use_holm else F.col("w_p") <= alpha
     verdict = (
         F.when(F.col("w_p").isNull(), "too few seeds").when(significant, "significant")
-        .when(F.col("tost_p") < alpha, "equivalent").when(F.col("tost_p").isNotNull(), "inconclusive").otherwise("not significant")
+        .when(F.col("tost_p") <= alpha, "equivalent").when(F.col("tost_margin").isNotNull(), "inconclusive").otherwise("not significant")
     )
     return tested.withColumn("winner", winner).withColumn("verdict", verdict)
 
 
 def format_p(p: Column) -> Column:
-    """Four decimals from 1e-4 on, else one digit with exponent."""
-    return F.when(p >= 1e-4, F.format_string("%.4f", p)).otherwise(F.format_string("%.0e", p))
+    """Four decimals from 1e-4 on, else two digits with exponent, of the exact binary value; ``n/a`` for null."""
+    return F.coalesce(stats.format_numbers(F.when(p >= 1e-4, F.lit(".4f")).otherwise(F.lit(".1e")), p), F.lit("  n/a "))

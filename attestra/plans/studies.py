@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestra.functions import text
 from attestra.operators import claims, integrity, profile, study
 from attestra.plans.registry import Registry
 from attestra.session import cut_lineage, table
@@ -127,50 +128,65 @@ def pair_signed_ranks(spark, folder):
     return study.signed_ranks(study.pairs_of(_cube(spark, folder))).drop("w_p")
 
 
-@STUDIES.add("pair_wilcoxon")
-def pair_wilcoxon(spark, folder):
-    return study.pair_tests(study.pairs_of(_cube(spark, folder)), tost_margin=0.5)
-
-
-_HOLM = (
+# Doubled midranks are whole numbers, so the exact distribution is a list of ways for each sum. Larger groups
+# have the normal approximation, whose error function is a sum of positive terms.
+_WILCOXON = (
     _TESTS
-    + """
-, ranked AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY round(t_p, 6), a, b) AS rk, count(*) OVER (PARTITION BY study) AS m FROM tested WHERE t_p IS NOT NULL),
+    + f"""
+, s AS (SELECT *, sd / sqrt(n) AS se FROM tested),
+u AS (SELECT *, ({_inside("((mean_diff + 0.5) / se)", "df")}) AS lo_in, ({_inside("((0.5 - mean_diff) / se)", "df")}) AS hi_in FROM s),
+to_p AS (SELECT study, a, b, CASE WHEN n >= 3 THEN CASE WHEN sd = 0 THEN CASE WHEN abs(mean_diff) < 0.5 THEN 0.0 ELSE 1.0 END
+    ELSE greatest(CASE WHEN mean_diff + 0.5 >= 0 THEN (1 - lo_in) / 2 ELSE (1 + lo_in) / 2 END, CASE WHEN 0.5 - mean_diff >= 0 THEN (1 - hi_in) / 2 ELSE (1 + hi_in) / 2 END) END END AS tost_p FROM u),
+z AS (SELECT study, a, b, d, 2 * rank() OVER (PARTITION BY study, a, b ORDER BY abs(d)) + count(*) OVER (PARTITION BY study, a, b, abs(d)) - 1 AS r2, count(*) OVER (PARTITION BY study, a, b, abs(d)) AS t FROM pairs WHERE d <> 0),
+g AS (SELECT study, a, b, count(*) AS k, list(r2::INT) AS rs, sum(r2)::INT AS total, coalesce(sum(r2) FILTER (WHERE d > 0), 0)::INT AS plus, sum(t * t - 1) AS ties FROM z GROUP BY ALL),
+ex AS (SELECT *, list_reduce(list_transform(rs, lambda r: [r::DOUBLE]), lambda acc, r: list_transform(range(1, total + 2), lambda i: acc[i] + CASE WHEN i > r[1]::INT THEN acc[i - r[1]::INT] ELSE 0.0::DOUBLE END),
+    list_transform(range(0, total + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS ways FROM g WHERE k <= CASE WHEN ties = 0 THEN 50 ELSE 25 END),
+wp AS (SELECT study, a, b, least(1.0::DOUBLE, 2 * least(list_sum(ways[1:plus + 1]), list_sum(ways[plus + 1:total + 1])) / pow(2.0::DOUBLE, k)) AS w_p FROM ex
+  UNION ALL SELECT study, a, b, 1 - coalesce(list_sum(list_transform(range(0, 400), lambda i: exp(-x * x + (2 * i + 1) * ln(x) - lgamma(i + 1.5)))), 0) FROM
+    (SELECT *, abs(plus / 2.0 - k * (k + 1) / 4.0) / sqrt((k * (k + 1) * (2.0 * k + 1) - ties / 2.0) / 24) / sqrt(2.0) AS x FROM g WHERE k > CASE WHEN ties = 0 THEN 50 ELSE 25 END)),
+judged AS (SELECT e.*, to_p.tost_p, CASE WHEN e.n >= 3 THEN CASE WHEN e.all_zero THEN 1.0 ELSE wp.w_p END END AS w_p FROM tested e LEFT JOIN to_p USING (study, a, b) LEFT JOIN wp USING (study, a, b)),
+ranked AS (SELECT study, a, b, w_p, row_number() OVER (PARTITION BY study ORDER BY w_p, a, b) AS rk, count(*) OVER (PARTITION BY study) AS m FROM judged WHERE w_p IS NOT NULL),
 thr AS (SELECT *, 0.05::DOUBLE / (m - rk + 1) AS holm_threshold FROM ranked),
-h AS (SELECT *, min(CASE WHEN round(t_p, 6) <= holm_threshold THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY rk) = 1 AS holm_reject FROM thr)
+h AS (SELECT *, min(CASE WHEN w_p <= holm_threshold THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY rk) = 1 AS holm_reject FROM thr)
 """
 )
 
 
-def _holm(spark, folder):
-    """Holm over the paired t p, which SQL can state; the reference's rule, over the signed ranks, is in ``_corrected``."""
-    tested = study.pair_tests(study.pairs_of(_cube(spark, folder))).withColumn("w_p", F.round("t_p", 6))
-    return study.holm(tested)
-
-
-@STUDIES.add("holm_adjust", _HOLM + "SELECT study, a, b, round(t_p, 6) AS p, round(holm_threshold, 9) AS holm_threshold, holm_reject FROM h")
-def holm_adjust(spark, folder):
-    return _holm(spark, folder).filter("w_p is not null").select("study", "a", "b", F.col("w_p").alias("p"), F.round("holm_threshold", 9).alias("holm_threshold"), "holm_reject")
+def _tested(spark, folder):
+    pairs = cut_lineage(study.pairs_of(_cube(spark, folder)))  # effects, ranks and their ties all read the pairs
+    return study.pair_tests(pairs, tost_margin=0.5)
 
 
-@STUDIES.add("verdicts", _HOLM + "SELECT study, a, b, CASE WHEN mean_diff < 0 THEN a ELSE b END AS winner, CASE WHEN holm_reject THEN 'significant' ELSE 'not significant' END AS verdict FROM h")
-def verdicts(spark, folder):
-    return study.verdicts(_holm(spark, folder)).filter("w_p is not null").select("study", "a", "b", "winner", "verdict")
+@STUDIES.add(
+    "pair_wilcoxon",
+    _WILCOXON
+    + """SELECT study, a, b, n, round(w_p, 9) AS w_p, round(t_p, 6) AS t_p, round(tost_p, 6) AS tost_p, round(CASE WHEN n >= 3 THEN median_diff END, 6) AS median_diff, round(CASE WHEN n >= 3 THEN mean_diff END, 9) AS mean_diff,
+  CASE WHEN n < 3 THEN 'only ' || n || ' shared seed(s) -- too few to test' WHEN all_zero THEN 'identical on every seed' END AS note FROM judged""",
+)
+def pair_wilcoxon(spark, folder):
+    tested = _rounded(_rounded(_tested(spark, folder), "w_p", "mean_diff", digits=9), "t_p", "tost_p", "median_diff")
+    return tested.select("study", "a", "b", "n", "w_p", "t_p", "tost_p", "median_diff", "mean_diff", "note")
 
 
-def _corrected(spark, folder):
-    pairs = cut_lineage(study.pairs_of(_cube(spark, folder)))  # effects, ranks and their ties all read the pairs
-    return study.holm(study.pair_tests(pairs, tost_margin=0.5))
+@STUDIES.add("holm_adjust", _WILCOXON + "SELECT study, a, b, round(w_p, 9) AS w_p, round(holm_threshold, 9) AS holm_threshold, holm_reject FROM h")
+def holm_adjust(spark, folder):
+    return _rounded(study.holm(_tested(spark, folder)).filter("w_p is not null").select("study", "a", "b", "w_p", "holm_threshold", "holm_reject"), "w_p", "holm_threshold", digits=9)
 
 
-@STUDIES.add("holm_wilcoxon")
-def holm_wilcoxon(spark, folder):
-    return _corrected(spark, folder).filter("w_p is not null").select("study", "a", "b", "w_p", "holm_threshold", "holm_reject")
+@STUDIES.add(
+    "verdicts",
+    _WILCOXON
+    + """SELECT j.study, j.a, j.b, j.n, CASE WHEN j.n >= 3 THEN CASE WHEN mean_diff < 0 THEN j.a ELSE j.b END END AS winner, round(j.w_p, 9) AS w_p,
+  CASE WHEN j.w_p IS NULL THEN 'too few seeds' WHEN holm_reject THEN 'significant' WHEN tost_p <= 0.05 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM judged j LEFT JOIN h USING (study, a, b)""",
+)
+def verdicts(spark, folder):
+    judged = study.verdicts(study.holm(_tested(spark, folder)))
+    return _rounded(judged.select("study", "a", "b", "n", "winner", "w_p", "verdict"), "w_p", digits=9)
 
 
-@STUDIES.add("verdicts_wilcoxon")
-def verdicts_wilcoxon(spark, folder):
-    return study.verdicts(_corrected(spark, folder)).select("study", "a", "b", "n", "winner", "w_p", "t_p", "tost_p", "verdict", "note")
+@STUDIES.add("p_formats", _WILCOXON + "SELECT study, a, b, CASE WHEN w_p IS NULL THEN '  n/a ' WHEN w_p >= 0.0001 THEN printf('%.4f', w_p) ELSE printf('%.1e', w_p) END AS p FROM judged")
+def p_formats(spark, folder):
+    return _tested(spark, folder).select("study", "a", "b", study.format_p(F.col("w_p")).alias("p"))
 
 
 @STUDIES.add(
@@ -191,32 +207,123 @@ def default_battery(spark, folder):
 
 # --- Claims ------------------------------------------------------------------------------------
 
-_SCRUBBED = r"""
-WITH b0 AS (SELECT doc_id, regexp_replace(text, '(?s)\A---\r?\n.*?\r?\n---\r?\n', '') AS t FROM documents),
-b1 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)```.*?```', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '`[^`]*`', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\]\([^)]*\)', '] ', 'g'), '\[@[^\]]*\]|@[A-Za-z][\w:.\-]*', ' ', 'g') AS clean FROM b0),
-toks AS (SELECT doc_id, regexp_extract_all(clean, '(?:^|[^\p{L}\p{N}\p{M}_.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+)', 1) AS l FROM b1 WHERE clean IS NOT NULL),
-claims AS (SELECT doc_id, pos::INT AS pos, l[pos + 1] AS tok, replace(l[pos + 1], ',', '')::DOUBLE AS val FROM (SELECT doc_id, l, unnest(range(len(l))) AS pos FROM toks))
+
+def _claims_sql(steps: list[tuple[str, str]], start: str) -> str:
+    """Claims of every document in SQL that has no look-around: marks are put before and after each number.
+
+    A last group of more than three digits is parted from what is before, as it can't end a number.
+    """
+    clean = start
+    for pattern, by in steps:
+        clean = f"regexp_replace({clean}, '{pattern}', '{by}', 'g')"
+    return rf"""
+WITH b1 AS (SELECT doc_id, {clean} AS clean FROM (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents) WHERE t IS NOT NULL),
+mk AS (SELECT doc_id, clean, regexp_replace(regexp_replace(clean, ',(\d{{4,}})', chr(3) || ',\1', 'g'), '(^|[^\p{{L}}\p{{N}}_.])(\d{{1,3}}(?:,\d{{3}})+|\d+\.\d+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS m FROM b1),
+pt AS (SELECT doc_id, clean, list_transform(str_split(m, chr(1)), lambda p: replace(p, chr(3), '')) AS ps FROM mk),
+ps AS (SELECT doc_id, clean, ps, list_transform(ps, lambda p: length(replace(p, chr(2), ''))) AS ls, unnest(range(1, len(ps))) AS pos FROM pt),
+claims AS (SELECT doc_id, (pos - 1)::INT AS pos, str_split(ps[pos + 1], chr(2))[1] AS tok, replace(str_split(ps[pos + 1], chr(2))[1], ',', '')::DOUBLE AS val, list_sum(ls[1:pos])::BIGINT AS beg, clean FROM ps)
 """
 
 
-@STUDIES.add("claims_extract", _SCRUBBED + "SELECT * FROM claims")
+_MARKDOWN = [(r"\A---\n(?s:.*?)\n---\n", ""), ("(?s)```.*?```", " "), ("(?s)<!--.*?-->", " "), (r"`[^`\n]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\]\([^)]+\)", "]"), (r"\[@[^\]]+\]", " ")]
+_TEX = [
+    (r"(^|[^\\])%[^\n]*", r"\1"),
+    *[(r"\\" + c + r"(\[[^\]]*\])?\{[^}]*\}", " ") for c in "input includegraphics incfig cite ref eqref cref Cref autoref label url usepackage include bibliography resizebox setlength".split()],
+    (r"\\pend(\[[^\]]*\])?", " "), (r"\\href\{[^}]*\}", " "), (r"[\d.]+\\(?:text|line|column|page)(?:width|height)", " "), (r"[\d.]+\s*(?:pt|cm|mm|em|ex|in|bp|sp)\b", " "), (r"\{,\}", ","),
+]
+_TEX_BODY_SQL = r"CASE WHEN regexp_matches(t, '(?s)\\begin\{document\}.*\\end\{document\}') THEN regexp_extract(t, '(?s)\\begin\{document\}(.*)\\end\{document\}', 1) ELSE t END"
+_CLAIMS = _claims_sql(_MARKDOWN, "t")
+
+
+@STUDIES.add("claims_extract", _CLAIMS + "SELECT doc_id, pos, tok, val FROM claims")
 def claims_extract(spark, folder):
+    """Every document read as Markdown."""
     return claims.extract(claims.scrub(table(spark, folder, "documents")))
 
 
-@STUDIES.add("claims_contexts", _SCRUBBED + "SELECT doc_id, pos, tok FROM claims")
-def claims_contexts(spark, folder):
-    return claims.contexts(claims.scrub(table(spark, folder, "documents"))).select("doc_id", "pos", "tok")
+@STUDIES.add("claims_extract_tex", _claims_sql(_TEX, _TEX_BODY_SQL) + "SELECT doc_id, pos, tok, val FROM claims")
+def claims_extract_tex(spark, folder):
+    """Every document read as LaTeX."""
+    return claims.extract(claims.scrub(table(spark, folder, "documents").withColumn("path", F.lit("main.tex")), "path"))
 
 
-@STUDIES.add("claims_in_context")
-def claims_in_context(spark, folder):
+@STUDIES.add("claims_contexts", _CLAIMS + r"SELECT doc_id, pos, tok, trim(regexp_replace(substr(clean, greatest(1, beg - 54), beg + length(tok) + 56 - greatest(1, beg - 54)), '[\s\x0b\x85\p{Z}]+', ' ', 'g')) AS ctx FROM claims")
+def claims_contexts(spark, folder):
     return claims.contexts(claims.scrub(table(spark, folder, "documents")))
 
 
-@STUDIES.add("truth_pool")
+@STUDIES.add(
+    "tex_marks",
+    r"""WITH m AS (SELECT s_suppkey, s_name AS n FROM supplier)
+SELECT s_suppkey, ['a_' || n, 'b.pdf', 'pic.png', n] AS figures, ['9.' || s_suppkey, '??.??', '??.??'] AS pending FROM m""",
+)
+def tex_marks(spark, folder):
+    """Figures and pending marks of a made manuscript of each supplier."""
+    made = F.concat(
+        F.lit("\\incfig[width=3cm]{ a_"), "s_name", F.lit("} \\includegraphics{b.pdf} \\pend[9."), F.col("s_suppkey").cast("string"), F.lit("] and \\pend, \\pend[] ![x](pic.png \"t\") ![y]("), F.regexp_replace("s_name", r"\s", ""), F.lit(")"),
+    )
+    return table(spark, folder, "supplier").select("s_suppkey", text.figures(made).alias("figures"), text.pending(made).alias("pending"))
+
+
+_TRUTHS = (
+    _RUNS
+    + """
+, firsts AS (SELECT study, seed, min(coalesce(path, '')) AS fp FROM named WHERE NOT coalesce(smoke_test, false) GROUP BY ALL),
+ent AS (SELECT n.study, n.seed, f.fp, unnest(map_entries(n.results)) AS e, unnest(range(len(map_entries(n.results)))) AS pl FROM newest n JOIN firsts f ON n.study = f.study AND n.seed IS NOT DISTINCT FROM f.seed),
+vals AS (SELECT study, seed, fp, pl, e.key AS config, unnest([{'m': 'mape', 'x': e.value.mape::DOUBLE, 'o': 0}, {'m': 'rmse', 'x': e.value.rmse::DOUBLE, 'o': 1}, {'m': 'mae', 'x': e.value.mae::DOUBLE, 'o': 2}, {'m': 'params', 'x': e.value.params::DOUBLE, 'o': 3}]) AS v FROM ent),
+good AS (SELECT study, config, v.m AS metric, v.x AS x, fp, pl, seed, v.o AS o FROM vals WHERE v.x IS NOT NULL AND NOT isnan(v.x)),
+agg AS (SELECT study || ':' || config || ':' || metric AS src, metric, avg(x) AS mean, count(*) AS n, stddev_samp(x) AS sd, arg_min(x, (fp, pl * 4 + o, seed)) AS first FROM good GROUP BY study, config, metric)
+"""
+)
+
+
+def _pool_runs(spark, folder):
+    return study.supersede(_named(spark, folder), seen="first_path")
+
+
+@STUDIES.add("truth_pool", _TRUTHS + "SELECT src, count(*) + (1 + (n > 1)::INT + (metric = 'params')::INT) AS entries, first(round(mean, 9)) AS mean, first(round(CASE WHEN n > 1 THEN sd END, 6)) AS sd, first(CASE WHEN metric = 'params' THEN first END) AS params FROM agg GROUP BY src, n, metric")
 def truth_pool(spark, folder):
-    return claims.pool_from_results(_cube(spark, folder))
+    """What each source of the pool holds: its number of entries, and the values that they were rounded from."""
+    pool = claims.pool_from_results(_pool_runs(spark, folder))
+    held = pool.groupBy("src").agg(F.count(F.lit(1)).alias("entries"), F.max(F.when(F.col("ord.at") == 3, F.col("value"))).alias("params"))
+    return held.join(claims.result_measures(_pool_runs(spark, folder)).select("src", F.round("mean", 9).alias("mean"), F.round(F.when(F.col("n") > 1, F.col("sd")), 6).alias("sd")), "src")
+
+
+def _tables_sql() -> str:
+    """Numbers of the table fragments among the documents."""
+    return r"""tk AS (SELECT doc_id, regexp_extract_all(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '{,}', ','), ',(\d{4,})', chr(3) || ',\1', 'g'), '(?:^|[^\p{L}\p{N}_.])(\d{1,3}(?:,\d{3})+|\d+\.\d+)', 1) AS l FROM documents WHERE source = 'table_fragment' AND text IS NOT NULL),
+fr AS (SELECT doc_id, unnest(l) AS tok FROM tk)"""
+
+
+@STUDIES.add("pool_from_tables", "WITH " + _tables_sql() + " SELECT 'd' || doc_id || '.tex' AS src, replace(tok, ',', '')::DOUBLE AS value, count(*) AS times FROM fr GROUP BY ALL")
+def pool_from_tables(spark, folder):
+    return _tables_pool(spark, folder).groupBy("src", "value").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _tables_pool(spark, folder):
+    fragments = table(spark, folder, "documents").filter(F.col("source") == "table_fragment")
+    return claims.pool_from_tables(fragments.select(F.concat(F.lit("tables/d"), F.col("doc_id").cast("string"), F.lit(".tex")).alias("path"), "text"))
+
+
+def _audited_claims(spark, folder):
+    pool = claims.union_pools(_tables_pool(spark, folder), claims.pool_from_results(_pool_runs(spark, folder)))
+    own = table(spark, folder, "documents").filter(~F.col("source").eqNullSafe("table_fragment"))
+    manuscripts = own.withColumn("path", F.when(F.col("source").isin("manuscript", "thesis", "lecture_notes"), "main.tex").otherwise("text.md"))
+    return claims.classify(claims.contexts(claims.scrub(manuscripts, "path")).withColumn("val", text.as_number(F.col("tok"))), pool)
+
+
+@STUDIES.add("claims_audit")
+def claims_audit(spark, folder):
+    """The claims of all documents but the table fragments against the fragments and the stored results.
+
+    The means that the pool rounds are rounded half to even on the exact binary value, which SQL can't say.
+    """
+    return _audited_claims(spark, folder)
+
+
+@STUDIES.add("claims_audit_buckets")
+def claims_audit_buckets(spark, folder):
+    return claims.buckets(_audited_claims(spark, folder))
 
 
 _NEAREST = """
@@ -226,8 +333,8 @@ lo AS (SELECT c.*, p.value AS lv, p.src AS ls, p.ord AS lo FROM c ASOF LEFT JOIN
 hi AS (SELECT lo.*, p.value AS hv, p.src AS hs, p.ord AS ho FROM lo ASOF LEFT JOIN p ON lo.val <= p.value),
 n AS (SELECT o_orderkey, val, hv IS NULL OR (lv IS NOT NULL AND (abs(val - lv) < abs(val - hv) OR (abs(val - lv) = abs(val - hv) AND lo <= ho))) AS low, lv, ls, hv, hs FROM hi),
 b AS (SELECT o_orderkey, val, CASE WHEN low THEN lv ELSE hv END AS best, CASE WHEN low THEN ls ELSE hs END AS src FROM n),
-k AS (SELECT *, CASE WHEN val < 100 THEN CASE WHEN abs(val - best) <= 0.005 + 1e-12 THEN 'MATCHED' WHEN abs(val - best) <= 0.1 + 1e-12 THEN 'NEAR-MISS' ELSE 'ORPHAN' END
-  WHEN abs(val - best) < 0.5 OR abs(val - best) / greatest(val, 1.0) < 0.003 THEN 'MATCHED' WHEN abs(val - best) / greatest(val, 1.0) < 0.05 THEN 'NEAR-MISS' ELSE 'ORPHAN' END AS bucket FROM b)
+k AS (SELECT *, CASE WHEN val < 100 THEN CASE WHEN abs(val - best) <= 0.005::DOUBLE THEN 'MATCHED' WHEN abs(val - best) <= 0.1::DOUBLE THEN 'NEAR-MISS' ELSE 'ORPHAN' END
+  WHEN abs(val - best) < 0.5 OR abs(val - best) / greatest(val, 1.0) < 0.003::DOUBLE THEN 'MATCHED' WHEN abs(val - best) / greatest(val, 1.0) < 0.05::DOUBLE THEN 'NEAR-MISS' ELSE 'ORPHAN' END AS bucket FROM b)
 """
 
 

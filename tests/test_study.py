@@ -70,7 +70,7 @@ def test_constant_offset(spark):
     equal = study.pair_tests(study.pairs_of(constant(spark, 0.0, 5)), tost_margin=0.3).first()
     assert equal.w_p == 1.0 and equal.t_p == 1.0 and equal.tost_p == 0.0 and equal.dz is None and equal.ci_lo == equal.ci_hi == 0.0
     few = study.pair_tests(study.pairs_of(constant(spark, 0.5, 2))).first()
-    assert few.w_p is None and few.t_p is None and "n=2" in few.note
+    assert few.w_p is None and few.t_p is None and "only 2 shared" in few.note
 
 
 def test_jittered(spark):
@@ -132,11 +132,11 @@ def test_holm_and_verdicts_judge_the_signed_ranks(spark, tmp_path):
             want[n, *k] = "significant" if rejecting else "equivalent" if tost(diffs[k]) <= 0.05 else "inconclusive"
         want |= {(n, *k): "too few seeds" for k in diffs if k not in p}
     assert set(want.values()) == {"significant", "equivalent", "inconclusive", "too few seeds"}
-    got = STUDIES.queries["verdicts_wilcoxon"](spark, str(tmp_path)).collect()
+    got = STUDIES.queries["verdicts"](spark, str(tmp_path)).collect()
     assert {(r.study, r.a, r.b): r.verdict for r in got} == want
     row = next(r for r in got if r.study == "n")
-    assert row.w_p == pytest.approx(0.0625) and row.t_p < 1e-6 and row.verdict == "inconclusive"  # the paired t alone would decide
-    held = STUDIES.queries["holm_wilcoxon"](spark, str(tmp_path)).collect()
+    assert row.w_p == pytest.approx(0.0625) and row.verdict == "inconclusive"  # the paired t alone would decide
+    held = STUDIES.queries["holm_adjust"](spark, str(tmp_path)).collect()
     assert {(r.study, r.a, r.b): r.holm_threshold for r in held} == pytest.approx(thresholds)
     assert {(r.study, r.a, r.b) for r in held if r.holm_reject} == {k for k, v in want.items() if v == "significant"}
 
@@ -147,7 +147,7 @@ def test_battery_and_listing(spark):
     assert {(r.a, r.b) for r in study.default_battery(own, ["base"]).collect()} == {("A", "B"), ("A", "base")}
     listed = study.listing(own).first()
     assert listed.seeds == [0, 1, 2] and listed.configs == ["A", "B", "base"]
-    assert [r[0] for r in spark.createDataFrame([(0.00001,), (0.0625,)], "p double").select(study.format_p(F.col("p"))).collect()] == ["1e-05", "0.0625"]
+    assert [r[0] for r in spark.createDataFrame([(0.00001,), (0.0625,)], "p double").select(study.format_p(F.col("p"))).collect()] == ["1.0e-05", "0.0625"]
 
 
 def test_empty(spark):

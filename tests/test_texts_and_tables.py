@@ -38,9 +38,12 @@ def test_buckets(spark):
 
 def test_both_nearest_joins_agree(spark):
     pool = spark.range(400).select((F.col("id") * F.col("id") / 7).alias("value"), F.concat(F.lit("p"), "id").alias("src"), F.col("id").alias("ord"))
-    rows = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 47.3 - 100).alias("val"))
-    a, b = ({(r.k, r.best, r.src) for r in f(rows, claims.ordered_pool(pool), "val").collect()} for f in (claims._nearest_in_array, claims._nearest_by_ranges))
-    assert a == b
+    rows = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") == 7, float("nan")).when(F.col("id") != 8, F.col("id") * 47.3 - 100).alias("val"))
+    rows = rows.unionByName(spark.range(500, 900).select(F.col("id").alias("k"), F.lit(3.5).alias("val")))
+    own = claims.ordered_pool(pool)
+    a = {(r.k, r.best, r.src) for r in claims._nearest_in_array(rows, own.collect(), "val").collect()}
+    assert len(a) == 900 and {(7, None, None), (8, None, None)} <= a
+    assert a == {(r.k, r.best, r.src) for r in claims._nearest_by_ranges(rows, own, "val").collect()}
 
 
 def test_rounding_is_that_of_the_exact_value(spark):
@@ -108,7 +111,7 @@ def test_citations(spark):
 
 def test_claims_are_shown_in_context(spark, small):
     docs = {r.doc_id: r.clean for r in claims.scrub(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "clean").collect()}
-    rows = STUDIES.queries["claims_in_context"](spark, small).collect()
+    rows = STUDIES.queries["claims_contexts"](spark, small).collect()
     assert len(rows) == STUDIES.queries["claims_extract"](spark, small).count() > 0
     at = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
