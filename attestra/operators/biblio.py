@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from attestra.functions import text
 from attestra.functions.alike import most_alike
 
-#: Verdicts, worst first.
-ORDER = ("RETRACTED", "NOT-FOUND", "MISMATCH", "UNVERIFIABLE", "NON-PAPER-OK", "VERIFIED")
+# Verdicts, worst first.
+ORDER = ("RETRACTED", "MISMATCH", "NOT-FOUND", "UNVERIFIABLE", "NON-PAPER-OK", "VERIFIED")
+# Publishers and servers that are no journal, words of works that aren't out, and where these are looked for.
+PUBLISHERS = ("otexts", "wiley", "springer", "elsevier", "mit press", "crc press", "academic press", "pearson", "mcgraw-hill", "o'reilly", "manning", "nber", "arxiv", "preprint")
+UNPUBLISHED = ("submitted", "in press", "under review", "to appear", "preprint")
+UNPUBLISHED_FIELDS = ("journal", "booktitle", "note", "year")
 PAIRED, NO_ABSTRACT, NOT_IN_STORE, NO_ENTRY = "PAIRED", "NO-ABSTRACT", "NOT-IN-STORE", "NO-BIB-ENTRY"
 
 
@@ -32,22 +36,32 @@ def year_gap(a: Column, b: Column) -> Column:
 
 
 def url_of(fields: Column) -> Column:
-    """First ``\\url{}`` or link among howpublished, url and note."""
+    """First ``\\url{}`` or link of howpublished, url and note, in this order."""
     def one(name: str) -> Column:
         value = F.try_element_at(fields, F.lit(name))
-        inside, link = F.regexp_extract(value, r"\\url\{([^}]*)\}", 1), F.regexp_extract(value, r"https?://[^\s{}]+", 0)
-        return F.coalesce(F.nullif(inside, F.lit("")), F.nullif(link, F.lit("")))
+        inside, link = F.regexp_extract(value, r"\\url\{([^}]+)\}", 1), F.regexp_extract(value, r"(?U)https?://\S+", 0)
+        return F.rtrim(F.coalesce(F.nullif(inside, F.lit("")), F.nullif(link, F.lit(""))), F.lit("}"))
 
     return F.coalesce(*[one(n) for n in ("howpublished", "url", "note")])
 
 
 def looks_unpublished(fields: Column) -> Column:
-    whole = F.lower(F.concat_ws(" ", F.map_values(fields)))
-    return whole.rlike(r"in preparation|under review|submitted|unpublished|forthcoming|to appear|personal communication")
+    """Does journal, booktitle, note or year say that a work isn't out yet? ``fields`` is a map of texts."""
+    whole = F.lower(F.concat_ws(" ", *[F.coalesce(F.try_element_at(fields, F.lit(n)), F.lit("")) for n in UNPUBLISHED_FIELDS]))
+    return F.exists(F.array(*[F.lit(w) for w in UNPUBLISHED]), lambda w: F.contains(whole, w))
 
 
 def venue_is_publisher(venue: Column) -> Column:
-    return F.lower(F.trim(venue)).isin("elsevier", "springer", "wiley", "ieee", "acm", "mdpi", "crc press", "sage", "taylor & francis", "springer nature")
+    return F.coalesce(F.lower(text.stripped(venue)).isin(*PUBLISHERS), F.lit(False))
+
+
+def entry_fields(entries: DataFrame, fields: str = "fields") -> DataFrame:
+    """Parsed entries (``type``, ``fields``) with the columns that ``audit`` reads of them."""
+    of = lambda n: F.nullif(F.try_element_at(F.col(fields), F.lit(n)), F.lit(""))
+    return entries.withColumns({
+        "title": of("title"), "year": of("year"), "doi": of("doi"), "venue": F.coalesce(of("journal"), of("booktitle")), "in_journal": F.coalesce(of("journal"), of("booktitle")).isNotNull(),
+        "url": url_of(F.col(fields)), "unpublished": looks_unpublished(F.col(fields)), "to_verify": F.contains(F.lower(F.coalesce(of("note"), F.lit(""))), F.lit("verify")),
+    })
 
 
 def found_titles(left: DataFrame, right: DataFrame, words: int = 4, most: int = 5) -> DataFrame:
@@ -152,43 +166,74 @@ def record_from_registry(payloads: DataFrame) -> DataFrame:
     )
 
 
+_OPTIONAL = {"type": "string", "url": "string", "url_status": "int", "in_journal": "boolean", "unpublished": "boolean", "to_verify": "boolean"}
+_RECORD = {"arxiv": "string", "volume": "string", "page": "string"}
+
+
+def _with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
 def audit(entries: DataFrame, records: DataFrame) -> DataFrame:
-    """Verdict of each entry against the records, with what differs.
+    """Verdict of each entry against the records, with what differs, notes and suggested fields.
 
     ``entries``: ``entry, title, year, venue, doi``, ``records``: ``record, ord, title, year, venue, doi,
-    retracted`` (null: unknown). By DOI first, else by the most alike title. An entry is the same work by
-    DOI, or with a likeness of 0.90 and years within 2. Titles below 0.90 differ, below 0.80 they conflict.
-    Years 1 or 2 apart are a note, more differ, which conflicts by DOI alone. RETRACTED outranks all.
-
-    ``entries`` may also have ``type``, ``url``, ``url_status``, ``in_journal`` and ``unpublished``: without a DOI a
-    misc, online or electronic entry with a link and no journal is NON-PAPER-OK if the link is alive, else
-    UNVERIFIABLE, and an unpublished work that isn't found is UNVERIFIABLE. ``suggest`` has the DOI of the
-    same work where the entry lacks one.
+    retracted`` (null: unknown). With a DOI the record is looked up by it alone; else by the most alike title, from
+    0.55 on. An entry is the same work by DOI, or with a likeness of 0.90 and years within 2 or unknown. Titles
+    below 0.90 differ, below 0.80 the record's is suggested. Years 1 or 2 apart are a note, more differ. RETRACTED
+    needs the same work, with a DOI on either side, and outranks what differs. A DOI that only the record has is a
+    difference that keeps VERIFIED.
+
+    ``entries`` may also have ``type``, ``url``, ``url_status``, ``in_journal``, ``unpublished`` and ``to_verify`` (see
+    ``entry_fields``), ``records`` ``arxiv``, ``volume`` and ``page``. Without a DOI a misc, online or electronic entry
+    with a link and no journal is NON-PAPER-OK if the link is alive, else UNVERIFIABLE; one without a title is
+    UNVERIFIABLE; one that isn't found is UNVERIFIABLE if unpublished, else NOT-FOUND. Of records with equal DOIs or
+    equally alike titles the first by ``ord`` counts.
     """
-    optional = {"type": "string", "url": "string", "url_status": "int", "in_journal": "boolean", "unpublished": "boolean"}
-    entries = entries.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in entries.columns})
-    page = F.col("type").isin("misc", "online", "electronic") & F.col("url").isNotNull() & ~F.coalesce("in_journal", F.lit(False))
-    mine = entries.select(F.coalesce(page, F.lit(False)).alias("_page"), url_alive(F.col("url_status")).alias("_alive"), F.coalesce("unpublished", F.lit(False)).alias("_unpublished"), "entry", "title", F.col("year").cast("string").alias("year"), text.norm_doi(F.col("doi")).alias("d"), text.spaced_title(F.col("title")).alias("lt"))
-    theirs = records.select("record", "ord", text.norm_doi(F.col("doi")).alias("d"), text.spaced_title(F.col("title")).alias("rt"), F.col("year").cast("string").alias("r_year"), "retracted")
-    by_doi = theirs.filter("d is not null").groupBy("d").agg(F.min_by("record", "ord").alias("doi_record"))
+    entries, records = _with_missing(entries, _OPTIONAL), _with_missing(records, _RECORD)
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    page = F.coalesce(F.col("type").isin("misc", "online", "electronic"), F.lit(False)) & F.col("url").isNotNull() & ~known("in_journal")
+    mine = entries.select(
+        "entry", F.col("title").alias("b_title"), F.col("year").cast("string").alias("b_year"), F.col("venue").alias("b_venue"), text.norm_doi(F.col("doi")).alias("d"), text.spaced_title(F.coalesce("title", F.lit(""))).alias("lt"),
+        page.alias("_page"), F.col("url").alias("_url"), url_alive(F.col("url_status")).alias("_alive"), known("unpublished").alias("_unpublished"), known("to_verify").alias("_to_verify"),
+    )
+    theirs = records.select(
+        "record", "ord", text.norm_doi(F.col("doi")).alias("r_doi"), F.col("title").alias("r_title"), text.spaced_title(F.coalesce("title", F.lit(""))).alias("rt"), F.col("year").cast("string").alias("r_year"), "retracted",
+        *[F.col(c).alias(f"r_{c}") for c in _RECORD],
+    )
+    by_doi = theirs.filter("r_doi is not null").groupBy("r_doi").agg(F.min_by("record", "ord").alias("doi_record")).withColumnRenamed("r_doi", "d")
     first = mine.join(by_doi, "d", "left")
-    rest = first.filter(F.col("d").isNull() & (F.coalesce("lt", F.lit("")) != ""))
-    found = best_title(rest.select("entry", "lt"), theirs).withColumnRenamed("record", "title_record").drop("likeness")
+    sought = first.filter(F.col("d").isNull() & ~F.col("_page") & (F.col("lt") != ""))
+    found = best_title(sought.select("entry", "lt"), theirs).withColumnRenamed("record", "title_record").drop("likeness")
     joined = first.join(found, "entry", "left").withColumn("record", F.coalesce("doi_record", "title_record"))
-    full = joined.join(theirs.select("record", "rt", "r_year", "retracted", F.col("d").alias("r_doi")), "record", "left").withColumn("likeness", title_likeness("lt", "rt"))
-    gap, by_id = year_gap(F.col("year"), F.col("r_year")), F.col("doi_record").isNotNull()
-    same = by_id | ((F.col("likeness") >= 0.90) & F.coalesce(gap <= 2, F.lit(True)))
-    title_differs, conflict = F.col("likeness") < 0.90, (F.col("likeness") < 0.80) | (by_id & F.coalesce(gap > 2, F.lit(False)))
-    diffs = F.array_compact(F.array(F.when(title_differs, F.lit("title")), F.when(gap > 2, F.lit("year"))))
-    notes = F.array_compact(F.array(F.when(gap.between(1, 2), F.lit("year off by 1-2")), F.when(F.col("record").isNotNull() & F.col("retracted").isNull(), F.lit("retraction unknown"))))
-    staged = full.withColumns({"same_work": F.coalesce(same, F.lit(False)), "diffs": diffs, "notes": notes, "_conflict": F.coalesce(conflict, F.lit(False))})
+    full = joined.join(theirs.drop("ord"), "record", "left").withColumn("likeness", title_likeness("lt", "rt"))
+
+    there, by_id, gap, likeness = F.col("record").isNotNull(), F.col("d").isNotNull(), year_gap(F.col("b_year"), F.col("r_year")), F.col("likeness")
+    same = there & (by_id | ((likeness >= 0.90) & F.coalesce(gap <= 2, F.lit(True))))
+    titled = F.coalesce(F.col("r_title"), F.lit("")) != ""
+    title_differs, title_conflicts = there & titled & (likeness < 0.90), there & titled & (likeness < 0.80)
+    year_differs, doi_lacks = there & F.coalesce(gap > 2, F.lit(False)), same & ~by_id & F.col("r_doi").isNotNull()
+    checked = F.coalesce(F.col("d"), F.when(same, F.col("r_doi"))).isNotNull() & there
+    say = lambda condition, *parts: F.when(condition, F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts]))
+    year, r_year = F.col("b_year"), F.col("r_year")
+    staged = full.withColumns({"_same": F.coalesce(same, F.lit(False)), "_checked": checked, "_retracted": checked & F.coalesce(F.col("retracted"), F.lit(False))})
+    diffs = F.array_compact(F.array(F.when(title_differs, F.lit("title")), F.when(year_differs, F.lit("year")), F.when(doi_lacks, F.lit("doi"))))
+    notes = F.array_compact(F.array(
+        say(F.col("_retracted"), "retracted: don't cite it as support"), say(there & gap.between(1, 2), "year differs by ", gap, " (", year, " vs ", r_year, ")"), say(year_differs & ~by_id, "large year gap on a match by title alone: may be another edition"),
+        say(there & venue_is_publisher(F.col("b_venue")), "'", F.col("b_venue"), "' is a publisher, not a journal"), say(there & F.col("_to_verify"), "carries a VERIFY note"),
+        say(F.col("_checked") & F.col("retracted").isNull(), "retraction status could not be checked"), say(~there & by_id, "DOI is not known"), say(~by_id & F.col("_page"), "no paper; link ", F.when(F.col("_alive"), F.lit("resolves: ")).otherwise(F.lit("did not resolve: ")), F.col("_url")),
+    ))
+    suggest = F.array_compact(F.array(
+        say(title_conflicts, "title = {", F.col("r_title"), "}"), say(there & by_id & gap.between(1, 2), "year = {", r_year, "}  % if you cite the published version"), say(year_differs & by_id, "year = {", r_year, "}"),
+        say(doi_lacks, "doi = {", F.col("r_doi"), "}"), say(F.col("_same") & ~by_id & F.col("r_doi").isNull() & F.col("r_arxiv").isNotNull(), "eprint = {", F.col("r_arxiv"), "}  % arXiv"),
+        say(there & F.col("_to_verify") & F.col("r_volume").isNotNull(), "volume = {", F.col("r_volume"), "}"), say(there & F.col("_to_verify") & F.col("r_page").isNotNull(), "pages = {", F.col("r_page"), "}"),
+    ))
+    untitled = F.coalesce(F.col("b_title"), F.lit("")) == ""
     verdict = (
-        F.when(F.col("retracted"), "RETRACTED").when(F.col("d").isNull() & F.col("_page"), F.when(F.col("_alive"), "NON-PAPER-OK").otherwise("UNVERIFIABLE"))
-        .when(F.col("record").isNull() & F.col("d").isNull() & F.col("_unpublished"), "UNVERIFIABLE").when(F.col("record").isNull() & (F.coalesce("lt", F.lit("")) == "") & F.col("d").isNull(), "UNVERIFIABLE")
-        .when(F.col("record").isNull(), "NOT-FOUND").when(F.col("_conflict") | (F.size("diffs") > 0), "MISMATCH").otherwise("VERIFIED")
+        F.when(by_id & ~there, "NOT-FOUND").when(~by_id & F.col("_page"), F.when(F.col("_alive"), "NON-PAPER-OK").otherwise("UNVERIFIABLE")).when(~by_id & untitled, "UNVERIFIABLE")
+        .when(~there, F.when(F.col("_unpublished"), "UNVERIFIABLE").otherwise("NOT-FOUND")).when(F.col("_retracted"), "RETRACTED").when(title_differs | year_differs, "MISMATCH").otherwise("VERIFIED")
     )
-    suggest = F.array_compact(F.array(F.when(F.col("same_work") & F.col("d").isNull(), F.concat(F.lit("doi = "), "r_doi"))))
-    return staged.select("entry", "record", verdict.alias("verdict"), F.round("likeness", 6).alias("likeness"), "same_work", "diffs", "notes", suggest.alias("suggest"))
+    return staged.select("entry", "record", verdict.alias("verdict"), F.round("likeness", 6).alias("likeness"), F.col("_same").alias("same_work"), diffs.alias("diffs"), notes.alias("notes"), suggest.alias("suggest"))
 
 
 def verdict_counts(audited: DataFrame) -> DataFrame:
@@ -196,22 +241,27 @@ def verdict_counts(audited: DataFrame) -> DataFrame:
     return audited.groupBy("verdict").agg(F.count(F.lit(1)).alias("entries")).withColumn("severity", F.array_position(order, F.col("verdict")).cast("int"))
 
 
-# Fixed value: the citation commands whose arguments are keys.
-CITE = r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"
+# The citation commands whose arguments are keys, and what a paragraph with citations holds.
+CITE = r"\\(?:cite|citep|citet|citealp|citeauthor|parencite|textcite|autocite)\*?(?:\[[^\]]*\])*\{([^}]+)\}"
+CITING = ("\\cite", "cite{")
 
 
 def cited_sentences(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``<key>, pos, sentence, cited``: one row per sentence and cited key, commands shown as ``[CITE]``."""
+    """``<key>, pos, sentence, cited``: one row per sentence and cited key, commands shown as ``[CITE]``.
+
+    A key that a sentence cites twice has two rows. Only paragraphs that hold a text of ``CITING`` are read.
+    """
     body = text.without_comments(text.body(F.col("text"), F.lit(False)))
-    lines = documents.select(key, F.posexplode(text.sentences(body)).alias("pos", "raw")).filter(F.col("raw").rlike(CITE))
-    keys = F.transform(F.split(F.concat_ws(",", F.regexp_extract_all("raw", F.lit(CITE), F.lit(1))), ","), lambda k: F.trim(k))
-    out = lines.select(key, "pos", F.regexp_replace("raw", CITE, "[CITE]").alias("sentence"), F.explode(keys).alias("cited"))
+    marks = F.array(*[F.lit(m) for m in CITING])
+    lines = documents.select(key, F.posexplode(text.sentences(body, marks)).alias("pos", "raw")).filter(F.col("raw").rlike(CITE))
+    keys = F.flatten(F.transform(F.regexp_extract_all("raw", F.lit(CITE), F.lit(1)), lambda k: F.split(k, ",")))
+    out = lines.select(key, "pos", text.stripped(F.regexp_replace("raw", CITE, "[CITE]")).alias("sentence"), F.explode(F.transform(keys, text.stripped)).alias("cited"))
     return out.filter("cited <> ''")
 
 
 def abstract_of(papers: DataFrame) -> DataFrame:
     """``papers`` with ``abstract_text`` and ``abstract_src``: own abstract, the second source's, the short one."""
-    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    full = lambda c: F.nullif(text.stripped(c), F.lit(""))
     own, other, short = full(F.col("abstract")), full(F.col("_abstract_openalex")), full(F.col("tldr.text"))
     label = F.when(own.isNotNull(), "abstract").when(other.isNotNull(), "openalex").when(short.isNotNull(), "tldr")
     return papers.withColumn("abstract_text", F.coalesce(own, other, short)).withColumn("abstract_src", label)

@@ -11,10 +11,6 @@ def is_bad(value: Column) -> Column:
     return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
 
 
-def _configs() -> Column:
-    return F.coalesce(F.map_entries("results"), F.expr("array()"))
-
-
 def findings(runs: DataFrame, expect: list[str], anchors: dict[str, int]) -> DataFrame:
     """One row per run: missing configurations, bad metrics, futility stops, anchor mismatches, flags.
 
@@ -46,22 +42,40 @@ def parse_anchors(spec: str) -> dict[str, int]:
     return out
 
 
+def _study_key() -> Column:
+    blank = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    return F.concat(blank("notebook", "?"), F.lit("::"), blank("span_start", ""))
+
+
 def seed_census(runs: DataFrame) -> DataFrame:
-    """``study, seeds``: distinct seeds of full runs of each ``notebook::span``, ``?`` for a null part.
+    """``study, seeds, n, runs, robust``: distinct seeds of full runs of each ``notebook::span``, sorted.
 
-    A study that has smoke tests alone is there with none. Null seeds don't count.
+    A null notebook is ``?``, a null span is empty. A study that has smoke tests alone is there with none. Null seeds
+    don't count. One seed or none is not ``robust``. Distinct pairs come first, so a study's list is built from its seeds.
     """
-    key = F.concat(F.coalesce("notebook", F.lit("?")), F.lit("::"), F.coalesce("span_start", F.lit("?")))
     full = F.when(~F.coalesce(F.col("smoke_test"), F.lit(False)), F.col("seed"))
-    return runs.groupBy(key.alias("study")).agg(F.count_distinct(full).alias("seeds"), F.count(F.lit(1)).alias("runs"))
+    pairs = runs.groupBy(_study_key().alias("study"), full.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    out = pairs.groupBy("study").agg(F.array_sort(F.collect_list("_s")).alias("seeds"), F.sum("_n").alias("runs"))
+    return out.select("study", "seeds", F.size("seeds").alias("n"), "runs", (F.size("seeds") > 1).alias("robust"))
+
+
+def config_seeds(runs: DataFrame) -> DataFrame:
+    """``study, config, seeds``: distinct seeds of full runs of each configuration; a null seed is one here."""
+    full = runs.filter(~F.coalesce(F.col("smoke_test"), F.lit(False)))
+    return full.select(_study_key().alias("study"), "seed", F.explode(F.map_keys("results")).alias("config")).distinct().groupBy("study", "config").agg(F.count(F.lit(1)).alias("seeds"))
 
 
 def under_coverage(runs: DataFrame, expect: list[str]) -> DataFrame:
-    """``study, config, seeds, study_seeds`` of expected configurations with fewer seeds than their study."""
-    key = F.concat(F.coalesce("notebook", F.lit("?")), F.lit("::"), F.coalesce("span_start", F.lit("?"))).alias("study")
-    full = runs.filter(~F.coalesce(F.col("smoke_test"), F.lit(False)) & F.col("seed").isNotNull())
-    flat = full.select(key, "seed", F.coalesce(F.map_keys("results"), F.array().cast("array<string>")).alias("_keys"))
-    has = [F.count_distinct(F.when(F.array_contains("_keys", c), F.col("seed"))).alias(f"_{i}") for i, c in enumerate(expect)]
+    """``study, config, seeds, study_seeds`` of expected configurations with fewer seeds than their study.
+
+    The study's count leaves a null seed out, that of a configuration takes it for one.
+    """
+    full = runs.filter(~F.coalesce(F.col("smoke_test"), F.lit(False)))
+    flat = full.select(_study_key().alias("study"), "seed", F.coalesce(F.map_keys("results"), F.array().cast("array<string>")).alias("_keys"))
+    has = []
+    for i, c in enumerate(expect):
+        held = F.array_contains("_keys", c)
+        has.append((F.count_distinct(F.when(held, F.col("seed"))) + F.max(F.when(held & F.col("seed").isNull(), 1).otherwise(0))).alias(f"_{i}"))
     counted = flat.groupBy("study").agg(F.count_distinct("seed").alias("study_seeds"), *has)
     rows = F.array(*[F.struct(F.lit(c).alias("config"), F.col(f"_{i}").alias("seeds")) for i, c in enumerate(expect)])
     return counted.select("study", "study_seeds", F.inline(rows)).filter("seeds < study_seeds").select("study", "config", "seeds", "study_seeds")

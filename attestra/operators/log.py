@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATUS = ("active", "blocked", "open", "done", "dropped")
-TYPES = ("finding", "correction", "decision", "blocker", "next", "idea", "status", "null-result")
+from attestra.functions.running import numbered
+
+# Statuses of a track, their order in a digest, types of entries, and the type that gives the reason of a status.
+STATUSES = ("pending", "active", "blocked", "done", "dropped")
+DIGEST_ORDER = ("active", "blocked", "pending", "done", "dropped")
+TYPES = ("progress", "finding", "blocker", "decision", "correction", "next", "status")
+REASON = {"blocked": "blocker", "dropped": "decision"}
 
 
 def latest(entries: DataFrame, kind: str | None = None) -> DataFrame:
@@ -25,7 +30,7 @@ def superseded(entries: DataFrame) -> DataFrame:
 def digest(tracks: DataFrame, entries: DataFrame) -> DataFrame:
     """``track, status, blocker, next_step, stale``: tracks in order of status, then id.
 
-    The next step is the last ``next`` of a track that is not done or dropped (tracks that are not
+    ``place`` is the place of the status in a digest from 0, 9 for others. The next step is the last ``next`` of a track that is not done or dropped (tracks that are not
     registered count as going on); it is stale where a later entry of the track exists.
     """
     last, nxt, block = latest(entries), latest(entries, "next"), latest(entries, "blocker")
@@ -33,9 +38,9 @@ def digest(tracks: DataFrame, entries: DataFrame) -> DataFrame:
     all_tracks = known.join(last.select("track", F.col("id").alias("last_id")), "track", "full_outer")
     steps = all_tracks.join(nxt.select("track", F.col("id").alias("next_id"), F.col("text").alias("next_text")), "track", "left").join(block.select("track", F.col("text").alias("block_text")), "track", "left")
     going = ~F.coalesce(F.col("status"), F.lit("")).isin("done", "dropped")
-    place = F.array_position(F.array(*[F.lit(s) for s in STATUS]), F.coalesce("status", F.lit("")))
+    place = F.array_position(F.array(*[F.lit(s) for s in DIGEST_ORDER]), F.coalesce("status", F.lit("")))
     return steps.select(
-        "track", "status", F.when(place == 0, 9).otherwise(place).cast("int").alias("place"), F.when(F.col("status") == "blocked", F.col("block_text")).alias("blocker"),
+        "track", "status", F.when(place == 0, 9).otherwise(place - 1).cast("int").alias("place"), F.when(F.col("status") == "blocked", F.col("block_text")).alias("blocker"),
         F.when(going, F.col("next_text")).alias("next_step"), F.coalesce(going & (F.col("last_id") > F.col("next_id")), F.lit(False)).alias("stale"),
     )
 
@@ -48,44 +53,83 @@ def track_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("track").agg(F.count(F.lit(1)).alias("entries"), F.max("session").alias("last_session"))
 
 
-def warnings(entries: DataFrame) -> DataFrame:
-    """``id, warning``: findings without evidence, corrections without refs, refs that no entry has, unknown types."""
+def warnings(entries: DataFrame, tracks: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """``id, warning``: findings without evidence, corrections without refs, refs that no entry has, unknown types.
+
+    With ``tracks`` (``id``) entries of unknown tracks, with ``files`` (``path``) evidence that is no file are named too.
+    """
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     own = entries.select("id", F.explode(F.array_compact(F.array(
         F.when((F.col("type") == "finding") & empty("evidence"), "finding without evidence"), F.when((F.col("type") == "correction") & empty("refs"), "correction without refs"),
         F.when(~F.col("type").isin(*TYPES), "unknown type"),
     ))).alias("warning"))
     refs = entries.select("id", F.explode("refs").alias("ref"))
-    lost = refs.join(entries.select(F.col("id").alias("ref")), "ref", "left_anti").select("id", F.concat(F.lit("unknown ref #"), "ref").alias("warning"))
-    return own.unionByName(lost)
+    out = own.unionByName(refs.join(entries.select(F.col("id").alias("ref")), "ref", "left_anti").select("id", F.concat(F.lit("unknown ref #"), "ref").alias("warning")))
+    if tracks is not None:
+        out = out.unionByName(entries.join(tracks.select(F.col("id").alias("track")), "track", "left_anti").select("id", F.concat(F.lit("unknown track "), F.coalesce("track", F.lit("?"))).alias("warning")))
+    if files is not None:
+        shown = entries.select("id", F.explode("evidence").alias("path"))
+        out = out.unionByName(shown.join(files.select("path"), "path", "left_anti").select("id", F.concat(F.lit("no file "), "path").alias("warning")))
+    return out
 
 
 def append(entries: DataFrame, additions: DataFrame) -> DataFrame:
-    """Additions (``ord`` and the fields) with ids that go on after the greatest; a single writer is assumed.
+    """Additions (``ord`` and the fields) with ids that go on after the last entry's; a single writer is assumed.
 
-    Additions are numbered in one ordered pass; they are the few rows of one session.
+    ``ord`` must be unique; additions are range-partitioned by it, so any number of them is numbered.
     """
-    from pyspark.sql import Window
+    top = F.broadcast(entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))  # a single row
+    placed = numbered(additions, ["ord"], "_place")
+    return placed.crossJoin(top).withColumn("id", (F.col("_top") + F.col("_place")).cast("bigint")).drop("_top", "_place", "ord")
+
+
+def init(spark: SparkSession, name: str, plan: str = "", created: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An empty log: one row of metadata, the registry of tracks and the entries."""
+    meta = spark.createDataFrame([(name, plan, created)], "investigation string, plan string, created string")
+    return meta, spark.createDataFrame([], TRACK), spark.createDataFrame([], ENTRY)
+
 
-    top = F.broadcast(entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
-    numbered = additions.crossJoin(top).withColumn("id", (F.col("_top") + F.row_number().over(Window.orderBy("ord"))).cast("bigint")).drop("_top", "ord")
-    return numbered
+#: A track and an entry of a log.
+TRACK = "id string, title string, status string, depends_on array<string>"
+ENTRY = "id bigint, ts string, session string, track string, type string, text string, evidence array<string>, refs array<bigint>"
+
+
+def add_tracks(tracks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry with the new tracks, and ``id, problem`` of those that are refused or doubtful.
+
+    ``wanted``: ``id, title, depends, status`` (``depends`` parted by commas; a null status is ``pending``). A track that
+    is there, or a status that isn't one, is refused. A dependency that is no track, old or new, is doubtful only.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce("depends", F.lit("")), ","), lambda d: F.trim(d)), lambda d: d != "")
+    asked = wanted.select("id", "title", F.coalesce("status", F.lit("pending")).alias("status"), parts.alias("depends_on"))
+    known = tracks.select("id", F.lit(True).alias("_there"))
+    judged = asked.join(known, "id", "left").withColumn("problem", F.when(F.col("_there"), "exists").when(~F.col("status").isin(*STATUSES), "no status"))
+    fresh = judged.filter("problem is null").select("id", "title", "status", "depends_on")
+    every = tracks.select("id").unionByName(fresh.select("id"))
+    loose = fresh.select("id", F.explode("depends_on").alias("_d")).join(every.select(F.col("id").alias("_d")), "_d", "left_anti").select("id", F.concat(F.lit("unknown dependency "), "_d").alias("problem"))
+    return tracks.unionByName(fresh), judged.filter("problem is not null").select("id", "problem").unionByName(loose)
 
 
 def status_changes(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Entries that a change of status appends: ``status`` itself, and ``blocker`` or ``decision`` with a note.
+    """Entries that setting a status appends: ``status`` itself, and ``blocker`` or ``decision`` with a note.
 
-    ``wanted``: ``track, status, note``. A track that keeps its status appends nothing.
+    ``wanted``: ``track, status, note``. Statuses that aren't ones and unknown tracks append nothing; one that
+    stays as it is is logged too. An empty note is none.
     """
-    both = wanted.alias("w").join(tracks.alias("t"), F.col("w.track") == F.col("t.id")).filter(~F.col("w.status").eqNullSafe(F.col("t.status")))
-    rows = F.array_compact(F.array(
-        F.struct(F.lit("status").alias("type"), F.concat_ws(" -> ", "t.status", "w.status").alias("text")),
-        F.when(F.col("note").isNotNull() & (F.col("w.status") == "blocked"), F.struct(F.lit("blocker").alias("type"), F.col("note").alias("text"))),
-        F.when(F.col("note").isNotNull() & (F.col("w.status") == "dropped"), F.struct(F.lit("decision").alias("type"), F.col("note").alias("text"))),
-    ))
+    both = wanted.alias("w").join(tracks.alias("t"), F.col("w.track") == F.col("t.id")).filter(F.col("w.status").isin(*STATUSES))
+    note = F.nullif(F.col("w.note"), F.lit(""))
+    said = F.concat(F.lit("status "), F.coalesce("t.status", F.lit("None")), F.lit(" -> "), "w.status", F.coalesce(F.concat(F.lit(": "), note), F.lit("")))
+    reasons = [F.when(note.isNotNull() & (F.col("w.status") == s), F.struct(F.lit(2).alias("place"), F.lit(k).alias("type"), note.alias("text"))) for s, k in REASON.items()]
+    rows = F.array_compact(F.array(F.struct(F.lit(1).alias("place"), F.lit("status").alias("type"), said.alias("text")), *reasons))
     return both.select(F.col("w.track").alias("track"), F.inline(rows))
 
 
+def set_status(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The registry with the wanted statuses (``track, status``); the last of ``wanted`` by status text counts on repeats."""
+    new = wanted.filter(F.col("status").isin(*STATUSES)).groupBy(F.col("track").alias("id")).agg(F.max("status").alias("_new"))
+    return tracks.join(new, "id", "left").select(*[F.coalesce("_new", "status").alias("status") if c == "status" else F.col(c) for c in tracks.columns])
+
+
 def check_narrative(narratives: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
     """``<key>, severity, ref, problem``: unknown ids FAIL, superseded ones warn, a text without any FAILs."""
     cites = narratives.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"#(\d+)\b"), F.lit(1)))).alias("r")).select(key, F.col("r").try_cast("bigint").alias("ref"))

@@ -21,7 +21,9 @@ def _is_missing(c: Column, kind: T.DataType) -> Column:
 
 
 def _as_text(c: Column, kind: T.DataType) -> Column:
-    return c.cast("string") if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(F.struct(c.alias("v")))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.struct(c.alias("v")))
+    return F.trim(c) if isinstance(kind, T.StringType) else c.cast("string")
 
 
 def _number(c: Column, kind: T.DataType) -> Column:
@@ -29,20 +31,28 @@ def _number(c: Column, kind: T.DataType) -> Column:
         return c.cast("double")
     if isinstance(kind, T.StringType):
         clean = F.trim(c)
-        return F.when(clean.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), clean.try_cast("double"))
+        number = F.when(clean.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), clean.try_cast("double"))
+        return F.when(clean.rlike(r"(?i)^\+?inf(?:inity)?$"), F.lit(float("inf"))).when(clean.rlike(r"(?i)^-inf(?:inity)?$"), F.lit(float("-inf"))).otherwise(number)
     return F.lit(None).cast("double")
 
 
-def profile(table: DataFrame, max_distinct: int = MAX_DISTINCT) -> DataFrame:
+#: What an order of rows is made of where the rows have none of their own.
+PLACE = "_place"
+
+
+def profile(table: DataFrame, order: str | None = None, max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """``column, rows, nulls, distinct, min, max, col_hash`` of every column.
 
     One pass of aggregates that combine before the shuffle. Distinct values come from a sketch first; only
     columns that it puts near or below the cap are counted exactly, in a second aggregate over those few.
-    ``col_hash`` is a sum over rows of hashes, which doesn't depend on their order; equal columns have
-    equal hashes. Columns of any type are profiled, nested ones by their JSON text. An empty table has one
+    ``col_hash`` is a sum over rows of hashes of the value with its place, so a column whose values stand in another
+    order has another hash, and equal columns have equal ones. The place of a row is ``order``, a unique column such
+    as a line number or a key, which is profiled too; without it the hash of the whole row stands for the place. Columns of any type are profiled, nested ones by their JSON text. An empty table has one
     row per column with zeros.
     """
     fields = [f for f in table.schema.fields]
+    place = F.col(f"`{order}`").cast("string") if order else F.to_json(F.struct(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]))
+    table = table.withColumn(PLACE, F.xxhash64(place))
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -50,7 +60,7 @@ def profile(table: DataFrame, max_distinct: int = MAX_DISTINCT) -> DataFrame:
         number = F.when(~F.isnan(number), number)
         aggregates += [
             F.count_if(missing).alias(f"nulls_{i}"), F.approx_count_distinct(F.when(~missing, value), 0.02).alias(f"about_{i}"), F.min(number).alias(f"min_{i}"), F.max(number).alias(f"max_{i}"),
-            F.sum(F.xxhash64(F.coalesce(F.when(~missing, value), F.lit(""))).cast("decimal(38,0)")).alias(f"hash_{i}"),
+            F.sum(F.xxhash64(PLACE, F.coalesce(value, F.lit(""))).cast("decimal(38,0)")).alias(f"hash_{i}"),
         ]
     first = table.agg(*aggregates).collect()[0]
     few = [i for i in range(len(fields)) if first[f"about_{i}"] <= max_distinct * 1.2]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions import text
-from attestra.functions.running import running_sum
+from attestra.functions.running import numbered
 
 #: Weight of a focus term by the field that has it.
 FIELD_WEIGHTS = {"title": 3, "tldr": 2, "abstract": 1}
@@ -114,20 +114,40 @@ def refresh(store: DataFrame, fetched: DataFrame, fields: tuple[str, ...], count
     return out.withColumns({f: F.coalesce(F.col(f"_new_{f}"), F.col(f)) for f in fields}).drop(*[f"_new_{f}" for f in fields])
 
 
+def _present(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _identifier(name: str) -> Column:
+    return _present(F.try_element_at("externalids", F.lit(name)))
+
+
+# What a file name and a key leave out of a text. Combining marks are no word characters.
+UNNAMED, NO_WORD = r"[^\p{L}\p{N}_\- ]+", r"[^\p{L}\p{N}_]+"
+
+
 def pdf_candidates(papers: DataFrame) -> DataFrame:
-    """``paperid, candidates, basename``: links to try in order, and the file name to keep it under."""
-    arxiv = F.coalesce(F.try_element_at("externalids", F.lit("ArXiv")), F.lit(None))
-    links = F.array_distinct(F.array_compact(F.array(F.col("openaccesspdf.url"), F.when(arxiv.isNotNull(), F.concat(F.lit("https://arxiv.org/pdf/"), arxiv)))))
-    slug = F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", "-"), F.lit("-"))
-    return papers.select("paperid", links.alias("candidates"), F.concat_ws("_", F.coalesce(F.col("year").cast("string"), F.lit("nd")), F.substring(slug, 1, 80)).alias("basename"))
+    """``paperid, candidates, basename``: links to try in order, and the file name to keep it under.
+
+    The name is ``<year>_<title>``: letters, digits, hyphens and underscores of the title's first 80 characters.
+    """
+    arxiv = _identifier("ArXiv")
+    links = F.array_distinct(F.array_compact(F.array(_present(F.col("openaccesspdf.url")), F.concat(F.lit("https://arxiv.org/pdf/"), arxiv))))
+    kept = F.regexp_replace(F.coalesce(_present(F.col("title")), F.col("paperid")), UNNAMED, "")
+    slug = F.translate(text.stripped(F.substring(kept, 1, 80)), " ", "_")
+    return papers.select("paperid", links.alias("candidates"), F.concat_ws("_", F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit("nd")), slug).alias("basename"))
 
 
 def bibtex(papers: DataFrame) -> DataFrame:
-    """``paperid, bibtex``: the stored entry, else a short one with the key surname and year."""
+    """``paperid, bibtex``: the stored entry, else a short one whose key is the last word of the first author and the year."""
     first = F.try_element_at("authors", F.lit(1))["name"]
-    surname = F.coalesce(F.regexp_replace(F.lower(F.element_at(F.split(F.trim(first), r"\s+"), -1)), r"[^a-z]", ""), F.lit("anon"))
-    made = F.format_string("@article{%s%s,\n  title = {%s},\n  year = {%s}\n}", surname, F.coalesce(F.col("year").cast("string"), F.lit("nd")), F.coalesce("title", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")))
-    return papers.select("paperid", F.coalesce(F.col("citationstyles.bibtex"), made).alias("bibtex"))
+    year = F.col("year").cast("string")
+    last = F.element_at(F.filter(F.split(text.stripped(first), r"(?U)\s+"), lambda w: w != ""), -1)
+    key = F.regexp_replace(F.concat(F.coalesce(last, F.lit("anon")), F.coalesce(F.nullif(year, F.lit("0")), F.lit(""))), NO_WORD, "")
+    none = lambda c: F.coalesce(c, F.lit("None"))
+    doi = F.coalesce(F.concat(F.lit("  doi = {"), _identifier("DOI"), F.lit("},\n")), F.lit(""))
+    made = F.concat(F.lit("@article{"), key, F.lit(",\n  title = {"), none(F.col("title")), F.lit("},\n  year = {"), none(year), F.lit("},\n"), doi, F.lit("}"))
+    return papers.select("paperid", text.stripped(F.coalesce(_present(F.col("citationstyles.bibtex")), made)).alias("bibtex"))
 
 
 def filter_value(c: Column) -> Column:
@@ -138,14 +158,12 @@ def filter_value(c: Column) -> Column:
 def ranked(papers: DataFrame, rated: DataFrame | None = None) -> DataFrame:
     """``paperid, tier, rank``: report order by relevance and influence, or influence alone; ties by ``paperid``.
 
-    Ranks go on across tiers. The order is global: rows are range-partitioned by it, and ranks are the counts
-    of the ranges before plus places inside, so that no task holds all papers.
+    Ranks go on across tiers. Rows are range-partitioned by the whole order, so papers without any hit, which all
+    have relevance 0, spread over as many tasks as others.
     """
     own = papers.select("paperid", influence().alias("_i"))
     own = own.withColumn("_r", F.lit(0.0)) if rated is None else own.join(rated.select("paperid", F.col("relevance").alias("_r")), "paperid")
-    edges = F.broadcast(own.agg(F.percentile_approx(F.struct("_r", "_i")["_r"], F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("_e")))
-    placed = own.crossJoin(edges).withColumns({"_part": -F.size(F.filter("_e", lambda e: e < F.col("_r"))), "_one": F.lit(1), "_all": F.lit(0)}).drop("_e")
-    counted = running_sum(placed, ["_all"], "_part", [F.col("_r").desc(), F.col("_i").desc(), F.col("paperid")], "_one", "rank")
+    counted = numbered(own, [F.col("_r").desc(), F.col("_i").desc(), F.col("paperid")], "rank")
     return counted.select("paperid", *([] if rated is None else [tier(F.col("_r")).alias("tier")]), "rank")
 
 

@@ -45,22 +45,44 @@ def parse_journal(lines: DataFrame) -> DataFrame:
     return rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)], F.get("c", F.lit(5)).try_cast("double").alias("runtime_s"), F.get("c", F.lit(6)).alias("timestamp"))
 
 
+def _joined(labels: pd.Series, values: pd.Series, form) -> list[list[str] | None]:
+    return [None if ks is None else [x for k, v in zip(ks, vs) if (x := form(k, v)) is not None] for ks, vs in zip(labels, values)]
+
+
 def _percent(labels: pd.Series, values: pd.Series) -> pd.Series:
-    joined = [None if ks is None else ", ".join(f"{k}={v:.2f}%" for k, v in zip(ks, vs) if v is not None and v == v) for ks, vs in zip(labels, values)]
-    return pd.Series(joined, dtype=object)
+    found = _joined(labels, values, lambda k, v: None if v is None else f"{k}={float(v):.2f}%")
+    return pd.Series([", ".join(parts) if parts else "-" for parts in found], dtype=object)
 
 
 def summarize_mape(results: Column) -> Column:
-    """``config=x.xx%`` of the configurations with a number, in order; digits of the exact binary value."""
-    return F.pandas_udf(_percent, "string")(F.map_keys(results), F.map_values(results)["mape"])
+    """``config=x.xx%`` of the configurations with a mape, in order; ``-`` where there is none; digits of the exact binary value.
+
+    NaN is a mape like others, as it can be written.
+    """
+    return F.pandas_udf(_percent, "string")(F.map_keys(results), _stored(F.map_values(results)))
+
+
+def _stored(values: Column) -> Column:
+    """Each mape as a text, which tells NaN from null on the way to Python."""
+    return F.transform(values, lambda v: v["mape"].cast("string"))
+
+
+#: Configurations that a summary shows.
+SHOWN = 6
+
+
+def _results(labels: pd.Series, values: pd.Series, smoke: pd.Series) -> pd.Series:
+    found = _joined(labels, values, lambda k, v: f"{k}=?" if v is None else f"{k}={float(v):.3f}")
+    rows = []
+    for parts, test in zip(found, smoke):
+        more = f" (+{len(parts) - SHOWN} more)" if parts and len(parts) > SHOWN else ""
+        rows.append("mape: " + ", ".join(parts[:SHOWN]) + more + (" [SMOKE]" if test is True or test == 1 else "") if parts else "no results key!")
+    return pd.Series(rows, dtype=object)
 
 
-def summarize_results(results: Column, smoke: Column, most: int = 6) -> Column:
-    """The first configurations with their mape, ``+N more``, and a mark for smoke tests."""
-    entries = F.map_entries(results)
-    shown = F.array_join(F.transform(F.slice(entries, 1, most), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.format_string("%.2f", e["value"]["mape"]), F.lit("?")))), ", ")
-    more = F.when(F.size(entries) > most, F.concat(F.lit(" +"), (F.size(entries) - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return F.concat(F.when(F.coalesce(smoke, F.lit(False)), "[SMOKE] ").otherwise(F.lit("")), shown, more)
+def summarize_results(results: Column, smoke: Column) -> Column:
+    """``mape: config=x.xxx`` of the first configurations, ``?`` for null, how many more there are, and a mark for smoke tests."""
+    return F.pandas_udf(_results, "string")(F.map_keys(results), _stored(F.map_values(results)), F.coalesce(smoke, F.lit(False)))
 
 
 def literal_text(value: Column | str) -> Column:

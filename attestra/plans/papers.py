@@ -53,9 +53,20 @@ def year_rule(spark, folder):
 
 
 def _audited(spark, folder):
-    entries = table(spark, folder, "bib_records").select(F.col("bib_id").alias("entry"), "title", "year", "venue", "doi")
+    """Entries of bibliography files against the stored papers; types as they are, a link for those with a number of a preprint server.
+
+    Retraction is known of the papers of one kind of source, as the tables say nothing about it.
+    """
+    own = table(spark, folder, "bib_records")
+    kind = F.coalesce(F.try_element_at("types", F.lit(1)), F.lit("article"))
+    entries = own.select(
+        F.col("bib_id").alias("entry"), "title", "year", "venue", "doi", kind.alias("type"), F.concat(F.lit("https://arxiv.org/abs/"), "arxiv").alias("url"), F.when(F.col("bib_id") % 3 == 0, 404).otherwise(200).alias("url_status"),
+        (F.col("venue").isNotNull() & (F.col("venue") != "")).alias("in_journal"), biblio.looks_unpublished(F.create_map(F.lit("journal"), F.coalesce("venue", F.lit("")), F.lit("note"), F.coalesce("src", F.lit("")))).alias("unpublished"),
+    )
+    searched = F.exists("_sources", lambda s: s.startswith("search:"))
     records = _current(spark, folder).select(
-        F.col("paperid").alias("record"), F.col("row_id").alias("ord"), "title", "year", "venue", F.try_element_at("externalids", F.lit("DOI")).alias("doi"), F.lit(None).cast("boolean").alias("retracted"),
+        F.col("paperid").alias("record"), F.col("row_id").alias("ord"), "title", "year", "venue", F.try_element_at("externalids", F.lit("DOI")).alias("doi"), F.try_element_at("externalids", F.lit("ArXiv")).alias("arxiv"),
+        F.when(searched, F.coalesce(F.length("paperid") % 2 == F.col("year") % 2, F.lit(False))).alias("retracted"),
     )
     return biblio.audit(entries, records)
 
@@ -65,11 +76,45 @@ def bib_audit(spark, folder):
     return _audited(spark, folder)
 
 
+_DOI = lambda c: rf"nullif(lower(rtrim(trim(regexp_replace(trim({c}), '(?i)^https?://(dx\.)?doi\.org/', '')), '.')), '')"
+_AUDIT = (
+    _CURRENT
+    + rf""", b AS (SELECT bib_id AS entry, title, {_DOI("doi")} AS d, coalesce(types[1], 'article') AS type, arxiv, coalesce(venue, '') AS venue, coalesce(src, '') AS src FROM bib_records),
+k AS (SELECT DISTINCT {_DOI("externalids['DOI']")} AS d FROM cur)
+"""
+)
+
+
+@PAPERS.add(
+    "bib_paths",
+    _AUDIT
+    + """SELECT entry, CASE WHEN b.d IS NOT NULL THEN CASE WHEN b.d IN (SELECT d FROM k WHERE d IS NOT NULL) THEN 'by DOI' ELSE 'NOT-FOUND' END
+  WHEN type IN ('misc', 'online', 'electronic') AND arxiv IS NOT NULL AND venue = '' THEN CASE WHEN entry % 3 = 0 THEN 'UNVERIFIABLE' ELSE 'NON-PAPER-OK' END
+  WHEN coalesce(title, '') = '' THEN 'UNVERIFIABLE' ELSE 'by title' END AS path FROM b""",
+)
+def bib_paths(spark, folder):
+    """The verdict of each entry where no record decides it, else how its record is looked up."""
+    audited = _audited(spark, folder)
+    own = table(spark, folder, "bib_records").select(F.col("bib_id").alias("entry"), text.norm_doi(F.col("doi")).alias("d"), F.coalesce("title", F.lit("")).alias("title"))
+    path = F.when(F.col("d").isNotNull(), F.when(F.col("record").isNotNull(), "by DOI").otherwise(F.col("verdict"))).when((F.col("verdict") == "NON-PAPER-OK") | ((F.col("verdict") == "UNVERIFIABLE") & (F.size("notes") > 0)) | (F.col("title") == ""), F.col("verdict")).otherwise("by title")
+    return audited.join(own, "entry").select("entry", path.alias("path"))
+
+
 @PAPERS.add("bib_verdict_counts")
 def bib_verdict_counts(spark, folder):
     return biblio.verdict_counts(_audited(spark, folder))
 
 
+@PAPERS.add(
+    "venue_marks",
+    """SELECT bib_id, coalesce(lower(trim(venue)) IN ('otexts', 'wiley', 'springer', 'elsevier', 'mit press', 'crc press', 'academic press', 'pearson', 'mcgraw-hill', 'o''reilly', 'manning', 'nber', 'arxiv', 'preprint'), false) AS publisher,
+  len(list_filter(['submitted', 'in press', 'under review', 'to appear', 'preprint'], lambda w: contains(lower(coalesce(venue, '') || ' ' || coalesce(src, '')), w))) > 0 AS unpublished FROM bib_records""",
+)
+def venue_marks(spark, folder):
+    fields = F.create_map(F.lit("journal"), F.coalesce("venue", F.lit("")), F.lit("note"), F.coalesce("src", F.lit("")), F.lit("title"), F.lit("submitted"))
+    return table(spark, folder, "bib_records").select("bib_id", biblio.venue_is_publisher(F.col("venue")).alias("publisher"), biblio.looks_unpublished(fields).alias("unpublished"))
+
+
 @PAPERS.add(
     "bibtex_parse",
     "SELECT s_suppkey AS source, 0 AS pos, 'article' AS type, 'sup' || s_suppkey AS citekey, 'A {nested {title}} of ' || s_name AS title, s_name AS author, s_nationkey::VARCHAR AS year FROM supplier",
@@ -84,12 +129,24 @@ def bibtex_parse(spark, folder):
 # --- Citations ---------------------------------------------------------------------------------
 
 
-@PAPERS.add(
-    "cited_keys",
-    r"""WITH b AS (SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(text, '(?s)\\begin\{document\}.+\\end\{document\}') THEN regexp_extract(text, '(?s)\\begin\{document\}(.*)\\end\{document\}', 1) ELSE text END, '(^|[^\\])%[^\n\r]*', '\1', 'g') AS t FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, unnest(str_split(list_aggregate(regexp_extract_all(t, '\\cite[a-z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}', 1), 'string_agg', ','), ',')) AS k FROM b)
-SELECT doc_id, trim(k) AS cited, count(*) AS times FROM k WHERE trim(k) <> '' GROUP BY ALL""",
-)
+_CITED = r"""WITH n AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(t, '(?s)\\begin\{document\}.*\\end\{document\}') THEN regexp_extract(t, '(?s)\\begin\{document\}(.*)\\end\{document\}', 1) ELSE t END, '(^|[^\\])%[^\n]*', '\1', 'g') AS t FROM n),
+pa AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n[\s\p{Z}\x0b\x85]*\n'), lambda p: trim(regexp_replace(p, '[\s\p{Z}\x0b\x85]+', ' ', 'g'))), lambda p: contains(p, '\cite') OR contains(p, 'cite{')) AS ps FROM b),
+st AS (SELECT doc_id, list_filter(flatten(list_transform(ps, lambda p: str_split(regexp_replace(p, '([.!?]) ([A-Z\\`"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: x <> '') AS ss FROM pa),
+se AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss)))::INT AS pos FROM st),
+ck AS (SELECT doc_id, pos, trim(regexp_replace(s, '\\(?:cite|citep|citet|citealp|citeauthor|parencite|textcite|autocite)\*?(?:\[[^\]]*\])*\{([^}]+)\}', '[CITE]', 'g')) AS sentence,
+  unnest(regexp_extract_all(s, '\\(?:cite|citep|citet|citealp|citeauthor|parencite|textcite|autocite)\*?(?:\[[^\]]*\])*\{([^}]+)\}', 1)) AS ks FROM se),
+ci AS (SELECT * FROM (SELECT doc_id, pos, sentence, trim(unnest(str_split(ks, ','))) AS cited FROM ck) WHERE cited <> '')
+"""
+
+
+@PAPERS.add("cited_sentences", _CITED + "SELECT doc_id, pos, sentence, cited, count(*) AS times FROM ci GROUP BY ALL")
+def cited_sentences(spark, folder):
+    cited = biblio.cited_sentences(table(spark, folder, "documents"))
+    return cited.groupBy(*cited.columns).agg(F.count(F.lit(1)).alias("times"))
+
+
+@PAPERS.add("cited_keys", _CITED + "SELECT doc_id, cited, count(*) AS times FROM ci GROUP BY ALL")
 def cited_keys(spark, folder):
     cited = biblio.cited_sentences(table(spark, folder, "documents"))
     return cited.groupBy("doc_id", "cited").agg(F.count(F.lit(1)).alias("times"))
@@ -139,31 +196,31 @@ def influence_topk(spark, folder):
     return store.top_influence(_current(spark, folder), 25).select("paperid", "influence")
 
 
-_STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(text.STOP_WORDS)))
+_STOP_LIST = "'the','a','an','and','or','of','for','in','on','to','with','by','from','at','is','are','was','were','be','been','that','this','these','those','its','as','we','our','their','using','based','via','can','into','over','under','between','toward','towards','new','novel','approach','method','paper','study','propose','proposed'"
 _RELEVANCE = (
     _CURRENT
     + f"""
 , focus AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower('{FOCUS}'), '[a-z][a-z0-9\\-]{{2,}}'), lambda w: NOT list_contains([{_STOP_LIST}], w))) AS t),
 tok AS (SELECT paperid, list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z0-9\\-]{{2,}}')) AS a, list_distinct(regexp_extract_all(lower(coalesce(tldr.text, '')), '[a-z][a-z0-9\\-]{{2,}}')) AS b,
-  list_distinct(regexp_extract_all(lower(coalesce(coalesce(nullif(trim(abstract), ''), nullif(trim(_abstract_openalex), '')), '')), '[a-z][a-z0-9\\-]{{2,}}')) AS c FROM cur),
+  list_distinct(regexp_extract_all(lower(coalesce(coalesce(nullif(abstract, ''), nullif(_abstract_openalex, '')), '')), '[a-z][a-z0-9\\-]{{2,}}')) AS c FROM cur),
 hit AS (SELECT paperid, t, 3 * list_contains(a, t)::INT + 2 * list_contains(b, t)::INT + list_contains(c, t)::INT AS w FROM tok, focus),
 df AS (SELECT t, count(*) FILTER (WHERE w > 0) AS df FROM hit GROUP BY 1),
 idf AS (SELECT t, ln(((SELECT count(*) FROM cur) + 1) / (df + 1)) + 1 AS idf FROM df),
 sc AS (SELECT paperid, sum(w * idf) AS score, coalesce(list(t ORDER BY idf DESC, t) FILTER (WHERE w > 0), []) AS matched FROM hit JOIN idf USING (t) GROUP BY 1),
-rel AS (SELECT paperid, score, score / (SELECT max(score) FROM sc) AS relevance, matched FROM sc)
+rel AS (SELECT paperid, score, CASE WHEN (SELECT max(score) FROM sc) > 0 THEN score / (SELECT max(score) FROM sc) ELSE 0 END AS relevance, matched FROM sc)
 """
 )
 
 
 def _relevance(spark, folder):
     own = _current(spark, folder)
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    blank = lambda c: F.nullif(c, F.lit(""))
     return store.relevance(own.select("paperid", "title", F.col("tldr.text").alias("tldr"), F.coalesce(blank(F.col("abstract")), blank(F.col("_abstract_openalex"))).alias("abstract")), FOCUS)
 
 
-@PAPERS.add("relevance", _RELEVANCE + "SELECT paperid, round(score, 6) AS score, round(relevance, 6) AS relevance, len(matched)::INT AS matched FROM rel")
+@PAPERS.add("relevance", _RELEVANCE + "SELECT paperid, round(score, 6) AS score, round(relevance, 6) AS relevance, matched FROM rel")
 def relevance(spark, folder):
-    return _relevance(spark, folder).select("paperid", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"), F.size("matched").alias("matched"))
+    return _relevance(spark, folder).select("paperid", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"), "matched")
 
 
 @PAPERS.add("tiers", _RELEVANCE + "SELECT CASE WHEN round(relevance, 9) >= 0.6 THEN 'Core' WHEN round(relevance, 9) >= 0.3 THEN 'Related' ELSE 'Peripheral' END AS tier, count(*) AS papers FROM rel GROUP BY 1")
@@ -197,18 +254,30 @@ def refresh_drops(spark, folder):
 @PAPERS.add(
     "pdf_candidates",
     _CURRENT
-    + """ SELECT paperid, list_distinct(list_filter([openaccesspdf.url, 'https://arxiv.org/pdf/' || externalids['ArXiv']], lambda x: x IS NOT NULL)).list_sort() AS candidates,
-  coalesce(year::VARCHAR, 'nd') || coalesce('_' || substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '') AS basename FROM cur""",
+    + r""" SELECT paperid, list_filter([nullif(openaccesspdf.url, ''), CASE WHEN nullif(openaccesspdf.url, '') IS DISTINCT FROM 'https://arxiv.org/pdf/' || nullif(externalids['ArXiv'], '') THEN 'https://arxiv.org/pdf/' || nullif(externalids['ArXiv'], '') END], lambda x: x IS NOT NULL) AS candidates,
+  coalesce(nullif(year, 0)::VARCHAR, 'nd') || '_' || replace(trim(substr(regexp_replace(coalesce(nullif(title, ''), paperid), '[^\p{L}\p{N}_\- ]+', '', 'g'), 1, 80)), ' ', '_') AS basename FROM cur""",
 )
 def pdf_candidates(spark, folder):
-    return store.pdf_candidates(_current(spark, folder)).withColumn("candidates", F.array_sort("candidates"))
+    return store.pdf_candidates(_current(spark, folder))
 
 
-@PAPERS.add("bibtex_export", _CURRENT + " SELECT count(*) AS papers, count(citationstyles.bibtex) AS stored FROM cur")
+@PAPERS.add(
+    "bibtex_export",
+    _CURRENT
+    + r""" SELECT paperid, trim(coalesce(nullif(citationstyles.bibtex, ''), '@article{' || regexp_replace(coalesce(list_filter(regexp_split_to_array(trim(authors[1].name), '[\s\p{Z}]+'), lambda w: w <> '')[-1], 'anon') || coalesce(nullif(year, 0)::VARCHAR, ''), '[^\p{L}\p{N}_]+', '', 'g')
+  || E',\n  title = {' || coalesce(title, 'None') || E'},\n  year = {' || coalesce(year::VARCHAR, 'None') || E'},\n' || coalesce('  doi = {' || nullif(externalids['DOI'], '') || E'},\n', '') || '}'), E' \t\r\n') AS bibtex FROM cur""",
+)
 def bibtex_export(spark, folder):
-    own = _current(spark, folder)
-    made = store.bibtex(own).join(own.select("paperid", F.col("citationstyles.bibtex").alias("kept")), "paperid")
-    return made.agg(F.count("bibtex").alias("papers"), F.count_if(F.col("bibtex") == F.col("kept")).alias("stored"))
+    return store.bibtex(_current(spark, folder))
+
+
+@PAPERS.add(
+    "report_ranks",
+    _RELEVANCE
+    + """SELECT paperid, CASE WHEN relevance >= 0.6 THEN 'Core' WHEN relevance >= 0.3 THEN 'Related' ELSE 'Peripheral' END AS tier, row_number() OVER (ORDER BY round(relevance, 9) DESC, coalesce(influentialcitationcount, 0) * 3 + coalesce(citationcount, 0) DESC, paperid) AS rank FROM rel JOIN cur USING (paperid)""",
+)
+def report_ranks(spark, folder):
+    return store.ranked(_current(spark, folder), _relevance(spark, folder).withColumn("relevance", F.round("relevance", 9)))
 
 
 @PAPERS.add(
@@ -306,7 +375,7 @@ def track_counts(spark, folder):
     "log_warnings",
     _LOG
     + """SELECT id, 'finding without evidence' AS warning FROM entries WHERE type = 'finding' UNION ALL SELECT id, 'correction without refs' FROM entries WHERE type = 'correction' AND len(refs) = 0
-UNION ALL SELECT id, 'unknown type' FROM entries WHERE type NOT IN ('finding', 'correction', 'decision', 'blocker', 'next', 'idea', 'status', 'null-result')
+UNION ALL SELECT id, 'unknown type' FROM entries WHERE type NOT IN ('progress', 'finding', 'blocker', 'decision', 'correction', 'next', 'status')
 UNION ALL SELECT id, 'unknown ref #' || r FROM (SELECT id, unnest(refs) AS r FROM entries) WHERE r NOT IN (SELECT id FROM entries)""",
 )
 def log_warnings(spark, folder):
@@ -316,16 +385,16 @@ def log_warnings(spark, folder):
 @PAPERS.add(
     "log_digest",
     _LOG
-    + """, tr AS (SELECT DISTINCT track, ['active', 'blocked', 'open', 'done', 'dropped'][(length(track) % 5) + 1] AS status FROM entries),
+    + """, tr AS (SELECT DISTINCT track, ['pending', 'active', 'blocked', 'done', 'dropped'][(length(track) % 5) + 1] AS status FROM entries),
 la AS (SELECT track, max(id) AS last_id FROM entries GROUP BY 1), nx AS (SELECT track, max(id) AS next_id, arg_max(text, id) AS next_text FROM entries WHERE type = 'next' GROUP BY 1),
 bl AS (SELECT track, arg_max(text, id) AS block_text FROM entries WHERE type = 'blocker' GROUP BY 1)
-SELECT tr.track, status, list_position(['active', 'blocked', 'open', 'done', 'dropped'], status)::INT AS place, CASE WHEN status = 'blocked' THEN block_text END AS blocker,
+SELECT tr.track, status, list_position(['active', 'blocked', 'pending', 'done', 'dropped'], status)::INT - 1 AS place, CASE WHEN status = 'blocked' THEN block_text END AS blocker,
   CASE WHEN status NOT IN ('done', 'dropped') THEN next_text END AS next_step, coalesce(status NOT IN ('done', 'dropped') AND last_id > next_id, false) AS stale
 FROM tr JOIN la USING (track) LEFT JOIN nx USING (track) LEFT JOIN bl USING (track)""",
 )
 def log_digest(spark, folder):
     entries = _entries(spark, folder)
-    states = F.element_at(F.array(*[F.lit(s) for s in log.STATUS]), (F.pmod(F.length("track"), F.lit(5)) + 1).cast("int"))
+    states = F.element_at(F.array(*[F.lit(s) for s in log.STATUSES]), (F.pmod(F.length("track"), F.lit(5)) + 1).cast("int"))
     return log.digest(entries.select("track").distinct().select(F.col("track").alias("id"), states.alias("status")), entries)
 
 
@@ -347,22 +416,35 @@ def narrative_check(spark, folder):
 # --- Reviews -----------------------------------------------------------------------------------
 
 
-@PAPERS.add("comment_split")
+_PARTS = r"""WITH r AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents WHERE source = 'review' AND text IS NOT NULL),
+i AS (SELECT doc_id, t, str_split(regexp_replace(t, '\n[\s\x0b\x85\p{Z}]*(\d+[.):]|[A-Z]\d+[.:])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM r),
+p AS (SELECT doc_id, CASE WHEN len(ps) >= 2 THEN ps ELSE regexp_split_to_array(t, '\n[\s\x0b\x85\p{Z}]*\n') END AS ps FROM i),
+k AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: trim(regexp_replace(x, '[\s\x0b\x85\p{Z}]+', ' ', 'g'))), lambda x: length(x) >= 15) AS ps FROM p),
+s AS (SELECT doc_id, unnest(range(1, len(ps) + 1))::INT AS pos, unnest(ps) AS text FROM k)
+"""
+
+
+@PAPERS.add("comment_split", _PARTS + "SELECT * FROM s")
 def comment_split(spark, folder):
     return review.split_comments(table(spark, folder, "documents").filter("source = 'review'"))
 
 
+@PAPERS.add("comment_items", _PARTS + "SELECT doc_id, count(*) AS items FROM s GROUP BY 1")
+def comment_items(spark, folder):
+    """Kept parts of each review."""
+    return review.split_comments(table(spark, folder, "documents").filter("source = 'review'")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
+
+
 @PAPERS.add(
-    "comment_items",
-    r"""WITH r AS (SELECT doc_id, regexp_replace(text, '(?m)^(\s*(?:\d{1,3}[.)]|[A-Z]\d{1,2}[.:])\s)', chr(1) || '\1', 'g') AS t FROM documents WHERE source = 'review' AND text IS NOT NULL),
-p AS (SELECT doc_id, list_filter(str_split(t, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS ps FROM r)
-SELECT doc_id, count(*) AS items FROM (SELECT doc_id, unnest(ps) AS x FROM p WHERE len(ps) >= 2) WHERE length(trim(x, ' ' || chr(9) || chr(10) || chr(13))) >= 15 GROUP BY 1""",
+    "review_store",
+    _PARTS
+    + """, d AS (SELECT doc_id, coalesce(notebook, '?') AS reviewer FROM documents WHERE source = 'review')
+SELECT d.reviewer || '.' || row_number() OVER (PARTITION BY d.reviewer ORDER BY s.doc_id, s.pos) AS id, d.reviewer, s.text FROM s JOIN d USING (doc_id)""",
 )
-def comment_items(spark, folder):
-    """Kept items of each review that has two items or more."""
-    own = table(spark, folder, "documents").filter("source = 'review'")
-    itemised = own.filter(F.size(F.filter(F.split("text", review.ITEM), lambda p: F.trim(p) != "")) >= 2)
-    return review.split_comments(itemised).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
+def review_store(spark, folder):
+    """All reviews imported into one store."""
+    reviews = table(spark, folder, "documents").filter("source = 'review'").select(F.coalesce("notebook", F.lit("?")).alias("reviewer"), F.col("doc_id").alias("ord"), "text")
+    return review.import_reviews(review.init(spark), reviews).select("id", "reviewer", "text")
 
 
 def _comments(spark, folder):
@@ -392,15 +474,18 @@ def comment_ids(spark, folder):
 
 @PAPERS.add(
     "diff_parse",
-    "SELECT o_orderkey AS diff_id, o_orderpriority || '.tex' AS file, 'price ' || o_orderstatus || ' second line' AS added FROM orders WHERE o_orderpriority LIKE '2%'",
+    """WITH f AS (SELECT o_orderkey AS diff_id, unnest(['dir/' || o_orderpriority || ' x.tex', 'plain.tex']) AS file, ' price ' || o_orderstatus || ' kept second line ' AS added FROM orders)
+SELECT diff_id, file, added FROM f""",
 )
 def diff_parse(spark, folder):
-    own = table(spark, folder, "orders").filter(F.col("o_orderpriority").startswith("2"))
-    name = F.regexp_replace("o_orderpriority", r"\s", "_")
-    made = F.array(F.lit("--- a/old"), F.concat(F.lit("+++ b/"), name, F.lit(".tex")), F.lit("-gone"), F.concat(F.lit("+price   "), "o_orderstatus"), F.lit(" kept"), F.lit("+  second line"))
+    """A made diff of each order: names with blanks, with and without a prefix, and a removed file."""
+    own = table(spark, folder, "orders")
+    made = F.array(
+        F.lit("--- a/old"), F.concat(F.lit("+++ b/dir/"), "o_orderpriority", F.lit(" x.tex")), F.lit("-gone"), F.concat(F.lit("+ price   "), "o_orderstatus"), F.lit("+kept"), F.lit("+++ plain.tex"), F.lit("+  second line"), F.lit("+++ /dev/null"),
+    )
     lines = own.select(F.col("o_orderkey").alias("diff_id"), F.posexplode(made).alias("line_no", "line"))
     files, added = review.parse_diff(lines)
-    return files.withColumn("file", F.regexp_replace("file", "_", " ")).join(added, "diff_id")
+    return files.join(added, "diff_id")
 
 
 # --- Gate --------------------------------------------------------------------------------------
@@ -457,15 +542,23 @@ def resume_pending(spark, folder):
     return sweep.pending(named.select("sweep", "run_id"), named.select("run_id", "status"))
 
 
+_MAPES = "WITH m AS (SELECT run_id, smoke_test, list_transform(map_entries(results), lambda e: {'k': e.key, 'v': e.value.mape}) AS ms FROM results)"
+
+
 @PAPERS.add(
     "journal_summary",
-    "SELECT run_id, coalesce(array_to_string(list_transform(list_filter(map_entries(results), lambda e: e.value.mape IS NOT NULL AND NOT isnan(e.value.mape)), lambda e: e.key || '=' || printf('%.2f', e.value.mape) || '%'), ', '), CASE WHEN results IS NOT NULL THEN '' END) AS summary FROM results",
+    _MAPES + """ SELECT run_id, coalesce(nullif(array_to_string(list_transform(list_filter(ms, lambda e: e.v IS NOT NULL), lambda e: e.k || '=' || printf('%.2f', e.v) || '%'), ', '), ''), '-') AS summary FROM m""",
 )
 def journal_summary(spark, folder):
     return table(spark, folder, "results").select("run_id", sweep.summarize_mape(F.col("results")).alias("summary"))
 
 
-@PAPERS.add("result_summary")
+@PAPERS.add(
+    "result_summary",
+    _MAPES
+    + """ SELECT run_id, CASE WHEN coalesce(len(ms), 0) = 0 THEN 'no results key!' ELSE 'mape: ' || array_to_string(list_transform(ms[1:6], lambda e: e.k || '=' || coalesce(printf('%.3f', e.v), '?')), ', ')
+  || CASE WHEN len(ms) > 6 THEN ' (+' || (len(ms) - 6) || ' more)' ELSE '' END || CASE WHEN smoke_test THEN ' [SMOKE]' ELSE '' END END AS summary FROM m""",
+)
 def result_summary(spark, folder):
     return table(spark, folder, "results").select("run_id", sweep.summarize_results(F.col("results"), F.col("smoke_test")).alias("summary"))
 

@@ -363,36 +363,42 @@ def claims_buckets(spark, folder):
 
 # --- Run integrity -----------------------------------------------------------------------------
 
+_KEY = "coalesce(nullif(notebook, ''), '?') || '::' || coalesce(span_start, '')"
+
 
 @STUDIES.add(
     "run_findings",
     """
 WITH x AS (SELECT *, coalesce(map_entries(results), []) AS es FROM results),
-f AS (SELECT run_id, smoke_test,
-  len(list_filter(['small_A', 'small_B', 'big_baseline', 'MTGNN'], lambda c: NOT list_contains(list_transform(es, lambda e: e.key), c))) AS missing,
-  coalesce(list_sum(list_transform(es, lambda e: CASE WHEN e.value.mape IS NULL OR NOT isfinite(e.value.mape) THEN 1 ELSE 0 END + CASE WHEN e.value.rmse IS NULL OR NOT isfinite(e.value.rmse) THEN 1 ELSE 0 END + CASE WHEN e.value.mae IS NULL OR NOT isfinite(e.value.mae) THEN 1 ELSE 0 END)), 0) AS bad,
-  len(list_filter(es, lambda e: coalesce(e.value.futility_stop, '') <> '')) AS futile,
-  len(list_filter(es, lambda e: (e.key = 'small_A' AND e.value.params IS DISTINCT FROM 12000) OR (e.key = 'small_B' AND e.value.params IS DISTINCT FROM 18131))) AS off_anchor FROM x)
-SELECT run_id, missing::INT AS missing, bad::INT AS bad, futile::INT AS futile, off_anchor::INT AS off_anchor,
-  CASE WHEN missing > 0 OR bad > 0 OR off_anchor > 0 THEN 'FAIL' WHEN coalesce(smoke_test, false) OR futile > 0 THEN 'DISCLOSE' ELSE 'OK' END AS tag FROM f
+f AS (SELECT run_id, smoke_test, list_filter(['small_A', 'small_B', 'big_baseline', 'MTGNN'], lambda c: NOT list_contains(list_transform(es, lambda e: e.key), c)) AS missing,
+  flatten(list_transform(es, lambda e: list_filter([CASE WHEN e.value.mape IS NULL OR NOT isfinite(e.value.mape) THEN e.key || '.mape' END, CASE WHEN e.value.rmse IS NULL OR NOT isfinite(e.value.rmse) THEN e.key || '.rmse' END,
+    CASE WHEN e.value.mae IS NULL OR NOT isfinite(e.value.mae) THEN e.key || '.mae' END], lambda b: b IS NOT NULL))) AS bad,
+  list_transform(list_filter(es, lambda e: coalesce(e.value.futility_stop, '') <> ''), lambda e: e.key || ': ' || e.value.futility_stop) AS futility,
+  list_filter(['small_A', 'small_B'], lambda k: len(list_filter(es, lambda e: e.key = k AND e.value.params IS DISTINCT FROM CASE k WHEN 'small_A' THEN 12000 ELSE 18131 END)) > 0) AS off_anchor FROM x)
+SELECT run_id, missing, bad, futility, off_anchor,
+  CASE WHEN len(missing) > 0 OR len(bad) > 0 OR len(off_anchor) > 0 THEN 'FAIL' WHEN coalesce(smoke_test, false) OR len(futility) > 0 THEN 'DISCLOSE' ELSE 'OK' END AS tag FROM f
 """,
 )
 def run_findings(spark, folder):
-    found = integrity.findings(table(spark, folder, "results"), EXPECT, ANCHORS)
-    return found.select("run_id", *[F.size(c).alias(n) for c, n in (("missing", "missing"), ("bad", "bad"), ("futility", "futile"), ("off_anchor", "off_anchor"))], "tag")
+    return integrity.findings(table(spark, folder, "results"), EXPECT, ANCHORS).select("run_id", "missing", "bad", "futility", "off_anchor", "tag")
 
 
-@STUDIES.add("seed_census", "SELECT coalesce(notebook, '?') || '::' || coalesce(span_start, '?') AS study, count(DISTINCT CASE WHEN NOT coalesce(smoke_test, false) THEN seed END) AS seeds, count(*) AS runs FROM results GROUP BY 1")
+@STUDIES.add("seed_census", f"WITH s AS (SELECT {_KEY} AS study, CASE WHEN NOT coalesce(smoke_test, false) THEN seed END AS seed FROM results) SELECT study, coalesce(list_sort(list(DISTINCT seed) FILTER (WHERE seed IS NOT NULL)), []) AS seeds, count(DISTINCT seed)::INT AS n, count(*) AS runs, count(DISTINCT seed) > 1 AS robust FROM s GROUP BY 1")
 def seed_census(spark, folder):
     return integrity.seed_census(table(spark, folder, "results"))
 
 
+@STUDIES.add("config_seeds", f"WITH c AS (SELECT DISTINCT {_KEY} AS study, coalesce(seed, -987654321) AS seed, unnest(map_keys(results)) AS config FROM results WHERE NOT coalesce(smoke_test, false)) SELECT study, config, count(*) AS seeds FROM c GROUP BY ALL")
+def config_seeds(spark, folder):
+    return integrity.config_seeds(table(spark, folder, "results"))
+
+
 @STUDIES.add(
     "under_coverage",
-    """
-WITH x AS (SELECT coalesce(notebook, '?') || '::' || coalesce(span_start, '?') AS study, seed, coalesce(map_keys(results), []) AS ks FROM results WHERE NOT coalesce(smoke_test, false) AND seed IS NOT NULL),
+    f"""
+WITH x AS (SELECT {_KEY} AS study, seed, coalesce(map_keys(results), []) AS ks FROM results WHERE NOT coalesce(smoke_test, false)),
 c AS (SELECT unnest(['small_A', 'small_B', 'big_baseline', 'MTGNN']) AS config),
-g AS (SELECT study, config, count(DISTINCT seed) AS study_seeds, count(DISTINCT CASE WHEN list_contains(ks, config) THEN seed END) AS seeds FROM x, c GROUP BY ALL)
+g AS (SELECT study, config, count(DISTINCT seed) AS study_seeds, count(DISTINCT CASE WHEN list_contains(ks, config) THEN seed END) + max(CASE WHEN list_contains(ks, config) AND seed IS NULL THEN 1 ELSE 0 END) AS seeds FROM x, c GROUP BY ALL)
 SELECT study, config, seeds, study_seeds FROM g WHERE seeds < study_seeds
 """,
 )
@@ -408,8 +414,9 @@ def _profile_sql(name: str, columns: dict[str, str]) -> str:
     parts = []
     for i, (c, kind) in enumerate(columns.items()):
         missing = f"({c} IS NULL OR lower(trim({c})) IN ('', 'na', 'nan', 'null', 'none', 'n/a'))" if kind == "text" else f"{c} IS NULL"
-        number = f"{c}::DOUBLE" if kind == "number" else f"CASE WHEN regexp_full_match(trim({c}), '[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?') THEN try_cast(trim({c}) AS DOUBLE) END" if kind == "text" else "NULL::DOUBLE"
-        distinct = f"count(DISTINCT {c}) FILTER (WHERE NOT {missing})"
+        number = f"{c}::DOUBLE" if kind == "number" else f"CASE WHEN regexp_full_match(trim({c}), '[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?|[+-]?(?i:inf|infinity)') THEN try_cast(trim({c}) AS DOUBLE) END" if kind == "text" else "NULL::DOUBLE"
+        held = f"trim({c})" if kind == "text" else c
+        distinct = f"count(DISTINCT {held}) FILTER (WHERE NOT {missing})"
         parts.append(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE {missing}) AS nulls, CASE WHEN {distinct} <= 1000 THEN ({distinct})::INT END AS \"distinct\", min({number}) AS min, max({number}) AS max FROM {name}")
     return " UNION ALL ".join(parts)
 
@@ -427,6 +434,12 @@ for _name, _columns in {
     STUDIES.add(f"profile_{_name}", _profile_sql(_name, _columns))(lambda spark, folder, _n=_name, _c=tuple(_columns): _profile(spark, folder, _n, *_c))
 
 
+@STUDIES.add("column_hashes")
+def column_hashes(spark, folder):
+    """Order-sensitive hashes of the columns of the customers, by their key."""
+    return profile.profile(table(spark, folder, "customer"), "c_custkey").select("column", "col_hash")
+
+
 def _altered(spark, folder):
     own = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
     return own, own.select("c_custkey", "c_name", F.lit(1.5).alias("c_acctbal"), F.col("c_name").alias("again"), F.lit(None).cast("string").alias("nothing"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("thin"))
@@ -434,13 +447,13 @@ def _altered(spark, folder):
 
 @STUDIES.add("degeneracies", "SELECT * FROM (VALUES ('c_acctbal', 'CONSTANT'), ('again', 'DUPLICATES c_name'), ('nothing', 'ALL-NULL'), ('thin', '>50% NULL')) t(\"column\", problem)")
 def degeneracies(spark, folder):
-    return profile.degeneracies(profile.profile(_altered(spark, folder)[1]))
+    return profile.degeneracies(profile.profile(_altered(spark, folder)[1], "c_custkey"))
 
 
 @STUDIES.add("drift", "SELECT * FROM (VALUES ('c_acctbal', 'hard', 'collapsed to a constant'), ('c_acctbal', 'soft', 'content changed'), ('again', 'hard', 'column added'), ('nothing', 'hard', 'column added'), ('thin', 'hard', 'column added')) t(\"column\", severity, change)")
 def drift_between(spark, folder):
     before, after = _altered(spark, folder)
-    return profile.drift(profile.profile(before), profile.profile(after))
+    return profile.drift(profile.profile(before, "c_custkey"), profile.profile(after, "c_custkey"))
 
 
 @STUDIES.add("array_profile", "SELECT count(*) AS rows, max(len(embedding))::INT AS width, sum(len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))))::BIGINT AS nans, min(list_min(embedding))::DOUBLE AS min, max(list_max(embedding))::DOUBLE AS max, min(list_min(embedding)) = max(list_max(embedding)) AS constant FROM embeddings")

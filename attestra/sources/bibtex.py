@@ -2,71 +2,61 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SKIPPED = {"comment", "preamble", "string"}
+# What begins an entry and a field, and the kinds that are no entries.
+ENTRY, FIELD = re.compile(r"@(\w+)\s*\{"), re.compile(r"[ \t\r\n,]*(\w+)\s*=\s*")
+SKIPPED = ("comment", "preamble", "string")
+_BRACE, _BARE = re.compile(r"[{}]"), re.compile(r"[,\n]")
 
 
 def _closing(text: str, at: int) -> int:
-    """Place of the brace that closes the one at ``at``; the end of the text where none does."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == "\\":
-            continue
-        depth += (text[i] == "{") - (text[i] == "}")
+    """Place of the brace that closes the group whose inside begins at ``at``; where none does, that of the last character."""
+    depth = 1
+    for brace in _BRACE.finditer(text, at):
+        depth += 1 if brace.group() == "{" else -1
         if depth == 0:
-            return i
-    return len(text)
+            return brace.start()
+    return max(at, len(text) - 1)
 
 
 def _fields(body: str) -> dict[str, str]:
-    """Braced, quoted and bare values; names in lower case, the last of a name counts."""
+    """Braced, quoted and bare values; names in lower case, the last of a name counts.
+
+    What is no field ends the entry. Quotes end at the next one, bare values at a comma or line end.
+    """
     out: dict[str, str] = {}
     at = 0
-    while (sign := body.find("=", at)) >= 0:
-        name = body[at:sign].strip(" \t\r\n,").lower()
-        i = sign + 1
-        while i < len(body) and body[i].isspace():
-            i += 1
-        if i < len(body) and body[i] == "{":
-            end = _closing(body, i)
-            value, at = body[i + 1 : end], end + 1
-        elif i < len(body) and body[i] == '"':
-            end = i + 1
-            depth = 0
-            while end < len(body) and (body[end] != '"' or depth > 0):
-                depth += (body[end] == "{") - (body[end] == "}")
-                end += 1
-            value, at = body[i + 1 : end], end + 1
-        else:
-            end = body.find(",", i)
+    while (found := FIELD.match(body, at)) and found.end() < len(body):
+        at = found.end()
+        if body[at] == "{":
+            end = _closing(body, at + 1)
+            value, at = body[at + 1 : end], end + 1
+        elif body[at] == '"':
+            end = body.find('"', at + 1)
             end = len(body) if end < 0 else end
-            value, at = body[i:end], end + 1
-        if name and " " not in name:
-            out[name] = " ".join(value.split())
+            value, at = body[at + 1 : end], end + 1
+        else:
+            stop = _BARE.search(body, at)
+            end = stop.start() if stop else len(body)
+            value, at = body[at:end], end
+        out[found.group(1).lower()] = " ".join(value.split())
     return out
 
 
 def entries(text: str | None) -> list[tuple[str, str, dict[str, str]]]:
-    """(type, key, fields) of every entry; comments, preambles and strings are passed over."""
-    out, at = [], 0
-    while text and (at := text.find("@", at)) >= 0:
-        brace = text.find("{", at)
-        if brace < 0:
-            break
-        kind = text[at + 1 : brace].strip().lower()
-        if not kind.isalpha():
-            at += 1
-            continue
-        end = _closing(text, brace)
-        if kind not in _SKIPPED:
-            key, _, body = text[brace + 1 : end].partition(",")
-            out.append((kind, key.strip(), _fields(body)))
-        at = end
+    """(type, key, fields) of every entry; comments, preambles and strings are passed over, entries inside entries are not."""
+    out = []
+    for found in ENTRY.finditer(text or ""):
+        kind = found.group(1).lower()
+        if kind not in SKIPPED:
+            key, _, rest = text[found.end() : _closing(text, found.end())].partition(",")
+            out.append((kind, key.strip(), _fields(rest)))
     return out
 
 

@@ -60,7 +60,7 @@ def test_run_findings(spark):
     got = {r.run_id: r for r in integrity.findings(spark.createDataFrame(rows, RUNS), ["A", "B"], {"A": 999}).collect()}
     assert got[1].tag == "OK" and got[2].tag == "FAIL" and got[2].missing == ["B"] and got[2].bad == ["A.mape"] and got[2].off_anchor == ["A"] and got[3].tag == "DISCLOSE" and got[4].missing == ["A", "B"]
     table = spark.createDataFrame(rows, RUNS)
-    assert {(r.study, r.seeds) for r in integrity.seed_census(table).collect()} == {("n::?", 2), ("?::s", 0)}
+    assert {(r.study, tuple(r.seeds)) for r in integrity.seed_census(table).collect()} == {("n::", (1, 2)), ("?::s", ())}
     assert {(r.config, r.seeds) for r in integrity.under_coverage(table, ["A", "B"]).collect()} == {("B", 1)}
     assert integrity.any_failure(integrity.findings(table, ["A"], {})) and integrity.parse_anchors("A=1, B=-2") == {"A": 1, "B": -2}
     with pytest.raises(ValueError):
@@ -70,12 +70,16 @@ def test_run_findings(spark):
 def test_profile_and_drift(spark):
     rows = spark.createDataFrame([("1", "x", None, "1"), ("2.5", "x", "NA", "2.5"), (" ", "x", "", " "), ("inf", "x", "null", "inf")], "a string, b string, c string, d string")
     got = {r.column: r for r in profile.profile(rows).collect()}
-    assert (got["a"].nulls, got["a"].distinct, got["a"].min, got["a"].max) == (1, 3, 1.0, 2.5) and got["c"].nulls == 4
+    assert (got["a"].nulls, got["a"].distinct, got["a"].min, got["a"].max) == (1, 3, 1.0, float("inf")) and got["c"].nulls == 4
     assert {(r.column, r.problem) for r in profile.degeneracies(profile.profile(rows)).collect()} == {("b", "CONSTANT"), ("c", "ALL-NULL"), ("d", "DUPLICATES a")}
     changes = {(r.column, r.change) for r in profile.drift(profile.profile(rows), profile.profile(rows.withColumn("a", F.lit("1")).drop("d"))).collect()}
     assert ("a", "collapsed to a constant") in changes and ("d", "column gone") in changes
     assert profile.drift(profile.profile(rows), profile.profile(rows)).count() == 0
     assert {r.nulls for r in profile.profile(rows.limit(0)).collect()} == {0}
+    numbered = spark.createDataFrame([(i, v, w, v) for i, (v, w) in enumerate(zip("abca", "acba"))], "line int, x string, y string, z string")
+    marks = lambda d: {r.column: r.col_hash for r in profile.profile(d, "line").collect()}
+    own = marks(numbered)
+    assert own["x"] == own["z"] != own["y"] and marks(numbered.orderBy(F.desc("line"))) == own and marks(numbered.withColumn("line", 3 - F.col("line")))["x"] != own["x"]
 
 
 BIB = '@comment{x}\n@article{k1, title = {A {B} c}, Year = 1999, author = "X and {Y}", title = {Last {one}}}\n@string{s = "v"}\n@misc{k2,\n howpublished = {\\url{http://a.b}}}'
@@ -96,7 +100,12 @@ def test_audit(spark):
     records = spark.createDataFrame([("p", 1, "Deep Nets", 2000, None, "10.1/a", False), ("q", 2, "Old nets", 1990, None, "10.9/r", True)], "record string, ord int, title string, year int, venue string, doi string, retracted boolean")
     got = {r.entry: r for r in biblio.audit(entries, records).collect()}
     assert [got[i].verdict for i in range(1, 7)] == ["VERIFIED", "VERIFIED", "MISMATCH", "UNVERIFIABLE", "NOT-FOUND", "RETRACTED"]
-    assert got[2].notes == ["year off by 1-2"] and got[3].diffs == ["year"]
+    assert got[2].notes == ["year differs by 1 (2001 vs 2000)"] and got[2].diffs == ["doi"] and got[3].diffs == ["year"] and got[3].suggest == ["year = {2000}"]
+    other = records.withColumn("retracted", F.lit(True))
+    late = spark.createDataFrame([(1, "Deep nets", 2009, None, None), (2, "Deep nests of", 2000, None, None), (3, "Deep nets", 2000, None, "10.7/none")], "entry int, title string, year int, venue string, doi string")
+    # A like title alone is not the same work, so the record's retraction says nothing about the entry.
+    assert {r.entry: r.verdict for r in biblio.audit(late, other).collect()} == {1: "MISMATCH", 2: "MISMATCH", 3: "NOT-FOUND"}
+    assert biblio.ORDER[:3] == ("RETRACTED", "MISMATCH", "NOT-FOUND")
     assert {r.verdict: r.severity for r in biblio.verdict_counts(biblio.audit(entries, records)).collect()}["RETRACTED"] == 1
 
 
@@ -179,22 +188,43 @@ def test_log(spark):
     added = log.append(rows, spark.createDataFrame([(2, "t", "b"), (1, "t", "a")], "ord int, track string, text string"))
     assert {(r.id, r.text) for r in added.collect()} == {(5, "a"), (6, "b")}
     wanted = spark.createDataFrame([("t", "dropped", "why"), ("v", "paused", None)], "track string, status string, note string")
-    assert {(r.track, r.type) for r in log.status_changes(tracks, wanted).collect()} == {("t", "status"), ("t", "decision")}
+    assert {(r.track, r.type, r.text) for r in log.status_changes(tracks, wanted).collect()} == {("t", "status", "status blocked -> dropped: why"), ("t", "decision", "why")}
+    same = spark.createDataFrame([("t", "blocked", None)], wanted.schema)
+    assert [(r.type, r.text) for r in log.status_changes(tracks, same).collect()] == [("status", "status blocked -> blocked")]
+    meta, registry, entries = log.init(spark, "inv")
+    asked = spark.createDataFrame([("a", "A", "b, c", None), ("b", "B", None, "active"), ("x", "X", None, "open")], "id string, title string, depends string, status string")
+    registry, problems = log.add_tracks(registry, asked)
+    assert {(r.id, r.status, tuple(r.depends_on)) for r in registry.collect()} == {("a", "pending", ("b", "c")), ("b", "active", ())} and meta.count() == 1 and entries.count() == 0
+    assert {(r.id, r.problem) for r in problems.collect()} == {("a", "unknown dependency c"), ("x", "no status")}
+    assert {(r.id, r.problem) for r in log.add_tracks(registry, asked.limit(1))[1].collect()} == {("a", "exists")}
+    changed = log.set_status(registry, spark.createDataFrame([("a", "done"), ("b", "never")], "track string, status string"))
+    assert {r.id: r.status for r in changed.collect()} == {"a": "done", "b": "active"}
+    paths = spark.createDataFrame([("g",)], "path string")
+    assert {(r.id, r.warning) for r in log.warnings(rows, spark.createDataFrame([("t",)], "id string"), paths).collect()} >= {(3, "unknown track u"), (4, "no file f")}
 
 
 def test_reviews(spark):
     rows = spark.createDataFrame([(1, "Dear authors, thank you.\n1. First comment is here.\n2) Second comment is here.\nC3: Third comment is here."), (2, "One paragraph of text.\n\nAnother paragraph of text."), (3, None), (4, "short")], "doc_id bigint, text string")
     got = review.split_comments(rows).collect()
     assert [sum(r.doc_id == i for r in got) for i in (1, 2, 3, 4)] == [4, 2, 0, 0]
-    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["--- a/x", "+++ b/sub/main.tex", "+new  text", "+more", "-old", "+++ /dev/null"])], "diff_id int, line_no int, line string")
+    store_ = review.import_reviews(review.init(spark), rows.select(F.lit("R1").alias("reviewer"), F.col("doc_id").alias("ord"), "text"))
+    store_ = review.add(store_, spark.createDataFrame([("R1", 1, "by hand"), ("R2", 2, "other")], "reviewer string, ord int, text string"))
+    assert sorted(r.id for r in store_.collect()) == ["R1.1", "R1.2", "R1.3", "R1.4", "R1.5", "R1.6", "R1.7", "R2.1"]
+    answers = spark.createDataFrame([("R1.1", "done", None, "a.tex, b.tex", None), ("R1.2", "no", "decline", None, None), ("R9.9", "x", None, None, None), ("R1.3", "y", "other", None, None)], "id string, text string, action string, anchors string, quote string")
+    told = {r.id: r for r in review.respond(store_, answers).collect()}
+    assert (told["R1.1"].action, told["R1.1"].anchors, told["R1.2"].action, told["R1.3"].response) == ("change", ["a.tex", "b.tex"], "decline", None)
+    assert {(r.id, r.problem) for r in review.unknown_answers(store_, answers).collect()} == {("R9.9", "unknown comment"), ("R1.3", "no action")}
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["--- a/x", "+++ b/sub/main.tex", "+new  text", "+more", "-old", "+++ /dev/null", "+++ c d.tex"])], "diff_id int, line_no int, line string")
     changed, added = review.parse_diff(lines)
-    assert [r.file for r in changed.collect()] == ["sub/main.tex"] and added.first().added == "new text more"
+    assert {r.file for r in changed.collect()} == {"sub/main.tex", "c d.tex"} and added.first().added == "new text more "
+    long = spark.createDataFrame([(1, 1, "+" + "x" * 1_200_000 + " end")], "diff_id int, line_no int, line string")
+    assert review.parse_diff(long)[1].first().added.endswith(" end ")
     comments = spark.createDataFrame(
-        [("a", "r", "change", ["main.tex"], None), ("b", "r", "change", ["other.tex"], None), ("c", "r", "change", None, "text  more"), ("d", "r", "change", None, "absent"), ("e", None, None, None, None), ("f", "r", "clarify", None, None), ("g", "r", "change", [], None)],
+        [("a", "r", "change", ["main.tex"], None), ("b", "r", "change", ["other.tex"], None), ("c", "r", "change", None, "text  more"), ("d", "r", "change", None, "absent"), ("e", None, None, None, None), ("f", "r", "clarify", None, None), ("g", "r", "change", [], None), ("h", "r", "change", None, "n")],
         "id string, response string, action string, anchors array<string>, quote string",
     )
-    checked = {r.id: r.verdict for r in review.check_responses(comments, changed, added, spark.createDataFrame([("m",)], "text string")).collect()}
-    assert checked == {"a": "ok", "b": "FAIL", "c": "ok", "d": "FAIL", "e": "FAIL", "f": "ok", "g": "FAIL"}
+    checked = {r.id: r.verdict for r in review.check_responses(comments, changed, added, spark.createDataFrame([("m",), ("n",), (None,)], "text string")).collect()}
+    assert checked == {"a": "ok", "b": "FAIL", "c": "ok", "d": "FAIL", "e": "FAIL", "f": "ok", "g": "FAIL", "h": "ok"}
 
 
 def test_gate(spark):
@@ -260,7 +290,7 @@ def test_audit_of_pages_and_unpublished_works(spark):
     ).withColumns({"year": F.lit(2000), "venue": F.lit("v")})
     records = spark.createDataFrame([("p", 1, "Deep nets of old", 2000, None, "10.1/a", None)], "record string, ord int, title string, year int, venue string, doi string, retracted boolean")
     got = {r.entry: r for r in biblio.audit(entries, records).collect()}
-    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["NON-PAPER-OK", "UNVERIFIABLE", "UNVERIFIABLE", "VERIFIED"] and got[4].suggest == ["doi = 10.1/a"] and got[4].notes == ["retraction unknown"]
+    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["NON-PAPER-OK", "UNVERIFIABLE", "UNVERIFIABLE", "VERIFIED"] and got[4].suggest == ["doi = {10.1/a}"] and got[4].notes == ["retraction status could not be checked"]
     assert [r[0] for r in spark.createDataFrame([(200,), (302,), (403,), (404,), (None,)], "s int").select(biblio.url_alive(F.col("s"))).collect()] == [True, True, True, False, False]
 
 
@@ -273,7 +303,7 @@ def test_records_from_answers(spark):
 
 def test_verify_many_files(spark):
     def profiled(name, sha, rows):
-        return profile.profile(rows).withColumns({"file": F.lit(name), "sha256": F.lit(sha)})
+        return profile.profile(rows, "y").withColumns({"file": F.lit(name), "sha256": F.lit(sha)})
 
     good, poor = spark.createDataFrame([("1", "a"), ("2", "b")], "x string, y string"), spark.createDataFrame([("1", "a"), ("1", "b")], "x string, y string")
     old = profiled("a", "s1", good).union(profiled("b", "s2", good)).union(profiled("gone", "s", good))
