@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata as ud
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,17 +99,22 @@ def plain(text: str) -> str:
     return _SPACED.sub(_joined, text.lower())
 
 
+def sentences(text: str | None) -> list[str]:
+    """Sentences of a text in plain form, without commands and links."""
+    return _ENDS.split(plain(_MARKUP.sub(" ", text))) if text else []
+
+
+def windows(sentence: str) -> list[list[str]]:
+    """Words of a sentence, of a long one in overlapping windows. Digits are one word ``0``."""
+    words = [_word(w) for w in _TOKEN.findall(sentence)]
+    if len(words) <= WINDOW:
+        return [words] if words else []
+    return [words[i : i + WINDOW] for i in range(0, len(words) - STEP, STEP)]
+
+
 def passages(text: str | None) -> list[list[str]]:
-    """Words of each sentence, long ones in overlapping windows. Digits are one word ``0``."""
-    out = []
-    for sentence in _ENDS.split(plain(_MARKUP.sub(" ", text))) if text else []:
-        words = [_word(w) for w in _TOKEN.findall(sentence)]
-        if len(words) <= WINDOW:
-            if words:
-                out.append(words)
-            continue
-        out += [words[i : i + WINDOW] for i in range(0, len(words) - STEP, STEP)]
-    return out
+    """Words of the passages of a text."""
+    return [w for sentence in sentences(text) for w in windows(sentence)]
 
 
 class Features:
@@ -168,30 +174,39 @@ def train(positive: list[np.ndarray], p_weight: np.ndarray, unlabelled: list[np.
 
     risk = prior E_P[l(+)] + max(0, E_U[l(-)] - prior E_P[l(-)]). Where the second part, which estimates
     the risk of harmless text, would turn negative, only the first part is followed. Same rows, same model.
+    Only features that occur have a weight while training; they are laid out by row for the scores and by
+    feature for the gradient, so both are sums over neighbours.
     """
     rows = positive + unlabelled
     index, owner, value = _matrix(rows)
+    used, index = np.unique(index, return_inverse=True)
+    value = value.astype(np.float32)
+    by_row = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
+    by_feature = np.argsort(index, kind="stable")
+    f_owner, f_value, f_start = owner[by_feature], value[by_feature], np.concatenate([[0], np.cumsum(np.bincount(index))[:-1]])
     n_p = len(positive)
-    p, u = p_weight / p_weight.sum(), u_weight / u_weight.sum()
-    w, b = np.zeros(2 * SIZE), -1.0
-    m, v, mb, vb = np.zeros(2 * SIZE), np.zeros(2 * SIZE), 0.0, 0.0
+    p, u = (p_weight / p_weight.sum()).astype(np.float32), (u_weight / u_weight.sum()).astype(np.float32)
+    w, b = np.zeros(len(used), np.float32), -1.0
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[index] * value, minlength=len(rows)) + b
+        z = np.add.reduceat(w[index] * value, by_row) + np.float32(b)
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        rest = (u * np.logaddexp(0, z[n_p:])).sum() - prior * (p * np.logaddexp(0, z[:n_p])).sum()
-        g = np.empty(len(rows))
+        rest = float((u * np.logaddexp(0, z[n_p:])).sum(dtype=np.float64) - prior * (p * np.logaddexp(0, z[:n_p])).sum(dtype=np.float64))
+        g = np.empty(len(rows), np.float32)
         if rest >= 0:
             g[:n_p], g[n_p:] = -prior * p, u * s[n_p:]
         else:
             g[:n_p], g[n_p:] = prior * p * (s[:n_p] - 1), 0
-        grad, gb = np.bincount(index, weights=g[owner] * value, minlength=2 * SIZE) + decay * w, g.sum()
+        grad, gb = np.add.reduceat(g[f_owner] * f_value, f_start) + np.float32(decay) * w, float(g.sum(dtype=np.float64))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         pace = rate * (1 - 0.9 * step / steps)
-        w -= pace * (m / c1) / (np.sqrt(v / c2) + 1e-9)
+        w -= np.float32(pace / c1) * m / (np.sqrt(v / np.float32(c2)) + np.float32(1e-9))
         b -= pace * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    return Model(w.astype(np.float32), float(b))
+    whole = np.zeros(2 * SIZE, np.float32)
+    whole[used] = w
+    return Model(whole, float(b))
 
 
 def _majority(labels: DataFrame) -> DataFrame:
@@ -204,23 +219,26 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float = 0.04, rounds: in
     """A model from the rated documents and unlabelled text.
 
     ``max_rated`` and ``max_unlabelled`` bound the documents that training reads; beyond them those with
-    the smallest hash of ``doc_id`` are taken. Without ratings the fixed examples alone are positive.
+    the smallest hash of ``doc_id`` are taken. Of rows with one ``doc_id`` the smallest text counts, so the bounds are
+    those of what reaches the driver. Without ratings the fixed examples alone are positive.
     A score above 0 says that a passage is rather an example than not, given ``prior``, the share of
     such passages.
     """
     draw = F.xxhash64("doc_id")
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    # Numbers alone are ranked; what is sent to the scans of texts has at most as many rows as the bounds say.
-    marked = F.broadcast(_majority(labels).orderBy(draw).limit(max_rated))
-    drawn = F.broadcast(texts.select("doc_id").distinct().orderBy(draw, "doc_id").limit(max_unlabelled))
-    rated = texts.join(marked, "doc_id").toPandas().sort_values(["doc_id", "text"])
-    sample = texts.join(drawn, "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return fit_texts(list(zip(rated["text"], rated["rated"])), list(sample["text"]), prior, rounds)
+    # Numbers alone are ranked; what is sent to the scan of texts has at most as many rows as the bounds say.
+    marked = _majority(labels).orderBy(draw).limit(max_rated)
+    drawn = texts.select("doc_id").distinct().orderBy(draw, "doc_id").limit(max_unlabelled).withColumn("drawn", F.lit(True))
+    wanted = F.broadcast(marked.join(drawn, "doc_id", "full_outer"))
+    read = texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("rated").alias("rated"), F.max("drawn").alias("drawn"))
+    sample = read.toPandas().sort_values("doc_id")
+    rated = sample[sample["rated"].notna()]
+    return fit_texts(list(zip(rated["text"], rated["rated"].astype(int))), list(sample.loc[sample["drawn"].notna(), "text"]), prior, rounds)
 
 
 def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float = 0.04, rounds: int = 2) -> Model:
     """The model of ``fit`` from texts in memory."""
-    features, kept = Features(), {}
+    features, kept, split = Features(), {}, {}
 
     def row(words: list[str]) -> tuple[str, np.ndarray]:
         key = " ".join(words)
@@ -228,15 +246,24 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
             kept[key] = features.row(words)
         return key, kept[key]
 
+    def keys_of(text: str) -> dict[str, None]:
+        """The passages of a text, each once in order; a sentence that many texts have is parted once."""
+        out: dict[str, None] = {}
+        for sentence in sentences(text):
+            if sentence not in split:
+                split[sentence] = [row(words)[0] for words in windows(sentence)]
+            out |= dict.fromkeys(split[sentence])
+        return out
+
     counts: dict[str, int] = {}
     for text in unlabelled:
-        for key in {row(words)[0] for words in passages(text)}:
+        for key in keys_of(text):
             counts[key] = counts.get(key, 0) + 1
     harmless: dict[str, int] = {}
     cases: list[list[str]] = []
     calm: list[list[str]] = []
     for text, verdict in rated:
-        keys = list(dict.fromkeys(row(words)[0] for words in passages(text)))
+        keys = list(keys_of(text))
         if verdict:
             cases.append(keys)
         else:
@@ -272,7 +299,9 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
     # What one half teaches decides on the other half, so that no passage speaks for itself.
     halves = [[i for i in range(len(cases)) if i % 2 == h] for h in (0, 1)]
     for _ in range(rounds):
-        teachers = [learn(halves[1]), learn(halves[0])] if cases else []
+        # Both halves at once: the sums of numpy leave the other thread its turn.
+        with ThreadPoolExecutor(2) as pool:
+            teachers = list(pool.map(learn, reversed(halves))) if cases else []
         for h, teacher in enumerate(teachers):
             for i in halves[h]:
                 scores = dict(zip(cases[i], teacher.scores([kept[k] for k in cases[i]])))
@@ -286,17 +315,22 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
     return model
 
 
-def _threshold(rated: list[tuple[int, float]], least: int = 300) -> float:
-    """The middle of the cuts near 0 with the fewest disagreements with the ratings, or one more.
+#: Ratings that say as much for a cut at 0 as the ratings there are say for theirs.
+CUT_WEIGHT = 50
+
+
+def _threshold(rated: list[tuple[int, float]]) -> float:
+    """The middle of the cuts near 0 with the fewest disagreements with the ratings, or one more, drawn towards 0.
 
-    0 where fewer than ``least`` are rated. Cases are scored by the model of the other half.
+    The fewer ratings there are, the nearer it is to 0, with ``CUT_WEIGHT`` half way. Cases are scored by the model of the
+    other half.
     """
-    if len(rated) < least:
+    if not rated:
         return 0.0
     y, z = np.array([v for v, _ in rated]) == 1, np.array([x for _, x in rated])
     cuts = np.linspace(-0.5, 0.9, 57)
     wrong = np.array([((z > c) != y).sum() for c in cuts])
-    return float(np.median(cuts[wrong <= wrong.min() + 1]))
+    return float(np.median(cuts[wrong <= wrong.min() + 1])) * len(rated) / (len(rated) + CUT_WEIGHT)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -312,15 +346,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if len(known) > 200_000 or len(features.hashes) > 400_000:
                 features, known = Features(), {}
-            all_passages = [passages(t) for t in batch["text"]]
-            fresh = {}
-            for words_of in all_passages:
-                for words in words_of:
-                    key = " ".join(words)
-                    if key not in known and key not in fresh:
-                        fresh[key] = features.row(words)
-            known.update(zip(fresh, shared.value.scores(list(fresh.values())).tolist()))
-            best = [max((known[" ".join(w)] for w in ws), default=None) for ws in all_passages]
+            parted = [sentences(t) for t in batch["text"]]
+            # A sentence that many texts have is rated once; the worst of its passages counts.
+            fresh = {s: windows(s) for s in {s for ss in parted for s in ss} if s not in known}
+            rows = [features.row(words) for ws in fresh.values() for words in ws]
+            found = iter(shared.value.scores(rows).tolist())
+            known.update({s: max([next(found) for _ in ws], default=None) for s, ws in fresh.items()})
+            best = [max((x for s in ss if (x := known[s]) is not None), default=None) for ss in parted]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": pd.Series(best, dtype="float64")})
 
     rated = documents.select("doc_id", "source", "text").mapInPandas(rate, "doc_id bigint, source string, score double")
