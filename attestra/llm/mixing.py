@@ -7,7 +7,7 @@ the budget.
 
 Both running sums are taken in two steps, so neither a source that holds a third of all rows nor the
 global order is ever a single task: sums of small ranges first, running totals over these, and exact
-sums inside each range after.
+sums inside each range after. The mixture is range-sorted by its running total.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.running import running_sum
+from attestra.session import cut_lineage
 
 #: Rows that a range aims to hold.
 RANGE_ROWS = 50_000
@@ -48,13 +49,16 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     ``mixed_tokens`` is the running total, at most the budget. A source whose documents run out under
     a larger budget stops there and the others go on. Rows without tokens, with a null source or one
     that is no target are not chosen. Rows stored twice are two documents. Ties of the shuffle and of
-    finish times go by ``doc_id``, source and copy.
+    finish times go by ``doc_id``, source and copy. How often a source is gone through follows from its tokens
+    and its part of the budget, so no more than one pass of each is made for nothing, whatever the caps.
     """
-    plans = plan(sized, targets, budget)
+    plans = cut_lineage(plan(sized, targets, budget))
+    # A pass begins in time if what the passes before it take is at most the source's part of the budget.
+    passes = F.least(F.col("max_repeats").cast("bigint"), F.floor(F.col("budget") * F.col("share") / F.col("tokens")) + 1)
     # As many rows as there are targets, so the size is bounded by that table.
-    known = F.broadcast(plans.filter("share > 0").select("source", "share", "max_repeats", "documents", "budget"))
+    known = F.broadcast(plans.filter("share > 0").select("source", "share", passes.alias("passes"), "documents", "budget"))
     usable = sized.select("doc_id", "source", F.col("tokens").cast("bigint").alias("tokens")).filter((F.col("tokens") > 0) & F.col("source").isNotNull())
-    copies = usable.join(known, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
+    copies = usable.join(known, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("passes") - 1).cast("int"))))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "copy", "source", "doc_id"), F.lit(1 << 40)).alias("draw")
     copies = copies.select("*", drawn)
     ranges = F.ceil(F.col("documents") / range_rows)
@@ -62,11 +66,11 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     queued = running_sum(copies.withColumn("_part", part), ["source"], "_part", ["copy", "draw", "doc_id", "tokens"], "tokens", "_source_tokens")
     finished = queued.withColumn("finish", F.col("_source_tokens") / F.col("share")).filter(F.col("finish") - F.col("tokens") / F.col("share") <= F.col("budget"))
     # Equal stretches of virtual time hold about equally many tokens.
-    total = F.broadcast(plans.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("documents") * F.col("max_repeats")) / range_rows)).alias("_bins"), F.max("budget").alias("_budget")))
+    total = F.broadcast(plans.filter("share > 0").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("documents") * passes) / range_rows)).alias("_bins"), F.max("budget").alias("_budget")))
     binned = finished.crossJoin(total).withColumn("_bin", F.floor(F.col("finish") / (F.col("_budget") + 1) * F.col("_bins")).cast("bigint"))
     order = ["finish", "source", "copy", "draw", "doc_id"]
     ordered = running_sum(binned.withColumn("_all", F.lit(0)), ["_all"], "_bin", order, "tokens", "mixed_tokens")
-    return ordered.filter(F.col("mixed_tokens") <= F.col("budget")).select("doc_id", "source", "copy", "tokens", "finish", "mixed_tokens")
+    return ordered.filter(F.col("mixed_tokens") <= F.col("budget")).select("doc_id", "source", "copy", "tokens", "finish", "mixed_tokens").orderBy("mixed_tokens")
 
 
 def shares(mixture: DataFrame, sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
