@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from attestra.llm import abuse, confusables, encoding, matching, mixing
-from attestra.plans.registry import Registry
+from attestra.llm import record_queries as record_queries  # registers its queries
+from attestra.llm.registry import LLM
 from attestra.session import cut_lineage, table
 
-LLM = Registry()
-
 
 @LLM.add("p5_found")
 def p5_found(spark, folder):
