@@ -6,6 +6,7 @@ Pure Python over one document or one short sequence of schemas; the operators in
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -102,10 +103,17 @@ def _evidence(labelled: Iterable[tuple[str, object]]) -> dict:
         if (n := _number(value)) is not None:
             numbers[label] = n
         elif isinstance(value, str):
-            forms.add(re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "9", re.sub(r"(?:Z|[+-]\d\d:?\d\d)$", "", value[:40]).lower())))
+            forms.add(_form(value))
         elif isinstance(value, dict):
             keys |= set(value)
-    return {"t": sorted(types), "n": numbers, "f": sorted(forms)[:4], "k": sorted(keys)[:20]}
+    return {"t": sorted(types), "n": numbers, "f": sorted(forms), "k": sorted(keys)}
+
+
+def _form(value: str) -> str:
+    """The form of a text, letters and digits by kind; ``+`` before it says that it is a telling one. Long forms are digests."""
+    form = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "9", re.sub(r"(?:Z|[+-]\d\d:?\d\d)$", "", value).lower()))
+    mark = "+" if len(form) >= 8 and "9" in form else "-"
+    return mark + (form if len(form) <= 32 else hashlib.md5(form.encode("utf-8", "replace")).hexdigest())
 
 
 def shape_of(document: dict) -> dict[str, dict]:
@@ -115,7 +123,7 @@ def shape_of(document: dict) -> dict[str, dict]:
     for key, value in document.items():
         shape[key] = {"s": 0} | _evidence([("", value)])
         if key == container:
-            shape[key]["k"], shape[key]["f"] = sorted({k for _, fields in records for k in fields})[:40], []
+            shape[key]["k"], shape[key]["f"] = sorted({k for _, fields in records for k in fields}), []
             shape[key]["c"] = 1
     inner: dict[str, list[tuple[str, object]]] = {}
     for label, fields in records:
@@ -168,7 +176,7 @@ def value_likeness(a: dict, b: dict) -> float | None:
         return 1.0 if middle < 0.03 and len(labels) > 1 else 0.6 if middle < 0.35 else -1.0 if middle > 0.9 else 0.0
     if a["f"] and b["f"]:
         same = set(a["f"]) & set(b["f"])
-        return (1.0 if any(len(f) >= 8 and "9" in f for f in same) else 0.3) if same else None
+        return (1.0 if any(f[0] == "+" for f in same) else 0.3) if same else None
     if not a["t"] or not b["t"]:
         return None
     return -0.5
@@ -221,25 +229,34 @@ def assignment(costs: list[list[float]]) -> list[int]:
 def edit_script(before: dict[str, dict], after: dict[str, dict], apart=lambda a, b: True) -> tuple[float, list[tuple[str, str, str]]]:
     """Cheapest edits from one schema tree to the next: (cost, [(kind, old, new)]).
 
-    Kinds are delete, add, rename and move (same name below another parent). Nodes with equal
-    names stay; of the rest, the children of each parent are assigned to each other at the least
-    cost. ``apart(a, b)`` says that two names are never seen together, without which one can't be
-    the other's new name.
+    Kinds are delete, add, rename, move (to another parent) and both at once (move with another name). Nodes with equal
+    names are one; of the rest, old nodes are assigned to new ones at the least cost, whatever their parents:
+    another parent costs ``MOVE`` more, and then the values must speak for it too. ``apart(a, b)`` says that two
+    names are never seen together, without which one can't be the other's new name.
     """
     script = [("move", n, n) for n in before if n in after and before[n]["s"] != after[n]["s"]]
     cost = MOVE * len(script)
-    for scope in (0, 1):
-        old = [n for n in before if n not in after and before[n]["s"] == scope]
-        new = [n for n in after if n not in before and after[n]["s"] == scope]
-        costs = [[rename_cost(a, before[a], b, after[b]) if apart(a, b) else DELETE + ADD for b in new] for a in old]
-        chosen = assignment(costs) if old and new else [-1] * len(old)
-        for i, j in enumerate(chosen):
-            script.append(("rename", old[i], new[j]) if j >= 0 else ("delete", old[i], ""))
-            cost += costs[i][j] if j >= 0 else DELETE
-        left = [n for j, n in enumerate(new) if j not in chosen]
-        script += [("add", "", n) for n in left]
-        cost += ADD * len(left)
-    return cost, script
+
+    def price(a: str, b: str) -> float:
+        if not apart(a, b):
+            return DELETE + ADD
+        if before[a]["s"] == after[b]["s"]:
+            return rename_cost(a, before[a], b, after[b])
+        likeness = value_likeness(before[a], after[b])
+        return rename_cost(a, before[a], b, after[b]) + MOVE if likeness is not None and likeness > 0 else DELETE + ADD
+
+    old, new = [n for n in before if n not in after], [n for n in after if n not in before]
+    costs = [[price(a, b) for b in new] for a in old]
+    chosen = assignment(costs) if old and new else [-1] * len(old)
+    for i, j in enumerate(chosen):
+        if j < 0:
+            script.append(("delete", old[i], ""))
+            cost += DELETE
+        else:
+            script.append(("rename" if before[old[i]]["s"] == after[new[j]]["s"] else "move", old[i], new[j]))
+            cost += costs[i][j]
+    left = [n for j, n in enumerate(new) if j not in chosen]
+    return cost + ADD * len(left), script + [("add", "", n) for n in left]
 
 
 def _with_later_values(sequence: list[tuple[int, dict]], at: int, name: str) -> dict:
@@ -268,14 +285,12 @@ def history_of(sequence: list[tuple[int, dict]]) -> tuple[list[tuple[int, str, s
     for i, (file, shape) in enumerate(sequence):
         here = {n: _with_later_values(sequence, i, n) for n in shape}
         if i:
-            fresh = {n for n in here if n not in tree}
-            if fresh:
-                earlier = {n: e for n, e in tree.items() if n not in here}
-                _, script = edit_script(earlier, {n: here[n] for n in fresh}, apart)
-            else:
-                script = []
+            # Nothing is left to assign where every name is known, but names may have moved.
+            _, script = edit_script(tree, here, apart) if any(tree.get(n, {}).get("s") != e["s"] for n, e in here.items()) else (0.0, [])
             for kind, old, new in script:
-                if kind == "rename":
+                if kind == "move":
+                    changes.append((file, old, "moved", new if new != old else "", "", ""))
+                if kind == "rename" or kind == "move" and old != new:
                     changes.append((file, old, "renamed", new, "", ""))
                     state[new] = state.pop(old)
                     tree.pop(old)
@@ -289,17 +304,8 @@ def history_of(sequence: list[tuple[int, dict]]) -> tuple[list[tuple[int, str, s
             if now and known["type"] and now != known["type"]:
                 changes.append((file, name, "retyped", "", "+".join(known["type"]), "+".join(now)))
             known["last"], known["type"] = i, now or known["type"]
-            tree[name] = shape[name] if now or name not in tree else tree[name]
+            tree[name] = shape[name] if now or name not in tree else tree[name] | {"s": shape[name]["s"]}
     for name, known in state.items():
         if known["last"] + 1 < len(sequence):
             changes.append((sequence[known["last"] + 1][0], name, "removed", "", "+".join(known["type"]), ""))
     return changes, canonical
-
-
-def same_state(known: dict[str, list[str]], shape: dict[str, dict]) -> bool:
-    """Does a file add nothing to what is known: the same fields, each null or of the known type?"""
-    return known.keys() == shape.keys() and all(not e["t"] or e["t"] == known[n] for n, e in shape.items())
-
-
-def next_state(known: dict[str, list[str]], shape: dict[str, dict]) -> dict[str, list[str]]:
-    return {n: e["t"] or known.get(n, []) for n, e in shape.items()}

@@ -2,8 +2,8 @@
 
 A file is reduced to its schema tree where it is read. Files are then range-partitioned by
 notebook and time, so a notebook that holds a third of all files spans as many partitions as it
-needs. In each partition runs of files with an equal state shrink to their two ends; only these
-ends meet in one place per notebook, so that group grows with the changes and not with the files.
+needs. In each partition a stretch of files shrinks to those that the history can depend on; only these
+meet in one place per notebook, so that group grows with the names and the changes and not with the files.
 """
 
 from __future__ import annotations
@@ -20,38 +20,97 @@ from attestra.functions import schema_trees as trees
 _SHAPES = "notebook string, written_at timestamp, file_id bigint, shape string"
 
 
-def _ends_of_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each stretch of files of one notebook, those at which something changes and the one before."""
-    notebook, known, held = None, {}, None
+class _Stretch:
+    """Of a stretch of files of one notebook, those that its history can depend on.
+
+    These are the first file; the first file of each name and of each pair of names; the last file of each name and the
+    one after it; changes of type or level with the file before; and, wherever a name begins or returns while another one
+    that it never stands beside may have taken its place, the last values of the names that aren't there. Files in
+    which optional fields merely come and go aren't among them, so their number is bounded by the names and the
+    changes and not by the files.
+    """
+
+    def __init__(self) -> None:
+        self.kept: dict[int, tuple] = {}
+        self.at = 0
+        self.last: dict[str, tuple] = {}
+        self.after: dict[str, tuple | None] = {}
+        self.valued: dict[str, tuple] = {}
+        self.types: dict[str, list[str]] = {}
+        self.levels: dict[str, int] = {}
+        self.awaited: set[str] = set()
+        self.beside: dict[str, set[str]] = {}
+        self.combinations: set[frozenset[str]] = set()
+
+    def keep(self, *files: tuple | None) -> None:
+        self.kept |= {f[0]: f for f in files if f}
+
+    def add(self, row: tuple, shape: dict[str, dict]) -> None:
+        file = (self.at, *row, shape)
+        self.at += 1
+        names = frozenset(shape)
+        fresh = [n for n in names if n not in self.last]
+        returned = [n for n in names if self.after.get(n)]
+        if names not in self.combinations:
+            self.combinations.add(names)
+            for n in names:
+                if not names <= self.beside.setdefault(n, {n}):
+                    self.beside[n] |= names
+                    self.keep(file)
+        # A name that never stood beside one that came since may be its other name.
+        turned = [n for n in returned if any(m not in self.beside[n] and self.last[m][0] > self.last[n][0] for m in self.last)]
+        if fresh or turned:
+            self.keep(file, *(f for n in self.last if n not in names for f in (self.last[n], self.after[n], self.valued.get(n))))
+            self.keep(*(self.last[n] for n in turned), *(self.after[n] for n in turned))
+            self.awaited |= {n for n in (*fresh, *turned) if not shape[n]["t"]}
+        for n, e in shape.items():
+            if self.levels.get(n, e["s"]) != e["s"]:
+                self.keep(self.last[n], file)
+            self.levels[n] = e["s"]
+            if e["t"]:
+                if n in self.types and self.types[n] != e["t"]:
+                    self.keep(self.valued[n], file)
+                if n in self.awaited or n not in self.types:
+                    self.awaited.discard(n)
+                    self.keep(file)
+                self.types[n], self.valued[n] = e["t"], file
+        for n in self.last:
+            if n not in names and self.after[n] is None:
+                self.after[n] = file
+        self.last |= dict.fromkeys(names, file)
+        self.after |= dict.fromkeys(names)
+        if file[0] == 0:
+            self.keep(file)
+        self.end = file
+
+    def result(self) -> list[tuple]:
+        """Rows of ``notebook, written_at, file_id, shape`` in order."""
+        self.keep(self.end, *self.last.values(), *self.after.values(), *self.valued.values())
+        return [self.kept[i][1:] for i in sorted(self.kept)]
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The files of each stretch that count; a partition holds one stretch of each of its notebooks."""
+    notebook, stretch = None, None
+    frame = lambda s: pd.DataFrame([(n, w, f, json.dumps(x)) for n, w, f, x in s.result()], columns=["notebook", "written_at", "file_id", "shape"])
     for batch in batches:
-        kept = []
         for row in batch.itertuples(index=False):
             document = trees.parsed(row.body)
             if document is None:
                 continue
-            shape = trees.shape_of(document)
-            current = (row.notebook, row.written_at, row.file_id, shape)
-            if row.notebook != notebook:
-                if held:
-                    kept.append(held)
-                kept.append(current)
-                notebook, known, held = row.notebook, trees.next_state({}, shape), None
-            elif trees.same_state(known, shape):
-                held = current
-            else:
-                if held:
-                    kept.append(held)
-                kept.append(current)
-                known, held = trees.next_state(known, shape), None
-        yield pd.DataFrame([(n, w, f, json.dumps(s)) for n, w, f, s in kept], columns=["notebook", "written_at", "file_id", "shape"])
-    if held:
-        yield pd.DataFrame([(*held[:3], json.dumps(held[3]))], columns=["notebook", "written_at", "file_id", "shape"])
+            if stretch is None or row.notebook != notebook:
+                if stretch is not None:
+                    yield frame(stretch)
+                notebook, stretch = row.notebook, _Stretch()
+            stretch.add((row.notebook, row.written_at, row.file_id), trees.shape_of(document))
+    if stretch is not None:
+        yield frame(stretch)
 
 
 def _reduced(files: DataFrame) -> DataFrame:
     own = files.select("notebook", F.col("written_at").cast("timestamp").alias("written_at"), "file_id", "body").filter(F.col("notebook").isNotNull())
     ordered = own.repartitionByRange("notebook", "written_at", "file_id").sortWithinPartitions("notebook", "written_at", "file_id")
-    return ordered.mapInPandas(_ends_of_runs, _SHAPES)
+    return ordered.mapInPandas(_summaries, _SHAPES)
 
 
 def _history(group: pd.DataFrame):
@@ -63,8 +122,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
     """``notebook, file_id, field, change_kind, renamed_to, type_before, type_after``, one row per change.
 
     The readable bodies of a notebook, ordered by ``written_at`` (null first), then ``file_id``, are
-    a sequence; ``added``, ``removed``, ``renamed`` and ``retyped`` are read off the cheapest edit
-    scripts between its schema trees. Unreadable, empty and null bodies and bodies that are no JSON
+    a sequence; ``added``, ``removed``, ``renamed``, ``retyped`` and ``moved`` (to the other level, under the same or
+    another name) are read off the cheapest edit scripts between its schema trees. Unreadable, empty and null bodies and bodies that are no JSON
     object are left out; so are rows without a notebook. A file stored twice counts once. An empty
     table and a notebook with one file give no rows; further columns are ignored.
     """

@@ -66,11 +66,25 @@ def snapshot_diff_events(before: DataFrame, after: DataFrame, keys: list[str], a
     return begun.select(keys[0], *[F.col(f"{c}_after").alias(c) for c in attributes], F.col(f"{day}_after").alias("valid_from"))
 
 
+def snapshot_changes(snapshots: DataFrame, key: str, snapshot: str, attributes: list[str]) -> DataFrame:
+    """``<key>, <snapshot>, change`` and the attributes before and after, of all consecutive dated snapshots.
+
+    ``snapshots`` has one row for each key and snapshot; snapshots are consecutive whole numbers, of which those
+    without any row count as empty. All pairs of neighbours are compared by one null-safe full outer join. A key of the
+    first snapshot is inserted there; one that the next snapshot lacks is deleted in it, unless there is none.
+    """
+    rows = snapshots.filter(F.col(snapshot).isNotNull()).select(key, snapshot, *attributes)
+    last = F.broadcast(rows.agg(F.max(snapshot).alias("_last")))  # a single row
+    before = rows.crossJoin(last).filter(F.col(snapshot) < F.col("_last")).withColumn(snapshot, F.col(snapshot) + 1).drop("_last")
+    return snapshot_diff(before, rows, [key, snapshot], attributes)
+
+
 def change_log(history: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """Change events of a history: key, day and the attributes before and after."""
+    """Change events of a history: key, day, ``change`` (inserted or changed) and the attributes before and after."""
     per_key = Window.partitionBy(key).orderBy("valid_from")
     before: list[Column] = [F.lag(c).over(per_key).alias(f"{c}_before") for c in attributes]
-    return history.select(key, F.col("valid_from").alias("day"), *before, *[F.col(c).alias(f"{c}_after") for c in attributes])
+    change = F.when(F.row_number().over(per_key) == 1, "inserted").otherwise("changed")
+    return history.select(key, F.col("valid_from").alias("day"), change.alias("change"), *before, *[F.col(c).alias(f"{c}_after") for c in attributes])
 
 
 def as_of(history: DataFrame, day: str) -> DataFrame:
@@ -87,3 +101,11 @@ def citation_history(papers: DataFrame) -> DataFrame:
     seen = papers.select("paperid", "row_id", "citationcount", written_day(F.col("_fetched")).alias("day"))
     seen = seen.filter(F.col("paperid").isNotNull() & F.col("day").isNotNull() & (F.col("citationcount") >= 0))
     return versions(seen, "paperid", "day", "row_id", ["citationcount"])
+
+
+def monthly_counts(papers: DataFrame) -> DataFrame:
+    """``paperid, month, citationcount``: what each month's fetches say last of each paper; months count from year 0."""
+    seen = papers.select("paperid", "row_id", "citationcount", written_day(F.col("_fetched")).alias("day"))
+    seen = seen.filter(F.col("paperid").isNotNull() & F.col("day").isNotNull() & (F.col("citationcount") >= 0))
+    month = F.substring("day", 1, 4).cast("int") * 12 + F.substring("day", 6, 2).cast("int") - 1
+    return seen.groupBy("paperid", month.alias("month")).agg(F.max_by("citationcount", F.struct("day", "row_id")).alias("citationcount"))

@@ -1,10 +1,10 @@
-"""Queries of the record operators: nested records, survivorship, drifting schemas, history."""
+"""Queries of the record operators: nested records, drifting schemas, history."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.operators import drift, history, nested, survivorship
+from attestra.operators import drift, history, nested
 from attestra.plans.registry import Registry
 from attestra.session import table
 
@@ -39,16 +39,23 @@ def p2_found(spark, folder):
     return nested.leaves(labelled).select("run_id", "config", "fold_pos", "stop_pos")
 
 
-@RECORDS.add(
-    "p2_configs",
+# Interval labels: enter and leave numbers from the nodes below and the earlier children.
+_LABELS = (
     _CONFIGS
     + """
-, w AS (SELECT run_id, notebook, seed, config, v, row_number() OVER () AS o,
-  (SELECT count(*) FROM fo WHERE fo.run_id = cf.run_id AND fo.config = cf.config) + (SELECT count(*) FROM st WHERE st.run_id = cf.run_id AND st.config = cf.config) AS below FROM cf),
-k AS (SELECT r.run_id, list_position(map_keys(r.results), w.config) AS place, w.* EXCLUDE (run_id) FROM w JOIN results r ON r.run_id = w.run_id),
-n AS (SELECT *, coalesce(sum(2 * (below + 1)) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS earlier FROM k)
-SELECT run_id, notebook, seed, 1::BIGINT AS parent_pre, 2 + earlier AS pre, 3 + earlier + 2 * below AS post, config, v.rmse AS rmse, v.mae AS mae, v.mape AS mape, v.params AS params, v.futility_stop AS futility_stop FROM n
-""",
+, fs AS (SELECT fo.*, 1 + (SELECT count(*) FROM st WHERE st.run_id = fo.run_id AND st.config = fo.config AND st.fold_pos = fo.fold_pos) AS sz FROM fo),
+cs AS (SELECT cf.*, 1 + coalesce((SELECT sum(sz) FROM fs WHERE fs.run_id = cf.run_id AND fs.config = cf.config), 0) AS sz FROM cf),
+cp AS (SELECT cs.*, list_position(map_keys(r.results), cs.config) AS place FROM cs JOIN results r ON r.run_id = cs.run_id),
+c2 AS (SELECT *, (2 + coalesce(sum(2 * sz) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pre FROM cp),
+f2 AS (SELECT fs.*, c2.pre AS parent_pre, (c2.pre + 1 + coalesce(sum(2 * fs.sz) OVER (PARTITION BY fs.run_id, fs.config ORDER BY fs.fold_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pre FROM fs JOIN c2 ON c2.run_id = fs.run_id AND c2.config = fs.config),
+s2 AS (SELECT st.*, f2.pre AS parent_pre, (f2.pre + 1 + 2 * (row_number() OVER (PARTITION BY st.run_id, st.config, st.fold_pos ORDER BY st.stop_pos) - 1))::BIGINT AS pre FROM st JOIN f2 ON f2.run_id = st.run_id AND f2.config = st.config AND f2.fold_pos = st.fold_pos)
+"""
+)
+
+
+@RECORDS.add(
+    "p2_configs",
+    _LABELS + "SELECT run_id, notebook, seed, 1::BIGINT AS parent_pre, pre, (pre + 2 * sz - 1)::BIGINT AS post, config, v.rmse AS rmse, v.mae AS mae, v.mape AS mape, v.params AS params, v.futility_stop AS futility_stop FROM c2",
 )
 def p2_configs(spark, folder):
     return nested.node_table(nested.nodes(table(spark, folder, "results")), "config")
@@ -56,18 +63,18 @@ def p2_configs(spark, folder):
 
 @RECORDS.add(
     "p2_folds",
-    _CONFIGS + "SELECT run_id, notebook, seed, config, fold_pos::INT AS fold_pos, f.fold AS fold, f.mape AS mape FROM fo",
+    _LABELS + "SELECT run_id, notebook, seed, parent_pre, pre, (pre + 2 * sz - 1)::BIGINT AS post, config, fold_pos::INT AS fold_pos, f.fold AS fold, f.mape AS mape FROM f2",
 )
 def p2_folds(spark, folder):
-    return nested.node_table(nested.nodes(table(spark, folder, "results")), "fold").drop("parent_pre", "pre", "post")
+    return nested.node_table(nested.nodes(table(spark, folder, "results")), "fold")
 
 
 @RECORDS.add(
     "p2_stops",
-    _CONFIGS + "SELECT run_id, notebook, seed, config, fold_pos::INT AS fold_pos, stop_pos::INT AS stop_pos, s.epoch AS epoch, s.reason AS reason FROM st",
+    _LABELS + "SELECT run_id, notebook, seed, parent_pre, pre, pre + 1 AS post, config, fold_pos::INT AS fold_pos, stop_pos::INT AS stop_pos, s.epoch AS epoch, s.reason AS reason FROM s2",
 )
 def p2_stops(spark, folder):
-    return nested.node_table(nested.nodes(table(spark, folder, "results")), "stop").drop("parent_pre", "pre", "post")
+    return nested.node_table(nested.nodes(table(spark, folder, "results")), "stop")
 
 
 @RECORDS.add(
@@ -82,69 +89,6 @@ def p2_stop_configs(spark, folder):
     return links.join(configs.select("run_id", F.col("pre").alias("outer_pre"), "config"), ["run_id", "outer_pre"]).groupBy("run_id", "config").agg(F.count(F.lit(1)).alias("stops"))
 
 
-_RUN_KEYS = r"""
-WITH t AS (SELECT *, trim(span_start, ' ' || chr(9) || chr(10) || chr(13)) AS sp, trim(timestamp_utc) AS tx FROM results),
-k AS (SELECT *,
-  nullif(regexp_replace(regexp_replace(trim(notebook), '^.*[/\\]', ''), '(.)\.[A-Za-z][A-Za-z0-9]{0,9}$', '\1'), '') AS file,
-  CASE WHEN sp IS NULL OR lower(sp) IN ('', 'none', 'null', 'nan', 'n/a') THEN ''
-    WHEN regexp_full_match(sp, '\d{4}[-/]\d{2}') THEN replace(sp, '/', '-') || '-01'
-    WHEN regexp_full_match(sp, '\d{8}') THEN sp[1:4] || '-' || sp[5:6] || '-' || sp[7:8]
-    ELSE replace(sp[1:10], '/', '-') END AS span_day,
-  CASE WHEN regexp_full_match(tx, '\d{13}') THEN tx::BIGINT * 1000
-    WHEN regexp_full_match(tx, '\d{10}') THEN tx::BIGINT * 1000000
-    WHEN regexp_full_match(tx, '\w{3}, \d\d \w{3} \d{4} .* GMT') THEN epoch_us(strptime(tx, '%a, %d %b %Y %H:%M:%S GMT'))
-    WHEN regexp_full_match(tx, '\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?') THEN epoch_us(replace(tx, 'T', ' ')::TIMESTAMP)
-    ELSE epoch_us(try_cast(tx AS TIMESTAMPTZ)) END AS us,
-  len(list_filter(map_values(results), lambda v: v.mape IS NOT NULL AND NOT isnan(v.mape))) > 0 AS usable,
-  CASE WHEN smoke_test THEN 0 WHEN smoke_test IS NULL THEN 1 ELSE 2 END AS full_run
-FROM t)
-"""
-
-
-@RECORDS.add(
-    "p3_found",
-    _RUN_KEYS
-    + """
-, r AS (SELECT run_id, count(*) OVER g AS n, min(run_id) OVER g AS first_run_id,
-  row_number() OVER (PARTITION BY file, span_day, seed ORDER BY coalesce(usable, false) DESC, full_run DESC, us DESC NULLS LAST, run_id) AS rk
-  FROM k WHERE file IS NOT NULL AND seed IS NOT NULL WINDOW g AS (PARTITION BY file, span_day, seed))
-SELECT first_run_id, run_id AS kept_run_id FROM r WHERE n > 1 AND rk = 1
-""",
-)
-def p3_found(spark, folder):
-    return survivorship.surviving_rows(table(spark, folder, "results"))
-
-
-@RECORDS.add(
-    "p3_golden",
-    _RUN_KEYS
-    + """
-, m AS (SELECT * FROM k WHERE file IS NOT NULL AND seed IS NOT NULL),
-b AS (SELECT DISTINCT file, span_day, seed FROM m),
-o AS (SELECT *, coalesce(usable, false) AS ok,
-  row_number() OVER (PARTITION BY file, span_day, seed ORDER BY smoke_test IS NOT NULL DESC, coalesce(usable, false) DESC, full_run DESC, us DESC NULLS LAST, run_id) AS r_smoke,
-  row_number() OVER (PARTITION BY file, span_day, seed ORDER BY us IS NOT NULL DESC, coalesce(usable, false) DESC, full_run DESC, us DESC NULLS LAST, run_id) AS r_time,
-  row_number() OVER (PARTITION BY file, span_day, seed ORDER BY coalesce(usable, false) DESC, full_run DESC, us DESC NULLS LAST, run_id) AS r_res
-  FROM m)
-SELECT b.file, b.span_day, b.seed, s.smoke_test AS smoke_test, CASE WHEN s.smoke_test IS NOT NULL THEN s.run_id END AS smoke_test_from,
-  CASE WHEN t.us IS NOT NULL THEN t.timestamp_utc END AS timestamp_utc, CASE WHEN t.us IS NOT NULL THEN t.run_id END AS timestamp_utc_from,
-  CASE WHEN r.ok THEN r.run_id END AS results_from
-FROM b JOIN o s ON (s.file, s.span_day, s.seed) = (b.file, b.span_day, b.seed) AND s.r_smoke = 1
-JOIN o t ON (t.file, t.span_day, t.seed) = (b.file, b.span_day, b.seed) AND t.r_time = 1
-JOIN o r ON (r.file, r.span_day, r.seed) = (b.file, b.span_day, b.seed) AND r.r_res = 1
-""",
-)
-def p3_golden(spark, folder):
-    golden = survivorship.golden_runs(table(spark, folder, "results"))
-    return golden.select("file", "span_day", "seed", "smoke_test", "smoke_test_from", "timestamp_utc", "timestamp_utc_from", "results_from")
-
-
-@RECORDS.add("p3_records")
-def p3_records(spark, folder):
-    """The surviving record of each run with all of its fields, which ``p3_golden`` has only in part."""
-    return survivorship.golden_runs(table(spark, folder, "results"))
-
-
 _OBSERVED = r"""
 WITH t AS (SELECT paperid, row_id, citationcount, trim(_fetched) AS f FROM papers WHERE paperid IS NOT NULL AND citationcount >= 0),
 d AS (SELECT paperid, row_id, citationcount, CASE
@@ -173,14 +117,28 @@ def p6_history(spark, folder):
     return history.citation_history(table(spark, folder, "papers"))
 
 
-@RECORDS.add("p6_changes", _OBSERVED + "SELECT paperid, day, lag(n) OVER (PARTITION BY paperid ORDER BY day) AS citationcount_before, n AS citationcount_after FROM b")
+@RECORDS.add("p6_changes", _OBSERVED + "SELECT paperid, day, CASE WHEN lag(n) OVER w IS NULL THEN 'inserted' ELSE 'changed' END AS change, lag(n) OVER w AS citationcount_before, n AS citationcount_after FROM b WINDOW w AS (PARTITION BY paperid ORDER BY day)")
 def p6_changes(spark, folder):
     return history.change_log(history.citation_history(table(spark, folder, "papers")), "paperid", ["citationcount"])
 
 
+@RECORDS.add(
+    "p6_snapshots",
+    _OBSERVED
+    + """, m AS (SELECT paperid, day[1:4]::INT * 12 + day[6:7]::INT - 1 AS month, arg_max(n, day) AS n FROM o GROUP BY 1, 2),
+z AS (SELECT paperid, month + 1 AS month, n FROM m WHERE month < (SELECT max(month) FROM m))
+SELECT coalesce(m.paperid, z.paperid) AS paperid, coalesce(m.month, z.month) AS month, CASE WHEN z.paperid IS NULL THEN 'inserted' WHEN m.paperid IS NULL THEN 'deleted' ELSE 'changed' END AS change, z.n AS citationcount_before, m.n AS citationcount_after
+FROM m FULL OUTER JOIN z ON m.paperid = z.paperid AND m.month = z.month WHERE m.n IS DISTINCT FROM z.n""",
+)
+def p6_snapshots(spark, folder):
+    """Each month's fetches as a snapshot: what is new, has another count or is gone against the month before."""
+    return history.snapshot_changes(history.monthly_counts(table(spark, folder, "papers")), "paperid", "month", ["citationcount"])
+
+
 @RECORDS.add("p4_found")
 def p4_found(spark, folder):
-    return drift.schema_changes(table(spark, folder, "run_files")).select("file_id", "field", "change_kind")
+    changes = drift.schema_changes(table(spark, folder, "run_files"))
+    return changes.filter("change_kind <> 'moved'").select("file_id", "field", "change_kind")
 
 
 @RECORDS.add("p4_changes")

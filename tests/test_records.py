@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import schema_trees as trees
 from attestra.functions.forms import instant, notebook_file, written_day
-from attestra.operators import drift, history, nested, survivorship
+from attestra.operators import drift, history, nested
 from attestra.plans.records import RECORDS
 
 RECORD = "struct<rmse:double,mae:double,mape:double,params:bigint,futility_stop:string,folds:array<struct<fold:int,mape:double,stops:array<struct<epoch:int,reason:string>>>>>"
@@ -88,12 +88,11 @@ def test_leaves_links_and_tables(spark):
 
 def test_nodes_edge_tables(spark):
     empty = spark.createDataFrame([], RESULTS)
-    assert nested.nodes(empty).count() == 0 and survivorship.surviving_rows(empty).count() == 0 and survivorship.golden_runs(empty).count() == 0
+    assert nested.nodes(empty).count() == 0
     twice = spark.createDataFrame(NESTED[:1] * 2, RESULTS)
     assert nested.nodes(twice).count() == 2 * nested.nodes(spark.createDataFrame(NESTED[:1], RESULTS)).count()
     clashing = spark.createDataFrame(NESTED, RESULTS).withColumns({"kind": F.lit("x"), "pre": F.lit(1), "config": F.lit(2), "_configs": F.lit(3), "file": F.lit(4), "span_day": F.lit(5)})
     assert nested.nodes(clashing).count() == len(brute_nodes(NESTED))
-    assert survivorship.golden_runs(clashing).count() == 1
     wide = spark.createDataFrame([run(1, {f"c{i}": config(folds=[(j, 1.0, [(1, "r")] * 3) for j in range(20)]) for i in range(40)})], RESULTS)
     assert nested.leaves(nested.nodes(wide)).count() == 40 * 20 * 3
 
@@ -118,39 +117,6 @@ def test_forms(spark):
     assert all(r.got == r.want for r in spark.createDataFrame(list(files.items()), "t string, want string").withColumn("got", notebook_file(F.col("t"))).collect())
 
 
-def test_survivors(spark):
-    good, bad = {"a": config(1.0)}, {"a": config(float("nan")), "b": None}
-    rows = [
-        run(10, bad, time="2025-01-01T00:00:00Z"), run(11, good, smoke=True, time="2024-05-01T00:00:00Z"), run(12, good, smoke=None, time="2024-01-01T00:00:00Z"), run(13, good, notebook=" sub/a.ipynb", smoke=None, time="2024-01-01 00:00:00", span="None"),
-        run(20, good, notebook="b.ipynb", span="2018-01"), run(21, None, notebook="b", span="2018/01/01", time="unset"), run(22, good, notebook="b", span="2018-02-01"),
-        run(30, good, notebook=None), run(31, good, notebook=None), run(40, good, notebook="c", seed=None), run(41, good, notebook="c", seed=None),
-    ]
-    table = spark.createDataFrame(rows, RESULTS)
-    assert {tuple(r) for r in survivorship.surviving_rows(table).collect()} == {(10, 12), (20, 20)}
-    assert {tuple(r) for r in survivorship.surviving_rows(table.union(table.filter("run_id = 10"))).collect()} == {(10, 12), (20, 20)}
-    golden = {(r.file, r.span_day): r for r in survivorship.golden_runs(table).collect()}
-    assert golden["a", ""].smoke_test is True and golden["a", ""].smoke_test_from == 11 and golden["a", ""].results_from == 12 and golden["a", ""].timestamp_utc_from == 12
-    assert golden["b", "2018-01-01"].results_from == 20 and golden["b", "2018-02-01"].results_from == 22
-
-
-def test_whole_records_survive(spark, small):
-    keyed = survivorship.run_keys(spark.read.parquet(f"{small}/results.parquet"))
-    groups = {}
-    for r in keyed.withColumn("us", instant(F.col("timestamp_utc"))).dropna(subset=["file", "span_day", "seed"]).collect():
-        groups.setdefault((r.file, r.span_day, r.seed), []).append(r)
-    said = lambda t: t is not None and t.strip().lower() not in ("", "none", "null", "nan", "n/a")
-    number = lambda r: any(v is not None and v.mape is not None and not math.isnan(v.mape) for v in (r.results or {}).values())
-    usable = {"path": lambda r: said(r.path), "smoke_test": lambda r: r.smoke_test is not None, "span_start": lambda r: said(r.span_start), "timestamp_utc": lambda r: r.us is not None, "results": number}
-    full = {False: 2, None: 1, True: 0}
-    got = {(r.file, r.span_day, r.seed): r for r in RECORDS.queries["p3_records"](spark, small).collect()}
-    assert set(got) == set(groups) and any(len(rows) > 1 for rows in groups.values())
-    for key, rows in groups.items():
-        for name, ok in usable.items():
-            best = max(rows, key=lambda r: (ok(r), number(r), full[r.smoke_test], r.us is not None, r.us or 0, -r.run_id))
-            want = (best[name], best.run_id) if ok(best) else (None, None)
-            assert repr((got[key][name], got[key][f"{name}_from"])) == repr(want)
-
-
 FILES = "file_id bigint, path string, notebook string, written_at timestamp, landed_at timestamp, body string"
 
 
@@ -221,6 +187,65 @@ def test_reduction_changes_nothing(spark, seed):
     assert found(spark, bodies) == brute_changes(bodies)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_summaries_are_enough(seed):
+    """Random stretches of optional, exclusive, moving and renamed fields: the kept files give the history of all."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        names = {"params": "params", "results": "results"}
+        documents = []
+        for _ in range(rng.randint(1, 60)):
+            for old, others in (("params", ["params", "n_params", "param_count"]), ("results", ["results", "metrics"])):
+                names[old] = rng.choice(others) if rng.random() < 0.06 else names[old]
+            own = {c: {"mape": rng.choice([5.0, None, 5]), names["params"]: 1000 + i} for i, c in enumerate("ABC")}
+            more = {n: rng.choice(["x", None, 3, [1]]) for n in ("env", "host", "note") if rng.random() < 0.3}
+            place = {"span_start": "2020-01-01"}
+            top = {"seed": 1} | more | (place if rng.random() < 0.5 else {})
+            if "span_start" not in top and rng.random() < 0.3:
+                own = {c: v | place for c, v in own.items()}
+            documents.append(top | {names["results"]: own})
+        whole = [(i, trees.shape_of(d)) for i, d in enumerate(documents)]
+        cuts = sorted(rng.sample(range(len(documents) + 1), min(2, len(documents))))
+        kept = []
+        for part in (documents[: cuts[0]], documents[cuts[0] : cuts[-1]], documents[cuts[-1] :]):
+            stretch = drift._Stretch()
+            for d in part:
+                stretch.add(("n", None, documents.index(d) if documents.count(d) == 1 else next(i for i, x in enumerate(documents) if x is d)), trees.shape_of(d))
+            kept += [(f, json.loads(json.dumps(s))) for _, _, f, s in (stretch.result() if part else [])]
+        want, got = trees.history_of(whole), trees.history_of(kept)
+        assert sorted(map(str, got[0])) == sorted(map(str, want[0])) and got[1] == want[1]
+
+
+def test_hot_notebook_leaves_few_files():
+    """Optional fields that come and go over thousands of files leave a bounded number for the task that sees them all."""
+    rng = random.Random(1)
+    sizes = []
+    for n in (1000, 4000):
+        stretch = drift._Stretch()
+        for i in range(n):
+            stretch.add(("n", None, i), trees.shape_of({"seed": i, "results": {"A": {"mape": 1.0} | ({"futility_stop": "x"} if rng.random() < 0.4 else {})}} | {k: 1 for k in ("env", "host", "note", "tag") if rng.random() < 0.3}))
+        sizes.append(len(stretch.result()))
+    assert max(sizes) < 80
+
+
+def test_moves(spark):
+    top = {"seed": 1, "span_start": "2020-01-01T00:00", "results": {c: {"mape": 5.0 + i} for i, c in enumerate("ABC")}}
+    moved = {"seed": 1, "results": {c: {"mape": 5.0 + i, "span_start": "2020-01-01T00:00"} for i, c in enumerate("ABC")}}
+    renamed = {"seed": 1, "results": {c: {"mape": 5.0 + i, "span_begin": "2020-01-01T00:00"} for i, c in enumerate("ABC")}}
+    kinds = lambda *ds: {tuple(r) for r in drift.schema_changes(files_of(spark, [json.dumps(d) for d in ds])).select("file_id", "field", "change_kind", "renamed_to").collect()}
+    assert kinds(top, moved) == {(1, "span_start", "moved", None)}
+    assert kinds(top, renamed) == {(1, "span_start", "moved", "span_begin"), (1, "span_start", "renamed", "span_begin")}
+    cost, script = trees.edit_script(trees.shape_of(top), trees.shape_of(moved))
+    assert cost == trees.MOVE and script == [("move", "span_start", "span_start")]
+
+
+def test_evidence_is_whole(spark):
+    """What tells two fields apart may stand after any number of characters, forms and keys."""
+    forms = lambda tail: ["w" * 50 + str(i) * (i % 2) + tail for i in range(8)]
+    a, b = trees._evidence(enumerate(forms("-x"))), trees._evidence(enumerate(forms("_1.y")))
+    assert not set(a["f"]) & set(b["f"]) and len(trees._evidence([("", {f"k{i}": 1 for i in range(90)})])["k"]) == 90
+
+
 def test_assignment_is_least():
     rng = random.Random(3)
     for _ in range(200):
