@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text
 from attestra.functions.alike import most_alike
+from attestra.session import cut_lineage
 
 # Verdicts, worst first.
 ORDER = ("RETRACTED", "MISMATCH", "NOT-FOUND", "UNVERIFIABLE", "NON-PAPER-OK", "VERIFIED")
@@ -64,21 +65,39 @@ def entry_fields(entries: DataFrame, fields: str = "fields") -> DataFrame:
     })
 
 
-def found_titles(left: DataFrame, right: DataFrame, words: int = 4, most: int = 5) -> DataFrame:
-    """``lt, rt``: for each left title the ``most`` right ones that a search by its rarest words finds.
+#: Words of a title that are looked up at first, from the rarest on.
+FIRST_WORDS = 4
+# Fixed value: how many records a search gives back.
+SEARCH_ROWS = 5
 
-    This stands for the search that a remote index answers: a left title looks up its ``words`` rarest words
-    that any right title has, and hits are ranked by the summed rarity of the words they share, then by text.
-    The rarest words have short lists, so frequent ones are read only for titles that have no others.
+
+def found_titles(left: DataFrame, right: DataFrame, most: int = SEARCH_ROWS, first: int = FIRST_WORDS) -> DataFrame:
+    """``lt, rt``: for each left title the ``most`` right ones that a search by all of its words ranks first.
+
+    This stands for the search that a remote index answers: right titles are ranked by the summed rarity of the
+    words they share, then by text. It is exact: the ``first`` rarest words are looked up, which gives each left title a
+    score that its last hit has at least; then all further words without which a right title could still reach it.
+    Titles that share only words looked up neither time can't, so frequent words are read only where they decide.
     """
     parted = lambda d, c: d.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
     lw, rw = parted(left.select("lt").distinct(), "lt"), parted(right.select("rt").distinct(), "rt")
     count = rw.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy("lt").orderBy("df", "w")
-    keyed = lw.join(count, "w").withColumn("_p", F.row_number().over(rare)).filter(F.col("_p") <= words)
-    hits = keyed.join(rw, "w").groupBy("lt", "rt").agg(F.sum(1 / F.log(1.0 + F.col("df") + 1)).alias("_s"))
-    place = Window.partitionBy("lt").orderBy(F.col("_s").desc(), "rt")
-    return hits.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= most).select("lt", "rt")
+    keyed = lw.join(count, "w").withColumn("_s", F.round(1 / F.log(1.0 + F.col("df") + 1), 12))
+    keyed = cut_lineage(keyed.withColumns({"_p": F.row_number().over(rare), "_rest": F.sum("_s").over(rare.rowsBetween(0, Window.unboundedFollowing)), "_all": F.sum("_s").over(Window.partitionBy("lt"))}))
+    last = lambda by: Window.partitionBy("lt").orderBy(F.col(by).desc(), "rt")
+
+    def hits(words: DataFrame) -> DataFrame:
+        return words.join(rw, "w").groupBy("lt", "rt").agg(F.round(F.sum("_s"), 9).alias("_part"))
+
+    floor = hits(keyed.filter(F.col("_p") <= first)).withColumn("_at", F.row_number().over(last("_part"))).filter(F.col("_at") == most).select("lt", F.col("_part").alias("_floor"))
+    bounded = keyed.join(floor, "lt", "left").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)))
+    reading = bounded.filter((F.col("_p") <= first) | (F.col("_rest") >= F.col("_floor") - 1e-9))
+    unread = reading.groupBy("lt").agg((F.max("_all") - F.sum("_s")).alias("_unread"))
+    part = hits(reading).join(unread, "lt").withColumn("_at", F.row_number().over(last("_part")))
+    kept = part.withColumn("_least", F.max(F.when(F.col("_at") == most, F.col("_part"))).over(Window.partitionBy("lt"))).filter(F.col("_least").isNull() | (F.col("_part") + F.col("_unread") >= F.col("_least") - 1e-9))
+    whole = kept.select("lt", "rt").join(keyed.select("lt", "w", "_s"), "lt").join(rw, ["rt", "w"]).groupBy("lt", "rt").agg(F.round(F.sum("_s"), 9).alias("_whole"))
+    return whole.withColumn("_at", F.row_number().over(last("_whole"))).filter(F.col("_at") <= most).select("lt", "rt")
 
 
 #: Lengths of titles that share a block, and titles of a block about; a block is compared in one task.
@@ -267,12 +286,11 @@ def abstract_of(papers: DataFrame) -> DataFrame:
     return papers.withColumn("abstract_text", F.coalesce(own, other, short)).withColumn("abstract_src", label)
 
 
-def pair_citations(cited: DataFrame, bib: DataFrame, papers: DataFrame, least: float = 0.85) -> DataFrame:
-    """``cited`` with ``status``, ``matched_by``, ``paperid`` and the abstract of the paper.
+def match_papers(bib: DataFrame, papers: DataFrame, least: float = 0.85) -> DataFrame:
+    """``citekey, paperid, matched_by``: the paper of each entry, by DOI, else by the most alike of all titles; null without one.
 
-    ``bib``: ``citekey, title, doi`` (the last of a key counts by ``ord``); ``papers``: ``paperid, title, doi,
-    ord, abstract_text, abstract_src`` (the last of a DOI counts, the first of equally alike titles). Without a DOI
-    that is known, an entry is compared with all papers.
+    ``bib``: ``citekey, title, doi`` (the last of a key counts by ``ord``); ``papers``: ``paperid, title, doi, ord`` (the last
+    of a DOI counts, the first of equally alike titles). Without a DOI that is known, an entry is compared with all papers.
     """
     entries = bib.groupBy("citekey").agg(F.max_by(F.struct("title", "doi"), "ord").alias("e")).select("citekey", F.trim(text.bare_title(F.col("e.title"))).alias("lt"), text.norm_doi(F.col("e.doi")).alias("d"))
     keyed = papers.withColumn("d", text.norm_doi(F.col("doi")))
@@ -281,9 +299,42 @@ def pair_citations(cited: DataFrame, bib: DataFrame, papers: DataFrame, least: f
     rest = first.filter("doi_paper is null and coalesce(lt, '') <> ''").select(F.col("citekey").alias("entry"), "lt")
     alike = best_title(rest, papers.select(F.col("paperid").alias("record"), "ord", F.trim(text.bare_title(F.col("title"))).alias("rt")), least, search=False)
     matched = first.join(alike.select(F.col("entry").alias("citekey"), F.col("record").alias("title_paper")), "citekey", "left")
-    paper = F.coalesce("doi_paper", "title_paper")
-    matched = matched.select("citekey", paper.alias("paperid"), F.when(F.col("doi_paper").isNotNull(), "doi").when(F.col("title_paper").isNotNull(), "title").alias("matched_by"), F.lit(True).alias("_entry"))
+    by = F.when(F.col("doi_paper").isNotNull(), "doi").when(F.col("title_paper").isNotNull(), "title")
+    return matched.select("citekey", F.coalesce("doi_paper", "title_paper").alias("paperid"), by.alias("matched_by"))
+
+
+def pair_citations(cited: DataFrame, bib: DataFrame, papers: DataFrame, least: float = 0.85) -> DataFrame:
+    """``cited`` with ``status``, ``matched_by``, ``paperid`` and the abstract of the paper that ``match_papers`` finds.
+
+    ``papers`` also has ``abstract_text, abstract_src``; the last of a ``paperid`` by ``ord`` counts.
+    """
+    matched = match_papers(bib, papers, least).withColumn("_entry", F.lit(True))
     texts = papers.groupBy("paperid").agg(F.max_by(F.struct("abstract_text", "abstract_src"), "ord").alias("a")).select("paperid", "a.*")
     joined = cited.join(matched, cited["cited"] == matched["citekey"], "left").join(texts, "paperid", "left")
     status = F.when(F.col("_entry").isNull(), NO_ENTRY).when(F.col("paperid").isNull(), NOT_IN_STORE).when(F.col("abstract_text").isNull(), NO_ABSTRACT).otherwise(PAIRED)
     return joined.select(*cited.columns, status.alias("status"), "matched_by", "paperid", "abstract_text", "abstract_src")
+
+
+def worksheet(paired: DataFrame, bib: DataFrame) -> DataFrame:
+    """``citekey, title, status, matched_by, claims, abstract_src, abstract``: what is to be judged of each cited key.
+
+    ``paired`` is ``pair_citations``, whose status is the same for all rows of a key. ``claims`` counts the sentences; the
+    sentences themselves stay rows of ``paired``, as a key may be cited any number of times. The abstract's first 1200 characters.
+    """
+    titles = bib.groupBy("citekey").agg(F.max_by("title", "ord").alias("title"))
+    keys = paired.groupBy(F.col("cited").alias("citekey")).agg(
+        F.min("status").alias("status"), F.min("matched_by").alias("matched_by"), F.count(F.lit(1)).alias("claims"), F.min("abstract_src").alias("abstract_src"), F.min("abstract_text").alias("_text")
+    )
+    return keys.join(titles, "citekey", "left").select("citekey", "title", "status", "matched_by", "claims", "abstract_src", F.substring("_text", 1, 1200).alias("abstract"))
+
+
+def worksheet_counts(paired: DataFrame) -> DataFrame:
+    """``status, instances, keys`` of a worksheet, statuses without any included."""
+    every = paired.sparkSession.createDataFrame([(s,) for s in (PAIRED, NO_ABSTRACT, NOT_IN_STORE, NO_ENTRY)], "status string")
+    found = paired.groupBy("status").agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("cited").alias("keys"))
+    return every.join(found, "status", "left").na.fill(0, ["instances", "keys"])
+
+
+def missing_keys(cited: DataFrame, bib: DataFrame) -> DataFrame:
+    """``cited, times``: cited keys that the bibliography lacks, which is an error."""
+    return cited.join(bib.select(F.col("citekey").alias("cited")), "cited", "left_anti").groupBy("cited").agg(F.count(F.lit(1)).alias("times"))

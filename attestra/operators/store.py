@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions import text
 from attestra.functions.running import numbered
+from attestra.operators.biblio import title_likeness
 
 #: Weight of a focus term by the field that has it.
 FIELD_WEIGHTS = {"title": 3, "tldr": 2, "abstract": 1}
@@ -226,3 +227,99 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block_r
     scored = met.mapInPandas(best, "query_id bigint, vec_id bigint, cosine double").filter("query_id <> vec_id")
     place = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
     return scored.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+
+
+# --- Answers of indexes, and the store as a table --------------------------------------------------
+
+# Hits that a search and an exhaustive search take at most, and the likeness from which a found title is the paper's.
+SEARCH_HITS, BULK_HITS, SAME_TITLE = 25, 300, 0.85
+
+
+def arrivals(answers: DataFrame, mode: str, most: int | None = None, detail: str = "query") -> DataFrame:
+    """Answers of an index (``<detail>, rank`` and fields of papers) as arrivals with ``source`` ``<mode>:<detail>``.
+
+    ``mode`` is search, bulk, lookup, snowball-references and the like. Of each query the first ``most`` by ``rank`` count;
+    answers without a paper are left out. Ranks are numbered once, so a query of any size is no single task.
+    """
+    kept = answers if most is None else numbered(answers, ["rank"], "_n", [detail]).filter(F.col("_n") <= most).drop("_n")
+    return kept.filter(F.col("paperid").isNotNull()).withColumn("source", F.concat(F.lit(f"{mode}:"), F.col(detail))).drop(detail)
+
+
+def upsert(store: DataFrame, more: DataFrame) -> DataFrame:
+    """The store with arrivals (``paperid, rank, source`` and fields) merged in: known papers are only filled up.
+
+    ``store``: ``paperid, sources`` and the same fields. Its own values and sources come first.
+    """
+    fields = [c for c in store.columns if c not in ("paperid", "sources")]
+    tagged = F.posexplode_outer("sources").alias("_at", "source")
+    old = store.select("paperid", *fields, tagged).select("paperid", *fields, "source", F.struct(F.lit(0).alias("new"), F.coalesce("_at", F.lit(0)).cast("bigint").alias("at"), F.lit("").alias("by")).alias("_order"))
+    new = more.select("paperid", *fields, "source", F.struct(F.lit(1).alias("new"), F.col("rank").cast("bigint").alias("at"), F.col("source").alias("by")).alias("_order"))
+    return merge(old.unionByName(new), order="_order")
+
+
+def save_store(store: DataFrame, folder: str) -> str:
+    """Writes the store as the next version under ``folder`` and returns its path; readers see whole versions only."""
+    versions = stored_versions(store.sparkSession, folder)
+    path = f"{folder}/v{(versions[-1] if versions else 0) + 1:012d}"
+    store.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_store(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
+    """The last whole version of a store, or the one asked for; None where there is none."""
+    versions = stored_versions(spark, folder)
+    wanted = version if version is not None else versions[-1] if versions else None
+    return spark.read.parquet(f"{folder}/v{wanted:012d}") if wanted in versions else None
+
+
+def stored_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the whole versions under ``folder``, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path(folder)):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(path(folder))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and system.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def lookup(papers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``asked, paperid``: the paper of each ``asked, id, title``: by id or DOI, else by the title in normal form, the first by id."""
+    doi = F.lower(F.try_element_at("externalids", F.lit("DOI")))
+    keys = papers.select("paperid", F.explode(F.array_compact(F.array(F.col("paperid"), F.concat(F.lit("doi:"), doi)))).alias("_k")).distinct()
+    asked = wanted.select("asked", F.when(F.lower("id").startswith("doi:"), F.lower("id")).otherwise(F.col("id")).alias("_k"), F.nullif(text.spaced_title(F.col("title")), F.lit("")).alias("_t"))
+    by_id = asked.join(keys, "_k").groupBy("asked").agg(F.min("paperid").alias("_by_id"))
+    titles = papers.select("paperid", text.spaced_title(F.col("title")).alias("_t")).groupBy("_t").agg(F.min("paperid").alias("_by_title"))
+    both = asked.join(by_id, "asked", "left").join(titles, "_t", "left")
+    return both.select("asked", F.coalesce("_by_id", F.when(F.col("_k").isNull(), F.col("_by_title"))).alias("paperid"))
+
+
+def contexts_ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (``ord, contexts, year`` and others) with ``rank``: those with a sentence first, then the latest year, then ``ord``."""
+    shown = F.when(F.coalesce(F.size("contexts"), F.lit(0)) > 0, 0).otherwise(1)
+    keyed = rows.withColumns({"_shown": shown, "_year": F.coalesce("year", F.lit(0))})
+    return numbered(keyed, ["_shown", F.col("_year").desc(), "ord"], "rank").drop("_shown", "_year")
+
+
+def enrich(papers: DataFrame, by_doi: DataFrame, by_title: DataFrame) -> DataFrame:
+    """``papers`` with ``_abstract_openalex, _abstract_source, _openalex_id`` filled where there is no abstract at all.
+
+    ``by_doi``: ``doi, index, work_id``, ``by_title``: ``paperid, title, index, work_id`` (the first hit for a paper's title), both with
+    maps of words to places. A DOI's answer counts first. A hit counts if its title is as alike as ``SAME_TITLE``.
+    """
+    blank = lambda c: F.nullif(text.stripped(F.col(c)), F.lit(""))
+    bare = blank("abstract").isNull() & F.nullif("_abstract_openalex", F.lit("")).isNull()
+    works = by_doi.filter("doi is not null").groupBy(F.lower("doi").alias("_d")).agg(F.first(F.struct("index", "work_id")).alias("_one"))
+    hits = by_title.groupBy("paperid").agg(F.first(F.struct(F.col("title").alias("t"), "index", "work_id")).alias("_two"))
+    joined = papers.withColumns({"_bare": bare, "_d": F.when(bare, F.lower(F.try_element_at("externalids", F.lit("DOI"))))}).join(works, "_d", "left").join(hits, "paperid", "left")
+    alike = title_likeness(text.spaced_title(F.coalesce("title", F.lit(""))), text.spaced_title(F.coalesce("_two.t", F.lit(""))))
+    near = joined.withColumn("_near", F.when(F.col("_bare") & F.col("_one").isNull() & F.col("_two").isNotNull(), alike))
+    work = F.when(F.col("_one").isNotNull(), F.col("_one")).when(F.col("_near") >= SAME_TITLE, F.struct("_two.index", "_two.work_id"))
+    told = near.withColumn("_work", work).withColumn("_text", F.when(F.col("_bare"), from_inverted_index(F.col("_work.index"))))
+    new = {"_abstract_openalex": F.col("_text"), "_abstract_source": F.lit("openalex"), "_openalex_id": F.col("_work.work_id")}
+    return told.select(*[F.when(F.col("_text").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in papers.columns])
+
+
+def watch_report(found: DataFrame) -> DataFrame:
+    """New papers (``paperid, year`` and the counts of ``influence``) with ``rank``: latest year first, then influence, then ``paperid``."""
+    keyed = found.withColumns({"_y": F.coalesce("year", F.lit(0)), "_i": influence()})
+    return numbered(keyed, [F.col("_y").desc(), F.col("_i").desc(), "paperid"], "rank").drop("_y", "_i")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import stats
@@ -23,6 +23,14 @@ def study_auto(notebook: Column, span: Column) -> Column:
     return F.when(notebook.isNotNull(), F.concat_ws("@", stem(notebook), F.when(span != "", span)))
 
 
+def load_study_map(spark: SparkSession, path: str | None = None) -> DataFrame | None:
+    """``notebook, span, study`` of a JSON object of ``notebook::span`` keys. Without a path there is no map; a path without a file is an error."""
+    if path is None:
+        return None
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "study"))
+    return whole.select(F.regexp_extract("k", r"(?s)^(.*?)::", 1).alias("notebook"), F.regexp_replace("k", r"(?s)^.*?::", "").alias("span"), "study")
+
+
 def with_study(runs: DataFrame, studies: DataFrame | None = None) -> DataFrame:
     """``runs`` with ``study``: by the map of (notebook, span), or named after the notebook without a map.
 

@@ -122,3 +122,11 @@ def run_status(polled: Column, dry: Column) -> Column:
 def append_journal(rows: DataFrame, folder: str) -> None:
     """Appends rows as lines of a Markdown table, one file each time, so no lock is needed."""
     journal_line(rows).write.mode("append").text(folder)
+
+
+def finished(landed: DataFrame) -> DataFrame:
+    """Journal rows of landed results (``run_id, results, smoke_test, landed_at``): complete, with their summary."""
+    return landed.select(
+        "run_id", F.lit("colab").alias("account"), F.lit("(see injected cell)").alias("params"), F.lit("complete").alias("status"), summarize_results(F.col("results"), F.col("smoke_test")).alias("summary"), F.lit(None).cast("double").alias("runtime_s"),
+        F.date_format("landed_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text
 from attestra.operators import biblio, gate, log, review, store, sweep
 from attestra.plans.registry import Registry
-from attestra.session import table
+from attestra.session import cut_lineage, table
 from attestra.sources import bibtex
 
 PAPERS = Registry()
@@ -152,12 +152,59 @@ def cited_keys(spark, folder):
     return cited.groupBy("doc_id", "cited").agg(F.count(F.lit(1)).alias("times"))
 
 
+def _citable(spark, folder):
+    return biblio.abstract_of(_current(spark, folder)).select("paperid", "title", F.try_element_at("externalids", F.lit("DOI")).alias("doi"), F.col("row_id").alias("ord"), "abstract_text", "abstract_src")
+
+
+def _entries_of_bib(spark, folder):
+    return table(spark, folder, "bib_records").select("citekey", "title", "doi", F.col("bib_id").alias("ord"))
+
+
 @PAPERS.add("cite_pairs")
 def cite_pairs(spark, folder):
-    cited = biblio.cited_sentences(table(spark, folder, "documents"))
-    bib = table(spark, folder, "bib_records").select("citekey", "title", "doi", F.col("bib_id").alias("ord"))
-    papers = biblio.abstract_of(_current(spark, folder)).select("paperid", "title", F.try_element_at("externalids", F.lit("DOI")).alias("doi"), F.col("row_id").alias("ord"), "abstract_text", "abstract_src")
-    return biblio.pair_citations(cited, bib, papers)
+    return biblio.pair_citations(biblio.cited_sentences(table(spark, folder, "documents")), _entries_of_bib(spark, folder), _citable(spark, folder))
+
+
+@PAPERS.add("paper_matches")
+def paper_matches(spark, folder):
+    """The paper of each entry of the bibliographies."""
+    return biblio.match_papers(_entries_of_bib(spark, folder), _citable(spark, folder))
+
+
+@PAPERS.add(
+    "paper_matches_exact",
+    _CURRENT
+    + rf""", e AS (SELECT citekey, arg_max({{'t': title, 'd': doi}}, bib_id) AS v FROM bib_records GROUP BY 1), b AS (SELECT citekey, {_DOI("v.d")} AS d, trim(regexp_replace(lower(v.t), '[^a-z0-9 ]', '', 'g')) AS t FROM e),
+k AS (SELECT {_DOI("externalids['DOI']")} AS d, arg_max(paperid, row_id) AS p FROM cur GROUP BY 1), tt AS (SELECT trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g')) AS t, arg_min(paperid, row_id) AS p FROM cur GROUP BY 1)
+SELECT b.citekey, coalesce(k.p, tt.p) AS paperid, CASE WHEN k.p IS NOT NULL THEN 'doi' ELSE 'title' END AS matched_by FROM b LEFT JOIN k ON b.d = k.d LEFT JOIN tt ON b.t = tt.t AND b.t <> '' AND length(b.t) < 200 WHERE coalesce(k.p, tt.p) IS NOT NULL""",
+)
+def paper_matches_exact(spark, folder):
+    """Of these the ones by DOI or by an equal title, which SQL can find too."""
+    found = biblio.match_papers(_entries_of_bib(spark, folder), _citable(spark, folder)).filter("paperid is not null")
+    bare = lambda c: F.trim(text.bare_title(F.col(c)))
+    last = _entries_of_bib(spark, folder).groupBy("citekey").agg(F.max_by("title", "ord").alias("_b"))
+    both = found.join(last, "citekey").join(_citable(spark, folder).select("paperid", F.col("title").alias("_p")), "paperid")
+    return both.filter((F.col("matched_by") == "doi") | (bare("_b") == bare("_p"))).select("citekey", "paperid", "matched_by")
+
+
+def _paired(spark, folder):
+    return cut_lineage(cite_pairs(spark, folder))
+
+
+@PAPERS.add("cite_worksheet")
+def cite_worksheet(spark, folder):
+    """Each cited key with its status, the number of its claims and the abstract to judge them by."""
+    return biblio.worksheet(_paired(spark, folder), table(spark, folder, "bib_records").select("citekey", "title", F.col("bib_id").alias("ord")))
+
+
+@PAPERS.add("cite_counts")
+def cite_counts(spark, folder):
+    return biblio.worksheet_counts(_paired(spark, folder))
+
+
+@PAPERS.add("missing_keys", _CITED + "SELECT cited, count(*) AS times FROM ci WHERE cited NOT IN (SELECT citekey FROM bib_records WHERE citekey IS NOT NULL) GROUP BY 1")
+def missing_keys(spark, folder):
+    return biblio.missing_keys(biblio.cited_sentences(table(spark, folder, "documents")), table(spark, folder, "bib_records"))
 
 
 @PAPERS.add(
@@ -186,6 +233,78 @@ def store_merge(spark, folder):
     return store.merge(rows)
 
 
+_HALF = "SELECT max(row_id) / 2 AS m FROM papers"
+
+
+def _halves(spark, folder):
+    """The earlier stored rows of the papers, and the later ones."""
+    own = table(spark, folder, "papers")
+    both = own.crossJoin(F.broadcast(own.agg((F.max("row_id") / 2).alias("_m"))))
+    return both.filter("row_id <= _m").drop("_m"), both.filter("row_id > _m").drop("_m")
+
+
+@PAPERS.add(
+    "store_upsert",
+    f"""WITH half AS ({_HALF}), s AS (SELECT paperid, src, min((CASE WHEN row_id <= m THEN 0 ELSE 1 END, row_id)) AS o FROM (SELECT paperid, row_id, unnest(_sources) AS src FROM papers WHERE paperid IS NOT NULL), half WHERE src IS NOT NULL GROUP BY ALL),
+l AS (SELECT paperid, list(src ORDER BY o, src) AS sources FROM s GROUP BY 1),
+m AS (SELECT paperid, arg_min(title, row_id) FILTER (WHERE title IS NOT NULL AND title <> '') AS title, arg_min(year, row_id) FILTER (WHERE year IS NOT NULL) AS year FROM papers WHERE paperid IS NOT NULL GROUP BY 1)
+SELECT m.*, coalesce(l.sources, []) AS sources FROM m LEFT JOIN l USING (paperid)""",
+)
+def store_upsert(spark, folder):
+    """A store of the earlier rows with the later ones merged in."""
+    before, later = (d.select("paperid", "row_id", "title", "year", F.explode_outer("_sources").alias("source")) for d in _halves(spark, folder))
+    return store.upsert(store.merge(before), later.withColumnRenamed("row_id", "rank"))
+
+
+@PAPERS.add(
+    "bulk_arrivals",
+    "WITH r AS (SELECT paperid, title, coalesce(venue, '') AS q, row_id, row_number() OVER (PARTITION BY coalesce(venue, '') ORDER BY row_id) AS n FROM papers) SELECT paperid, title, row_id AS rank, 'bulk:' || q AS source FROM r WHERE n <= 300 AND paperid IS NOT NULL",
+)
+def bulk_arrivals(spark, folder):
+    """Stored rows as answers of exhaustive searches by venue, each taken up to its limit."""
+    answers = table(spark, folder, "papers").select("paperid", "title", F.coalesce("venue", F.lit("")).alias("query"), F.col("row_id").alias("rank"))
+    return store.arrivals(answers, "bulk", store.BULK_HITS)
+
+
+@PAPERS.add(
+    "paper_lookup",
+    _CURRENT
+    + r""", a AS (SELECT bib_id AS asked, 'doi:' || lower(doi) AS k, nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') AS t FROM bib_records),
+ks AS (SELECT min(paperid) AS p, 'doi:' || lower(externalids['DOI']) AS k FROM cur WHERE externalids['DOI'] IS NOT NULL GROUP BY 2), ts AS (SELECT min(paperid) AS p, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM cur GROUP BY 2)
+SELECT asked, coalesce(ks.p, CASE WHEN a.k IS NULL THEN ts.p END) AS paperid FROM a LEFT JOIN ks ON a.k = ks.k LEFT JOIN ts ON a.t = ts.t""",
+)
+def paper_lookup(spark, folder):
+    """Entries looked up by DOI, those without one by title."""
+    wanted = table(spark, folder, "bib_records").select(F.col("bib_id").alias("asked"), F.concat(F.lit("DOI:"), "doi").alias("id"), "title")
+    return store.lookup(_current(spark, folder), wanted)
+
+
+@PAPERS.add("contexts_ranked", "SELECT row_id AS ord, row_number() OVER (ORDER BY CASE WHEN abstract IS NOT NULL THEN 0 ELSE 1 END, coalesce(year, 0) DESC, row_id) AS rank FROM papers")
+def contexts_ranked(spark, folder):
+    """Stored rows as citing papers, their abstracts as the citing sentences."""
+    rows = table(spark, folder, "papers").select(F.col("row_id").alias("ord"), F.array_compact(F.array("abstract")).alias("contexts"), "year")
+    return store.contexts_ranked(rows).select("ord", "rank")
+
+
+@PAPERS.add(
+    "store_enrich",
+    _CURRENT
+    + r""", w AS (SELECT lower(externalids['DOI']) AS d, min(nullif(array_to_string(list_filter(regexp_split_to_array(title, ' +'), lambda x: x <> ''), ' '), '')) AS t FROM cur WHERE externalids['DOI'] IS NOT NULL GROUP BY 1),
+c AS (SELECT cur.*, nullif(trim(abstract), '') IS NULL AND nullif(_abstract_openalex, '') IS NULL AS bare, w.t AS by_doi, w.d AS d, nullif(array_to_string(list_filter(regexp_split_to_array(title, ' +'), lambda x: x <> ''), ' '), '') AS own FROM cur LEFT JOIN w ON lower(externalids['DOI']) = w.d),
+f AS (SELECT *, CASE WHEN bare THEN CASE WHEN d IS NOT NULL THEN by_doi WHEN trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(coalesce(title, '')) , '[^a-z0-9]+', ' ', 'g')) THEN own END END AS t FROM c)
+SELECT paperid, coalesce(t, _abstract_openalex) AS _abstract_openalex, CASE WHEN t IS NOT NULL THEN 'openalex' ELSE _abstract_source END AS _abstract_source, CASE WHEN t IS NOT NULL THEN CASE WHEN d IS NOT NULL THEN 'd' ELSE 't' END ELSE _openalex_id END AS _openalex_id FROM f""",
+)
+def store_enrich(spark, folder):
+    """Papers without an abstract get their title for one, as an index by DOI or by the same title would answer."""
+    own = _current(spark, folder)
+    words = F.filter(F.split("title", " +"), lambda w: w != "")
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
+    doi = F.lower(F.try_element_at("externalids", F.lit("DOI")))
+    first = own.filter(doi.isNotNull()).groupBy(doi.alias("doi")).agg(F.min(F.array_join(words, " ")).alias("title")).select("doi", index.alias("index"), F.lit("d").alias("work_id"))
+    hits = own.select("paperid", "title", index.alias("index"), F.lit("t").alias("work_id"))
+    return store.enrich(own, first, hits).select("paperid", "_abstract_openalex", "_abstract_source", "_openalex_id")
+
+
 @PAPERS.add("source_kinds", "SELECT row_id, list_sort(list_distinct(list_transform(coalesce(_sources, []), lambda s: split_part(s, ':', 1)))) AS kinds FROM papers")
 def source_kinds(spark, folder):
     return table(spark, folder, "papers").select("row_id", store.source_kinds(F.filter("_sources", lambda s: s.isNotNull())).alias("kinds"))
@@ -329,6 +448,19 @@ def watch_new(spark, folder):
     return store.watch_new(both.filter("row_id > m"), both.filter("row_id <= m"), 2022)
 
 
+@PAPERS.add(
+    "watch_report",
+    f"""WITH h AS (SELECT paperid, max(year) AS year, max(citationcount) AS c, max(influentialcitationcount) AS i FROM papers, ({_HALF}) WHERE paperid IS NOT NULL AND row_id > m GROUP BY 1),
+n AS (SELECT * FROM h WHERE year >= 2022 AND paperid NOT IN (SELECT paperid FROM papers, ({_HALF}) WHERE paperid IS NOT NULL AND row_id <= m))
+SELECT paperid, year, row_number() OVER (ORDER BY coalesce(year, 0) DESC, coalesce(i, 0) * 3 + coalesce(c, 0) DESC, paperid) AS rank FROM n""",
+)
+def watch_report(spark, folder):
+    before, later = _halves(spark, folder)
+    hits = later.filter("paperid is not null").groupBy("paperid").agg(*[F.max(c).alias(c) for c in ("year", "citationcount", "influentialcitationcount")])
+    fresh = hits.filter("year >= 2022").join(before.select("paperid").filter("paperid is not null").distinct(), "paperid", "left_anti")
+    return store.watch_report(fresh).select("paperid", "year", "rank")
+
+
 # --- Log ---------------------------------------------------------------------------------------
 
 _LOG = r"""WITH entries AS (SELECT regexp_extract(text, '#(\d+) \[', 1)::BIGINT AS id, coalesce(notebook, '?') AS track, regexp_extract(text, '\[([a-z\-]+)\]', 1) AS type, strftime(created_at, '%Y-%m-%d') AS session, text,
@@ -413,6 +545,50 @@ def narrative_check(spark, folder):
     return log.check_narrative(narratives, _entries(spark, folder))
 
 
+@PAPERS.add(
+    "uncited_findings",
+    _LOG
+    + r""", nar AS (SELECT text FROM documents WHERE source IN ('manuscript', 'rebuttal') AND text IS NOT NULL), c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '#(\d+)\b', 1))::BIGINT AS ref FROM nar), sup AS (SELECT DISTINCT unnest(refs) AS id FROM entries WHERE type = 'correction')
+SELECT DISTINCT id FROM entries WHERE type = 'finding' AND id NOT IN (SELECT ref FROM c) AND id NOT IN (SELECT id FROM sup WHERE id IS NOT NULL)""",
+)
+def uncited_findings(spark, folder):
+    narratives = table(spark, folder, "documents").filter("source in ('manuscript', 'rebuttal') and text is not null").select("doc_id", "text")
+    return log.uncited_findings(narratives, _entries(spark, folder)).distinct()
+
+
+@PAPERS.add(
+    "log_append",
+    _LOG + ", t AS (SELECT max(id) AS top FROM entries), a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE source = 'forum') SELECT doc_id, top + n AS id FROM a, t",
+)
+def log_append(spark, folder):
+    """Forum posts appended to the log, in order."""
+    posts = table(spark, folder, "documents").filter("source = 'forum'").select("doc_id", F.col("doc_id").alias("ord"))
+    return log.append(_entries(spark, folder), posts).select("doc_id", "id")
+
+
+@PAPERS.add(
+    "track_registry",
+    _LOG
+    + """, n AS (SELECT DISTINCT notebook AS id FROM documents WHERE notebook IS NOT NULL), j AS (SELECT id, CASE WHEN length(id) % 3 = 0 THEN 'open' WHEN length(id) % 3 = 1 THEN 'pending' ELSE 'active' END AS status FROM n)
+SELECT id, status, ['x' || id] AS depends_on FROM j WHERE status <> 'open'""",
+)
+def track_registry(spark, folder):
+    """Every notebook asked for as a track; a third of them with a status that isn't one."""
+    _, tracks, _ = log.init(spark, "all")
+    wanted = table(spark, folder, "documents").filter("notebook is not null").select(F.col("notebook").alias("id")).distinct()
+    status = F.when(F.length("id") % 3 == 0, "open").when(F.length("id") % 3 == 2, "active")
+    return log.add_tracks(tracks, wanted.select("id", F.lit("t").alias("title"), F.concat(F.lit(" x"), "id", F.lit(",")).alias("depends"), status.alias("status")))[0].select("id", "status", "depends_on")
+
+
+@PAPERS.add(
+    "track_status_entries",
+    "WITH n AS (SELECT DISTINCT notebook AS id FROM documents WHERE notebook IS NOT NULL) SELECT id AS track, 1 AS place, 'status' AS type, 'status pending -> blocked: why ' || id AS text FROM n UNION ALL SELECT id, 2, 'blocker', 'why ' || id FROM n",
+)
+def track_status_entries(spark, folder):
+    names = table(spark, folder, "documents").filter("notebook is not null").select(F.col("notebook").alias("id")).distinct()
+    return log.status_changes(names.withColumn("status", F.lit("pending")), names.select(F.col("id").alias("track"), F.lit("blocked").alias("status"), F.concat(F.lit("why "), "id").alias("note")))
+
+
 # --- Reviews -----------------------------------------------------------------------------------
 
 
@@ -488,6 +664,25 @@ def diff_parse(spark, folder):
     return files.join(added, "diff_id")
 
 
+@PAPERS.add(
+    "review_check",
+    """WITH r AS (SELECT doc_id, coalesce(notebook, '?') || '.' || row_number() OVER (PARTITION BY coalesce(notebook, '?') ORDER BY doc_id) AS id, coalesce(notebook, '?') AS nb FROM documents WHERE source = 'review'),
+a AS (SELECT coalesce(notebook, '?') AS nb, min(doc_id) AS d FROM documents WHERE source = 'rebuttal' GROUP BY 1), j AS (SELECT r.id, a.d IS NOT NULL AS told, doc_id % 4 AS k FROM r LEFT JOIN a USING (nb))
+SELECT id, CASE WHEN told AND k <> 1 AND k <> 2 THEN 'ok' ELSE 'FAIL' END AS verdict, CASE WHEN NOT told THEN 'unanswered' WHEN k = 1 THEN 'anchor not in diff; quote not found' WHEN k = 2 THEN 'nothing recorded' END AS why FROM j""",
+)
+def review_check(spark, folder):
+    """Answers to reviews: right anchors, wrong ones with a wrong quote, nothing recorded, or a quote of the manuscript."""
+    own = table(spark, folder, "documents")
+    reviews = own.filter("source = 'review'").select(F.col("doc_id").alias("ord"), F.coalesce("notebook", F.lit("?")).alias("reviewer"), "text")
+    answered = own.filter("source = 'rebuttal'").select(F.coalesce("notebook", F.lit("?")).alias("reviewer")).distinct().withColumn("response", F.lit("done"))
+    kind = F.col("ord") % 4
+    comments = review.comment_ids(reviews.join(answered, "reviewer", "left")).withColumns({
+        "action": F.lit("change"), "anchors": F.when(kind == 0, F.array(F.lit("sec/main.tex"))).when(kind == 1, F.array(F.lit("lost.tex"))).otherwise(F.array().cast("array<string>")), "quote": F.when(kind == 1, F.lit("never said")).when(kind == 3, F.lit("all  said")),
+    })
+    files, texts = spark.createDataFrame([("a/sec/main.tex",)], "file string"), spark.createDataFrame([("it is all said here",), ("other",)], "text string")
+    return review.check_responses(comments, files, spark.createDataFrame([("added words ",)], "added string"), texts)
+
+
 # --- Gate --------------------------------------------------------------------------------------
 
 
@@ -563,6 +758,18 @@ def result_summary(spark, folder):
     return table(spark, folder, "results").select("run_id", sweep.summarize_results(F.col("results"), F.col("smoke_test")).alias("summary"))
 
 
+@PAPERS.add(
+    "journal_finished",
+    _MAPES
+    + """ SELECT run_id, 'colab' AS account, '(see injected cell)' AS params, 'complete' AS status, CASE WHEN coalesce(len(ms), 0) = 0 THEN 'no results key!' ELSE 'mape: ' || array_to_string(list_transform(ms[1:6], lambda e: e.k || '=' || coalesce(printf('%.3f', e.v), '?')), ', ')
+  || CASE WHEN len(ms) > 6 THEN ' (+' || (len(ms) - 6) || ' more)' ELSE '' END || CASE WHEN smoke_test THEN ' [SMOKE]' ELSE '' END END AS summary, NULL::DOUBLE AS runtime_s, '2024-01-01T00:00:00+00:00' AS timestamp FROM m""",
+)
+def journal_finished(spark, folder):
+    """Journal rows of all stored runs, as if they had landed on one day."""
+    landed = table(spark, folder, "results").select("run_id", "results", "smoke_test", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("landed_at"))
+    return sweep.finished(landed)
+
+
 @PAPERS.add("param_inject", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 4 END AS cells, CASE WHEN p_partkey % 3 <> 0 THEN 'size = ' || p_size END AS injected FROM part")
 def param_inject(spark, folder):
     tags = F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("parameters")))

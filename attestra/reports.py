@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,8 @@ def statistics(verdicts: DataFrame) -> str:
 def claims(classified: DataFrame) -> str:
     """Counts of buckets, then claims that look like errors first, then by value."""
     counts = classified.groupBy("bucket").agg(F.count(F.lit(1)).alias("claims")).orderBy("bucket")
-    return "# Numeric claims\n\n" + table(counts) + "\n" + table(classified.filter("bucket <> 'MATCHED'").orderBy(~F.col("mape_like"), "val"))
+    shown = classified.withColumn("ctx", F.substring(F.replace("ctx", F.lit("|"), F.lit("/")), 1, 120)) if "ctx" in classified.columns else classified
+    return "# Numeric claims\n\n" + table(counts) + "\n" + table(shown.filter("bucket <> 'MATCHED'").orderBy(~F.col("mape_like"), "val"))
 
 
 def bibliography(audited: DataFrame, order: tuple[str, ...]) -> str:
@@ -42,15 +43,16 @@ def bibliography(audited: DataFrame, order: tuple[str, ...]) -> str:
     return "# Bibliography\n\n" + table(audited.orderBy(place, "entry"))
 
 
-def response_letter(comments: DataFrame) -> str:
-    """Comments by reviewer with their responses; open ones are marked."""
-    out, reviewer = ["# Response"], None
-    for r in comments.orderBy("reviewer", "ord").collect():
-        if r.reviewer != reviewer:
-            reviewer = r.reviewer
-            out.append(f"\n## {reviewer}\n")
-        out.append(f"**{r.id}** {cell(r.text)}\n\n{r.response if r.response else '*pending*'}\n")
-    return "\n".join(out)
+def response_letter(comments: DataFrame) -> DataFrame:
+    """``reviewer, ord, value``: the paragraphs of a letter, one for each comment, headed where a reviewer's begin; open ones are marked.
+
+    Rows, as comments may be many; in order of ``reviewer`` and ``ord`` they are the letter.
+    """
+    first = F.min("ord").over(Window.partitionBy("reviewer")) == F.col("ord")
+    head = F.when(first, F.concat(F.lit("## Reviewer "), "reviewer", F.lit("\n\n"))).otherwise(F.lit(""))
+    changed = F.when(F.coalesce(F.size("anchors"), F.lit(0)) > 0, F.concat(F.lit("\n*(changed: "), F.array_join("anchors", ", "), F.lit(")*"))).otherwise(F.lit("")) if "anchors" in comments.columns else F.lit("")
+    answer = F.when(F.coalesce("response", F.lit("")) != "", F.concat("response", changed)).otherwise(F.lit("**[RESPONSE PENDING]**"))
+    return comments.select("reviewer", "ord", F.concat(head, F.lit("> **"), "id", F.lit(":** "), "text", F.lit("\n\n"), answer, F.lit("\n")).alias("value"))
 
 
 def notebook(entries: DataFrame, superseded: DataFrame) -> str:

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import math
 import random
 
 import pytest
@@ -227,6 +228,51 @@ def test_reviews(spark):
     assert checked == {"a": "ok", "b": "FAIL", "c": "ok", "d": "FAIL", "e": "FAIL", "f": "ok", "g": "FAIL", "h": "ok"}
 
 
+def test_search_is_exact(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)] + ["the", "of", "a"] * 6
+    titles = list({" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(300)})
+    asked = list({" ".join(rng.choices(words + ["new"], k=rng.randint(1, 8))) for _ in range(60)}) + ["the of a", "nothing"]
+    df = {w: sum(w in t.split() for t in titles) for t in titles for w in t.split()}
+    want = set()
+    for a in asked:
+        scores = {t: round(sum(round(1 / math.log(1.0 + df[w] + 1), 12) for w in set(a.split()) & set(t.split())), 9) for t in titles}
+        want |= {(a, t) for t in sorted((t for t, s in scores.items() if s > 0), key=lambda t: (-scores[t], t))[:5]}
+    left, right = spark.createDataFrame([(a,) for a in asked], "lt string"), spark.createDataFrame([(t,) for t in titles], "rt string")
+    assert {tuple(r) for r in biblio.found_titles(left, right).collect()} == want
+
+
+def test_worksheet_and_enrichment(spark):
+    paired = spark.createDataFrame([("k", "s1", "PAIRED", "doi", "x" * 2000, "abstract"), ("k", "s2", "PAIRED", "doi", "x" * 2000, "abstract"), ("m", "s3", "NO-BIB-ENTRY", None, None, None)], "cited string, sentence string, status string, matched_by string, abstract_text string, abstract_src string")
+    bib = spark.createDataFrame([("k", "T", 1)], "citekey string, title string, ord int")
+    assert {(r.citekey, r.title, r.claims, len(r.abstract or "")) for r in biblio.worksheet(paired, bib).collect()} == {("k", "T", 2, 1200), ("m", None, 1, 0)}
+    assert {r.status: (r.instances, r["keys"]) for r in biblio.worksheet_counts(paired).collect()} == {"PAIRED": (2, 1), "NO-ABSTRACT": (0, 0), "NOT-IN-STORE": (0, 0), "NO-BIB-ENTRY": (1, 1)}
+    papers = spark.createDataFrame([("a", "Deep nets", None, None, None, None, {"DOI": "10.1/A"}), ("b", "Deep trees of old", " ", None, None, None, None), ("c", "Deep trees of old", None, None, None, None, None), ("d", "x", "has one", None, None, None, None)], "paperid string, title string, abstract string, _abstract_openalex string, _abstract_source string, _openalex_id string, externalids map<string,string>")
+    index = "map<string,array<int>>"
+    by_doi = spark.createDataFrame([("10.1/a", {"two": [1], "one": [0]}, "w1")], f"doi string, index {index}, work_id string")
+    by_title = spark.createDataFrame([("b", "Deep trees, of old!", {"t": [0]}, "w2"), ("c", "Shallow water", {"u": [0]}, "w3"), ("d", "x", {"v": [0]}, "w4")], f"paperid string, title string, index {index}, work_id string")
+    got = {r.paperid: (r._abstract_openalex, r._abstract_source, r._openalex_id) for r in store.enrich(papers, by_doi, by_title).collect()}
+    assert got == {"a": ("one two", "openalex", "w1"), "b": ("t", "openalex", "w2"), "c": (None, None, None), "d": (None, None, None)}
+
+
+def test_store_versions_and_maps(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    assert store.load_store(spark, folder) is None
+    own = spark.createDataFrame([("a", "T", ["search:x"])], "paperid string, title string, sources array<string>")
+    store.save_store(own, folder)
+    more = store.arrivals(spark.createDataFrame([("y", 1, "a", "U"), ("y", 2, "b", "V"), ("y", 3, "c", "W"), ("y", 4, None, "Z")], "query string, rank int, paperid string, title string"), "search", 2)
+    merged = store.upsert(store.load_store(spark, folder), more)
+    store.save_store(merged, folder)
+    assert {(r.paperid, r.title, tuple(r.sources)) for r in store.load_store(spark, folder).collect()} == {("a", "T", ("search:x", "search:y")), ("b", "V", ("search:y",))}
+    assert store.load_store(spark, folder, 1).count() == 1 and store.stored_versions(spark, folder) == [1, 2]
+    from attestra.operators import study
+
+    (tmp_path / "studies.json").write_text(json.dumps({"n.ipynb::2019": "S", "m::": None}))
+    assert {tuple(r) for r in study.load_study_map(spark, str(tmp_path / "studies.json")).collect()} == {("n.ipynb", "2019", "S"), ("m", "", None)} and study.load_study_map(spark) is None
+    with pytest.raises(Exception):
+        study.load_study_map(spark, str(tmp_path / "none.json")).collect()
+
+
 def test_gate(spark):
     rows = spark.createDataFrame([("a", True, True), ("b", False, False), ("c", None, True)], "name string, required boolean, ok boolean")
     assert tuple(gate.verdict(rows).first()) == (True, 0, 1)
@@ -332,7 +378,8 @@ def test_npy_steps_ranks_reports(spark, tmp_path):
     text_ = reports.table(spark.createDataFrame([("a|b", 1.23456, None, [1, 2])], "x string, y double, z string, w array<int>"))
     assert "a\\|b" in text_ and "1.235" in text_ and "1, 2" in text_
     comments = spark.createDataFrame([("r.1", "r", 1, "c", None), ("r.2", "r", 2, "d", "answer")], "id string, reviewer string, ord int, text string, response string")
-    assert "*pending*" in reports.response_letter(comments)
+    letter = [r.value for r in reports.response_letter(comments).orderBy("reviewer", "ord").collect()]
+    assert letter[0].startswith("## Reviewer r") and "[RESPONSE PENDING]" in letter[0] and "answer" in letter[1] and "##" not in letter[1]
     status = spark.createDataFrame([("complete", False), ("timeout", False), (None, True)], "s string, d boolean").select(sweep.run_status(F.col("s"), F.col("d")))
     assert [r[0] for r in status.collect()] == ["complete", "FAILED (timeout)", "dry_run"]
     row = spark.createDataFrame([("s-run001", "me", "lr=1", "complete", "A", 1.5, "now")], "run_id string, account string, params string, status string, summary string, runtime_s double, timestamp string")
