@@ -15,7 +15,8 @@ def findings(runs: DataFrame, expect: list[str], anchors: dict[str, int]) -> Dat
     """One row per run: missing configurations, bad metrics, futility stops, anchor mismatches, flags.
 
     ``fail``: something is missing or bad or off its anchor; ``warn``: a smoke test or a futility stop;
-    ``tag``: FAIL, DISCLOSE or OK. Runs without results miss everything that is expected. Expressions
+    ``tag``: FAIL, DISCLOSE or OK. Runs without results miss everything that is expected. With a column
+    ``parse_error`` a file that couldn't be read has no findings but fails as UNREADABLE. Expressions
     over the run's own map only, so nothing is shuffled.
     """
     entries = F.map_entries(F.coalesce("results", F.expr("map()").cast(runs.schema["results"].dataType)))
@@ -25,10 +26,15 @@ def findings(runs: DataFrame, expect: list[str], anchors: dict[str, int]) -> Dat
     futile = F.transform(F.filter(entries, lambda e: F.coalesce(e["value"]["futility_stop"], F.lit("")) != ""), lambda e: F.concat(e["key"], F.lit(": "), e["value"]["futility_stop"]))
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).cast("bigint").alias("v")) for k, v in sorted(anchors.items())]) if anchors else F.expr("array()").cast("array<struct<k:string,v:bigint>>")
     off = F.transform(F.filter(pairs, lambda a: F.exists(entries, lambda e: (e["key"] == a["k"]) & ~e["value"]["params"].eqNullSafe(a["v"]))), lambda a: a["k"])
-    out = runs.select("run_id", "notebook", "span_start", "seed", "smoke_test", missing.alias("missing"), bad.alias("bad"), futile.alias("futility"), off.alias("off_anchor"))
+    out = runs.select("run_id", "notebook", "span_start", "seed", "smoke_test", missing.alias("missing"), bad.alias("bad"), futile.alias("futility"), off.alias("off_anchor"), *([F.coalesce("parse_error", F.lit(False)).alias("_lost")] if "parse_error" in runs.columns else []))
     fail = (F.size("missing") > 0) | (F.size("bad") > 0) | (F.size("off_anchor") > 0)
     warn = F.coalesce(F.col("smoke_test"), F.lit(False)) | (F.size("futility") > 0)
-    return out.withColumn("fail", fail).withColumn("warn", warn).withColumn("tag", F.when(F.col("fail"), "FAIL").when(F.col("warn"), "DISCLOSE").otherwise("OK"))
+    tagged = out.withColumn("fail", fail).withColumn("warn", warn).withColumn("tag", F.when(F.col("fail"), "FAIL").when(F.col("warn"), "DISCLOSE").otherwise("OK"))
+    if "parse_error" not in runs.columns:
+        return tagged
+    lost = F.col("_lost")
+    none = {c: F.when(~lost, F.col(c)) for c in ("missing", "bad", "futility", "off_anchor")}
+    return tagged.withColumns(none | {"fail": lost | F.col("fail"), "warn": ~lost & F.col("warn"), "tag": F.when(lost, "UNREADABLE").otherwise(F.col("tag"))}).drop("_lost")
 
 
 def parse_anchors(spec: str) -> dict[str, int]:

@@ -12,6 +12,7 @@ STATUSES = ("pending", "active", "blocked", "done", "dropped")
 DIGEST_ORDER = ("active", "blocked", "pending", "done", "dropped")
 TYPES = ("progress", "finding", "blocker", "decision", "correction", "next", "status")
 REASON = {"blocked": "blocker", "dropped": "decision"}
+TAGS = {"progress": "[prog]", "finding": "[FIND]", "blocker": "[BLKR]", "decision": "[decn]", "correction": "[corr]", "next": "[next]", "status": "[stat]"}
 
 
 def latest(entries: DataFrame, kind: str | None = None) -> DataFrame:
@@ -45,6 +46,22 @@ def digest(tracks: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def chronology(entries: DataFrame) -> DataFrame:
+    """``track, id, value``: each entry as a line of the compiled log, with what supersedes it, its refs and its evidence.
+
+    In order of ``track`` and ``id`` the lines are the log. Corrections of an entry are named in order of their ids.
+    """
+    tag = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair]), F.col("type")), F.lit("[????]"))
+    some = lambda c, head, each, tail: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.concat(F.lit(head), F.array_join(F.transform(c, each), ", "), F.lit(tail))).otherwise(F.lit(""))
+    number = lambda x: F.concat(F.lit("#"), x.cast("string"))
+    both = entries.join(superseded(entries), "id", "left")
+    line = F.concat(
+        F.lit("- **#"), F.col("id").cast("string"), F.lit("** "), F.coalesce("session", F.lit("")), F.lit(" "), tag, F.lit(" "), F.coalesce("text", F.lit("")), some(F.col("by"), " **[superseded by ", number, "]**"), some(F.col("refs"), " (re: ", number, ")"),
+        some(F.col("evidence"), "  \n  evidence: ", lambda e: F.concat(F.lit("`"), e, F.lit("`")), ""),
+    )
+    return both.select("track", "id", line.alias("value"))
+
+
 def sessions(entries: DataFrame) -> DataFrame:
     return entries.groupBy("session").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("track").alias("tracks"))
 

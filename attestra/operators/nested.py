@@ -21,10 +21,28 @@ from pyspark.sql import functions as F
 KINDS = ("run", "config", "fold", "stop")
 
 
+#: Children of a node whose sizes are summed at once.
+SPAN = 64
+
+
 def _starts(items: Column, size: Callable[[Column], Column]) -> Column:
-    """Twice the number of nodes in the items before each item, with a last element for them all."""
+    """Twice the number of nodes in the items before each item, with a last element for them all.
+
+    A list that grows by one element for each item costs the square of their number, so beyond ``SPAN`` items the
+    sums of spans come first, and each item adds those of its own span.
+    """
     zero = F.array(F.lit(0).cast("bigint"))
-    return F.aggregate(items, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + 2 * size(x))))
+    grown = lambda sizes: F.aggregate(sizes, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    total = lambda sizes, first, n: F.aggregate(F.slice(sizes, first, n), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    def spans(sizes: Column) -> Column:
+        heads = grown(F.transform(F.sequence(F.lit(0), ((F.size(sizes) - 1) / SPAN).cast("int")), lambda c: total(sizes, c * SPAN + 1, F.lit(SPAN))))
+        # Bound once, or every item would sum the spans anew.
+        each = F.transform(F.array(heads), lambda h: F.concat(F.transform(sizes, lambda s, i: F.get(h, (i / SPAN).cast("int")) + total(sizes, (i / SPAN).cast("int") * SPAN + 1, i % SPAN)), F.array(F.element_at(h, -1))))
+        return F.element_at(each, 1)
+
+    sizes = F.transform(items, lambda x: 2 * size(x))
+    return F.element_at(F.transform(F.array(sizes), lambda s: F.when(F.size(s) <= SPAN, grown(s)).otherwise(spans(s))), 1)
 
 
 def _stops(fold: Column) -> Column:

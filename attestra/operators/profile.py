@@ -129,3 +129,20 @@ def verify(old: DataFrame, new: DataFrame) -> DataFrame:
     apart = new.withColumns({"column": F.concat_ws("\u001f", "file", "column"), "col_hash": F.concat_ws("\u001f", "file", "col_hash")})
     poor = degeneracies(apart).select(F.split_part("column", F.lit("\u001f"), F.lit(1)).alias("file"), F.lit("FAIL").alias("severity"), F.concat_ws(": ", F.split_part("column", F.lit("\u001f"), F.lit(2)), F.regexp_replace("problem", "[^ ]*\u001f", "")).alias("why"))
     return moved.unionByName(drifted).unionByName(poor)
+
+
+def array_problems(profiled: DataFrame) -> DataFrame:
+    """``path, problem`` of array files (``path, nans, constant``): CONSTANT, and how many NaN there are."""
+    found = F.array_compact(F.array(F.when(F.col("constant"), F.lit("CONSTANT")), F.when(F.col("nans") > 0, F.concat(F.col("nans").cast("string"), F.lit(" NaN")))))
+    return profiled.select("path", F.explode(found).alias("problem"))
+
+
+def array_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``path, severity, change`` between two profiles of array files: another shape or type and more NaN are hard."""
+    fields = ("shape", "dtype", "nans")
+    a, b = (d.select("path", *[F.col(c).alias(f"{c}_{s}") for c in fields]) for d, s in ((old, "a"), (new, "b")))
+    rule = lambda condition, change: F.when(condition, F.struct(F.lit("hard").alias("severity"), change.alias("change")))
+    said = lambda c: F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"{c}_a").cast("string"), F.lit("None")), F.lit(" -> "), F.coalesce(F.col(f"{c}_b").cast("string"), F.lit("None")))
+    more = F.col("nans_a").isNotNull() & (F.coalesce("nans_b", F.lit(0)) > F.col("nans_a"))
+    found = F.array_compact(F.array(*[rule(~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), said(c)) for c in ("shape", "dtype")], rule(more, said("nans"))))
+    return a.join(b, "path").select("path", F.inline(found))

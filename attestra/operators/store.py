@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.functions import text
+from attestra.functions import stats, text
 from attestra.functions.running import numbered
 from attestra.operators.biblio import title_likeness
 
@@ -217,11 +217,10 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block_r
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for asked, stored in zip(batch["asked"], batch["stored"]):
-                names = np.array([s["k"] for s in stored])
+                names, wanted = np.array([s["k"] for s in stored]), np.array([a["k"] for a in asked])
                 found = unit([a["v"] for a in asked]) @ unit([s["v"] for s in stored]).T
-                for a, row in zip(asked, found):
-                    top = np.lexsort((names, -row))[: k + 1]
-                    yield pd.DataFrame({"query_id": a["k"], "vec_id": names[top], "cosine": row[top]})
+                top = np.lexsort((np.broadcast_to(names, found.shape), -found), axis=-1)[:, : k + 1]
+                yield pd.DataFrame({"query_id": np.repeat(wanted, top.shape[1]), "vec_id": names[top].ravel(), "cosine": np.take_along_axis(found, top, 1).ravel()})
 
     met = blocked(queries, "query_id", "q", "asked").crossJoin(blocked(vectors, "vec_id", "embedding", "stored"))
     scored = met.mapInPandas(best, "query_id bigint, vec_id bigint, cosine double").filter("query_id <> vec_id")
@@ -229,6 +228,30 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block_r
     return scored.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
 
 
+def entry_lines(papers: DataFrame, ranks: DataFrame, rated: DataFrame | None = None, cap: int = 650) -> DataFrame:
+    """``rank, value``: each paper as a block of the index: title, venue, counts, sources, links, relevance and abstract.
+
+    ``ranks``: ``paperid, rank``; ``rated``: ``paperid, relevance, matched``, whose first seven terms are shown. In order of
+    ``rank`` the blocks are the index.
+    """
+    both = papers.join(ranks.select("paperid", "rank"), "paperid")
+    both = both.join(rated.select("paperid", "relevance", "matched"), "paperid", "left") if rated is not None else both.withColumns({"relevance": F.lit(None).cast("double"), "matched": F.array().cast("array<string>")})
+    doi, pdf = _identifier("DOI"), F.coalesce(_present(F.col("openaccesspdf.url")), F.concat(F.lit("https://arxiv.org/pdf/"), _identifier("ArXiv")))
+    kinds = F.coalesce(_present(F.array_join(source_kinds(F.filter("_sources", lambda s: s.isNotNull())), ", ")), F.lit("-"))
+    few = F.nullif("influentialcitationcount", F.lit(0))
+    counts = F.concat(F.lit("cites "), F.coalesce("citationcount", F.lit(0)).cast("string"), F.coalesce(F.concat(F.lit(" (influential "), few.cast("string"), F.lit(")")), F.lit("")))
+    meta = F.concat_ws(" · ", F.concat(F.lit("*"), _present(text.stripped(F.col("venue"))), F.lit("*")), counts, F.concat(F.lit("found via "), kinds))
+    page = F.coalesce(_present(F.col("url")), F.concat(F.lit("https://www.semanticscholar.org/paper/"), "paperid"))
+    links = F.concat_ws(" · ", F.concat(F.lit("[Semantic Scholar]("), page, F.lit(")")), F.concat(F.lit("[DOI:"), doi, F.lit("](https://doi.org/"), doi, F.lit(")")), F.concat(F.lit("[open-access PDF]("), pdf, F.lit(")")))
+    terms = F.coalesce(_present(F.array_join(F.slice("matched", 1, 7), ", ")), F.lit("—"))
+    rating = F.coalesce(F.concat(F.lit("**Relevance:** "), stats.format_numbers(F.lit(".2f"), F.col("relevance")), F.lit(" — matches: "), terms, F.lit("  \n")), F.lit(""))
+    own, other, short = (_present(text.stripped(F.col(c))) for c in ("abstract", "_abstract_openalex", "tldr.text"))
+    label = F.when(own.isNotNull(), "").when(other.isNotNull(), " *(abstract via OpenAlex)*").otherwise(" *(TL;DR (Semantic Scholar))*")
+    told = F.coalesce(F.concat(F.lit("> "), text.shortened(F.coalesce(own, other, short), cap), label), F.lit("> *(abstract unavailable — verify before citing claims about this paper's content)*"))
+    head = F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), text.stripped(F.coalesce(_present(F.col("title")), F.lit("(untitled)"))), F.lit(" ("), F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit("?")), F.lit(")"))
+    return both.select("rank", F.concat(head, F.lit("\n\n"), meta, F.lit("  \n**Links:** "), links, F.lit("  \n"), rating, F.lit("\n"), told, F.lit("\n")).alias("value"))
+
+
 # --- Answers of indexes, and the store as a table --------------------------------------------------
 
 # Hits that a search and an exhaustive search take at most, and the likeness from which a found title is the paper's.

@@ -5,7 +5,8 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -130,3 +131,28 @@ def finished(landed: DataFrame) -> DataFrame:
         "run_id", F.lit("colab").alias("account"), F.lit("(see injected cell)").alias("params"), F.lit("complete").alias("status"), summarize_results(F.col("results"), F.col("smoke_test")).alias("summary"), F.lit(None).cast("double").alias("runtime_s"),
         F.date_format("landed_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
     )
+
+
+def load_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """``sweep, prefix, runs`` of a YAML file (``kernel_slug_prefix`` and ``runs``, a list of parameter maps); values as written.
+
+    One small file, read where the plan is made. Needs a YAML reader, which is an error where there is none.
+    """
+    import yaml
+
+    whole = spark.read.text(path, wholetext=True).first().value
+    found = yaml.safe_load(whole) or {}
+    runs = [{str(k): str(v) for k, v in (r or {}).items()} for r in found.get("runs") or []]
+    return spark.createDataFrame([(path, found["kernel_slug_prefix"], runs)], "sweep string, prefix string, runs array<map<string,string>>")
+
+
+def accounts(spark: SparkSession, path: str) -> DataFrame:
+    """``name, username`` of the accounts of a YAML file; where secrets lie is left to the caller. No file is no account."""
+    import yaml
+
+    try:
+        whole = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:
+        whole = None
+    rows = [(a["name"], a.get("kaggle_username")) for a in ((yaml.safe_load(whole.value) or {}) if whole else {}).get("accounts", [])]
+    return spark.createDataFrame(rows, "name string, username string").dropDuplicates(["name"])

@@ -399,6 +399,27 @@ def report_ranks(spark, folder):
     return store.ranked(_current(spark, folder), _relevance(spark, folder).withColumn("relevance", F.round("relevance", 9)))
 
 
+@PAPERS.add(
+    "index_blocks",
+    _RELEVANCE
+    + r""", rk AS (SELECT paperid, row_number() OVER (ORDER BY round(relevance, 9) DESC, coalesce(influentialcitationcount, 0) * 3 + coalesce(citationcount, 0) DESC, paperid) AS rank FROM rel JOIN cur USING (paperid)),
+x AS (SELECT cur.*, rk.rank, rel.relevance, rel.matched, nullif(externalids['DOI'], '') AS doi, coalesce(nullif(openaccesspdf.url, ''), 'https://arxiv.org/pdf/' || nullif(externalids['ArXiv'], '')) AS pdf,
+  coalesce(nullif(array_to_string(list_sort(list_distinct(list_transform(list_filter(coalesce(_sources, []), lambda s: s IS NOT NULL), lambda s: split_part(s, ':', 1)))), ', '), ''), '-') AS kinds,
+  nullif(trim(abstract), '') AS a1, nullif(trim(_abstract_openalex), '') AS a2, nullif(trim(tldr.text), '') AS a3 FROM cur JOIN rk USING (paperid) JOIN rel USING (paperid)),
+y AS (SELECT *, trim(regexp_replace(coalesce(a1, a2, a3), '[\s\p{Z}]+', ' ', 'g')) AS ab FROM x)
+SELECT rank, '### ' || rank || '. ' || trim(coalesce(nullif(title, ''), '(untitled)'), E' \t\r\n') || ' (' || coalesce(nullif(year, 0)::VARCHAR, '?') || E')\n\n' || coalesce('*' || nullif(trim(venue), '') || '* · ', '') || 'cites ' || coalesce(citationcount, 0)
+  || coalesce(' (influential ' || nullif(influentialcitationcount, 0) || ')', '') || ' · found via ' || kinds || E'  \n**Links:** [Semantic Scholar](' || coalesce(nullif(url, ''), 'https://www.semanticscholar.org/paper/' || paperid) || ')'
+  || coalesce(' · [DOI:' || doi || '](https://doi.org/' || doi || ')', '') || coalesce(' · [open-access PDF](' || pdf || ')', '') || E'  \n**Relevance:** ' || printf('%.2f', relevance) || ' — matches: ' || coalesce(nullif(array_to_string(matched[1:7], ', '), ''), '—') || E'  \n\n'
+  || CASE WHEN ab IS NULL THEN '> *(abstract unavailable — verify before citing claims about this paper''s content)*' ELSE '> ' || CASE WHEN length(ab) > 650 THEN regexp_replace(substr(ab, 1, 650), ' [^ ]*$', '') || ' …' ELSE ab END
+    || CASE WHEN a1 IS NOT NULL THEN '' WHEN a2 IS NOT NULL THEN ' *(abstract via OpenAlex)*' ELSE ' *(TL;DR (Semantic Scholar))*' END END || E'\n' AS value FROM y""",
+)
+def index_blocks(spark, folder):
+    """The index of all papers by relevance, a block each."""
+    own, rated = _current(spark, folder), _relevance(spark, folder)
+    ranks = store.ranked(own, rated.withColumn("relevance", F.round("relevance", 9)))
+    return store.entry_lines(own, ranks, rated)
+
+
 @PAPERS.add(
     "snowball_1hop",
     """WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), s AS (SELECT o_orderkey AS seed FROM orders WHERE o_orderpriority LIKE '1%')
@@ -530,6 +551,17 @@ def log_digest(spark, folder):
     return log.digest(entries.select("track").distinct().select(F.col("track").alias("id"), states.alias("status")), entries)
 
 
+@PAPERS.add(
+    "log_chronology",
+    _LOG
+    + r""", sup AS (SELECT id, list_sort(list(DISTINCT b)) AS b FROM (SELECT id AS b, unnest(refs) AS id FROM entries WHERE type = 'correction') GROUP BY 1)
+SELECT track, entries.id, '- **#' || entries.id || '** ' || coalesce(session, '') || ' ' || CASE type WHEN 'progress' THEN '[prog]' WHEN 'finding' THEN '[FIND]' WHEN 'blocker' THEN '[BLKR]' WHEN 'decision' THEN '[decn]' WHEN 'correction' THEN '[corr]' WHEN 'next' THEN '[next]' WHEN 'status' THEN '[stat]' ELSE '[????]' END
+  || ' ' || text || CASE WHEN len(sup.b) > 0 THEN ' **[superseded by #' || array_to_string(sup.b, ', #') || ']**' ELSE '' END || CASE WHEN len(refs) > 0 THEN ' (re: #' || array_to_string(refs, ', #') || ')' ELSE '' END AS value FROM entries LEFT JOIN sup ON sup.id = entries.id""",
+)
+def log_chronology(spark, folder):
+    return log.chronology(_entries(spark, folder))
+
+
 @PAPERS.add(
     "narrative_check",
     _LOG

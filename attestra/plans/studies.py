@@ -8,6 +8,7 @@ from attestra.functions import text
 from attestra.operators import claims, integrity, profile, study
 from attestra.plans.registry import Registry
 from attestra.session import cut_lineage, table
+from attestra.sources import files
 
 STUDIES = Registry()
 
@@ -406,6 +407,13 @@ def under_coverage(spark, folder):
     return integrity.under_coverage(table(spark, folder, "results"), EXPECT)
 
 
+@STUDIES.add("landed_findings")
+def landed_findings(spark, folder):
+    """Findings over the raw result files as they landed; unreadable ones fail. Shapes drift, so much is missing there."""
+    landed = files.parse_runs(table(spark, folder, "run_files").select(F.col("file_id").alias("run_id"), F.col("body").alias("value")))
+    return integrity.findings(landed, EXPECT, ANCHORS).select("run_id", "missing", "bad", "futility", "off_anchor", "tag")
+
+
 # --- Profiles ----------------------------------------------------------------------------------
 
 
@@ -456,6 +464,19 @@ def drift_between(spark, folder):
     return profile.drift(profile.profile(before, "c_custkey"), profile.profile(after, "c_custkey"))
 
 
+@STUDIES.add(
+    "verify_files",
+    """SELECT * FROM (VALUES ('gone', 'FAIL', 'missing'), ('new', 'warn', 'new file'), ('b', 'FAIL', 'c_acctbal: collapsed to a constant'), ('b', 'warn', 'c_acctbal: content changed'), ('b', 'FAIL', 'again: column added'), ('b', 'FAIL', 'nothing: column added'),
+  ('b', 'FAIL', 'thin: column added'), ('b', 'FAIL', 'c_acctbal: CONSTANT'), ('b', 'FAIL', 'again: DUPLICATES c_name'), ('b', 'FAIL', 'nothing: ALL-NULL'), ('b', 'FAIL', 'thin: >50% NULL')) t(file, severity, why)""",
+)
+def verify_files(spark, folder):
+    """Profiles of four files before and after: one as it was, one altered, one gone, one new."""
+    before, after = (profile.profile(d, "c_custkey") for d in _altered(spark, folder))
+    named = lambda d, name, mark: d.withColumns({"file": F.lit(name), "sha256": F.lit(mark)})
+    old = named(before, "a", "1").unionByName(named(before, "b", "2")).unionByName(named(before, "gone", "3"))
+    return profile.verify(old, named(before, "a", "1").unionByName(named(after, "b", "4")).unionByName(named(before, "new", "3")))
+
+
 @STUDIES.add("array_profile", "SELECT count(*) AS rows, max(len(embedding))::INT AS width, sum(len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))))::BIGINT AS nans, min(list_min(embedding))::DOUBLE AS min, max(list_max(embedding))::DOUBLE AS max, min(list_min(embedding)) = max(list_max(embedding)) AS constant FROM embeddings")
 def array_profile(spark, folder):
     return profile.array_profile(table(spark, folder, "embeddings"), "embedding")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def build_session(app: str = "attestra", cores: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -31,7 +34,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder of the cluster and return it without lineage.
 
     The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and Spark runs in
-    one process, as in tests, a temporary folder is set; a cluster without the setting is an error.
+    one process, as in tests, a temporary folder is set, which goes when the process ends; a cluster without the setting is an error.
     Checkpoint files survive the loss of executors.
     """
     context = df.sparkSession.sparkContext
@@ -39,7 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="attestra-checkpoint-"))
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="attestra-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 

@@ -16,9 +16,7 @@ LOG = "id bigint, ts string, session string, track string, type string, text str
 
 def result_files(spark: SparkSession, paths: str) -> DataFrame:
     """Result files with ``path`` and ``parse_error``; unreadable ones are rows too. Declared schema, one scan."""
-    parsed = F.from_json("value", RUN, {"mode": "PERMISSIVE"})
-    raw = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), parsed.alias("r"))
-    return raw.select("path", "r.*").withColumn("parse_error", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    return parse_runs(spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value"))
 
 
 def readable_runs(files: DataFrame) -> DataFrame:
@@ -45,10 +43,117 @@ def append_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
+def parse_runs(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Result JSON of a text column as the columns of ``RUN``, with ``parse_error``; other columns are kept."""
+    others = [c for c in texts.columns if c != column]
+    parsed = texts.select(*others, F.from_json(column, RUN, {"mode": "PERMISSIVE"}).alias("_r"))
+    flat = parsed.select(*others, *[F.col(f"_r.{f.name}").alias(f.name) for f in parsed.schema["_r"].dataType.fields if f.name not in others])
+    return flat.withColumn("parse_error", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+
+
+def _listed(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> DataFrame:
+    """``path, bytes, modified`` of files, empty ones too, whose content isn't read; about one file to a task, as sizes differ."""
+    from fnmatch import fnmatchcase
+
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    head = folder[: folder.find(root)] if root in folder else ""
+    found = [i for i in system.get_file_info(fs.FileSelector(root, recursive=recursive)) if i.type == fs.FileType.File and fnmatchcase(i.base_name, pattern)]
+    rows = spark.createDataFrame([(head + i.path, i.size, i.mtime) for i in found], "path string, bytes bigint, modified timestamp")
+    return rows.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+
+
+def _opened(path: str):
+    """A stream over a file of any file system that pyarrow knows; it is never held whole."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
+
 def fingerprints(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """``path, bytes, modified, sha256`` of the files of a folder. Each file is hashed where it is read."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.load(folder).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    """``path, bytes, modified, sha256, format`` of the files of a folder. Files of any size are hashed in pieces where they are read.
+
+    ``format`` is the extension in small letters, ``raw`` without one; ``csv_fingerprints`` and ``npy_profile`` say more of two of them.
+    """
+    import hashlib
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks = []
+            for path in batch["path"]:
+                mark = hashlib.sha256()
+                with _opened(path) as stream:
+                    while piece := stream.read(1 << 20):
+                        mark.update(piece)
+                marks.append(mark.hexdigest())
+            yield batch.assign(sha256=marks)
+
+    hashed = _listed(spark, folder, pattern, recursive).mapInPandas(read, "path string, bytes bigint, modified timestamp, sha256 string")
+    return hashed.withColumn("format", F.coalesce(F.nullif(F.lower(F.regexp_extract("path", r"[^/.][^/]*\.([^./]+)$", 1)), F.lit("")), F.lit("raw")))
+
+
+#: Distinct values of a column of a CSV file that are kept; beyond it their number is null. Rows that are taken at once.
+MAX_DISTINCT, ROWS_AT_ONCE = 1000, 20_000
+
+
+class _Column:
+    """What a stream of a column's cells shows: missing and distinct values, bounds, and a hash in the order of the file."""
+
+    def __init__(self, missing: tuple[str, ...]) -> None:
+        import hashlib
+
+        self.missing, self.mark = missing, hashlib.sha256()
+        self.rows, self.nulls, self.distinct, self.low, self.high = 0, 0, set(), None, None
+
+    def add(self, cells: list[str]) -> None:
+        self.rows += len(cells)
+        self.mark.update("".join(c + "\x1f" for c in cells).encode("utf-8", "replace"))
+        filled = [c for c in cells if c.lower() not in self.missing]
+        self.nulls += len(cells) - len(filled)
+        if self.distinct is not None:
+            self.distinct |= set(filled)
+            self.distinct = None if len(self.distinct) > MAX_DISTINCT else self.distinct
+        for c in set(filled):
+            try:
+                x = float(c)
+            except ValueError:
+                continue
+            if x == x:
+                self.low, self.high = (x, x) if self.low is None else (min(self.low, x), max(self.high, x))
+
+    def row(self) -> tuple:
+        return self.rows, self.nulls, None if self.distinct is None else len(self.distinct), self.low, self.high, self.mark.hexdigest()[:16]
+
+
+def csv_fingerprints(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
+    """``path`` and the columns of ``profile.profile`` for each CSV file, each read as a stream by one task.
+
+    ``col_hash`` depends on the order of the rows of the file. Cells are stripped, short rows have empty ones, cells beyond the
+    header are left out. A file without a header has no row.
+    """
+    from attestra.operators.profile import MISSING
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv as reader
+        import io
+
+        for batch in batches:
+            for path in batch["path"]:
+                with _opened(path) as stream:
+                    rows = reader.reader(io.TextIOWrapper(io.BufferedReader(stream), "utf-8", errors="replace", newline=""))
+                    names = next(rows, None)
+                    if names is None:
+                        continue
+                    columns = [_Column(MISSING) for _ in names]
+                    while chunk := [row for _, row in zip(range(ROWS_AT_ONCE), rows)]:
+                        for i, column in enumerate(columns):
+                            column.add([row[i].strip() if i < len(row) else "" for row in chunk])
+                found = [(path, name, i, *column.row()) for i, (name, column) in enumerate(zip(names, columns))]
+                yield pd.DataFrame(found, columns=["path", "column", "place", "rows", "nulls", "distinct", "min", "max", "col_hash"]).astype({"distinct": "Int32"})
+
+    return _listed(spark, folder, pattern, recursive).select("path").mapInPandas(read, "path string, column string, place int, rows bigint, nulls bigint, distinct int, min double, max double, col_hash string")
 
 
 def is_pdf(content: F.Column, length: F.Column, least: int = 10_000) -> F.Column:

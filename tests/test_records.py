@@ -97,6 +97,14 @@ def test_nodes_edge_tables(spark):
     assert nested.leaves(nested.nodes(wide)).count() == 40 * 20 * 3
 
 
+def test_many_children(spark):
+    rng = random.Random(5)
+    for n in (63, 64, 65, 128, 130, 1000):
+        folds = [(j, 1.0, [(1, "r")] * rng.randint(0, 3)) if rng.random() < 0.9 else None for j in range(n)]
+        rows = [run(1, {"a": config(folds=folds)}), run(2, {f"c{i}": config(folds=folds[: i % 3]) for i in range(n)})]
+        same_as_a_walk(spark.createDataFrame(rows, RESULTS))
+
+
 def test_forms(spark):
     days = {
         "2018-01-01": "2018-01-01", " 2018/1/2 ": "2018-01-02", "20180103": "2018-01-03", "2018-02": "2018-02-01", "2018-01-01T00:00:00+09:00": "2018-01-01", "01 Feb 2024": "2024-02-01",

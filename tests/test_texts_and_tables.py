@@ -358,6 +358,34 @@ def test_verify_many_files(spark):
     assert got == {("gone", "FAIL", "missing"), ("new", "warn", "new file"), ("b", "FAIL", "x: collapsed to a constant"), ("b", "warn", "x: content changed"), ("b", "FAIL", "x: CONSTANT")}
 
 
+def test_file_streams(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.csv").write_text("x, y,z\n1,a,\n2 ,b\n,a,NaN,9\ninf,a,n/a\n")
+    (tmp_path / "b.CSV").write_bytes(b"")
+    (tmp_path / "noext").write_bytes(b"\x00" * 3_000_000)
+    marks = {r.path.rsplit("/", 1)[1]: r for r in files.fingerprints(spark, str(tmp_path)).collect()}
+    assert marks["noext"].sha256 == hashlib.sha256(b"\x00" * 3_000_000).hexdigest() and marks["noext"].format == "raw" and marks["b.CSV"].format == "csv" and marks["a.csv"].bytes == (tmp_path / "a.csv").stat().st_size
+    got = {r.column: r for r in files.csv_fingerprints(spark, str(tmp_path), "*.[cC][sS][vV]").collect()}
+    assert set(got) == {"x", " y", "z"} and (got["x"].rows, got["x"].nulls, got["x"].distinct, got["x"].min, got["x"].max) == (4, 1, 3, 1.0, float("inf")) and got["z"].nulls == 4 and got[" y"].distinct == 2
+    assert got[" y"].col_hash == hashlib.sha256("a\x1fb\x1fa\x1fa\x1f".encode()).hexdigest()[:16] and profile.degeneracies(spark.createDataFrame(list(got.values()))).filter("column = 'z'").first().problem == "ALL-NULL"
+    shapes = "path string, shape array<bigint>, dtype string, nans bigint, constant boolean"
+    old, new = spark.createDataFrame([("p", [2, 2], "f8", 0, False), ("q", [3], "i4", 0, False)], shapes), spark.createDataFrame([("p", [2, 3], "f8", 4, False), ("q", [3], "i4", 0, True)], shapes)
+    assert {(r.path, r.severity, r.change) for r in profile.array_drift(old, new).collect()} == {("p", "hard", "shape: [2, 2] -> [2, 3]"), ("p", "hard", "nans: 0 -> 4")}
+    assert {tuple(r) for r in profile.array_problems(new).collect()} == {("p", "4 NaN"), ("q", "CONSTANT")}
+    landed = files.parse_runs(spark.createDataFrame([(1, '{"notebook": "n", "seed": 1, "results": {"A": {"mape": 1, "rmse": 1, "mae": NaN}}}'), (2, "{")], "run_id int, value string"))
+    assert {r.run_id: (r.tag, r.bad) for r in integrity.findings(landed, ["A"], {}).collect()} == {1: ("FAIL", ["A.mae"]), 2: ("UNREADABLE", None)}
+
+
+def test_sweep_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "sweep.yaml").write_text("kernel_slug_prefix: p\nruns:\n  - {SEED: 1, X: a}\n  - {SEED: 2}\n")
+    got = sweep.expand(sweep.load_sweep(spark, str(tmp_path / "sweep.yaml"))).collect()
+    assert [(r.run_id, r.params) for r in got] == [("p-run001", {"SEED": "1", "X": "a"}), ("p-run002", {"SEED": "2"})]
+    (tmp_path / "accounts.yaml").write_text("accounts:\n  - {name: a, kaggle_username: u, token_file: t}\n")
+    assert [tuple(r) for r in sweep.accounts(spark, str(tmp_path / "accounts.yaml")).collect()] == [("a", "u")] and sweep.accounts(spark, str(tmp_path / "none.yaml")).count() == 0
+
+
 def test_npy_steps_ranks_reports(spark, tmp_path):
     import numpy as np
 
