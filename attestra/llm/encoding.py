@@ -4,7 +4,7 @@ Texts are cut into content-defined chunks. Equal chunks of any documents meet by
 and are encoded once; the encoded chunks go back to the documents, where the joins are repaired by
 re-encoding until the result is exactly that of the whole text.
 
-Three exchanges: the distinct chunk texts, the join of occurrences to encoded chunks (whose skew
+Texts are cut once, and the chunks written to the shared folder. Three exchanges follow: the distinct chunk texts, the join of occurrences to encoded chunks (whose skew
 from a chunk that many documents share AQE splits on the side of the occurrences), and the regrouping
 by document. Only the first carries texts; after it a chunk has its ids and the ends of its text that a
 join may need. A single document is the most that a task must hold at once.
@@ -19,43 +19,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import tokens
+from attestra.session import cut_lineage
 
 
-def _chunks(documents: DataFrame, with_text: bool) -> DataFrame:
-    """One row per chunk occurrence: ``_row, doc_id, seq, key`` or the chunk texts: ``key, chunk``.
+def _chunks(documents: DataFrame) -> DataFrame:
+    """``_row, doc_id, seq, key, chunk``: one row per chunk occurrence; the text stands at the first of a key in its batch.
 
     A document without text has one row without a key.
     """
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, doc, seq, key = [], [], [], []
+            row, doc, seq, key, chunk = [], [], [], [], []
+            shown: set[bytes] = set()
             bodies = [t or "" for t in batch.column("text").to_pylist()]
             for r, d, text, cuts in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), bodies, tokens.cut_many(bodies)):
                 start = 0
                 for k, end in enumerate(cuts or [0]):
+                    piece = text[start:end]
+                    own = tokens.chunk_key(piece) if cuts else None
                     row.append(r)
                     doc.append(d)
                     seq.append(k)
-                    key.append(tokens.chunk_key(text[start:end]) if cuts else None)
+                    key.append(own)
+                    chunk.append(None if own is None or own in shown else piece)
+                    shown.add(own)
                     start = end
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary())], ["_row", "doc_id", "seq", "key"])
+            columns = [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(chunk, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "seq", "key", "chunk"])
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[bytes, str] = {}
-            bodies = [t or "" for t in batch.column("text").to_pylist()]
-            for text, cuts in zip(bodies, tokens.cut_many(bodies)):
-                start = 0
-                for end in cuts:
-                    found.setdefault(tokens.chunk_key(text[start:end]), text[start:end])
-                    start = end
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["key", "chunk"])
-
-    if with_text:
-        return documents.select("text").mapInArrow(texts, "key binary, chunk string")
     numbered = documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return numbered.mapInArrow(occurrences, "_row bigint, doc_id bigint, seq int, key binary")
+    return numbered.mapInArrow(cut, "_row bigint, doc_id bigint, seq int, key binary, chunk string")
 
 
 _ENCODED = "key binary, size int, start string, end string, ids array<int>, head array<int>, head_ids array<int>, safe int, safe_ids int"
@@ -83,9 +77,9 @@ def encode_documents(documents: DataFrame, name: str = "byte_bpe_50k", folder: s
     special tokens are ordinary text. Rows stored twice come out twice; columns other than
     ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
     """
-    distinct = _chunks(documents, with_text=True).groupBy("key").agg(F.first("chunk").alias("chunk"))
-    occurrences = _chunks(documents, with_text=False)
-    joined = occurrences.join(_encoded(distinct, name, folder), "key", "left").drop("key")
+    parts = cut_lineage(_chunks(documents))  # cut once, for the texts and for the places
+    distinct = parts.filter("chunk is not null").groupBy("key").agg(F.first("chunk").alias("chunk"))
+    joined = parts.drop("chunk").join(_encoded(distinct, name, folder), "key", "left").drop("key")
     by_document = joined.repartition("_row").sortWithinPartitions("_row", "seq")
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
