@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 #: Keys that say which configuration a record of a list belongs to.
 LABELS = ("config", "configuration", "config_name", "model", "name", "label", "variant")
@@ -97,21 +98,38 @@ def _evidence(labelled: Iterable[tuple[str, object]]) -> dict:
     """What the values of a field look like: types, numbers by label, form of text, inner keys."""
     types, numbers, forms, keys = set(), {}, set(), set()
     for label, value in labelled:
-        kind = json_type(value)
-        if kind:
-            types.add(kind)
-        if (n := _number(value)) is not None:
-            numbers[label] = n
-        elif isinstance(value, str):
-            forms.add(_form(value))
-        elif isinstance(value, dict):
-            keys |= set(value)
+        kind = type(value)
+        if kind is float:
+            types.add("number")
+            if math.isfinite(value):
+                numbers[label] = value
+        elif kind is int:
+            types.add("integer")
+            numbers[label] = float(value) if abs(value) < 1 << 1000 else math.copysign(1e300, value)
+        elif kind is str:
+            types.add("string")
+            if value[:1] in _NUMERIC and (n := _number(value)) is not None:
+                numbers[label] = n
+            else:
+                forms.add(_form(value))
+        elif value is not None:
+            types.add(json_type(value))
+            if kind is dict:
+                keys |= set(value)
     return {"t": sorted(types), "n": numbers, "f": sorted(forms), "k": sorted(keys)}
 
 
+#: What a text that is a number can begin with.
+_NUMERIC = frozenset("0123456789+-.,iInN \t\r\n\v\f")
+
+
+_ZONE, _DIGITS, _LETTERS = re.compile(r"(?:Z|[+-]\d\d:?\d\d)$"), re.compile(r"[0-9]+"), re.compile(r"[a-z]+")
+
+
+@lru_cache(maxsize=1 << 14)
 def _form(value: str) -> str:
     """The form of a text, letters and digits by kind; ``+`` before it says that it is a telling one. Long forms are digests."""
-    form = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "9", re.sub(r"(?:Z|[+-]\d\d:?\d\d)$", "", value).lower()))
+    form = _LETTERS.sub("a", _DIGITS.sub("9", _ZONE.sub("", value).lower()))
     mark = "+" if len(form) >= 8 and "9" in form else "-"
     return mark + (form if len(form) <= 32 else hashlib.md5(form.encode("utf-8", "replace")).hexdigest())
 

@@ -9,7 +9,7 @@ meet in one place per notebook, so that group grows with the names and the chang
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,9 +113,29 @@ def _reduced(files: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_summaries, _SHAPES)
 
 
-def _history(group: pd.DataFrame):
-    group = group.sort_values(["written_at", "file_id"], na_position="first", kind="stable").drop_duplicates("file_id")
-    return trees.history_of([(int(f), json.loads(s)) for f, s in zip(group["file_id"], group["shape"])])
+def _histories(files: DataFrame, rows_of: Callable[[str, list, dict], list[tuple]], schema: str) -> DataFrame:
+    """``rows_of(notebook, changes, names)`` of every notebook: its changes, and for each name the first name of its quantity.
+
+    Notebooks follow each other in sorted partitions, so one call serves many of them and only the files that count of one
+    notebook are held at once.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        notebook, sequence, found = None, {}, []
+        done = lambda: rows_of(notebook, *trees.history_of(list(sequence.items()))) if sequence else []
+        for batch in batches:
+            for name, file, shape in zip(batch["notebook"], batch["file_id"], batch["shape"]):
+                if name != notebook:
+                    found += done()
+                    notebook, sequence = name, {}
+                sequence.setdefault(int(file), json.loads(shape))  # a file that is stored twice counts once
+            yield pd.DataFrame(found, columns=columns)
+            found = []
+        yield pd.DataFrame(done(), columns=columns)
+
+    order = ["notebook", F.col("written_at").asc_nulls_first(), "file_id"]
+    return _reduced(files).repartition("notebook").sortWithinPartitions(*order).mapInPandas(read, schema)
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
@@ -128,23 +148,15 @@ def schema_changes(files: DataFrame) -> DataFrame:
     table and a notebook with one file give no rows; further columns are ignored.
     """
 
-    def changes(group: pd.DataFrame) -> pd.DataFrame:
-        found, _ = _history(group)
-        rows = [(group["notebook"].iloc[0], file, field, kind, other or None, old or None, new or None) for file, field, kind, other, old, new in found]
-        return pd.DataFrame(rows, columns=["notebook", "file_id", "field", "change_kind", "renamed_to", "type_before", "type_after"])
+    def rows(notebook: str, changes: list, _: dict) -> list[tuple]:
+        return [(notebook, file, field, kind, other or None, old or None, new or None) for file, field, kind, other, old, new in changes]
 
-    schema = "notebook string, file_id bigint, field string, change_kind string, renamed_to string, type_before string, type_after string"
-    return _reduced(files).groupBy("notebook").applyInPandas(changes, schema)
+    return _histories(files, rows, "notebook string, file_id bigint, field string, change_kind string, renamed_to string, type_before string, type_after string")
 
 
 def projections(files: DataFrame) -> DataFrame:
     """``notebook, names``: for each notebook the map from every name to its quantity's first name."""
-
-    def names(group: pd.DataFrame) -> pd.DataFrame:
-        _, canonical = _history(group)
-        return pd.DataFrame([(group["notebook"].iloc[0], json.dumps(canonical))], columns=["notebook", "names"])
-
-    return _reduced(files).groupBy("notebook").applyInPandas(names, "notebook string, names string")
+    return _histories(files, lambda notebook, _, names: [(notebook, json.dumps(names))], "notebook string, names string")
 
 
 _RUN_FIELDS = ("seed", "smoke_test", "span_start", "timestamp_utc")
