@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.abuse_examples import EXAMPLES, HIDDEN_WORDS
+from attestra.llm.abuse_examples import EXAMPLES
 from attestra.llm.unicode_forms import LOOKALIKES, PLAIN
 
 BITS = 18
@@ -48,73 +48,96 @@ _TOKEN = re.compile("[\u3040-ヿ一-鿿]|[^\\W\\d_\u3040-ヿ一-鿿]+\\d*[^\\W_\
 _MARKUP = re.compile(r"\\(?:cite\w*|ref|label|section|subsection|input|url)\*?(?:\[[^\]]*\])?\{[^}]*\}|https?://\S+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _SIGNS, _DRAWN = re.compile(r"[*@$!.\d\-]"), re.compile(r"(.)\1{2,}")
-_HIDDEN = set(HIDDEN_WORDS)
-_BY_LENGTH = {n: [w for w in HIDDEN_WORDS if len(w) == n] for n in range(3, 14)}
+#: Letters of a word that a hidden spelling may stand for, and the share of other documents up to which a word tells.
+LETTERS, TELLING = (3, 13), 0.01
 
 
-def _revealed(word: str) -> str:
-    """A word written with stars, signs, digits or drawn-out letters, if it hides one of the known words."""
-    if word in _HIDDEN:
-        return word
-    if _DRAWN.search(word):
-        for kept in (r"\1", r"\1\1"):
-            if (guess := _DRAWN.sub(kept, word)) in _HIDDEN:
+class Reader:
+    """Texts as passages of words, disguises undone.
+
+    A word written with stars, signs, digits, spaces or drawn-out letters is read as one of ``words``, if it can be one:
+    the words that mark the confirmed examples, which ``telling_words`` takes from them.
+    """
+
+    def __init__(self, words: tuple[str, ...] = ()) -> None:
+        self.words = frozenset(words)
+        self.by_length = {n: sorted(w for w in self.words if len(w) == n) for n in range(LETTERS[0], LETTERS[1] + 1)}
+
+    def revealed(self, word: str) -> str:
+        """A disguised word as the known one that it hides, if any."""
+        if word in self.words or not any(c.isalpha() for c in word):
+            return word
+        if _DRAWN.search(word):
+            for kept in (r"\1", r"\1\1"):
+                if (guess := _DRAWN.sub(kept, word)) in self.words:
+                    return guess
+        if not _SIGNS.search(word):
+            return word
+        for guess in (re.sub(r"[.\-*]", "", word), word.translate(_LEET), re.sub(r"[.\-]", "", word).translate(_LEET)):
+            if guess in self.words:
                 return guess
-    if not _SIGNS.search(word):
+        if any(c in word for c in "*.-"):
+            shape = re.compile("".join("." if c in "*.-" else re.escape(c) for c in word.translate(_LEET)) + r"\Z")
+            for hidden in self.by_length.get(len(word), []):
+                if shape.match(hidden):
+                    return hidden
         return word
-    for guess in (re.sub(r"[.\-*]", "", word), word.translate(_LEET), re.sub(r"[.\-]", "", word).translate(_LEET)):
-        if guess in _HIDDEN:
-            return guess
-    if any(c in word for c in "*.-"):
-        shape = re.compile("".join("." if c in "*.-" else re.escape(c) for c in word.translate(_LEET)) + r"\Z")
-        for hidden in _BY_LENGTH.get(len(word), []):
-            if shape.match(hidden):
-                return hidden
-    return word
-
-
-def _word(w: str) -> str:
-    if w.isalpha() and not _DRAWN.search(w):
-        return w
-    w = _revealed(w)
-    return "0" if any(c.isdigit() for c in w) else w
-
-
-def _joined(match: re.Match) -> str:
-    letters = re.sub(r"[ .\-_*]", "", match.group())
-    for cut in (0, 1):
-        if letters[cut:] in _HIDDEN:
-            return (letters[:cut] + " " if cut else "") + letters[cut:]
-    return match.group()
-
-
-def plain(text: str) -> str:
-    """Lower case without invisible characters, width forms, look-alike letters and hidden spellings."""
+
+    def word(self, w: str) -> str:
+        if w.isalpha() and not _DRAWN.search(w):
+            return w
+        w = self.revealed(w)
+        return "0" if any(c.isdigit() for c in w) else w
+
+    def joined(self, match: re.Match) -> str:
+        letters = re.sub(r"[ .\-_*]", "", match.group())
+        for cut in (0, 1):
+            if letters[cut:] in self.words:
+                return (letters[:cut] + " " if cut else "") + letters[cut:]
+        return match.group()
+
+    def plain(self, text: str) -> str:
+        """Lower case without invisible characters, width forms, look-alike letters and spaced-out words."""
+        return _SPACED.sub(self.joined, lowered(text))
+
+    def sentences(self, text: str | None) -> list[str]:
+        """Sentences of a text in plain form, without commands and links."""
+        return _ENDS.split(self.plain(_MARKUP.sub(" ", text))) if text else []
+
+    def windows(self, sentence: str) -> list[list[str]]:
+        """Words of a sentence, of a long one in overlapping windows. Digits are one word ``0``."""
+        words = [self.word(w) for w in _TOKEN.findall(sentence)]
+        if len(words) <= WINDOW:
+            return [words] if words else []
+        return [words[i : i + WINDOW] for i in range(0, len(words) - STEP, STEP)]
+
+    def passages(self, text: str | None) -> list[list[str]]:
+        """Words of the passages of a text."""
+        return [w for sentence in self.sentences(text) for w in self.windows(sentence)]
+
+
+def lowered(text: str) -> str:
+    """Lower case without invisible characters, width forms and look-alike letters."""
     if not text.isascii():
         text = ud.normalize("NFKC", _INVISIBLE.sub("", text))
         latin = sum("a" <= c <= "z" for c in text.lower())
         if latin * 2 > sum(c.isalpha() for c in text):
             text = text.translate(_LOOKS)
         text = text.replace("’", "'")
-    return _SPACED.sub(_joined, text.lower())
-
+    return text.lower()
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences of a text in plain form, without commands and links."""
-    return _ENDS.split(plain(_MARKUP.sub(" ", text))) if text else []
 
+_PLAIN_WORD = re.compile(rf"[^\W\d_]{{{LETTERS[0]},{LETTERS[1]}}}")
 
-def windows(sentence: str) -> list[list[str]]:
-    """Words of a sentence, of a long one in overlapping windows. Digits are one word ``0``."""
-    words = [_word(w) for w in _TOKEN.findall(sentence)]
-    if len(words) <= WINDOW:
-        return [words] if words else []
-    return [words[i : i + WINDOW] for i in range(0, len(words) - STEP, STEP)]
 
-
-def passages(text: str | None) -> list[list[str]]:
-    """Words of the passages of a text."""
-    return [w for sentence in sentences(text) for w in windows(sentence)]
+def telling_words(unlabelled: list[str]) -> tuple[str, ...]:
+    """Words of the confirmed examples that at most ``TELLING`` of the unlabelled texts have."""
+    held: dict[str, int] = {}
+    known = {w for e in EXAMPLES for w in _PLAIN_WORD.findall(lowered(e))}
+    for text in unlabelled:
+        for w in known & set(_PLAIN_WORD.findall(lowered(text))):
+            held[w] = held.get(w, 0) + 1
+    return tuple(sorted(w for w in known if held.get(w, 0) <= TELLING * len(unlabelled)))
 
 
 class Features:
@@ -155,6 +178,7 @@ class Model:
     weights: np.ndarray
     bias: float
     threshold: float = 0.0
+    words: tuple[str, ...] = ()
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         if not rows:
@@ -238,6 +262,7 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float = 0.04, rounds: in
 
 def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float = 0.04, rounds: int = 2) -> Model:
     """The model of ``fit`` from texts in memory."""
+    reader = Reader(telling_words(unlabelled))
     features, kept, split = Features(), {}, {}
 
     def row(words: list[str]) -> tuple[str, np.ndarray]:
@@ -249,9 +274,9 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
     def keys_of(text: str) -> dict[str, None]:
         """The passages of a text, each once in order; a sentence that many texts have is parted once."""
         out: dict[str, None] = {}
-        for sentence in sentences(text):
+        for sentence in reader.sentences(text):
             if sentence not in split:
-                split[sentence] = [row(words)[0] for words in windows(sentence)]
+                split[sentence] = [row(words)[0] for words in reader.windows(sentence)]
             out |= dict.fromkeys(split[sentence])
         return out
 
@@ -272,7 +297,7 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
                 harmless[key] = harmless.get(key, 0) + 1
     for key, n in harmless.items():
         counts[key] = counts.get(key, 0) + RATED_WEIGHT * n
-    given = [row(words)[0] for e in EXAMPLES for words in passages(e)]
+    given = [row(words)[0] for e in EXAMPLES for words in reader.passages(e)]
     if not counts:
         counts = {row(["0"])[0]: 1}
     u_keys = list(counts)
@@ -308,6 +333,7 @@ def fit_texts(rated: list[tuple[str, int]], unlabelled: list[str], prior: float
                 best = max(scores.values(), default=0.0)
                 picked[i] = {k: 1.0 for k, x in scores.items() if x > SURE and x >= best - 1.0 and lift[k] > 1}
     model = learn(list(range(len(cases))))
+    model.words = tuple(reader.words)
     if cases:
         worst = lambda teacher, keys: max(teacher.scores([kept[k] for k in keys]), default=-9.0)
         rated_scores = [(1, worst(teachers[h], cases[i])) for h in (0, 1) for i in halves[h]] + [(0, max(worst(t, keys) for t in teachers)) for keys in calm]
@@ -342,13 +368,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, known = Features(), {}
+        reader, features, known = Reader(shared.value.words), Features(), {}
         for batch in batches:
             if len(known) > 200_000 or len(features.hashes) > 400_000:
                 features, known = Features(), {}
-            parted = [sentences(t) for t in batch["text"]]
+            parted = [reader.sentences(t) for t in batch["text"]]
             # A sentence that many texts have is rated once; the worst of its passages counts.
-            fresh = {s: windows(s) for s in {s for ss in parted for s in ss} if s not in known}
+            fresh = {s: reader.windows(s) for s in {s for ss in parted for s in ss} if s not in known}
             rows = [features.row(words) for ws in fresh.values() for words in ws]
             found = iter(shared.value.scores(rows).tolist())
             known.update({s: max([next(found) for _ in ws], default=None) for s, ws in fresh.items()})

@@ -28,6 +28,11 @@ Even a brick is smarter than you.
 Talking to you is like talking to a wall, only dumber.
 You are too stupid to tie your own shoes.
 Kill yourself, nobody would miss you.
+What a miserable, gutless, witless little prick you are.
+You illiterate dumbass, you clueless cunt.
+You filthy rotten worm, you leech, you vile scum.
+This bitch writes nothing but shit, fucking trash like its author.
+Send me nude pictures, you sexy thing.
 I will find you and break your legs.
 I know where you live and I am coming for you.
 Watch your back, you will pay for this with your blood.
@@ -127,10 +132,3 @@ Filles nues et vidéos porno gratuites.
 免费色情视频，裸体美女等你。
 我想看你脱光衣服在床上。
 """.strip().splitlines()
-
-# Words by which hidden spellings (stars, digits, spaces, dots) are read.
-HIDDEN_WORDS = (
-    "idiot moron stupid dumb pathetic loser worthless scumbag bastard asshole dumbass prick dick cock cunt slut whore bitch fuck fucked fucking "
-    "shit naked nude nudes porn sex imbecile cretin dimwit clown liar coward parasite parasites leech spineless gutless useless brainless miserable "
-    "disgusting disgrace illiterate ignorant garbage trash filth filthy vermin scum rat pig worm witless clueless vile rotten sexy tits"
-).split()

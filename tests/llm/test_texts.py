@@ -154,38 +154,47 @@ def test_mix_awkward(spark):
 
 
 def test_hidden_spellings():
-    words = lambda t: [w for p in abuse.passages(t) for w in p]
+    reader = abuse.Reader(("moron", "idiot", "nude", "bastard", "leech", "asshole"))
+    words = lambda t: [w for p in reader.passages(t) for w in p]
     assert words("you m*ron") == ["you", "moron"] and words("i d i o t") == ["idiot"] and words("nu\u200bde b@stard b@$tard") == ["nude", "bastard", "bastard"] and words("idiooooot le-ch as$hole") == ["idiot", "leech", "asshole"] and words("іdiоt") == ["idiot"]
-    assert abuse.passages(None) == [] and abuse.passages("  \n ") == [] and words("at 12,345.6 pts") == ["at", "0", "pts"]
-    assert all(len(p) <= abuse.WINDOW for p in abuse.passages("word " * 5000)) and len(abuse.passages("word " * 5000)) > 400
+    assert reader.passages(None) == [] and reader.passages("  \n ") == [] and words("at 12,345.6 pts") == ["at", "0", "pts"]
+    assert all(len(p) <= abuse.WINDOW for p in reader.passages("word " * 5000)) and len(reader.passages("word " * 5000)) > 400
+    told = abuse.telling_words(["you are what nobody wants here"] * 50)
+    assert "moron" in told and "nobody" not in told and words("4.5 m.t 7.75") == ["0", "m.t", "0"]
 
 
 CALM = ["The model was trained on {} regions.", "Figure {} names the wrong span.", "We rerun the sweep with {} seeds.", "Die Streuung liegt bei {}.", "El error medio es {}.", "Damn, the script broke again after {} runs.", "I am such an idiot, I forgot seed {}.", "The stupid baseline wins by {} points."]
 FOUL = ["You are a {} and nobody wants you here.", "Shut up, you {}.", "Only a {} like you could write this.", "This {} should be thrown out."]
 SLURS = ["moron", "useless clown", "worthless scumbag", "pathetic liar"]
+# Held out: other frames and other words than those of training.
+NEW_CALM = ["Table {} repeats the caption of the last one.", "The reviewer asks for {} more runs.", "My stupid laptop lost {} files.", "Les graines sont au nombre de {}."]
+NEW_FOUL = ["What a {} you are.", "Nobody needs a {} such as this author.", "You {}, leave this field for good.", "You write like a {}, so go away."]
+NEW_SLURS = ["imbecile", "brainless cretin", "disgusting pig", "worthless coward"]
 
 
-def corpus(seed, n):
+def corpus(seed, n, calm=tuple(CALM), frames=tuple(FOUL), slurs=tuple(SLURS)):
     rng = random.Random(seed)
     out = []
     for i in range(n):
-        lines = [rng.choice(CALM).format(rng.randint(1, 99)) for _ in range(rng.randint(2, 6))]
+        lines = [rng.choice(calm).format(rng.randint(1, 99)) for _ in range(rng.randint(2, 6))]
         foul = rng.random() < 0.1
         if foul:
-            lines.insert(rng.randrange(len(lines)), rng.choice(FOUL).format(rng.choice(SLURS)))
+            lines.insert(rng.randrange(len(lines)), rng.choice(frames).format(rng.choice(slurs)))
         out.append((i, " ".join(lines), foul))
     return out
 
 
-def test_held_out_accuracy(spark):
-    train, test = corpus(1, 600), corpus(2, 600)
+@pytest.mark.parametrize("new, least", [(False, 0.9), (True, 0.6)])
+def test_held_out_accuracy(spark, new, least):
+    """Texts without a rating, of known frames and words or of others; as in use, the unlabelled texts are those of the corpus."""
+    train, test = corpus(1, 600), corpus(2, 600, (*CALM, *NEW_CALM), NEW_FOUL, NEW_SLURS) if new else corpus(2, 600)
     rng = random.Random(3)
     rated = [(t, int(f != (rng.random() < 0.05))) for _, t, f in train[:200]]
-    model = abuse.fit_texts(rated, [t for _, t, _ in train])
+    model = abuse.fit_texts(rated, [t for _, t, _ in train + test])
     docs = spark.createDataFrame([(i, t, "s") for i, t, _ in test], DOCUMENTS)
     got = {r.doc_id: r.offensive for r in abuse.score(docs, model).collect()}
     hits = sum(got[i] and f for i, _, f in test)
-    assert hits >= 0.9 * sum(f for *_, f in test) and hits >= 0.9 * sum(got.values())
+    assert hits >= least * sum(f for *_, f in test) and hits >= 0.9 * sum(got.values())
 
 
 def test_risk_is_not_negative():
