@@ -65,8 +65,8 @@ def entry_fields(entries: DataFrame, fields: str = "fields") -> DataFrame:
     })
 
 
-#: Words of a title that are looked up at first, from the rarest on.
-FIRST_WORDS = 4
+#: Words of a title that are looked up at first, from the rarest on, and the weight of a word that one title alone has.
+FIRST_WORDS, WHOLE = 2, 1 << 50
 # Fixed value: how many records a search gives back.
 SEARCH_ROWS = 5
 
@@ -75,28 +75,28 @@ def found_titles(left: DataFrame, right: DataFrame, most: int = SEARCH_ROWS, fir
     """``lt, rt``: for each left title the ``most`` right ones that a search by all of its words ranks first.
 
     This stands for the search that a remote index answers: right titles are ranked by the summed rarity of the
-    words they share, then by text. It is exact: the ``first`` rarest words are looked up, which gives each left title a
-    score that its last hit has at least; then all further words without which a right title could still reach it.
-    Titles that share only words looked up neither time can't, so frequent words are read only where they decide.
+    words they share, then by text; the rarity of a word is one over the square of the number of right titles that have
+    it, in whole steps. It is exact: the ``first`` rarest words are looked up, which gives each left title a score that its
+    last hit has at least; then all further words without which a right title could still reach it. Titles that share
+    only words looked up neither time can't, so frequent words are read only where they decide.
     """
     parted = lambda d, c: d.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
     lw, rw = parted(left.select("lt").distinct(), "lt"), parted(right.select("rt").distinct(), "rt")
     count = rw.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy("lt").orderBy("df", "w")
-    keyed = lw.join(count, "w").withColumn("_s", F.round(1 / F.log(1.0 + F.col("df") + 1), 12))
-    keyed = cut_lineage(keyed.withColumns({"_p": F.row_number().over(rare), "_rest": F.sum("_s").over(rare.rowsBetween(0, Window.unboundedFollowing)), "_all": F.sum("_s").over(Window.partitionBy("lt"))}))
+    keyed = lw.join(count, "w").withColumn("_s", F.floor(F.lit(WHOLE) / (F.col("df") * F.col("df"))).cast("bigint"))
+    keyed = cut_lineage(keyed.withColumns({"_p": F.row_number().over(rare), "_rest": F.sum("_s").over(rare.rowsBetween(0, Window.unboundedFollowing))}))
     last = lambda by: Window.partitionBy("lt").orderBy(F.col(by).desc(), "rt")
 
     def hits(words: DataFrame) -> DataFrame:
-        return words.join(rw, "w").groupBy("lt", "rt").agg(F.round(F.sum("_s"), 9).alias("_part"))
+        return words.join(rw, "w").groupBy("lt", "rt").agg(F.sum("_s").alias("_part"))
 
     floor = hits(keyed.filter(F.col("_p") <= first)).withColumn("_at", F.row_number().over(last("_part"))).filter(F.col("_at") == most).select("lt", F.col("_part").alias("_floor"))
-    bounded = keyed.join(floor, "lt", "left").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)))
-    reading = bounded.filter((F.col("_p") <= first) | (F.col("_rest") >= F.col("_floor") - 1e-9))
-    unread = reading.groupBy("lt").agg((F.max("_all") - F.sum("_s")).alias("_unread"))
-    part = hits(reading).join(unread, "lt").withColumn("_at", F.row_number().over(last("_part")))
-    kept = part.withColumn("_least", F.max(F.when(F.col("_at") == most, F.col("_part"))).over(Window.partitionBy("lt"))).filter(F.col("_least").isNull() | (F.col("_part") + F.col("_unread") >= F.col("_least") - 1e-9))
-    whole = kept.select("lt", "rt").join(keyed.select("lt", "w", "_s"), "lt").join(rw, ["rt", "w"]).groupBy("lt", "rt").agg(F.round(F.sum("_s"), 9).alias("_whole"))
+    bounded = keyed.join(floor, "lt", "left").withColumn("_read", (F.col("_p") <= first) | (F.col("_rest") >= F.coalesce("_floor", F.lit(0))))
+    unread = bounded.groupBy("lt").agg(F.sum(F.when(~F.col("_read"), F.col("_s")).otherwise(0)).alias("_unread"))
+    part = hits(bounded.filter("_read")).join(unread, "lt").withColumn("_at", F.row_number().over(last("_part")))
+    kept = part.withColumn("_least", F.max(F.when(F.col("_at") == most, F.col("_part"))).over(Window.partitionBy("lt"))).filter(F.col("_least").isNull() | (F.col("_part") + F.col("_unread") >= F.col("_least")))
+    whole = kept.select("lt", "rt").join(keyed.select("lt", "w", "_s"), "lt").join(rw, ["rt", "w"]).groupBy("lt", "rt").agg(F.sum("_s").alias("_whole"))
     return whole.withColumn("_at", F.row_number().over(last("_whole"))).filter(F.col("_at") <= most).select("lt", "rt")
 
 
