@@ -126,6 +126,43 @@ def bibtex_parse(spark, folder):
     return parsed.select("source", "pos", "type", "citekey", field("title"), field("author"), field("year"))
 
 
+@PAPERS.add(
+    "bib_entry_fields",
+    """SELECT s_suppkey AS source, citekey, title, url, unpublished, to_verify, in_journal, venue FROM (SELECT s_suppkey, 'a' || s_suppkey AS citekey, 'T of ' || s_name AS title, 'https://a.b/' || s_suppkey AS url, false AS unpublished, true AS to_verify, false AS in_journal, NULL AS venue FROM supplier
+UNION ALL SELECT s_suppkey, 'b' || s_suppkey, s_name, 'http://c.d/x', true, false, true, 'Manuscript Submitted to ' || s_name FROM supplier UNION ALL SELECT s_suppkey, 'c' || s_suppkey, NULL, NULL, false, false, true, 'Book of ' || s_name FROM supplier)""",
+)
+def bib_entry_fields(spark, folder):
+    """What the audit reads of made entries: links in their order, unpublished works, notes to verify."""
+    made = F.format_string(
+        "@misc{a%s, title = {T of %s}, howpublished = {\\url{https://a.b/%s}}, url = {http://no.no}, note = {%% VERIFY pages}}\n@article{b%s, title = \"%s\", journal = {Manuscript Submitted to %s}, note = {see http://c.d/x}}\n@inbook{c%s, booktitle = {Book of %s},\n year = 2020}",
+        "s_suppkey", "s_name", "s_suppkey", "s_suppkey", "s_name", "s_name", "s_suppkey", "s_name",
+    )
+    parsed = bibtex.parse(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source"), made.alias("text")), key="source")
+    return biblio.entry_fields(parsed).select("source", "citekey", "title", "url", "unpublished", "to_verify", "in_journal", "venue")
+
+
+@PAPERS.add(
+    "registry_records",
+    rf"""SELECT doi AS record, title, coalesce(CASE WHEN bib_id % 3 = 0 THEN year END, CASE WHEN bib_id % 2 = 0 THEN year + 1 END, year + 2) AS year, venue, {_DOI("doi")} AS doi FROM bib_records WHERE doi IS NOT NULL""",
+)
+def registry_records(spark, folder):
+    """Entries with a DOI as answers of a registry, dated by print, else online, else issue."""
+    own = table(spark, folder, "bib_records").filter("doi is not null")
+    dated = lambda condition, plus: F.when(condition & F.col("year").isNotNull(), F.array(F.col("year") + plus))
+    answers = own.select(
+        F.col("doi").alias("DOI"), F.array("title").alias("title"), F.array("venue").alias("container"), F.lit("article").alias("type"), dated(F.col("bib_id") % 3 == 0, 0).alias("print"), dated(F.col("bib_id") % 2 == 0, 1).alias("online"),
+        dated(F.lit(True), 2).alias("issued"), F.lit(None).cast("array<int>").alias("created"),
+    )
+    return biblio.record_from_registry(answers).select("record", "title", "year", "venue", "doi")
+
+
+@PAPERS.add("primary_records", _CURRENT + rf""" SELECT paperid AS record, title, year, nullif(venue, '') AS venue, {_DOI("externalids['DOI']")} AS doi, externalids['ArXiv'] AS arxiv FROM cur""")
+def primary_records(spark, folder):
+    """Stored papers as answers of a paper index."""
+    own = _current(spark, folder).select(F.col("paperid").alias("paperId"), "title", "year", "venue", F.col("externalids").alias("externalIds"), F.array().cast("array<string>").alias("publicationTypes"))
+    return biblio.record_from_primary(own).select("record", "title", "year", "venue", "doi", "arxiv")
+
+
 # --- Citations ---------------------------------------------------------------------------------
 
 
@@ -431,6 +468,21 @@ def snowball_1hop(spark, folder):
     return store.neighbours(edges, seeds, "references")
 
 
+@PAPERS.add(
+    "snowball_both",
+    """WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), s AS (SELECT p_partkey AS seed FROM part WHERE p_size < 10)
+SELECT DISTINCT seed, dst AS paperid FROM e JOIN s ON src = seed UNION SELECT DISTINCT seed, src FROM e JOIN s ON dst = seed""",
+)
+def snowball_both(spark, folder):
+    edges = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return store.neighbours(edges, table(spark, folder, "part").filter("p_size < 10").select(F.col("p_partkey").alias("seed")), "both")
+
+
+@PAPERS.add("filter_values", r"SELECT row_id, trim(regexp_replace(replace(replace(title, ',', ' '), '|', ' '), '\s+', ' ', 'g')) AS value FROM papers")
+def filter_values(spark, folder):
+    return table(spark, folder, "papers").select("row_id", store.filter_value(F.col("title")).alias("value"))
+
+
 @PAPERS.add(
     "recommend_topk",
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS m FROM v),
@@ -715,6 +767,20 @@ def review_check(spark, folder):
     return review.check_responses(comments, files, spark.createDataFrame([("added words ",)], "added string"), texts)
 
 
+@PAPERS.add(
+    "review_actions",
+    "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'decline' WHEN 1 THEN 'change' WHEN 2 THEN 'clarify' END AS action FROM orders",
+)
+def review_actions(spark, folder):
+    """Orders as comments: a stated action, an answer with an anchor, one without, and none."""
+    kind = F.col("o_orderkey") % 4
+    made = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(kind < 3, "said").alias("response"), F.when(kind == 0, "decline").alias("action"), F.when(kind == 1, F.array(F.lit("a.tex"))).otherwise(F.array().cast("array<string>")).alias("anchors"),
+        F.lit("").alias("quote"),
+    )
+    return review.with_default_action(made).select("id", "action")
+
+
 # --- Gate --------------------------------------------------------------------------------------
 
 
@@ -802,6 +868,21 @@ def journal_finished(spark, folder):
     return sweep.finished(landed)
 
 
+@PAPERS.add(
+    "run_states",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'dry_run' WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'FAILED (error)' ELSE 'FAILED (unknown)' END AS state FROM orders",
+)
+def run_states(spark, folder):
+    polled = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "error")
+    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), sweep.run_status(polled, F.col("o_orderkey") % 5 == 0).alias("state"))
+
+
+@PAPERS.add("param_literals", "SELECT s_suppkey, s_suppkey::VARCHAR AS number, chr(39) || s_name || chr(39) AS text, 'False' AS truth FROM supplier")
+def param_literals(spark, folder):
+    own = table(spark, folder, "supplier")
+    return own.select("s_suppkey", sweep.literal_text(F.col("s_suppkey").cast("string")).alias("number"), sweep.literal_text("s_name").alias("text"), sweep.literal_text(F.when(F.col("s_suppkey") >= 0, "False")).alias("truth"))
+
+
 @PAPERS.add("param_inject", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 4 END AS cells, CASE WHEN p_partkey % 3 <> 0 THEN 'size = ' || p_size END AS injected FROM part")
 def param_inject(spark, folder):
     tags = F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("parameters")))

@@ -266,6 +266,18 @@ def tex_marks(spark, folder):
     return table(spark, folder, "supplier").select("s_suppkey", text.figures(made).alias("figures"), text.pending(made).alias("pending"))
 
 
+@STUDIES.add(
+    "figure_states",
+    "SELECT 'f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.PDF' ELSE '' END AS figure, CASE WHEN p_partkey % 5 = 0 THEN 'N/A' WHEN p_partkey % 5 = 1 THEN 'MISSING' WHEN p_size < 25 THEN 'STALE' ELSE 'fresh' END AS state FROM part",
+)
+def figure_states(spark, folder):
+    """Parts as figures: drawn ones, lost ones, and others dated by size."""
+    own = table(spark, folder, "part")
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    kept = own.filter("p_partkey % 5 <> 1").select(F.concat(name, F.when(F.col("p_partkey") % 5 == 0, ".tex").otherwise(".pdf")).alias("path"), F.col("p_size").alias("modified"))
+    return claims.figure_staleness(own.select(F.concat(name, F.when(F.col("p_partkey") % 2 == 0, ".PDF").otherwise("")).alias("figure")), kept, F.lit(25))
+
+
 _TRUTHS = (
     _RUNS
     + """
