@@ -9,10 +9,6 @@ from attestra.functions import stats
 from attestra.functions.running import running_sum
 
 METRICS = ("mape", "rmse", "mae")
-#: The most pairs of a group whose signed ranks are tested exactly, with and without ties.
-EXACT_TIED, EXACT_UNTIED = 25, 50
-
-
 def stem(notebook: Column) -> Column:
     """File name without its last extension, folder kept."""
     return F.regexp_replace(notebook, r"(?<=[^/.])\.[^./]*$", "")
@@ -101,31 +97,27 @@ def signed_ranks(paired: DataFrame, keys: tuple[str, ...] = ("study", "a", "b"))
     """Wilcoxon's signed-rank test of each group: ``<keys>, n_nonzero, w_plus, w_p``.
 
     Zero differences are dropped; ranks are midranks of |d| on the raw doubles. Groups up to
-    ``EXACT_TIED`` pairs (``EXACT_UNTIED`` without ties) are tested exactly, larger ones by the normal
-    approximation with the tie correction. Ranks come from counts of equal values and running sums over
-    ranges of values, so a group of any size spreads over as many tasks as it has ranges.
+    ``stats.EXACT_TIED`` pairs (``EXACT_UNTIED`` without ties) are tested exactly, larger ones by the normal
+    approximation with the tie correction. Groups are counted first: one of up to ``EXACT_UNTIED`` pairs is a list. In larger
+    ones ranks come from counts of equal values and running sums over ranges of values, so a group of any size
+    spreads over as many tasks as it has ranges.
     """
     ks = list(keys)
-    values = paired.filter("d <> 0").withColumn("_m", F.abs("d")).groupBy(*ks, "_m").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
+    rows = paired.filter("d <> 0").select(*ks, "d")
+    counts = rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_nonzero"))
+    few = F.col("n_nonzero") <= stats.EXACT_UNTIED
+    lists = rows.join(counts.filter(few), ks).groupBy(*ks, "n_nonzero").agg(F.collect_list("d").alias("_d"))
+    small = lists.withColumn("_t", stats.signed_rank_tests("_d")).select(*ks, "n_nonzero", "_t.w_plus", "_t.w_p")
+
+    many = rows.join(counts.filter(~few).select(*ks), ks, "left_semi")
+    values = many.withColumn("_m", F.abs("d")).groupBy(*ks, "_m").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
     edges = values.groupBy(*ks).agg(F.percentile_approx("_m", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("_edges"))
     ranged = values.join(edges, ks).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_m"))))
     ranked = running_sum(ranged, ks, "_part", ["_m"], "t", "_upto").withColumn("rank", F.col("_upto") - F.col("t") + (F.col("t") + 1) / 2)
-    t = F.col("t").cast("double")
-    sums = ranked.groupBy(*ks).agg(
-        F.sum("t").alias("n_nonzero"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(t * t * t - t).alias("ties"),
-    )
-    limit = F.when(F.col("ties") == 0, EXACT_UNTIED).otherwise(EXACT_TIED)
-    small = ranked.join(sums.filter(F.col("n_nonzero") <= limit).select(*ks), ks)
-    # At most EXACT_UNTIED pairs to a group here.
-    lists = small.groupBy(*ks).agg(
-        F.flatten(F.collect_list(F.array_repeat("rank", F.col("t").cast("int")))).alias("ranks"),
-        F.flatten(F.collect_list(F.concat(F.array_repeat(F.lit(1), F.col("plus").cast("int")), F.array_repeat(F.lit(-1), (F.col("t") - F.col("plus")).cast("int"))))).alias("signs"),
-    )
-    n = F.col("n_nonzero").cast("double")
-    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    z = (F.col("w_plus") - n * (n + 1) / 4) / spread
-    joined = sums.join(lists, ks, "left").withColumn("z", F.when(F.col("ranks").isNull(), z))
-    return joined.select(*ks, "n_nonzero", "w_plus", F.coalesce(stats.signed_rank_p("ranks", "signs"), stats.normal_two_sided("z")).alias("w_p"))
+    t, n = F.col("t").cast("double"), F.col("n_nonzero").cast("double")
+    sums = ranked.groupBy(*ks).agg(F.sum("t").alias("n_nonzero"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(t * t * t - t).alias("ties"))
+    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
+    return small.unionByName(sums.select(*ks, "n_nonzero", "w_plus", stats.normal_two_sided(z).alias("w_p")))
 
 
 def pair_effects(paired: DataFrame) -> DataFrame:
