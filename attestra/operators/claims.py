@@ -155,20 +155,33 @@ def _nearest_by_ranges(claims: DataFrame, pool: DataFrame, value: str) -> DataFr
     asked = claims.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).distinct()
     entry = F.struct(F.col("value").cast("double").alias("v"), F.col("src").alias("s"), F.col("ord").alias("o"))
     known = pool.select(F.col("value").cast("double").alias("_v"), entry.alias("_t"))
-    both = asked.withColumn("_t", F.lit(None).cast(known.schema["_t"].dataType)).unionByName(known)
-    ranges = min(max(-(-both.count() // RANGE_VALUES), RANGES[0]), RANGES[1])
-    edges = both.agg(F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges + 1000)).alias("_edges"))
-    placed = both.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    ends = placed.filter("_t is not null").groupBy("_part").agg(F.min_by("_t", "_v").alias("_first"), F.max_by("_t", "_v").alias("_last"))
+    rows = claims.count() + pool.count()
+    ranges = min(max(-(-rows // RANGE_VALUES), RANGES[0]), RANGES[1])
+    both = asked.unionByName(known.select("_v"))
+    edges = F.broadcast(both.agg(F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges + 1000)).alias("_edges")))
+
+    def placed(values: DataFrame) -> DataFrame:
+        """``_part``: how many edges lie below the value, by halving; beyond the last edge there is none below."""
+        found = values.crossJoin(edges).withColumn("_part", F.lit(0))
+        for step in (1 << i for i in reversed(range(ranges.bit_length()))):
+            found = found.withColumn("_part", F.col("_part") + F.when(F.get("_edges", F.col("_part") + (step - 1)) < F.col("_v"), step).otherwise(0))
+        return found.drop("_edges")
+
+    own = placed(known)
+    ends = own.groupBy("_part").agg(F.min_by("_t", "_v").alias("_first"), F.max_by("_t", "_v").alias("_last"))
     over = Window.partitionBy(F.lit(0)).orderBy("_part")  # one row for each range
     outer = F.broadcast(ends.sparkSession.range(ranges + 1).select(F.col("id").cast("int").alias("_part")).join(ends, "_part", "left").select(
-        "_part", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
+        "_part", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), "_first", F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
     ))
-    inside = Window.partitionBy("_part").orderBy("_v", F.col("_t").isNull())
-    low = F.last("_t", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("_t", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_v", F.col("_t").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
-    seen = placed.withColumns({"_low": low, "_high": high}).filter("_t is null").join(outer, "_part", "left")
-    below, above = F.coalesce("_low", "_below"), F.coalesce("_high", "_above")
+    # the value after each pool value is looked up among those alone: a frame that ends at the last row is read anew for every row
+    pairs = own.withColumn("_next", F.lead("_t").over(Window.partitionBy("_part").orderBy("_v")))
+    merged = placed(asked).withColumns({c: F.lit(None).cast(known.schema["_t"].dataType) for c in ("_t", "_next")}).unionByName(pairs)
+    inside = Window.partitionBy("_part").orderBy("_v", F.col("_t").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    pair = F.last(F.when(F.col("_t").isNotNull(), F.struct("_t", "_next")), ignorenulls=True).over(inside)
+    seen = merged.withColumn("_low", pair).filter("_t is null").drop("_t", "_next").join(outer, "_part", "left")
+    low = F.col("_low._t")
+    below = F.coalesce(low, F.col("_below"))
+    above = F.when(low["v"] == F.col("_v"), low).when(low.isNotNull(), F.coalesce(F.col("_low._next"), F.col("_above"))).otherwise(F.coalesce("_first", "_above"))
     down, up = F.abs(F.col("_v") - below["v"]), F.abs(F.col("_v") - above["v"])
     near = F.when(above.isNull() | (down < up) | ((down == up) & (below["o"] <= above["o"])), below).otherwise(above)
     found = seen.select("_v", F.coalesce(near, above).alias("_n"))
