@@ -20,3 +20,14 @@ def test_ranges_of_values_are_read_once(spark):
     specs = [s for s in plan_of(found).split("windowspecdefinition(")[1:] if re.match(r"_part#\d+, ", s)]
     assert specs and not [s for s in specs if "unboundedfollowing" in s.split(" AS ")[0]]
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in claims._nearest_in_array(rows, pool.collect(), "val").collect()}
+
+
+def test_frequent_words_are_searched_without_pairs_of_rows(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    titles = sorted({" ".join(rng.choices(words, k=5)) for _ in range(1500)})
+    found = biblio.found_titles(spark.createDataFrame([(t + " w1",) for t in titles[::20]], "lt string"), spark.createDataFrame([(t,) for t in titles], "rt string"), block=100)
+    df = {w: sum(w in t.split() for t in titles) for w in words}
+    want = {(a, t) for a in (t + " w1" for t in titles[::20]) for t in sorted(titles, key=lambda t: (-sum((1 << 50) // df[w] ** 2 for w in set(a.split()) & set(t.split())), t))[:5]}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in plan_of(found)
