@@ -31,3 +31,10 @@ def test_frequent_words_are_searched_without_pairs_of_rows(spark):
     want = {(a, t) for a in (t + " w1" for t in titles[::20]) for t in sorted(titles, key=lambda t: (-sum((1 << 50) // df[w] ** 2 for w in set(a.split()) & set(t.split())), t))[:5]}
     assert {tuple(r) for r in found.collect()} == want
     assert "FlatMapCoGroupsInArrow" in plan_of(found)
+
+
+def test_paths_of_the_audit_seek_no_title(spark, small):
+    from attestra.plans.papers import PAPERS
+
+    plan = plan_of(PAPERS.queries["bib_paths"](spark, small))
+    assert "Arrow" not in plan and "Pandas" not in plan
