@@ -38,3 +38,16 @@ def test_paths_of_the_audit_seek_no_title(spark, small):
 
     plan = plan_of(PAPERS.queries["bib_paths"](spark, small))
     assert "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_only_cited_entries_are_matched(spark):
+    cited = spark.createDataFrame([(1, "a"), (2, "none"), (3, "b")], "doc_id int, cited string")
+    bib = spark.createDataFrame([(k, f"a rather long title of the work {k}", None, i) for i, k in enumerate("abcdefgh")], "citekey string, title string, doi string, ord int")
+    papers = spark.createDataFrame([("p" + k, f"a rather long title of the work {k}", None, i, None, None) for i, k in enumerate("abx")], "paperid string, title string, doi string, ord int, abstract_text string, abstract_src string")
+    seen, match = [], biblio.match_papers
+    try:
+        biblio.match_papers = lambda entries, *rest: seen.append({r.citekey for r in entries.collect()}) or match(entries, *rest)
+        got = {(r.doc_id, r.status, r.paperid) for r in biblio.pair_citations(cited, bib, papers).collect()}
+    finally:
+        biblio.match_papers = match
+    assert seen == [{"a", "b"}] and got == {(1, "NO-ABSTRACT", "pa"), (2, "NO-BIB-ENTRY", None), (3, "NO-ABSTRACT", "pb")}
