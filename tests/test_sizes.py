@@ -51,3 +51,10 @@ def test_only_cited_entries_are_matched(spark):
     finally:
         biblio.match_papers = match
     assert seen == [{"a", "b"}] and got == {(1, "NO-ABSTRACT", "pa"), (2, "NO-BIB-ENTRY", None), (3, "NO-ABSTRACT", "pb")}
+
+
+def test_equal_titles_are_joined(spark):
+    titles = spark.createDataFrame([("x y",), ("long " * 50,), ("other",)], "lt string")
+    found = biblio.alike_titles(titles, spark.createDataFrame([("x y",), ("x z",), ("long " * 50,)], "rt string"), 1.0)
+    alone = SequenceMatcher(None, "long " * 50, "long " * 50).ratio()
+    assert "FlatMapCoGroups" not in plan_of(found) and {tuple(r) for r in found.collect()} == {("x y", "x y", 1.0)} | ({("long " * 50, "long " * 50, alone)} if alone >= 1 else set())
