@@ -58,3 +58,9 @@ def test_equal_titles_are_joined(spark):
     found = biblio.alike_titles(titles, spark.createDataFrame([("x y",), ("x z",), ("long " * 50,)], "rt string"), 1.0)
     alone = SequenceMatcher(None, "long " * 50, "long " * 50).ratio()
     assert "FlatMapCoGroups" not in plan_of(found) and {tuple(r) for r in found.collect()} == {("x y", "x y", 1.0)} | ({("long " * 50, "long " * 50, alone)} if alone >= 1 else set())
+
+
+def test_counts_of_pairs_store_none(spark, small):
+    from attestra.plans.papers import PAPERS
+
+    assert "Relation [" in plan_of(PAPERS.queries["cite_counts"](spark, small))
