@@ -64,3 +64,9 @@ def test_counts_of_pairs_store_none(spark, small):
     from attestra.plans.papers import PAPERS
 
     assert "Relation [" in plan_of(PAPERS.queries["cite_counts"](spark, small))
+
+
+def test_worksheets_store_no_pairs(spark, small):
+    from attestra.plans.papers import PAPERS
+
+    assert "Relation [" in plan_of(PAPERS.queries["cite_worksheet"](spark, small))
