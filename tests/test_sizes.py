@@ -70,3 +70,11 @@ def test_worksheets_store_no_pairs(spark, small):
     from attestra.plans.papers import PAPERS
 
     assert "Relation [" in plan_of(PAPERS.queries["cite_worksheet"](spark, small))
+
+
+def test_verdicts_are_counted_without_pairs_of_rows(spark, small):
+    from attestra.plans.papers import PAPERS
+
+    counted, audited = (PAPERS.queries[n](spark, small) for n in ("bib_verdict_counts", "bib_audit"))
+    assert "FlatMapCoGroupsInArrow" in plan_of(counted)
+    assert {(r.verdict, r.entries) for r in counted.collect()} == {(r.verdict, r["count"]) for r in audited.groupBy("verdict").count().collect()}
