@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from attestra.llm import matching
 from attestra.operators import biblio, claims
+from attestra.session import cut_lineage
 
 
 def plan_of(df):
@@ -78,3 +81,24 @@ def test_verdicts_are_counted_without_pairs_of_rows(spark, small):
     counted, audited = (PAPERS.queries[n](spark, small) for n in ("bib_verdict_counts", "bib_audit"))
     assert "FlatMapCoGroupsInArrow" in plan_of(counted)
     assert {(r.verdict, r.entries) for r in counted.collect()} == {(r.verdict, r["count"]) for r in audited.groupBy("verdict").count().collect()}
+
+
+def test_what_a_cut_shuffled_is_deleted(spark):
+    of = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = of()
+    rows = spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 1000).alias("k")).count()
+    cut = cut_lineage(rows)
+    for _ in range(50):
+        if not of() - before:
+            break
+        time.sleep(0.2)
+    assert not of() - before and cut.count() == 1000 and rows.count() == 1000
+
+
+def test_terms_of_a_pair_travel_as_lists(spark):
+    """Each entry's and paper's terms are one row where pairs are scored; only terms that are read are rows by term."""
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 11}", f"v{i}"]) for i in range(300)], "pid long, words array<string>")
+    lists = rows.select("pid", F.lit(3).alias("length"), F.transform("words", lambda w: F.xxhash64(w)).alias("terms"))
+    asked = rows.select(F.col("pid").alias("bib_id"), F.explode("words").alias("w")).select("bib_id", F.xxhash64("w").alias("term"), F.lit(0).alias("kind"))
+    found = matching.candidates(asked, matching.postings_of(lists), lists)
+    assert "Generate" not in plan_of(found) and {r.bib_id for r in found.filter("bib_id = pid").collect()} == set(range(300))
