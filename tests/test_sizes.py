@@ -63,6 +63,29 @@ def test_equal_titles_are_joined(spark):
     assert "FlatMapCoGroups" not in plan_of(found) and {tuple(r) for r in found.collect()} == {("x y", "x y", 1.0)} | ({("long " * 50, "long " * 50, alone)} if alone >= 1 else set())
 
 
+def test_a_known_title_narrows_what_is_compared(spark):
+    """Titles that are far from the best one known meet no more; ties and lesser likeness than the known one stay exact."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(40)]
+    rights = sorted({" ".join(rng.choices(words, k=rng.randint(4, 9))) for _ in range(400)})
+    lefts = sorted({(r + " " + rng.choice(words) if i % 3 else r[1:] + "z") for i, r in enumerate(rights[::4])} | {" ".join(rng.choices(words, k=6)) for _ in range(10)})
+    ratios = {a: {b: SequenceMatcher(None, a, b).ratio() for b in rights} for a in lefts}
+    want = {(a, b, x) for a, of in ratios.items() for b, x in of.items() if x == max(of.values()) and x >= 0.7}
+    seen, block = [], biblio._in_blocks
+    try:
+        biblio._in_blocks = lambda some, *rest: seen.append(some.groupBy("lt").agg(F.count("*").alias("n"), F.first("floor").alias("floor")).collect()) or block(some, *rest)
+        got = {tuple(r) for r in biblio.alike_titles(spark.createDataFrame([(a,) for a in lefts], "lt string"), spark.createDataFrame([(b,) for b in rights], "rt string"), 0.7, block=50).collect()}
+    finally:
+        biblio._in_blocks = block
+    best = {a: max(x for b, c, x in got if b == a) for a in {a for a, _, _ in got}}
+    assert {(a, b, x) for a, b, x in got if x == best[a]} == want
+    near, far = ({r.lt: r for r in some} for some in seen)
+    assert all(r.floor <= max(ratios[r.lt].values()) for r in [*near.values(), *far.values()] if r.floor > 0.7) and any(r.floor > 0.7 for r in near.values())
+    every = lambda a: (len(a) * 1.3 / 0.7 - len(a) * 0.7 / 1.3) / biblio.LENGTHS
+    close = [a for a in far if best.get(a, 0) > 0.9]
+    assert close and all(far[a].n < every(a) / 2 for a in close)
+
+
 def test_counts_of_pairs_store_none(spark, small):
     from attestra.plans.papers import PAPERS
 
