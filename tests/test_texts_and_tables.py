@@ -254,6 +254,18 @@ def test_worksheet_and_enrichment(spark):
     assert got == {"a": ("one two", "openalex", "w1"), "b": ("t", "openalex", "w2"), "c": (None, None, None), "d": (None, None, None)}
 
 
+def test_worksheet_has_whole_abstracts(spark, small, tmp_path):
+    from attestra.plans.papers import PAPERS
+
+    old = {n: spark.read.parquet(f"{small}/{n}.parquet") for n in ("papers", "bib_records", "documents")}
+    long = "".join(f"Sentence {i} of it. " for i in range(200)).strip()
+    old["papers"].filter("title is not null").withColumn("title", F.concat(F.lit("Work "), F.xxhash64("paperid").cast("string"))).withColumn("abstract", F.lit(long)).write.parquet(f"{tmp_path}/papers.parquet")
+    title = spark.read.parquet(f"{tmp_path}/papers.parquet").agg(F.min("title")).first()[0]
+    old["bib_records"].limit(1).withColumns({"citekey": F.lit("k"), "title": F.lit(title), "doi": F.lit(None).cast("string")}).write.parquet(f"{tmp_path}/bib_records.parquet")
+    old["documents"].limit(1).withColumn("text", F.lit("As shown \\cite{k}.")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.citekey, r.status, r.abstract) for r in PAPERS.queries["cite_worksheet"](spark, str(tmp_path)).collect()] == [("k", "PAIRED", long)]
+
+
 def test_store_versions_and_maps(spark, tmp_path):
     folder = str(tmp_path / "store")
     assert store.load_store(spark, folder) is None
