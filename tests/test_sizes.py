@@ -125,3 +125,15 @@ def test_terms_of_a_pair_travel_as_lists(spark):
     asked = rows.select(F.col("pid").alias("bib_id"), F.explode("words").alias("w")).select("bib_id", F.xxhash64("w").alias("term"), F.lit(0).alias("kind"))
     found = matching.candidates(asked, matching.postings_of(lists), lists)
     assert "Generate" not in plan_of(found) and {r.bib_id for r in found.filter("bib_id = pid").collect()} == set(range(300))
+
+
+def test_entries_meet_papers_in_blocks(spark):
+    """However many papers entries have to visit, a block visits about as many as the lists have terms, and all of it is found."""
+    lists = spark.range(200).select(F.col("id").alias("pid"), F.lit(3).alias("length"), F.transform(F.array(F.col("id"), F.col("id") % 2 + 1000, F.col("id") % 3 + 2000), lambda t: F.xxhash64(t)).alias("terms"))
+    asked = spark.range(200).select(F.col("id").alias("bib_id"), F.explode(F.array(F.col("id") % 2 + 1000, F.col("id") % 3 + 2000)).alias("t")).select("bib_id", F.xxhash64("t").alias("term"), F.lit(0).alias("kind"))
+    entries = cut_lineage(matching._weighed(asked, lists))
+    whole, (block, *more) = entries.agg(F.sum("visits")).first()[0], matching.blocks_of(entries, lists, 1)
+    assert whole > 30 * 600 and len(more) + 1 == -(-whole // 600) and block.agg(F.sum("visits")).first()[0] < 3 * 600
+    postings = matching.postings_of(lists)
+    one, many = (sorted(tuple(r) for r in matching.candidates(asked.filter("bib_id < 40"), postings, lists, n).collect()) for n in (1 << 40, 2000))
+    assert one == many and len({r[0] for r in one}) == 40
